@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -78,8 +79,8 @@ class ByteBpe:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat: list[int] = []
-        self.ends: list[int] = [0]
+        self.flat = array("i")
+        self.ends = array("q", [0])
 
     def piece(self, text: str) -> list[int]:
         """Ids of one match of the pattern."""
@@ -88,7 +89,7 @@ class ByteBpe:
 
     def _learn(self, chunk: str) -> int:
         for match in self.split.findall(chunk):
-            self.flat += self.piece(match)
+            self.flat.extend(self.piece(match))
         self.ends.append(len(self.flat))
         self.known[chunk] = at = len(self.ends) - 2
         return at
@@ -113,8 +114,8 @@ class ByteBpe:
             at += [learn(c) if (i := get(c)) is None else i for c in self.chunks(text or "")]
             counts.append(len(at))
         where = np.asarray(at, np.int64)
-        ends = np.asarray(self.ends, np.int64)
-        ids, offsets = gather(np.asarray(self.flat, np.int32), ends[where], ends[where + 1] - ends[where])
+        ends = np.frombuffer(self.ends, np.int64)  # views: gone before the arrays grow again
+        ids, offsets = gather(np.frombuffer(self.flat, np.int32) if self.flat else np.zeros(0, np.int32), ends[where], ends[where + 1] - ends[where])
         return ids, offsets[np.asarray(counts)]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -9,9 +9,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, packing, secrets
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,14 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN)
 
 
-QUERIES = {"op6_byte_bpe": op6_byte_bpe}
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(documents(spark, sf_dir))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), WORDS).drop("ids")
+
+
+QUERIES = {"op5_secrets": op5_secrets, "op6_byte_bpe": op6_byte_bpe, "op9_packing": op9_packing}
 
 ORACLE_SQL: dict[str, str] = {}
