@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, secrets
+from . import bpe, ngram_join, packing, secrets
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -31,6 +31,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), WORDS).drop("ids")
 
 
-QUERIES = {"op5_secrets": op5_secrets, "op6_byte_bpe": op6_byte_bpe, "op9_packing": op9_packing}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir))
+
+
+QUERIES = {"op10_ngram_join": op10_ngram_join, "op5_secrets": op5_secrets, "op6_byte_bpe": op6_byte_bpe, "op9_packing": op9_packing}
 
 ORACLE_SQL: dict[str, str] = {}
