@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ngram_join, packing, secrets
+from . import bpe, ngram_join, packing, secrets, substring_dedup
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +23,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(documents(spark, sf_dir))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(documents(spark, sf_dir))
 
@@ -35,6 +39,6 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(documents(spark, sf_dir))
 
 
-QUERIES = {"op10_ngram_join": op10_ngram_join, "op5_secrets": op5_secrets, "op6_byte_bpe": op6_byte_bpe, "op9_packing": op9_packing}
+QUERIES = {"op4_substring_dedup": op4_substring_dedup, "op10_ngram_join": op10_ngram_join, "op5_secrets": op5_secrets, "op6_byte_bpe": op6_byte_bpe, "op9_packing": op9_packing}
 
 ORACLE_SQL: dict[str, str] = {}
