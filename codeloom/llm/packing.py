@@ -46,21 +46,21 @@ class WordBpe:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}  # bytes, which the garbage collector needs not walk
         self.flat = array("i")
         self.ends = array("q", [0])
 
     def _learn(self, word: str) -> int:
-        if word.isprintable() and (not word or max(word) < "\u0100"):
+        if word.isascii() and word.isprintable():
             pieces = _LATIN.findall(word.lower())
-            if not word.isascii():
-                pieces = [p.encode().decode("latin-1").translate(_BYTES) for p in pieces]
+        elif word.isprintable() and max(word) < "\u0100":
+            pieces = [p.encode().decode("latin-1").translate(_BYTES) for p in _LATIN.findall(word.lower())]
         else:
             pieces = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(word))]
         for piece in pieces:
             if (ids := self.pieces.get(piece)) is None:
-                self.pieces[piece] = ids = [t.id for t in self.model.tokenize(piece)]
-            self.flat.extend(ids)
+                self.pieces[piece] = ids = array("i", [t.id for t in self.model.tokenize(piece)]).tobytes()
+            self.flat.frombytes(ids)
         self.ends.append(len(self.flat))
         self.known[word] = at = len(self.ends) - 2
         return at

@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ngram_join, packing, secrets, substring_dedup
+from . import bpe, langid, ngram_join, packing, quality, secrets, substring_dedup, token_counts
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +23,14 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(documents(spark, sf_dir))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.suffix_sums(token_counts.histogram(token_counts.lengths(documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN)))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(documents(spark, sf_dir))
 
@@ -31,6 +39,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(documents(spark, sf_dir))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.identify(docs, langid.fit(docs))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), WORDS).drop("ids")
 
@@ -39,6 +52,15 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(documents(spark, sf_dir))
 
 
-QUERIES = {"op4_substring_dedup": op4_substring_dedup, "op10_ngram_join": op10_ngram_join, "op5_secrets": op5_secrets, "op6_byte_bpe": op6_byte_bpe, "op9_packing": op9_packing}
+QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
+    "op3_token_counts": op3_token_counts,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_secrets": op5_secrets,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op7_language_id": op7_language_id,
+    "op9_packing": op9_packing,
+    "op10_ngram_join": op10_ngram_join,
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.REPORT_SQL}
