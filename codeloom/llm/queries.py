@@ -9,7 +9,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, ngram_join, packing, quality, secrets, substring_dedup, token_counts
+from . import bpe, langid, ngram_join, packing, quality, secrets, sharding, substring_dedup, token_counts
+from .frames import shared_folder
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +24,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN)
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(documents(spark, sf_dir), shared_folder(spark, "shards"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(documents(spark, sf_dir))
 
@@ -53,6 +58,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
     "op2_quality_rules": op2_quality_rules,
     "op3_token_counts": op3_token_counts,
     "op4_substring_dedup": op4_substring_dedup,
@@ -63,4 +69,4 @@ QUERIES = {
     "op10_ngram_join": op10_ngram_join,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.REPORT_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_sharding": sharding.REPORT_SQL, "op2_quality_rules": quality.REPORT_SQL}
