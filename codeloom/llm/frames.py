@@ -7,32 +7,38 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
-def take(df: DataFrame, row: str | None = None, **wanted: str) -> DataFrame:
+def place(names: list[str], wanted: str) -> int:
+    """Where a column stands: its exact name first, then without case."""
+    at = [i for i, n in enumerate(names) if n == wanted] or [i for i, n in enumerate(names) if n.lower() == wanted.lower()]
+    if not at:
+        raise ValueError(f"no column {wanted!r} among {names}")
+    return at[0]
+
+
+def take(df: DataFrame, row: str | None = None, apart: str | None = None, **wanted: str) -> DataFrame:
     """Project ``new=old`` columns and nothing else.
 
     Names are matched exactly first, then without case, so extra columns that
     clash with an output, an internal name or differ only in case do no harm.
-    ``row`` adds a struct that holds every column of the input as it was.
+    ``row`` adds a struct that holds every column of the input as it was, but the one
+    named ``apart``, which is taken on its own and need not be carried twice.
     """
     names = df.columns
     plain = df.toDF(*(f"c{i}" for i in range(len(names))))
-    out = []
-    for new, old in wanted.items():
-        at = [i for i, n in enumerate(names) if n == old] or [i for i, n in enumerate(names) if n.lower() == old.lower()]
-        if not at:
-            raise ValueError(f"no column {old!r} among {names}")
-        out.append(plain[f"c{at[0]}"].alias(new))
+    out = [plain[f"c{place(names, old)}"].alias(new) for new, old in wanted.items()]
     if row:
-        out.append(F.struct(*(plain[c] for c in plain.columns)).alias(row))
+        skip = f"c{place(names, apart)}" if apart else None
+        out.append(F.struct(*(plain[c] for c in plain.columns if c != skip), F.lit(0).alias("_")).alias(row))
     return plain.select(*out)
 
 
-def restore(df: DataFrame, row: str, names: list[str], **replaced) -> DataFrame:
-    """The columns that ``take(row=...)`` put aside, some replaced by name."""
-    return df.select(*(replaced[n].alias(n) if n in replaced else F.col(f"{row}.c{i}").alias(n) for i, n in enumerate(names)))
+def restore(df: DataFrame, row: str, names: list[str], replaced: dict[int, Column] | None = None) -> DataFrame:
+    """The columns that ``take(row=...)`` put aside, some replaced by place."""
+    replaced = replaced or {}
+    return df.select(*((replaced[i] if i in replaced else F.col(f"{row}.c{i}")).alias(n) for i, n in enumerate(names)))
 
 
 def strings(batch: pa.RecordBatch, name: str) -> list[str | None]:

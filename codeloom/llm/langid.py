@@ -175,6 +175,5 @@ def identify(docs: DataFrame, network: Network | None, text: str = "text", key:
 
 def known(docs: DataFrame, network: Network | None, least: float = 0.3, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose language is known with a score of at least ``least``."""
-    names = docs.columns
     made = _predict(take(docs, row="row", text=text), network, "row")
-    return restore(made.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)), "row", names)
+    return restore(made.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)), "row", docs.columns)

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .frames import slices, stored, take, utf8
+from .frames import place, restore, slices, stored, take, utf8
 from .hashing import mix, range_hashes, window_hashes, word_hashes, words
 
 BANDS, ROWS = 28, 4
@@ -103,9 +103,13 @@ def alive(left: np.ndarray, right: np.ndarray, threshold: float, tolerance: floa
     return index
 
 
+def hashed(taken: DataFrame) -> DataFrame:
+    return taken.withColumn("text", F.col("text").cast("string")).withColumn("h", F.xxhash64("text"))
+
+
 def classes(docs: DataFrame, n: int, text: str, key: str) -> DataFrame:
-    """(key, c1, c2, grams, bands): the 128-bit name of each row's n-gram set, its size and its band values."""
-    narrow = take(docs, key=key, text=text).withColumn("text", F.col("text").cast("string"))
+    """(key, h, c1, c2, grams, bands): a hash of each row's text, the 128-bit name of its n-gram set, its size and band values."""
+    narrow = hashed(take(docs, key=key, text=text))
 
     def run(batches):
         for batch in batches:
@@ -116,11 +120,11 @@ def classes(docs: DataFrame, n: int, text: str, key: str) -> DataFrame:
                 sign = bands(np.stack([signature(s) for s in sets]))
                 flat = pa.array(sign.view(np.int64).ravel())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), pa.array([c for c, _ in names], pa.int64()), pa.array([c for _, c in names], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), flat)],
-                    ["key", "c1", "c2", "grams", "bands"],
+                    [part.column("key"), part.column("h"), pa.array([c for c, _ in names], pa.int64()), pa.array([c for _, c in names], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), flat)],
+                    ["key", "h", "c1", "c2", "grams", "bands"],
                 )
 
-    return narrow.mapInArrow(run, f"key {narrow.schema['key'].dataType.simpleString()}, c1 bigint, c2 bigint, grams bigint, bands array<bigint>")
+    return narrow.mapInArrow(run, f"key {narrow.schema['key'].dataType.simpleString()}, h bigint, c1 bigint, c2 bigint, grams bigint, bands array<bigint>")
 
 
 def name(grams: np.ndarray) -> tuple[int, int]:
@@ -141,8 +145,9 @@ def homes(sets: DataFrame) -> DataFrame:
 
 def payloads(docs: DataFrame, wanted: DataFrame, n: int, text: str, key: str) -> DataFrame:
     """(c1, c2, grams, sign) as bytes, from the texts of the classes' representatives."""
-    narrow = take(docs, key=key, text=text).withColumn("text", F.col("text").cast("string"))
-    own = narrow.join(wanted.select(F.col("rep").alias("_rep")).distinct(), F.col("key").eqNullSafe(F.col("_rep")), "left_semi").select("text")
+    narrow = hashed(take(docs, key=key, text=text))
+    asked = wanted.select(F.col("rep.key").alias("_key"), F.col("rep.h").alias("_h"))
+    own = narrow.join(asked, F.col("key").eqNullSafe(F.col("_key")) & (F.col("h") == F.col("_h")), "left_semi").select("text")
 
     def run(batches):
         for batch in batches:
@@ -270,6 +275,19 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("node", "root")
 
 
+def grouped(docs: DataFrame, n: int, threshold: float, tolerance: float, text: str, key: str, chunk_rows: int, chunk_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(rows (key, h, c1, c2, grams), classes (c1, c2, rep, copies, root, texts, linked)); rep: least (key, h) of a class."""
+    rows = stored(classes(docs, n, text, key), "classes")
+    sets = stored(rows.where("grams > 0").groupBy("c1", "c2").agg(F.min(F.struct("key", "h")).alias("rep"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")), "sets")
+    met = stored(homes(sets).join(sets.select("c1", "c2", "rep", "copies"), ["c1", "c2"]), "homes")
+    members = met.join(payloads(docs, met, n, text, key), ["c1", "c2"]).select("c1", "c2", "copies", "grams", "sign", "homes", F.explode("homes").alias("home"))
+    found = stored(judged(deal(stored(members, "members"), chunk_rows, chunk_bytes), threshold, tolerance), "links")
+    counts = found.groupBy("a1", "a2").agg(F.sum("texts").alias("texts"), F.sum("copies").alias("linked")).select(F.col("a1").alias("c1"), F.col("a2").alias("c2"), "texts", "linked")
+    roots = components(found.where("b1 is not null").select(F.struct(F.col("a1").alias("c1"), F.col("a2").alias("c2")).alias("a"), F.struct(F.col("b1").alias("c1"), F.col("b2").alias("c2")).alias("b")))
+    named = sets.select("c1", "c2", "rep", "copies").join(roots.select("node.c1", "node.c2", "root"), ["c1", "c2"], "left").withColumn("root", F.coalesce("root", F.struct("c1", "c2")))
+    return rows.drop("bands"), named.join(counts, ["c1", "c2"], "left").fillna(0, ["texts", "linked"])
+
+
 def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, text: str = "text", key: str = "doc_id", chunk_rows: int = 1024, chunk_bytes: int = 24 << 20) -> DataFrame:
     """A row for each document.
 
@@ -277,17 +295,19 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float =
     n_links: other documents at or above the threshold; text_id: least key among equal
     n-gram sets; n_text_links: other such sets at or above the threshold.
     """
-    rows = stored(classes(docs, n, text, key), "classes")
-    some = rows.where("grams > 0")
-    sets = stored(some.groupBy("c1", "c2").agg(F.min("key").alias("rep"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")), "sets")
-    met = stored(homes(sets).join(sets.select("c1", "c2", "rep", "copies"), ["c1", "c2"]), "homes")
-    members = met.join(payloads(docs, met, n, text, key), ["c1", "c2"]).select("c1", "c2", "copies", "grams", "sign", "homes", F.explode("homes").alias("home"))
-    found = stored(judged(deal(stored(members, "members"), chunk_rows, chunk_bytes), threshold, tolerance), "links")
-    counts = found.groupBy("a1", "a2").agg(F.sum("texts").alias("texts"), F.sum("copies").alias("linked")).select(F.col("a1").alias("c1"), F.col("a2").alias("c2"), "texts", "linked")
-    roots = components(found.where("b1 is not null").select(F.struct(F.col("a1").alias("c1"), F.col("a2").alias("c2")).alias("a"), F.struct(F.col("b1").alias("c1"), F.col("b2").alias("c2")).alias("b")))
-    grouped = sets.select("c1", "c2", "rep", "copies").join(roots.select("node.c1", "node.c2", "root"), ["c1", "c2"], "left").withColumn("root", F.coalesce("root", F.struct("c1", "c2")))
-    least = grouped.groupBy("root").agg(F.min("rep").alias("class_id"))
-    named = grouped.join(least, "root").join(counts, ["c1", "c2"], "left").select("c1", "c2", "class_id", F.col("rep").alias("text_id"), "copies", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("linked", F.lit(0)).alias("linked"))
-    linked = some.join(named, ["c1", "c2"]).select(F.col("key").alias(key), "class_id", (F.col("linked") + F.col("copies") - 1).alias("n_links"), "text_id", F.col("texts").alias("n_text_links"))
+    rows, sets = grouped(docs, n, threshold, tolerance, text, key, chunk_rows, chunk_bytes)
+    least = sets.groupBy("root").agg(F.min("rep.key").alias("class_id"))
+    named = sets.join(least, "root").select("c1", "c2", "class_id", F.col("rep.key").alias("text_id"), "copies", "texts", "linked")
+    linked = rows.where("grams > 0").join(named, ["c1", "c2"]).select(F.col("key").alias(key), "class_id", (F.col("linked") + F.col("copies") - 1).alias("n_links"), "text_id", F.col("texts").alias("n_text_links"))
     alone = rows.where("grams = 0").select(F.col("key").alias(key), F.col("key").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("text_id"), F.lit(0).cast("long").alias("n_text_links"))
     return linked.unionByName(alone)
+
+
+def distinct(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, text: str = "text", key: str = "doc_id", chunk_rows: int = 1024, chunk_bytes: int = 24 << 20) -> DataFrame:
+    """``docs`` with one row of each group: the least by key, then by a hash of the text. Rows without words all stay."""
+    _, sets = grouped(docs, n, threshold, tolerance, text, key, chunk_rows, chunk_bytes)
+    chosen = sets.groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep.key").alias("_key"), F.col("rep.h").alias("_h"))
+    held = hashed(take(docs, row="row", apart=text, key=key, text=text))
+    names, word = docs.columns, F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False))
+    kept = held.where(word).join(chosen, F.col("key").eqNullSafe(F.col("_key")) & (F.col("h") == F.col("_h")), "left_semi").dropDuplicates(["key", "h"])
+    return restore(kept.unionByName(held.where(~word)), "row", names, {place(names, text): F.col("text")})

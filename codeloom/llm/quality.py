@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .frames import restore, take
+from .frames import place, restore, take
 
 #: Fixed values of the rules.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -106,9 +106,8 @@ def report(docs: DataFrame, most_lost: float = 0.5, text: str = "text", key: str
 def clean(docs: DataFrame, most_lost: float = 0.5, text: str = "text") -> DataFrame:
     """The kept rows of ``docs``, without failing and blank lines; other columns stay."""
     names = docs.columns
-    own = next(n for n in (*(n for n in names if n == text), *(n for n in names if n.lower() == text.lower())))
-    made = _verdict(take(docs, row="row", text=text).select("row", assess(F.col("text")).alias("a")), most_lost).where("kept")
-    return restore(made, "row", names, **{own: F.col("a.lines.cleaned")})
+    made = _verdict(take(docs, row="row", apart=text, text=text).select("row", assess(F.col("text")).alias("a")), most_lost).where("kept")
+    return restore(made, "row", names, {place(names, text): F.col("a.lines.cleaned")})
 
 
 #: The report as DuckDB SQL.

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .frames import restore, strings, take
+from .frames import place, restore, strings, take
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -166,8 +166,7 @@ def hidden(text: str, spans: list[tuple[int, int, str]], mark: str = "[secret]")
 def redact(docs: DataFrame, text: str = "text", min_bits: float = 40.0) -> DataFrame:
     """``docs`` with the secrets in its text replaced; null text stays null, other columns stay."""
     names = docs.columns
-    own = next(n for n in (*(n for n in names if n == text), *(n for n in names if n.lower() == text.lower())))
-    narrow = take(docs, row="row", text=text).withColumn("text", F.col("text").cast("string"))
+    narrow = take(docs, row="row", apart=text, text=text).withColumn("text", F.col("text").cast("string"))
 
     def run(batches):
         for batch in batches:
@@ -175,7 +174,7 @@ def redact(docs: DataFrame, text: str = "text", min_bits: float = 40.0) -> DataF
             made = [hidden(t, s) if s else t for t, s in zip(texts, found_in(batch.column("text"), min_bits), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()), batch.column("row")], ["text", "row"])
 
-    return restore(narrow.mapInArrow(run, narrow.schema), "row", names, **{own: F.col("text")})
+    return restore(narrow.mapInArrow(run, narrow.schema), "row", names, {place(names, text): F.col("text")})
 
 
 def digest(spans: list[tuple[int, int, str]]) -> str:
