@@ -24,10 +24,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import gather
-from .frames import slices, take, utf8
+from .frames import place, restore, slices, take, utf8
 from .hashing import fits, range_hashes, sliding, window_hashes, word_hashes, words
 
 #: Words of an anchor; a window of w words holds w - ANCHOR + 1 places where one may start.
@@ -104,23 +105,30 @@ def _indexed(part: pa.RecordBatch, values: np.ndarray) -> np.ndarray:
 
 
 def reference_blocks(seeded: DataFrame, window: int) -> DataFrame:
-    """(rk, block, start, words): the blocks between indexed anchors."""
+    """(rk, block, words, starts): the blocks between indexed anchors, with all their places in the row."""
 
     def run(batches):
         for part, text in _parts(batches):
             at, values, _ = text.anchors(window)
             start, end = text.blocks(window, at, _indexed(part, values))
-            rows = text.text[start]
-            block = range_hashes(text.hashes, start, end)
-            yield pa.RecordBatch.from_arrays([part.column("rk").take(pa.array(rows)), pa.array(block.view(np.int64)), pa.array(start - text.first[rows], pa.int32()), pa.array(end - start, pa.int32())], ["rk", "block", "start", "words"])
+            rows, block = text.text[start], range_hashes(text.hashes, start, end)
+            order = np.lexsort((start, block, rows))
+            rows, block, start, size = rows[order], block[order], start[order], (end - start)[order]
+            new = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (block[1:] != block[:-1])])) if len(rows) else np.zeros(0, np.int64)
+            places = pa.ListArray.from_arrays(pa.array(np.concatenate([new, [len(rows)]]), pa.int32()), pa.array(start - text.first[rows], pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column("rk").take(pa.array(rows[new])), pa.array(block[new].view(np.int64)), pa.array(size[new], pa.int32()), places], ["rk", "block", "words", "starts"])
 
-    return seeded.mapInArrow(run, "rk bigint, block bigint, start int, words int")
+    return seeded.mapInArrow(run, "rk bigint, block bigint, words int, starts array<int>")
 
 
 def _factors(part: pa.RecordBatch, text: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, words, whether it is its own reference, whether it begins a factor) of each indexed block, by place."""
     flat, rows = _lists(part, "found")
-    start, size, ref, ref_start = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+    size, ref, ref_start = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(1, 4))
+    places = flat.field(0)
+    times = places.value_lengths().to_numpy(zero_copy_only=False) if len(places) else np.zeros(0, np.int64)
+    start = places.flatten().to_numpy(zero_copy_only=False)
+    rows, size, ref, ref_start = (np.repeat(x, times) for x in (rows, size, ref, ref_start))
     own = (ref == part.column("rk").to_numpy(zero_copy_only=False)[rows]) & (ref_start == start)
     order = np.lexsort((start, rows))
     start, size, ref, shift, rows, own = start[order].astype(np.int64), size[order].astype(np.int64), ref[order], (ref_start - start)[order], rows[order], own[order]
@@ -161,17 +169,18 @@ def windows(parsed: DataFrame, window: int, boundary: bool) -> DataFrame:
 def dedup(docs: DataFrame, window: int = 35, text: str = "text", key: str = "doc_id", row: bool = False) -> DataFrame:
     """(key, n_words, n_removed, kept): each text's words without the repeated ones, joined by one blank.
 
-    ``row`` adds the input row as a struct column of that name.
+    ``row`` adds a struct of the input's other columns, and keeps a text from which nothing is removed as it was.
     """
-    texts = take(docs, row="row" if row else None, key=key, text=text).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("rk", F.xxhash64("key", "text"))
+    texts = take(docs, row="row" if row else None, apart=text, key=key, text=text).withColumn("text", F.col("text").cast("string")).withColumn("rk", F.xxhash64("key", "text"))
     narrow = texts.select("rk", "text")
     met = anchors(narrow, window)
     repeated = met.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     seeds = met.select("rk", "anchor").join(repeated, "anchor").groupBy("rk").agg(F.collect_list("anchor").alias("seeds"))  # at most a text's words
     seeded = texts.join(seeds, "rk")
     blocks = reference_blocks(seeded, window)
-    index = blocks.groupBy("block").agg(F.count("*").alias("n"), F.min(F.struct("rk", "start")).alias("ref")).where("n > 1")
-    found = blocks.join(index.select("block", "ref"), "block").groupBy("rk").agg(F.collect_list(F.struct("start", "words", F.col("ref.rk").alias("ref"), F.col("ref.start").alias("ref_start"))).alias("found"))
+    first = F.get("starts", F.lit(0))
+    index = blocks.groupBy("block").agg(F.sum(F.size("starts")).alias("n"), F.min("rk").alias("ref"), F.min_by(first, "rk").alias("ref_start")).where("n > 1")
+    found = blocks.join(index.select("block", "ref", "ref_start"), "block").groupBy("rk").agg(F.collect_list(F.struct("starts", "words", "ref", "ref_start")).alias("found"))
     parsed = texts.join(seeds, "rk").join(found, "rk", "left")
     twice = windows(parsed, window, boundary=False).groupBy("window").agg(F.sum("weight").alias("n")).where("n > 1").select("window")
     edges = windows(parsed, window, boundary=True).join(twice, "window", "left_semi").groupBy("rk").agg(F.collect_list("start").alias("edges"))
@@ -194,7 +203,10 @@ def dedup(docs: DataFrame, window: int = 35, text: str = "text", key: str = "doc
             raw = made.tobytes()
             kept = [raw[a : b - (c > 0)] for a, b, c in zip(bytes_at[:-1].tolist(), bytes_at[1:].tolist(), counts.tolist(), strict=True)]
             total = np.diff(own.first)
-            columns = [part.column("key"), pa.array(total, pa.int64()), pa.array(total - counts, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+            made_text = pa.array(kept, pa.binary()).cast(pa.string())
+            if row:
+                made_text = pc.if_else(pa.array(total == counts), part.column("text"), made_text)
+            columns = [part.column("key"), pa.array(total, pa.int64()), pa.array(total - counts, pa.int64()), made_text]
             yield pa.RecordBatch.from_arrays([*columns, *(part.column(c) for c in extra)], ["key", "n_words", "n_removed", "kept", *extra])
 
     schema = f"key {texts.schema['key'].dataType.simpleString()}, n_words bigint, n_removed bigint, kept string"
@@ -202,5 +214,12 @@ def dedup(docs: DataFrame, window: int = 35, text: str = "text", key: str = "doc
     return whole.mapInArrow(run, kind).withColumnRenamed("key", key)
 
 
+def without_repeats(docs: DataFrame, window: int = 35, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` without the repeated words in its text; rows of which no word is left go, other columns stay."""
+    names = docs.columns
+    made = dedup(docs, window, text, key, row=True).where("n_words > n_removed or n_removed = 0")
+    return restore(made, "row", names, {place(names, text): F.col("kept")})
+
+
 def digest(docs: DataFrame, window: int = 35) -> DataFrame:
     return dedup(docs, window).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
