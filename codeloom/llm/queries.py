@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, ngram_join, packing, quality, secrets, sharding, substring_dedup, token_counts
+from . import bpe, images, langid, ngram_join, packing, quality, secrets, sharding, substring_dedup, token_counts
 from .frames import shared_folder
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -49,6 +49,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op8_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.copies(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), WORDS).drop("ids")
 
@@ -65,6 +69,7 @@ QUERIES = {
     "op5_secrets": op5_secrets,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_language_id": op7_language_id,
+    "op8_image_copies": op8_image_copies,
     "op9_packing": op9_packing,
     "op10_ngram_join": op10_ngram_join,
 }
