@@ -16,6 +16,7 @@ beyond the target stays as it is.
 
 from __future__ import annotations
 
+import gc
 import posixpath
 import uuid
 
@@ -26,6 +27,8 @@ from .frames import take
 MANIFEST = "shard string, first_arrival bigint, arrivals bigint, n_rows bigint, n_bytes bigint, tier int, location string"
 #: Arrivals in a lane; runs merge within a lane only, which bounds what one window of the plan sees.
 LANE = 4096
+#: Manifests of at most so many shards (about 10 MB) are sent to the executors.
+BROADCAST_SHARDS = 50_000
 
 
 class Conflict(RuntimeError):
@@ -105,7 +108,8 @@ class ShardStore:
     def _write(self, rows: DataFrame, location: str) -> None:
         """rows (_shard, row, arrival): one file a shard."""
         rows.repartition("_shard").write.partitionBy("_shard").option("compression", "zstd").parquet(posixpath.join(self.root, "data", location))
-        self.spark._jvm.System.gc()  # lets Spark drop the shuffle files of finished writes
+        gc.collect()  # lets Spark drop the shuffle files of the finished write
+        self.spark._jvm.System.gc()
 
     def _stored(self, shards: DataFrame, schema=None) -> DataFrame:
         """Rows of the given shards (shard, location, ...)."""
@@ -114,7 +118,10 @@ class ShardStore:
         whole = parts[0]
         for part in parts[1:]:
             whole = whole.unionByName(part)
-        return whole.join(shards.withColumnRenamed("shard", "_shard"), ["_shard", "location"])
+        listed = shards.withColumnRenamed("shard", "_shard")
+        if listed.limit(BROADCAST_SHARDS + 1).count() <= BROADCAST_SHARDS:
+            listed = F.broadcast(listed)  # names and numbers of so many shards; beyond, an ordinary join
+        return whole.join(listed, ["_shard", "location"])
 
     def append(self, df: DataFrame, arrival: Column, text: str = "text") -> int:
         """Add the rows of ``df`` as one small shard for each value of ``arrival``; returns the version."""
