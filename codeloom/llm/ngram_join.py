@@ -147,7 +147,8 @@ def payloads(docs: DataFrame, wanted: DataFrame, n: int, text: str, key: str) ->
     """(c1, c2, grams, sign) as bytes, from the texts of the classes' representatives."""
     narrow = hashed(take(docs, key=key, text=text))
     asked = wanted.select(F.col("rep.key").alias("_key"), F.col("rep.h").alias("_h"))
-    own = narrow.join(asked, F.col("key").eqNullSafe(F.col("_key")) & (F.col("h") == F.col("_h")), "left_semi").select("text")
+    # whatever the size, both sides are shuffled: how many classes meet others has no bound
+    own = narrow.join(asked.hint("merge"), F.col("key").eqNullSafe(F.col("_key")) & (F.col("h") == F.col("_h")), "left_semi").select("text")
 
     def run(batches):
         for batch in batches:
@@ -251,14 +252,14 @@ def judged(dealt: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     return dealt.mapInArrow(run, ", ".join(f"{c} bigint" for c in out))
 
 
-def deal(members: DataFrame, chunk_rows: int, chunk_bytes: int) -> DataFrame:
+def deal(met: DataFrame, chunk_rows: int, chunk_bytes: int) -> DataFrame:
     """Members of each bucket, dealt out as pairs of chunks: a class goes to every pair that its chunk is in."""
-    size = members.groupBy("home").agg(F.count("*").alias("n"), F.sum(F.length("grams").cast("long")).alias("bytes"))
+    members = met.select("c1", "c2", "copies", "homes", "grams", F.explode("homes").alias("home"))
+    size = stored(members.groupBy("home").agg(F.count("*").alias("n"), F.sum(F.col("grams") * 8).alias("bytes")).where("n > 1"), "sizes")
     chunks = F.greatest(F.ceil(F.col("n") / chunk_rows), F.ceil(F.col("bytes") / chunk_bytes)).cast("int")
     side = F.pmod(F.xxhash64("home", "c1", "c2"), F.col("chunks")).cast("int")
-    spread = members.join(size.where("n > 1").select("home", chunks.alias("chunks")), "home").withColumn("side", side).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = spread.withColumn("low", F.least("side", "to")).withColumn("high", F.greatest("side", "to"))
-    return dealt.repartition("home", "low", "high").sortWithinPartitions("home", "low", "high")
+    spread = members.drop("grams").join(size.select("home", chunks.alias("chunks")), "home").withColumn("side", side).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return spread.withColumn("low", F.least("side", "to")).withColumn("high", F.greatest("side", "to")).drop("chunks", "to")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -278,10 +279,10 @@ def components(edges: DataFrame) -> DataFrame:
 def grouped(docs: DataFrame, n: int, threshold: float, tolerance: float, text: str, key: str, chunk_rows: int, chunk_bytes: int) -> tuple[DataFrame, DataFrame]:
     """(rows (key, h, c1, c2, grams), classes (c1, c2, rep, copies, root, texts, linked)); rep: least (key, h) of a class."""
     rows = stored(classes(docs, n, text, key), "classes")
-    sets = stored(rows.where("grams > 0").groupBy("c1", "c2").agg(F.min(F.struct("key", "h")).alias("rep"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")), "sets")
-    met = stored(homes(sets).join(sets.select("c1", "c2", "rep", "copies"), ["c1", "c2"]), "homes")
-    members = met.join(payloads(docs, met, n, text, key), ["c1", "c2"]).select("c1", "c2", "copies", "grams", "sign", "homes", F.explode("homes").alias("home"))
-    found = stored(judged(deal(stored(members, "members"), chunk_rows, chunk_bytes), threshold, tolerance), "links")
+    sets = stored(rows.where("grams > 0").groupBy("c1", "c2").agg(F.min(F.struct("key", "h")).alias("rep"), F.count("*").alias("copies"), F.any_value("grams").alias("grams"), F.any_value("bands").alias("bands")), "sets")
+    met = stored(homes(sets).join(sets.select("c1", "c2", "rep", "copies", "grams"), ["c1", "c2"]), "homes")
+    dealt = deal(met, chunk_rows, chunk_bytes).join(payloads(docs, met, n, text, key), ["c1", "c2"]).repartition("home", "low", "high").sortWithinPartitions("home", "low", "high")
+    found = stored(judged(dealt, threshold, tolerance), "links")
     counts = found.groupBy("a1", "a2").agg(F.sum("texts").alias("texts"), F.sum("copies").alias("linked")).select(F.col("a1").alias("c1"), F.col("a2").alias("c2"), "texts", "linked")
     roots = components(found.where("b1 is not null").select(F.struct(F.col("a1").alias("c1"), F.col("a2").alias("c2")).alias("a"), F.struct(F.col("b1").alias("c1"), F.col("b2").alias("c2")).alias("b")))
     named = sets.select("c1", "c2", "rep", "copies").join(roots.select("node.c1", "node.c2", "root"), ["c1", "c2"], "left").withColumn("root", F.coalesce("root", F.struct("c1", "c2")))
