@@ -166,6 +166,13 @@ def windows(parsed: DataFrame, window: int, boundary: bool) -> DataFrame:
     return parsed.mapInArrow(run, "window bigint, weight int, rk bigint, start int")
 
 
+def meet(left: DataFrame, right: DataFrame, name: str, how: str = "inner") -> DataFrame:
+    """Join by ``name``, and by a hash of it. The right side was summed by the key itself, so for this join both sides are
+    dealt out anew, and Spark can split the partitions of keys that very many rows share."""
+    other = right.withColumnRenamed(name, "_name")
+    return left.join(other, (F.xxhash64(name) == F.xxhash64("_name")) & (F.col(name) == F.col("_name")), how).drop("_name")
+
+
 def dedup(docs: DataFrame, window: int = 35, text: str = "text", key: str = "doc_id", row: bool = False) -> DataFrame:
     """(key, n_words, n_removed, kept): each text's words without the repeated ones, joined by one blank.
 
@@ -175,15 +182,16 @@ def dedup(docs: DataFrame, window: int = 35, text: str = "text", key: str = "doc
     narrow = texts.select("rk", "text")
     met = anchors(narrow, window)
     repeated = met.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    seeds = met.select("rk", "anchor").join(repeated, "anchor").groupBy("rk").agg(F.collect_list("anchor").alias("seeds"))  # at most a text's words
+    seeds = meet(met.select("rk", "anchor"), repeated, "anchor").groupBy("rk").agg(F.collect_list("anchor").alias("seeds"))  # at most a text's words
     seeded = texts.join(seeds, "rk")
     blocks = reference_blocks(seeded, window)
     first = F.get("starts", F.lit(0))
     index = blocks.groupBy("block").agg(F.sum(F.size("starts")).alias("n"), F.min("rk").alias("ref"), F.min_by(first, "rk").alias("ref_start")).where("n > 1")
-    found = blocks.join(index.select("block", "ref", "ref_start"), "block").groupBy("rk").agg(F.collect_list(F.struct("starts", "words", "ref", "ref_start")).alias("found"))
+    index = index.select("block", "ref", "ref_start")
+    found = meet(blocks, index, "block").groupBy("rk").agg(F.collect_list(F.struct("starts", "words", "ref", "ref_start")).alias("found"))
     parsed = texts.join(seeds, "rk").join(found, "rk", "left")
     twice = windows(parsed, window, boundary=False).groupBy("window").agg(F.sum("weight").alias("n")).where("n > 1").select("window")
-    edges = windows(parsed, window, boundary=True).join(twice, "window", "left_semi").groupBy("rk").agg(F.collect_list("start").alias("edges"))
+    edges = meet(windows(parsed, window, boundary=True), twice, "window", "left_semi").groupBy("rk").agg(F.collect_list("start").alias("edges"))
     whole = texts.join(found, "rk", "left").join(edges, "rk", "left")
     extra = ["row"] if row else []
 
