@@ -42,6 +42,8 @@ def extract(text: str, path: str = "") -> Found:
             if opened:
                 stack.append(("def", symbol, visibility))
                 spans.append((symbol, at))
+            else:
+                src.scopes.append(Scope(at, at + len(line), f"{owner}.{m[3]}" if owner else m[3], "function"))
         elif opened:
             stack.append(("block", None, visibility))
         elif (m := re.match(r"\s*(private|protected|public)\s*$", line)) and not inside:

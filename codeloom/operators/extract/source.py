@@ -143,20 +143,19 @@ class Source:
         return short(line.split("{")[0].strip() or line)
 
     def doc(self, at: int) -> str | None:
-        """The comment that ends right before the line of ``at``."""
-        line_start = self.text.rfind("\n", 0, at) + 1
-        end = line_start
+        """The comment that ends right before the line of ``at``; lines of attributes between them don't count."""
+        top = self.text.rfind("\n", 0, at) + 1
+        while top and (above := self.text[self.text.rfind("\n", 0, top - 1) + 1 : top].strip()) and above[0] in "[@#" and above[-1] in ")]":
+            top = self.text.rfind("\n", 0, top - 1) + 1
         start = None
-        for a, b in reversed([c for c in self.comments if c[1] <= line_start]):
-            if self.text[b:end].strip():
+        for a, b in reversed([c for c in self.comments if c[1] <= top]):
+            between = self.text[b : top if start is None else start]
+            if between.strip() or between.count("\n") > 1:
                 break
-            single = not self.text[a:b].startswith("/*")
-            start, end = a, a
-            if not single or self.text[b:line_start].count("\n") > 1 and start is None:
+            start = a
+            if self.text.startswith("/*", a):
                 break
-            if not single:
-                break
-        return self.text[start:line_start].strip() if start is not None else None
+        return self.text[start:top].strip() if start is not None else None
 
     def scope_at(self, at: int, opens: str) -> Scope | None:
         around = [s for s in self.scopes if s.opens == opens and s.start <= at <= s.end]

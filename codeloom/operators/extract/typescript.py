@@ -43,6 +43,8 @@ def extract(text: str, path: str = "") -> Found:
     def add(m: re.Match, kind: str, end: int, opens: str | None = None, body: int | None = None, **more) -> Symbol:
         at, name = m.start("name"), m["name"].lstrip("#")
         first = m.start() + len(m[0]) - len(m[0].lstrip())
+        marks = re.match(r"(?:@[\w.]+(?:\([^()]*\))?\s*)+", code[first:at])
+        first += marks.end() if marks else 0
         signature = f"{kind} {name}" if kind in ("class", "interface", "enum") else src.signature(first)
         symbol = Symbol(name, kind, src.line(first), src.line(end), signature, src.doc(first), tags=_tags(src, first, end, name, kind, jsx), **more)
         made.append((first, symbol))
