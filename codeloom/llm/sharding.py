@@ -16,11 +16,11 @@ beyond the target stays as it is.
 
 from __future__ import annotations
 
-import gc
 import posixpath
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
 from .frames import take
 
@@ -57,6 +57,7 @@ def plan(manifest: DataFrame, target: int, least_runs: int = 4) -> DataFrame:
 class ShardStore:
     def __init__(self, spark: SparkSession, root: str, target: int = 32 << 20):
         self.spark, self.root, self.target = spark, root.rstrip("/"), target
+        self.kind = StructType.fromDDL("arrival bigint, row struct<>, size bigint, _shard string")  # of stored rows, as the last append had them
 
     # files
 
@@ -106,14 +107,15 @@ class ShardStore:
     # rows
 
     def _write(self, rows: DataFrame, location: str) -> None:
-        """rows (_shard, row, arrival): one file a shard."""
-        rows.repartition("_shard").write.partitionBy("_shard").option("compression", "zstd").parquet(posixpath.join(self.root, "data", location))
-        gc.collect()  # lets Spark drop the shuffle files of the finished write
-        self.spark._jvm.System.gc()
+        """rows (_shard, row, arrival): a folder a shard, with a file for each task that has rows of it."""
+        rows.write.partitionBy("_shard").option("compression", "zstd").parquet(posixpath.join(self.root, "data", location))
 
     def _stored(self, shards: DataFrame, schema=None) -> DataFrame:
         """Rows of the given shards (shard, location, ...)."""
         places = [r["location"] for r in shards.select("location").distinct().collect()]  # one for each commit that still holds shards
+        if not places:
+            listed = shards.withColumnRenamed("shard", "_shard").limit(0)
+            return self.spark.createDataFrame([], self.kind).join(listed, "_shard")
         parts = [self.spark.read.parquet(posixpath.join(self.root, "data", p)).withColumn("location", F.lit(p)) for p in sorted(places)]
         whole = parts[0]
         for part in parts[1:]:
@@ -124,13 +126,15 @@ class ShardStore:
         return whole.join(listed, ["_shard", "location"])
 
     def append(self, df: DataFrame, arrival: Column, text: str = "text") -> int:
-        """Add the rows of ``df`` as one small shard for each value of ``arrival``; returns the version."""
+        """Add the rows of ``df`` as one small shard for each value of ``arrival``, written where they are; returns the version."""
         number, location = self.version() + 1, uuid.uuid4().hex
         held = take(df.withColumn("__arrival", arrival), row="row", arrival="__arrival", text=text)
         numbered = held.select(F.coalesce(F.col("arrival").cast("long"), F.lit(-1)).alias("arrival"), "row", F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("size"))
         shard = F.concat(F.lit(f"a{number}_"), F.lpad(F.col("arrival").cast("string"), 12, "0"))
-        self._write(numbered.withColumn("_shard", shard), location)
-        made = self.spark.read.parquet(posixpath.join(self.root, "data", location))
+        numbered = numbered.withColumn("_shard", shard)
+        self.kind = numbered.schema
+        self._write(numbered, location)
+        made = self.spark.read.schema(self.kind).parquet(posixpath.join(self.root, "data", location))
         sized = made.groupBy("_shard").agg(F.min("arrival").alias("first_arrival"), F.count_distinct("arrival").alias("arrivals"), F.count("*").alias("n_rows"), F.sum("size").alias("n_bytes"))
         listed = sized.select(F.col("_shard").alias("shard"), "first_arrival", "arrivals", "n_rows", "n_bytes", tier(F.col("n_bytes"), self.target).alias("tier"), F.lit(location).alias("location"))
         self._commit(number, self.manifest(number - 1).unionByName(listed).coalesce(1 + number // 64))
@@ -145,7 +149,7 @@ class ShardStore:
         if moved.isEmpty():
             return number - 1
         rows = self._stored(moved.select("shard", "location", "into"))
-        self._write(rows.select(F.col("into").alias("_shard"), "row", "arrival", "size"), location)
+        self._write(rows.select(F.col("into").alias("_shard"), "row", "arrival", "size").repartition("_shard"), location)
         merged = moved.groupBy("into").agg(F.min("first_arrival").alias("first_arrival"), F.sum("arrivals").alias("arrivals"), F.sum("n_rows").alias("n_rows"), F.sum("n_bytes").alias("n_bytes"))
         listed = merged.select(F.col("into").alias("shard"), "first_arrival", "arrivals", "n_rows", "n_bytes", tier(F.col("n_bytes"), self.target).alias("tier"), F.lit(location).alias("location"))
         self._commit(number, now.join(moves, "shard", "left_anti").unionByName(listed).coalesce(1 + number // 64))
