@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bpe import codec
-from .frames import strings, take
+from .frames import stored, strings, take
 
 #: Lengths in a block of the two-step suffix sums; bounds what one task of the second step sees.
 BLOCK = 1024
@@ -38,7 +38,7 @@ def histogram(counted: DataFrame) -> DataFrame:
 def suffix_sums(hist: DataFrame) -> DataFrame:
     """For each length L that occurs: documents and tokens of length L or more, the total
     when every document is cut at L, the total over all, and the share of documents up to L."""
-    rows = hist.withColumn("block", F.expr(f"length div {BLOCK}"))
+    rows = stored(hist, "histogram").withColumn("block", F.expr(f"length div {BLOCK}"))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     # as many rows as the longest document has blocks
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("length")).alias("t"))
