@@ -66,6 +66,11 @@ def slices(array: pa.Array, most_bytes: int = 4 << 20):
         at = end
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send texts to Python workers in small batches, which bounds the memory of both sides. For entry points, not operators."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def shared_folder(spark: SparkSession, what: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .frames import restore, slices, take, utf8
+from .frames import place, restore, slices, take, utf8
 
 UNKNOWN = "und"
 
@@ -141,8 +141,8 @@ def fit(docs: DataFrame, budget: Budget = Budget(), text: str = "text", key: str
     return Network(labels, budget.window, budget.seed).train(np.concatenate(xs), np.array(ys), budget.steps, budget.batch, budget.seed)
 
 
-def _predict(narrow: DataFrame, network: Network | None, carried: str) -> DataFrame:
-    """``carried``, lang_pred and score of rows (carried, text, letter)."""
+def _predict(narrow: DataFrame, network: Network | None, carried: list[str]) -> DataFrame:
+    """``carried``, lang_pred and score of rows with a text."""
 
     def run(batches):
         for batch in batches:
@@ -160,20 +160,22 @@ def _predict(narrow: DataFrame, network: Network | None, carried: str) -> DataFr
                     best = odds.argmax(axis=1)
                     names = [network.labels[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letter.tolist(), strict=True)]
                     scores = [s if ok else 0.0 for s, ok in zip(odds[np.arange(n), best].tolist(), letter.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(carried), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [carried, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*carried, "lang_pred", "score"])
 
-    kind = narrow.schema[carried].dataType.simpleString()
-    return narrow.select(carried, F.col("text").cast("string").alias("text"), F.col("text").rlike(r"\p{L}").alias("letter")).mapInArrow(run, f"{carried} {kind}, lang_pred string, score double")
+    asked = narrow.withColumn("text", F.col("text").cast("string")).withColumn("letter", F.col("text").rlike(r"\p{L}"))
+    kinds = ", ".join(f"{c} {asked.schema[c].dataType.simpleString()}" for c in carried)
+    return asked.mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, network: Network | None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, held_out, lang_pred, score) of every row."""
-    made = _predict(take(docs, key=key, text=text), network, "key")
+    made = _predict(take(docs, key=key, text=text), network, ["key"])
     held = F.coalesce(F.crc32(F.col("key").cast("string")) % 5 == 0, F.lit(False))
     return made.select(F.col("key").alias(key), held.alias("held_out"), "lang_pred", "score")
 
 
 def known(docs: DataFrame, network: Network | None, least: float = 0.3, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose language is known with a score of at least ``least``."""
-    made = _predict(take(docs, row="row", text=text), network, "row")
-    return restore(made.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)), "row", docs.columns)
+    made = _predict(take(docs, row="row", apart=text, text=text), network, ["row", "text"])
+    names = docs.columns
+    return restore(made.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)), "row", names, {place(names, text): F.col("text")})
