@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import concepts
 from codeloom.operators import graph, lookup, resolve, search
+from codeloom.plans import lineage
 from codeloom.plans.scenario import receivers, scenario
 
 
@@ -96,3 +97,9 @@ def test_phrases(spark):
     index = lookup.token_table(rows, "id", ["name"])
     asked = spark.createDataFrame([(1, ["create", "user"]), (2, ["login"]), (3, ["cafe"]), (4, [])], "phrase_id int, words array<string>")
     assert sorted((r["phrase_id"], r["id"]) for r in lookup.phrase_search(index, asked).collect()) == [(1, 1), (2, 3), (3, 3)]
+
+
+def test_release(spark):
+    lineage.release(spark)
+    made = lineage.cut(spark.range(5))
+    assert made.count() == 5 and lineage.release(spark) == 1 and lineage.release(spark) == 0
