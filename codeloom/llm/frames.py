@@ -83,8 +83,25 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return posixpath.join(root, f"{what}-{uuid.uuid4().hex}")
 
 
+#: Folders that this process has written; names only.
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what operators have stored so far, once their results are consumed; returns the number of folders."""
+    done = len(_WRITTEN)
+    while _WRITTEN:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return done
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The folder stays until ``release``, as results are read lazily.
+    """
     path = shared_folder(df.sparkSession, what)
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
