@@ -137,6 +137,14 @@ def _factors(part: pa.RecordBatch, text: Words) -> tuple[np.ndarray, np.ndarray,
     return start + text.first[rows], size, own, begins
 
 
+def _spans(start: np.ndarray, size: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, words) of factors: runs of blocks that continue each other."""
+    first = np.flatnonzero(begins)
+    if not len(first):
+        return start, size
+    return start[first], np.maximum.reduceat(start + size, first) - start[first]
+
+
 def _inside(n: int, start: np.ndarray, size: np.ndarray, window: int) -> np.ndarray:
     """Which of n window starts lie in one of the blocks."""
     steps = np.zeros(n + 1, np.int64)
@@ -173,22 +181,40 @@ def meet(left: DataFrame, right: DataFrame, name: str, how: str = "inner") -> Da
     return left.join(other, (F.xxhash64(name) == F.xxhash64("_name")) & (F.col(name) == F.col("_name")), how).drop("_name")
 
 
-def dedup(docs: DataFrame, window: int = 35, text: str = "text", key: str = "doc_id", row: bool = False) -> DataFrame:
-    """(key, n_words, n_removed, kept): each text's words without the repeated ones, joined by one blank.
-
-    ``row`` adds a struct of the input's other columns, and keeps a text from which nothing is removed as it was.
-    """
+def _parsed(docs: DataFrame, window: int, text: str, key: str, row: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with rk, seeds of each row, indexed blocks of each row)."""
     texts = take(docs, row="row" if row else None, apart=text, key=key, text=text).withColumn("text", F.col("text").cast("string")).withColumn("rk", F.xxhash64("key", "text"))
-    narrow = texts.select("rk", "text")
-    met = anchors(narrow, window)
+    met = anchors(texts.select("rk", "text"), window)
     repeated = met.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     seeds = meet(met.select("rk", "anchor"), repeated, "anchor").groupBy("rk").agg(F.collect_list("anchor").alias("seeds"))  # at most a text's words
-    seeded = texts.join(seeds, "rk")
-    blocks = reference_blocks(seeded, window)
+    blocks = reference_blocks(texts.join(seeds, "rk"), window)
     first = F.get("starts", F.lit(0))
     index = blocks.groupBy("block").agg(F.sum(F.size("starts")).alias("n"), F.min("rk").alias("ref"), F.min_by(first, "rk").alias("ref_start")).where("n > 1")
-    index = index.select("block", "ref", "ref_start")
-    found = meet(blocks, index, "block").groupBy("rk").agg(F.collect_list(F.struct("starts", "words", "ref", "ref_start")).alias("found"))
+    found = meet(blocks, index.select("block", "ref", "ref_start"), "block").groupBy("rk").agg(F.collect_list(F.struct("starts", "words", "ref", "ref_start")).alias("found"))
+    return texts, seeds, found
+
+
+def factors(docs: DataFrame, window: int = 35, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, start, words, own): the factors of each text, in words; own: its block is the index's place of reference."""
+    texts, _, found = _parsed(docs, window, text, key, False)
+
+    def run(batches):
+        for part, words_of in _parts(batches):
+            start, size, own, begins = _factors(part, words_of)
+            at, length = _spans(start, size, begins)
+            rows = words_of.text[at]
+            yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(rows)), pa.array(at - words_of.first[rows], pa.int64()), pa.array(length, pa.int64()), pa.array(own[begins])], ["key", "start", "words", "own"])
+
+    kind = texts.schema["key"].dataType.simpleString()
+    return texts.join(found, "rk").mapInArrow(run, f"key {kind}, start bigint, words bigint, own boolean").withColumnRenamed("key", key)
+
+
+def dedup(docs: DataFrame, window: int = 35, text: str = "text", key: str = "doc_id", row: bool = False) -> DataFrame:
+    """(key, n_words, n_removed, kept): each text's words without the repeated ones, joined by one blank.
+
+    ``row`` adds a struct of the input's other columns, and keeps a text from which nothing is removed as it was.
+    """
+    texts, seeds, found = _parsed(docs, window, text, key, row)
     parsed = texts.join(seeds, "rk").join(found, "rk", "left")
     twice = windows(parsed, window, boundary=False).groupBy("window").agg(F.sum("weight").alias("n")).where("n > 1").select("window")
     edges = meet(windows(parsed, window, boundary=True), twice, "window", "left_semi").groupBy("rk").agg(F.collect_list("start").alias("edges"))
@@ -197,7 +223,8 @@ def dedup(docs: DataFrame, window: int = 35, text: str = "text", key: str = "doc
 
     def run(batches):
         for part, own in _parts(batches):
-            start, size, _, _ = _factors(part, own)
+            start, size, _, begins = _factors(part, own)
+            start, size = _spans(start, size, begins)
             at, rows = _lists(part, "edges")
             at = at.to_numpy(zero_copy_only=False).astype(np.int64) + own.first[rows]
             start, size = np.concatenate([start, at]), np.concatenate([size, np.full(len(at), window)])

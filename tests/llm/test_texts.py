@@ -40,6 +40,17 @@ def test_dedup_rows(clashing, unnamed, empty, hard_texts):
     assert substring_dedup.digest(empty).count() == 0
 
 
+def test_factors(docs, hard_texts):
+    lists = [brute.words(t) for t in hard_texts]
+    removed = {i: n for i, (_, n, _) in enumerate(brute.without_repeats(hard_texts))}
+    found = substring_dedup.factors(docs).collect()
+    assert found and all(r["words"] >= 35 and r["start"] + r["words"] <= len(lists[r["doc_id"]]) for r in found)
+    covered = {}
+    for r in found:
+        covered.setdefault(r["doc_id"], set()).update(range(r["start"], r["start"] + r["words"]))
+    assert all(len(c) <= removed[i] for i, c in covered.items()) and any(len(c) == removed[i] for i, c in covered.items())
+
+
 # n-gram join
 
 
