@@ -56,7 +56,7 @@ def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(array: pa.Array, most_bytes: int = 4 << 20):
+def slices(array: pa.Array, most_bytes: int = 1 << 20):
     """(first row, end row) of runs of about ``most_bytes``, one row at least."""
     _, offsets = utf8(array)
     at = 0

@@ -29,10 +29,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
+#: Powers of a base, up to the longest that was asked for so far, within KEPT.
+_KNOWN: dict[int, np.ndarray] = {}
+KEPT = 2 << 20
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    known = _KNOWN.get(base)
+    if known is None or len(known) < n:
+        known = np.full(n + n // 4 if n < KEPT else n, base, np.uint64)
+        known[:1] = 1
+        known = np.cumprod(known, dtype=np.uint64)
+        if n < KEPT:
+            _KNOWN[base] = known
+    return known[:n]
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -146,7 +146,7 @@ def _predict(narrow: DataFrame, network: Network | None, carried: list[str]) ->
 
     def run(batches):
         for batch in batches:
-            for low, high in slices(batch.column("text"), 1 << 20):
+            for low, high in slices(batch.column("text"), 1 << 19):
                 part = batch.slice(low, high - low)
                 n = part.num_rows
                 letter = part.column("letter").fill_null(False).to_numpy(zero_copy_only=False)
