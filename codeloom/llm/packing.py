@@ -30,14 +30,14 @@ from .bpe import byte_characters, gather
 from .frames import stored, strings, take
 
 #: The tokenizer's split for lower-case Latin-1 text; other words take the library's own splitter.
-_LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+_LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾ ]+")
 _BYTES = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
 
 
 class WordBpe:
     """Ids by a tokenizers file whose pieces never cross white space. ``cache`` bounds what is remembered."""
 
-    def __init__(self, path: str, cache: int = 600_000):
+    def __init__(self, path: str, cache: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size()
@@ -45,41 +45,46 @@ class WordBpe:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pieces: dict[str, bytes] = {}  # bytes, which the garbage collector needs not walk
+        self.pieces: dict[str, int] = {}  # of plain texts
+        self.words: dict[str, int] = {}  # of others, between blanks
         self.flat = array("i")
         self.ends = array("q", [0])
 
-    def _learn(self, word: str) -> int:
-        if word.isascii() and word.isprintable():
-            pieces = _LATIN.findall(word.lower())
-        elif word.isprintable() and max(word) < "\u0100":
-            pieces = [p.encode().decode("latin-1").translate(_BYTES) for p in _LATIN.findall(word.lower())]
-        else:
-            pieces = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(word))]
-        for piece in pieces:
-            if (ids := self.pieces.get(piece)) is None:
-                self.pieces[piece] = ids = array("i", [t.id for t in self.model.tokenize(piece)]).tobytes()
-            self.flat.frombytes(ids)
+    def _add(self, mapped: list[str]) -> int:
+        for piece in mapped:
+            self.flat.extend([t.id for t in self.model.tokenize(piece)])
         self.ends.append(len(self.flat))
-        self.known[word] = at = len(self.ends) - 2
+        return len(self.ends) - 2
+
+    def _piece(self, piece: str) -> int:
+        self.pieces[piece] = at = self._add([piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)])
+        return at
+
+    def _word(self, word: str) -> int:
+        normal = self.tokenizer.normalizer.normalize_str(word)
+        self.words[word] = at = self._add([p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)])
         return at
 
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with ``end`` after it; offsets)."""
-        if len(self.known) > self.most:
+        if len(self.pieces) + len(self.words) > self.most:
             self.forget()
-        get, learn = self.known.get, self._learn
         at: list[int] = []
-        last = self.known.get("\n")  # no word has a line feed in it
+        last = self.words.get("\n")  # no word has a line feed in it
         if last is None:
             self.flat.append(end)
             self.ends.append(len(self.flat))
-            self.known["\n"] = last = len(self.ends) - 2
+            self.words["\n"] = last = len(self.ends) - 2
         counts = [0]
         for text in texts:
             if text:
-                at += [learn(w) if (i := get(w)) is None else i for w in text.replace("\n", " ").split(" ")]
+                line = text.replace("\n", " ")
+                if _plain(line):
+                    get, learn = self.pieces.get, self._piece
+                    at += [learn(p) if (i := get(p)) is None else i for p in _LATIN.findall(line.lower())]
+                else:
+                    get, learn = self.words.get, self._word
+                    at += [learn(w) if (i := get(w)) is None else i for w in line.split(" ")]
             at.append(last)
             counts.append(len(at))
         where, ends = np.asarray(at, np.int64), np.frombuffer(self.ends, np.int64)  # views: gone before the arrays grow again
@@ -87,6 +92,19 @@ class WordBpe:
         return ids, offsets[np.asarray(counts)]
 
 
+def _plain(line: str) -> bool:
+    """Printable Latin-1 text, which the short pattern splits as the library would."""
+    if not line.isprintable():
+        return False
+    if line.isascii():
+        return True
+    try:
+        line.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 @lru_cache(maxsize=4)
 def codec(path: str) -> WordBpe:
     return WordBpe(path)
