@@ -149,7 +149,8 @@ class ShardStore:
         if moved.isEmpty():
             return number - 1
         rows = self._stored(moved.select("shard", "location", "into"))
-        self._write(rows.select(F.col("into").alias("_shard"), "row", "arrival", "size").repartition("_shard"), location)
+        groups = moves.select("into").distinct().count()
+        self._write(rows.select(F.col("into").alias("_shard"), "row", "arrival", "size").repartition(groups, "_shard"), location)
         merged = moved.groupBy("into").agg(F.min("first_arrival").alias("first_arrival"), F.sum("arrivals").alias("arrivals"), F.sum("n_rows").alias("n_rows"), F.sum("n_bytes").alias("n_bytes"))
         listed = merged.select(F.col("into").alias("shard"), "first_arrival", "arrivals", "n_rows", "n_bytes", tier(F.col("n_bytes"), self.target).alias("tier"), F.lit(location).alias("location"))
         self._commit(number, now.join(moves, "shard", "left_anti").unionByName(listed).coalesce(1 + number // 64))
