@@ -312,3 +312,30 @@ def distinct(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: flo
     names, word = docs.columns, F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False))
     kept = held.where(word).join(chosen, F.col("key").eqNullSafe(F.col("_key")) & (F.col("h") == F.col("_h")), "left_semi").dropDuplicates(["key", "h"])
     return restore(kept.unionByName(held.where(~word)), "row", names, {place(names, text): F.col("text")})
+
+
+#: ``join`` as DuckDB SQL, for tables of distinct ids.
+JOIN_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, gram FROM (
+    SELECT doc_id, unnest(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i+4], ' ')) WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS gram FROM w)
+), s AS (
+  SELECT doc_id, md5(string_agg(gram, chr(1) ORDER BY gram)) AS grams, count(*) AS n FROM g GROUP BY doc_id
+), met AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y, b.grams AS other, a.grams AS own FROM met JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y WHERE shared >= 0.8 * (a.n + b.n - shared)
+), walk AS (
+  SELECT doc_id AS seed, doc_id AS node FROM w UNION SELECT seed, y FROM walk JOIN links ON x = node
+), c AS (
+  SELECT seed AS doc_id, min(node) AS class_id FROM walk GROUP BY seed
+), n AS (
+  SELECT x AS doc_id, count(*) AS n_links, count(DISTINCT other) FILTER (WHERE other <> own) AS n_text_links FROM links GROUP BY x
+), t AS (
+  SELECT doc_id, min(doc_id) OVER (PARTITION BY grams) AS text_id FROM s
+)
+SELECT doc_id, class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, coalesce(text_id, doc_id) AS text_id, CAST(coalesce(n_text_links, 0) AS BIGINT) AS n_text_links
+FROM c LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
+"""

@@ -75,4 +75,4 @@ QUERIES = {
     "op10_ngram_join": op10_ngram_join,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_sharding": sharding.REPORT_SQL, "op2_quality_rules": quality.REPORT_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_sharding": sharding.REPORT_SQL, "op2_quality_rules": quality.REPORT_SQL, "op4_substring_dedup": substring_dedup.DIGEST_SQL, "op10_ngram_join": ngram_join.JOIN_SQL}
