@@ -289,7 +289,7 @@ def grouped(docs: DataFrame, n: int, threshold: float, tolerance: float, text: s
     return rows.drop("bands"), named.join(counts, ["c1", "c2"], "left").fillna(0, ["texts", "linked"])
 
 
-def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, text: str = "text", key: str = "doc_id", chunk_rows: int = 1024, chunk_bytes: int = 24 << 20) -> DataFrame:
+def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, text: str = "text", key: str = "doc_id", chunk_rows: int = 512, chunk_bytes: int = 24 << 20) -> DataFrame:
     """A row for each document.
 
     class_id: least key of its group (documents linked directly or through others);
@@ -304,7 +304,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float =
     return linked.unionByName(alone)
 
 
-def distinct(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, text: str = "text", key: str = "doc_id", chunk_rows: int = 1024, chunk_bytes: int = 24 << 20) -> DataFrame:
+def distinct(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, text: str = "text", key: str = "doc_id", chunk_rows: int = 512, chunk_bytes: int = 24 << 20) -> DataFrame:
     """``docs`` with one row of each group: the least by key, then by a hash of the text. Rows without words all stay."""
     _, sets = grouped(docs, n, threshold, tolerance, text, key, chunk_rows, chunk_bytes)
     chosen = sets.groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep.key").alias("_key"), F.col("rep.h").alias("_h"))
