@@ -172,11 +172,11 @@ def impact_bfs(v):
 
 @register(
     "SELECT seed, node, CAST(min(d) AS INTEGER) AS depth FROM walk GROUP BY seed, node",
-    f"RECURSIVE {CALLS}, walk AS (SELECT CAST(p_partkey AS BIGINT) AS seed, CAST(p_partkey AS BIGINT) AS node, 0 AS d FROM part WHERE p_partkey % 50 = 0 UNION SELECT seed, callee_symbol_id, d + 1 FROM walk JOIN calls ON caller_symbol_id = node WHERE d < 3)",
+    f"RECURSIVE {CALLS}, walk AS (SELECT CAST(p_partkey AS BIGINT) AS seed, CAST(p_partkey AS BIGINT) AS node, 0 AS d FROM part UNION SELECT seed, callee_symbol_id, d + 1 FROM walk JOIN calls ON caller_symbol_id = node WHERE d < 3)",
 )
 def depends_chain(v):
-    """A stated set of symbols (every fiftieth) and all that they depend on, to depth 3."""
-    return graph.callees_within(v.calls, v.symbols.where("id % 50 = 0").select(F.col("id").alias("node")), 3)
+    """Every symbol and all that it depends on, to depth 3."""
+    return graph.callees_within(v.calls, v.symbols.select(F.col("id").alias("node")), 3)
 
 
 _RISK = f"""{FILES}, {SYMBOLS}, {CALLS}, placed AS (
@@ -375,14 +375,14 @@ _WORDS = "list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda
 
 
 @register(
-    f"""SELECT DISTINCT q.id AS phrase_id, s.id FROM (SELECT p_partkey AS id, {_WORDS} AS w FROM part WHERE p_partkey % 50 = 0) q
-JOIN (SELECT p_partkey AS id, {_WORDS} AS w FROM part) s ON contains(' ' || array_to_string(s.w, ' ') || ' ', ' ' || array_to_string(q.w[1:2], ' ') || ' ')"""
+    f"""SELECT q.phrase, s.id FROM (SELECT DISTINCT array_to_string(({_WORDS})[1:2], ' ') AS phrase FROM part) q
+JOIN (SELECT p_partkey AS id, {_WORDS} AS w FROM part) s ON contains(' ' || array_to_string(s.w, ' ') || ' ', ' ' || q.phrase || ' ')"""
 )
 def token_search(v):
-    """The first two words of every fiftieth name, as a phrase, against all names."""
+    """The first two words of each name, as a phrase, against all names."""
     index = lookup.token_table(v.symbols, "id", ["name"])
-    asked = v.symbols.where("id % 50 = 0").select(F.col("id").alias("phrase_id"), F.slice(columns.tokens(F.col("name")), 1, 2).alias("words"))
-    return lookup.phrase_search(index, asked)
+    words = v.symbols.select(F.slice(columns.tokens(F.col("name")), 1, 2).alias("words")).distinct()
+    return lookup.phrase_search(index, words.withColumn("phrase_id", F.array_join("words", " "))).select(F.col("phrase_id").alias("phrase"), "id")
 
 
 @register("SELECT q.k AS keyword, s.id FROM (SELECT unnest(['rin', 'gre', 'ste', 'zzz']) AS k) q JOIN symbols s ON contains(lower(s.name), q.k) OR contains(lower(s.signature), q.k)", SYMBOLS)
