@@ -2,13 +2,14 @@
 
 Images are bytes (PGM, PPM or plain PNG). At several scales, corners are picked by their
 Harris response; a patch around each is turned to its intensity centroid and described by
-binary tests; descriptors meet in tables keyed by some of their bits, and a meeting counts
-if the whole descriptors are close. Each meeting votes for the rotation, scale and shift it
-implies; an image matches if enough corners agree on one vote.
+binary tests; two corners meet if at most MOST_BITS of their descriptors differ. Each meeting
+votes for the rotation, scale and shift it implies; an image matches if enough corners agree
+on one vote.
 
 Equal images form a class first, so copies are described and looked up once. The images asked
-about are a stated set and meet all others in the tables; a table's bucket is never handed to
-one task as a whole: meetings are rows of a join.
+about are a stated set; each of their corners is compared with every corner of all others, in
+blocks of images, so no meeting is missed and no bucket can be hot. That work is the product
+of both numbers of corners; only descriptors and matches are written.
 
 Defined results: null or unreadable bytes are described by nothing and match nothing; images
 smaller than a patch have no corners; equal images always match (their class is listed);
@@ -30,9 +31,9 @@ from .frames import stored, take
 PATCH, HALF, MARGIN = 15, 7, 10
 SCALES = (1.0, 0.75, 0.5625)
 CORNERS = 12  # of each scale
-#: Each table's key is a run of bits of the descriptor; the tests are random, so any run is.
-TABLES, KEY_BITS = 4, 48
 MOST_BITS = 48  # of 256 that may differ
+BLOCK = 256  # images whose corners are compared with those of as many others at once
+CORNER = np.dtype([("x", "<f4"), ("y", "<f4"), ("scale", "<f4"), ("angle", "<f4"), ("words", "<u8", 4)])
 _RNG = np.random.default_rng(5)
 _TESTS = np.clip(np.round(_RNG.normal(0, HALF / 2.2, (256, 4))), -HALF, HALF)
 _DY, _DX = (a.ravel() for a in np.mgrid[-HALF : HALF + 1, -HALF : HALF + 1])
@@ -145,28 +146,100 @@ def describe(image: np.ndarray) -> list[tuple[float, float, float, float, np.nda
     return found
 
 
-def descriptors(images: DataFrame) -> DataFrame:
-    """(image, corner, x, y, scale, angle, d0..d3) of rows (image, data)."""
-    out = ["image", "corner", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3"]
+def blocks(images: DataFrame) -> DataFrame:
+    """(images, counts, corners): rows (image, data) described and laid together, at most BLOCK images a row.
+
+    ``corners`` holds the corners of all its images, one after another, as CORNER records.
+    """
 
     def run(batches):
+        names, counts, made = [], [], []
+
+        def row():
+            kinds = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((names, counts, b"".join(made)), kinds, strict=True)], ["images", "counts", "corners"])
+
         for batch in batches:
-            rows: list[list] = [[] for _ in out]
-            for image, data in zip(batch.column("image").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                grey = decode(data)
-                for corner, (x, y, scale, angle, bits) in enumerate(describe(grey) if grey is not None else []):
-                    for column, value in zip(rows, (image, corner, x, y, scale, angle, *bits.view(">i8").tolist()), strict=True):
-                        column.append(value)
-            kinds = [pa.int64(), pa.int32(), *[pa.float32()] * 4, *[pa.int64()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], out)
+            for image, data in zip(batch.column("image").to_pylist(), batch.column("data"), strict=True):
+                grey = decode(data.as_py())
+                found = describe(grey) if grey is not None else []
+                records = np.zeros(len(found), CORNER)
+                for record, (x, y, scale, angle, bits) in zip(records, found, strict=True):
+                    record["x"], record["y"], record["scale"], record["angle"], record["words"] = x, y, scale, angle, bits.view("<u8")
+                names.append(image), counts.append(len(found)), made.append(records.tobytes())
+                if len(names) == BLOCK:
+                    yield row()
+                    names, counts, made = [], [], []
+        if names:
+            yield row()
+
+    return images.mapInArrow(run, "images array<bigint>, counts array<int>, corners binary")
+
+
+def close(asked: np.ndarray, held: np.ndarray, most: int = MOST_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``asked`` and ``held`` (CORNER records) of all pairs of corners that differ in at most ``most`` bits."""
+    words = [np.ascontiguousarray(held["words"][:, w]) for w in range(4)]
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    other, bits, differ = (np.empty((8, len(held)), kind) for kind in (np.uint64, np.uint8, np.uint16))
+    for at in range(0, len(asked) if len(held) else 0, 8):
+        part = asked["words"][at : at + 8]
+        n = len(part)
+        differ[:n] = 0
+        for w in range(4):
+            np.bitwise_xor(part[:, w, None], words[w], out=other[:n])
+            differ[:n] += np.bitwise_count(other[:n], out=bits[:n])
+        q, i = np.divmod(np.flatnonzero(differ[:n] <= most), len(held))
+        left.append(q + at), right.append(i)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def agreeing(q: np.ndarray, i: np.ndarray, at: np.ndarray, to: np.ndarray, pair: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, corners of ``q`` that agree on one vote), where at least ``least`` do, of meetings q[at], i[to] of numbered pairs of images."""
+    distinct = lambda group: np.unique(group * len(q) + at) // max(1, len(q))  # noqa: E731 - a corner asked about counts once in a group
+    a, b = ({c: corners[c][n].astype(float) for c in ("x", "y", "scale", "angle")} for corners, n in ((q, at), (i, to)))
+    angle, grow = b["angle"] - a["angle"], a["scale"] / b["scale"]
+    turn = np.mod(np.round(angle / (np.pi / 6)), 12).astype(np.int64)
+    # a corner of the query, turned and grown, must land where the image has it
+    x = b["x"] - grow * (np.cos(angle) * a["x"] - np.sin(angle) * a["y"])
+    y = b["y"] - grow * (np.sin(angle) * a["x"] + np.cos(angle) * a["y"])
+    vote = (pair * 12 + turn) * 8 + np.round(np.log2(grow) * 2).astype(np.int64) + 4
+    # each vote counts in the cell it falls in and the next ones, so a cell's border parts no votes
+    spot = lambda v, add: np.clip(np.floor(v / 12 + add).astype(np.int64), -(1 << 17), (1 << 17) - 1) + (1 << 17)
+    cells = np.concatenate([(vote << 36) + (spot(x, m) << 18) + spot(y, n) for m in (0, 0.5) for n in (0, 0.5)])
+    cell, group = np.unique(cells, return_inverse=True)
+    at = np.tile(at, 4)
+    number = np.bincount(distinct(group), minlength=len(cell))
+    of = (cell >> 36) // 96
+    most = np.zeros(int(of[-1]) + 1 if len(of) else 0, np.int64)
+    np.maximum.at(most, of, number)
+    return np.flatnonzero(most >= least), most[most >= least]
 
-    return images.mapInArrow(run, "image bigint, corner int, x float, y float, scale float, angle float, d0 bigint, d1 bigint, d2 bigint, d3 bigint")
 
+def agreements(asked: DataFrame, held: DataFrame, least: int) -> DataFrame:
+    """(qimage, iimage, agreeing) of images of two tables of blocks, each compared with each.
 
-def table_keys() -> Column:
-    """A key of each table: KEY_BITS of a word of the descriptor, under the table's number."""
-    mask = (1 << KEY_BITS) - 1
-    return F.array(*(F.col(f"d{t}").bitwiseAND(F.lit(mask)) + F.lit(t << KEY_BITS) for t in range(TABLES)))
+    All corners of two images meet in one row, so their votes are counted there.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for n in range(batch.num_rows):
+                get = lambda c: batch.column(c)[n]  # noqa: B023,E731
+                q, i = (np.frombuffer(get(p + "corners").as_buffer(), CORNER) for p in "qi")
+                qof, iof = (np.repeat(np.arange(len(get(p + "counts"))), get(p + "counts").values.to_numpy()) for p in "qi")
+                qimages, iimages = (get(p + "images").values.to_numpy() for p in "qi")
+                at, to = close(q, i)
+                met = np.zeros((len(q), len(iimages)), bool)  # a corner asked about counts once for an image
+                met[at, iof[to]] = True
+                many = np.zeros((len(qimages), len(iimages)), np.int64)
+                np.add.at(many, qof, met)
+                keep = many[qof[at], iof[to]] >= least  # no vote can have more
+                at, to = at[keep], to[keep]
+                pair, number = agreeing(q, i, at, to, qof[at] * len(iimages) + iof[to], least)
+                yield pa.RecordBatch.from_arrays([pa.array(qimages[pair // len(iimages)]), pa.array(iimages[pair % len(iimages)]), pa.array(number)], ["qimage", "iimage", "agreeing"])
+
+    told = lambda df, p: df.select(*(F.col(c).alias(p + c) for c in df.columns))
+    return told(held, "i").crossJoin(told(asked, "q")).mapInArrow(run, "qimage bigint, iimage bigint, agreeing bigint")
 
 
 def search(asked: DataFrame, images: DataFrame, least: int = 6, data: str = "data", key: str = "image_id") -> DataFrame:
@@ -177,26 +250,9 @@ def search(asked: DataFrame, images: DataFrame, least: int = 6, data: str = "dat
     named = lambda df: take(df, key=key, data=data).withColumn("image", F.xxhash64("data"))
     queries, all_rows = named(asked), named(images)
     once = lambda df: df.where("data is not null").groupBy("image").agg(F.any_value("data").alias("data"))
-    left, right = stored(descriptors(once(queries)), "asked"), stored(descriptors(once(all_rows)), "described")
-    keys = lambda df, p: df.select(F.explode(table_keys()).alias("k"), F.col("image").alias(p + "image"), F.col("corner").alias(p + "corner"))
-    # tables first, with names only; the descriptors of corners that met follow
-    met = keys(left, "q").join(keys(right, "i"), "k").select("qimage", "qcorner", "iimage", "icorner").distinct()
-    told = lambda df, p: df.select(*(F.col(c).alias(p + c) for c in df.columns))
-    both = met.join(told(left, "q"), ["qimage", "qcorner"]).join(told(right, "i"), ["iimage", "icorner"])
-    differ = sum((F.bit_count(F.col(f"qd{n}").bitwiseXOR(F.col(f"id{n}"))) for n in range(4)), F.lit(0))
-    close = both.where(differ <= MOST_BITS)
-    turn = F.pmod(F.round((F.col("iangle") - F.col("qangle")) / (np.pi / 6)), F.lit(12)).cast("int")
-    grow = F.col("qscale") / F.col("iscale")
-    # a corner of the query, turned and grown, must land where the image has it
-    angle = F.col("iangle") - F.col("qangle")
-    shift_x = F.col("ix") - grow * (F.cos(angle) * F.col("qx") - F.sin(angle) * F.col("qy"))
-    shift_y = F.col("iy") - grow * (F.sin(angle) * F.col("qx") + F.cos(angle) * F.col("qy"))
-    votes = close.select("qimage", "iimage", "qcorner", turn.alias("turn"), F.round(F.log2(grow) * 2).cast("int").alias("grow"), shift_x.alias("sx"), shift_y.alias("sy"))
-    # each vote counts in the cell it falls in and the next ones, so a cell's border parts no votes
-    cells = votes.withColumn("c", F.explode(F.array(*(F.struct(F.floor(F.col("sx") / 12 + a).alias("x"), F.floor(F.col("sy") / 12 + b).alias("y")) for a in (0, 0.5) for b in (0, 0.5)))))
-    agree = cells.groupBy("qimage", "iimage", "turn", "grow", "c").agg(F.count_distinct("qcorner").alias("n")).groupBy("qimage", "iimage").agg(F.max("n").alias("agreeing"))
-    corners = left.groupBy(F.col("image").alias("qimage")).agg(F.count("*").alias("of"))
-    matched = agree.where(F.col("agreeing") >= least).join(corners, "qimage")
+    left, right = stored(blocks(once(queries)), "asked"), stored(blocks(once(all_rows)), "described")
+    corners = left.select(F.inline(F.arrays_zip(F.col("images").alias("qimage"), F.col("counts").cast("array<bigint>").alias("of"))))
+    matched = agreements(left, right, least).join(corners, "qimage")
     same = queries.where("data is not null").select(F.col("image").alias("qimage")).distinct().join(all_rows.select(F.col("image").alias("iimage")).distinct(), F.col("qimage") == F.col("iimage")).join(corners, "qimage", "left").select("qimage", "iimage", F.coalesce("of", F.lit(0)).alias("agreeing"), F.coalesce("of", F.lit(0)).alias("of"))
     pairs = matched.where("qimage <> iimage").select("qimage", "iimage", "agreeing", "of").unionByName(same)
     # a class is told by its least id and its size; its members are not paired one by one

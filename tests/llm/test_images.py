@@ -39,3 +39,39 @@ def test_odd_images(spark):
     assert (1, 1, 2) in got and (1, 3, 1) in got and (5, 5, 1) in got and (6, 6, 1) in got
     assert not any(q == 4 or i is None for q, i, _ in got)
     assert images.search(frame.limit(0), frame).count() == 0
+
+
+def all_pairs(asked, held):
+    """Close corners by comparing all bits of all pairs."""
+    bits = lambda c: np.unpackbits(c["words"].view(np.uint8).reshape(len(c), 32), axis=1).astype(int)
+    a, b = bits(asked), bits(held)
+    differ = a.sum(axis=1)[:, None] + b.sum(axis=1)[None] - 2 * a @ b.T
+    return set(zip(*(n.tolist() for n in np.nonzero(differ <= images.MOST_BITS)), strict=True))
+
+
+def test_all_close_corners_meet():
+    """Up to MOST_BITS flipped bits, anywhere in the descriptor."""
+    rng = np.random.default_rng(2)
+    held = np.zeros(700, images.CORNER)
+    held["words"] = rng.integers(0, 2**64, (700, 4), np.uint64)
+    asked = held[rng.integers(0, 700, 300)].copy()
+    raw = asked["words"].copy().view(np.uint8).reshape(300, 32)
+    for n in range(300):
+        flip = np.zeros(256, np.uint8)
+        flip[rng.choice(256, n % 56, replace=False)] = 1
+        raw[n] ^= np.packbits(flip)
+    asked["words"] = raw.view("<u8")
+    got = set(zip(*(n.tolist() for n in images.close(asked, held)), strict=True))
+    assert got == all_pairs(asked, held) and len(got) >= 250
+    assert len(images.close(asked[:0], held)[0]) == len(images.close(asked, held[:0])[0]) == 0
+
+
+def test_noisy_copies_are_found(spark):
+    """Noise that flips bits in every run of a descriptor."""
+    rng = np.random.default_rng(4)
+    pictures = [images.draw(rng.normal(size=64).tolist()) for _ in range(12)]
+    rows = [(n, images.encode(p)) for n, p in enumerate(pictures)]
+    noisy = [(n, images.encode(p + rng.normal(0, 25, p.shape))) for n, p in enumerate(pictures)]
+    schema = "image_id bigint, data binary"
+    got = {(r["query_id"], r["image_id"]) for r in images.search(spark.createDataFrame(noisy, schema), spark.createDataFrame(rows, schema)).collect()}
+    assert got == {(n, n) for n in range(12)}
