@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from itertools import batched
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -10,6 +11,7 @@ from ..config import EXTENSIONS, load_config
 
 #: Seconds of quiet before a run, and between two looks at the tree; directories not looked at.
 QUIET_SECONDS, POLL_SECONDS = 2, 2
+BLOCK = 10_000  # paths handed to a refresh at once
 UNWATCHED = ("node_modules", "dist", "build", ".git", "coverage", "__pycache__", "vendor", ".venv", ".next")
 
 
@@ -34,12 +36,15 @@ def debounced(changes: DataFrame, gap: str = f"{QUIET_SECONDS} seconds", late: s
 
 
 def follow(changes: DataFrame, refresh, late: str = "1 second", trigger: dict | None = None, checkpoint: str | None = None):
-    """Run ``refresh(paths)`` for each micro-batch of a stream of changes; a batch that fails is tried again on restart."""
+    """Run ``refresh(paths)`` for each micro-batch of a stream of changes; a batch that fails is tried again on restart.
+
+    All changed paths are handed over, at most BLOCK a call, so a large batch has several calls.
+    """
 
     def apply(batch: DataFrame, number: int) -> None:
-        paths = [r["path"] for r in watched(batch).select("path").distinct().limit(10_000).collect()]  # names only
-        if paths:
-            refresh(paths)
+        rows = watched(batch).select("path").distinct().toLocalIterator()  # names only, a partition at a time
+        for paths in batched((r["path"] for r in rows), BLOCK):
+            refresh(list(paths))
 
     writer = changes.withWatermark("ts", late).writeStream.foreachBatch(apply).trigger(**(trigger or {"processingTime": f"{POLL_SECONDS} seconds"}))
     if checkpoint:

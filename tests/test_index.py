@@ -170,3 +170,13 @@ def test_stream(spark, tmp_path):
 
 def test_json(spark):
     assert json.loads(as_json(spark.createDataFrame([(1, ["a"])], "x int, y array<string>"))) == [{"x": 1, "y": ["a"]}]
+
+
+def test_follow_hands_over_all_paths(spark, tmp_path):
+    frame = spark.range(10_050).selectExpr("'r' as root", "timestamp'2024-01-01 00:00:00' as ts", "concat('src/f', id, '.py') as path")
+    frame.write.parquet(str(tmp_path / "many"))
+    seen = []
+    stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "many"))
+    watch.follow(stream, seen.append, trigger={"availableNow": True}).awaitTermination(120)
+    assert sorted(p for paths in seen for p in paths) == sorted(f"src/f{n}.py" for n in range(10_050))
+    assert max(map(len, seen)) <= 10_000
