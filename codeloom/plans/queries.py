@@ -206,6 +206,23 @@ def impact_blast_radius(v):
     return graph.blast_radius(v.calls, v.symbols, v.files, v.symbols.select(F.col("id").alias("node")), 1)
 
 
+@register(
+    """SELECT target_id, direct, indirect, core_files, high_risk, CAST(0 AS BIGINT) AS tests, score, CASE WHEN score >= 80 THEN 'CRITICAL' WHEN score >= 50 THEN 'HIGH' WHEN score >= 20 THEN 'MEDIUM' ELSE 'LOW' END AS level
+FROM (SELECT *, CAST(least(100, 10 * direct + 3 * indirect + 5 * core_files + 15 * high_risk + CASE WHEN direct > 0 THEN 20 ELSE 0 END) AS BIGINT) AS score FROM sums)""",
+    "RECURSIVE " + _RISK + f""", {_TREE}, walk AS (
+  SELECT id AS target_id, id AS node, 0 AS d FROM symbols UNION SELECT target_id, dst, d + 1 FROM walk JOIN edges ON src = node WHERE d < 3
+), near AS (SELECT target_id, node, min(d) AS d FROM walk GROUP BY 1, 2
+), sums AS (
+  SELECT target_id, count(*) FILTER (WHERE d = 1) AS direct, count(*) FILTER (WHERE d > 1) AS indirect,
+         count(DISTINCT file_path) FILTER (WHERE file_path NOT LIKE '%test%' AND file_path NOT LIKE '%spec%') AS core_files, count(*) FILTER (WHERE risk = 'high') AS high_risk
+  FROM near JOIN rated ON rated.id = node WHERE d > 0 GROUP BY 1
+)""",
+)
+def impact_blast_radius_indirect(v):
+    """Of every symbol, by its callers to the depth that the engine takes."""
+    return graph.blast_radius(v.calls, v.symbols, v.files, v.symbols.select(F.col("id").alias("node")))
+
+
 _STYLE = """CASE WHEN regexp_matches({0}, '^[a-z][a-zA-Z0-9]*$') AND regexp_matches({0}, '[A-Z]') THEN 'camelCase' WHEN regexp_matches({0}, '^[A-Z][a-zA-Z0-9]*$') THEN 'PascalCase'
  WHEN regexp_matches({0}, '^[a-z][a-z0-9]*(_[a-z0-9]+)+$') THEN 'snake_case' WHEN regexp_matches({0}, '^[A-Z][A-Z0-9]*(_[A-Z0-9]+)+$') THEN 'UPPER_SNAKE_CASE'
  WHEN regexp_matches({0}, '^[a-z][a-z0-9]*(-[a-z0-9]+)+$') THEN 'kebab-case' WHEN regexp_matches({0}, '^[a-z][a-z0-9]*$') THEN 'camelCase' END"""

@@ -22,3 +22,10 @@ def test_oracle(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL)))
 def test_rows(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
+
+
+def test_indirect_dependents_count(spark):
+    got = queries.QUERIES["impact_blast_radius_indirect"](spark, SF).collect()
+    direct = {r["target_id"]: r for r in queries.QUERIES["impact_blast_radius"](spark, SF).collect()}
+    assert sum(r["indirect"] for r in got) > 0
+    assert all(r["direct"] == direct[r["target_id"]]["direct"] and r["score"] >= direct[r["target_id"]]["score"] for r in got if r["direct"])
