@@ -274,10 +274,31 @@ def draw(vector: list[float], size: int = 72) -> np.ndarray:
     return 128 + 45 * (picture / (picture.std() or 1)).reshape(size, size)
 
 
+def rotated(picture: np.ndarray, degrees: float) -> np.ndarray:
+    """Turned about its middle, bilinear, edges repeated."""
+    (height, width), t = picture.shape, np.deg2rad(degrees)
+    y, x = np.mgrid[:height, :width] - np.array([(height - 1) / 2, (width - 1) / 2])[:, None, None]
+    y, x = np.clip(np.cos(t) * y - np.sin(t) * x + (height - 1) / 2, 0, height - 1), np.clip(np.cos(t) * x + np.sin(t) * y + (width - 1) / 2, 0, width - 1)
+    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
+    y1, x1 = np.minimum(y0 + 1, height - 1), np.minimum(x0 + 1, width - 1)
+    top, low = (picture[r, x0] * (1 - x + x0) + picture[r, x1] * (x - x0) for r in (y0, y1))
+    return top * (1 - y + y0) + low * (y - y0)
+
+
+#: Edits of the query's pictures; an edit and a number make the picture that is asked about.
+EDITS = {
+    "shift": lambda p, n: p[n % 5 : len(p) - 4 + n % 5, 4 - n % 5 : len(p) - n % 5],
+    "crop": lambda p, n: p[: -(len(p) // 4), len(p) // 4 :],
+    "rotate": lambda p, n: rotated(p, 5 + 7 * (n % 13)),
+    "shrink": lambda p, n: resize(p, 0.8),
+    "grow": lambda p, n: resize(p, 1.25),
+    "noise": lambda p, n: p + np.random.default_rng(n).normal(0, 20, p.shape),
+}
+
+
 def edited(picture: np.ndarray, number: int) -> np.ndarray:
-    """A crop with changed brightness and contrast, as ``number`` tells."""
-    cut = number % 5
-    return 0.85 * picture[cut : len(picture) - 4 + cut, 4 - cut : len(picture) - cut] + 15
+    """A crop, turn, change of size or noise, as ``number`` tells, with changed brightness and contrast."""
+    return 0.85 * list(EDITS.values())[number % len(EDITS)](picture, number // len(EDITS)) + 15
 
 
 def drawn(vectors: DataFrame, change: bool = False) -> DataFrame:

@@ -75,3 +75,29 @@ def test_noisy_copies_are_found(spark):
     schema = "image_id bigint, data binary"
     got = {(r["query_id"], r["image_id"]) for r in images.search(spark.createDataFrame(noisy, schema), spark.createDataFrame(rows, schema)).collect()}
     assert got == {(n, n) for n in range(12)}
+
+
+def test_recall_of_every_edit(spark):
+    """Of the pictures that all-pairs comparison finds, search() finds each; and nearly all are found."""
+    rng = np.random.default_rng(6)
+    assert set(images.EDITS) >= {"crop", "rotate", "shrink", "grow", "noise"}
+    pictures = [images.draw(rng.normal(size=64).tolist()) for _ in range(36)]
+    edits = [images.edited(p, n) for n, p in enumerate(pictures)]
+    schema = "image_id bigint, data binary"
+    asked, held = (spark.createDataFrame([(n, images.encode(p)) for n, p in enumerate(f)], schema) for f in (edits, pictures))
+    got = {(r["query_id"], r["image_id"]) for r in images.search(asked, held).collect()}
+
+    def corners(picture):
+        found = images.describe(images.decode(images.encode(picture)))
+        records = np.zeros(len(found), images.CORNER)
+        for record, (x, y, scale, angle, bits) in zip(records, found, strict=True):
+            record["x"], record["y"], record["scale"], record["angle"], record["words"] = x, y, scale, angle, bits.view("<u8")
+        return records
+
+    want = set()
+    for n, a in enumerate(map(corners, edits)):
+        for m, b in enumerate(map(corners, pictures)):
+            pairs = np.array(sorted(all_pairs(a, b)), np.int64).reshape(-1, 2)
+            if len(images.agreeing(a, b, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64), 6)[0]):
+                want.add((n, m))
+    assert got == want and sum((n, n) in got for n in range(36)) >= 33
