@@ -12,6 +12,7 @@ length is costed whole; equal rows give equal rows; positions are code points, e
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import re
@@ -44,7 +45,42 @@ ashley jennifer amanda london paris berlin madrid america monday friday sunday j
 october november december one two three the and for you not with this that what correct battery staple house home
 happy lucky magic angel baby ginger pepper cheese chocolate banana apple cherry coffee matrix phoenix example
 placeholder sample temp temporary private public service account backup""".split())}
-_LONGEST = max(map(len, WORDS))
+#: Frequent words of German, French and Spanish, which the ranked vocabulary below lacks; guessed after all of its words.
+FOREIGN = """einstellungen einstellung verantwortung wissenschaft entwicklung kommunikation bedeutung verwaltung benutzer
+benutzername kennwort passwort geheimnis schlüssel zugangsdaten anmeldung abmeldung datenbank verbindung konfiguration
+anforderung anforderungen beschreibung verschlüsselung sicherheit unternehmen gesellschaft regierung information
+informationen möglichkeit möglichkeiten zusammenhang zusammenarbeit unterstützung voraussetzung voraussetzungen
+veröffentlichung bestätigung überprüfung genehmigung berechtigung berechtigungen umgebung zeichenkette erforderlich
+verfügbar vertraulich persönlich öffentlich notwendig wiederherstellung aktualisierung bezeichnung dokumentation
+développement informations gouvernement aujourd paramètres paramètre utilisateur utilisateurs identifiant identifiants
+authentification autorisation configuration renseignements connaissance connaissances enregistrement environnement
+confidentialité chiffrement vérification connexion déconnexion établissement entreprise société obligatoire nécessaire
+disponible mot passe secrète réinitialisation renouvellement fonctionnement administrateur responsabilité sécurité
+bibliothèque description documentation exigences communication
+configuración contraseña contraseñas desarrollo información usuario usuarios identificación autenticación autorización
+conocimiento administración administrador responsabilidad seguridad necesario obligatorio disponible confidencial
+requisitos requerimientos comunicación documentación descripción verificación actualización restablecimiento
+establecimiento funcionamiento gobierno sociedad empresa ambiente credenciales parámetros parámetro biblioteca
+conexión clave secreto cifrado""".split()
+_LONGEST_WORD = 40
+
+
+@lru_cache(maxsize=1)
+def words() -> dict[str, int]:
+    """Rank of each known word: WORDS, then the whole words of a public vocabulary in its order (most frequent first), then FOREIGN."""
+    import public_tokenizers
+
+    ranks = dict(WORDS)
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken")) as file:
+        for line in file:
+            word = base64.b64decode(line.split()[0]).decode(errors="replace")
+            if word[0] == " " and len(word) > 4 and word[1:].isalpha() and len(word) <= _LONGEST_WORD:
+                ranks.setdefault(word[1:].lower(), len(ranks) + 1)
+    for word in FOREIGN:
+        ranks.setdefault(word, len(ranks) + 1)
+    return ranks
+
+
 _LEET = str.maketrans("@4301!5$7", "aaeoiisst")
 _ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
 _NEXT = {(row[i], row[i + s]) for row in _ROWS for s in (1, -1) for i in range(len(row)) if 0 <= i + s < len(row)}
@@ -61,11 +97,11 @@ def _segments(value: str):
     lower = value.lower()
     lower = lower if len(lower) == len(value) else value
     plain = lower.translate(_LEET)
-    n = len(value)
+    n, known = len(value), words()
     for i in range(n):
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
+        for j in range(i + 3, min(n, i + _LONGEST_WORD) + 1):
             word = plain[i:j]
-            if (rank := WORDS.get(word) or WORDS.get(lower[i:j])) is not None:
+            if (rank := known.get(word) or known.get(lower[i:j])) is not None:
                 raised = sum(c.isupper() for c in value[i:j])
                 case = 0 if not raised else 1 if raised == j - i or value[i].isupper() and raised == 1 else raised + 1
                 yield i, j, "word", math.log2(rank) + case + sum(a != b for a, b in zip(word, lower[i:j], strict=True))

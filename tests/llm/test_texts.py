@@ -200,6 +200,16 @@ def test_guess_cost():
         assert cost(value) == pytest.approx(best)
 
 
+@pytest.mark.parametrize("word", "configuration requirements responsibility Einstellungen Verantwortung développement utilisateurs configuración conocimiento".split())
+def test_ordinary_words_are_no_secrets(word):
+    assert not [s for s in secrets.find(f"token: {word} and more") if s[2] == "guess"]
+
+
+def test_random_letters_stay_secrets():
+    for value in ("xqvkzjwpbmtr", "Xk9#mQ2$vL8!pR4", "7c72db563d7f6e50cec0"):
+        assert secrets.guess_bits(value) >= 40
+
+
 def _costs(value, at, pieces, brute_before):
     if at == len(value):
         yield 0.0
