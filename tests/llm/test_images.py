@@ -4,6 +4,7 @@ import struct
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from codeloom.llm import images
 
@@ -22,11 +23,47 @@ def test_decoding():
         assert images.decode(bad) is None
 
 
+def test_more_kinds_of_png():
+    """Palettes, 16 bits, few bits, every filter."""
+    rng = np.random.default_rng(8)
+    part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    def made(width, height, depth, kind, raw, *more):
+        return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, kind, 0, 0, 0)) + b"".join(more) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+
+    grey = rng.integers(0, 256, (10, 7, 3)).astype(np.uint8)
+    rows, above = [], np.zeros(21, np.int64)
+    for y, row in enumerate(grey.reshape(10, 21).astype(np.int64)):
+        left, corner = np.concatenate([[0] * 3, row[:-3]]), np.concatenate([[0] * 3, above[:-3]])
+        guess = left + above - corner
+        near = np.stack([abs(guess - left), abs(guess - above), abs(guess - corner)]).argmin(axis=0)
+        paeth = np.choose(near, [left, above, corner])
+        rows.append(bytes([y % 5]) + ((row - [0 * row, left, above, (left + above) // 2, paeth][y % 5]) & 255).astype(np.uint8).tobytes())
+        above = row
+    assert (images.decode(made(7, 10, 8, 2, b"".join(rows))) == grey.mean(axis=2)).all()
+    assert images.decode(made(3, 1, 2, 3, b"\x00" + bytes([0b00011000]), part(b"PLTE", bytes([0, 0, 0, 30, 30, 30, 90, 0, 0])))).tolist() == [[0, 30, 30]]
+    assert images.decode(made(2, 1, 16, 0, b"\x00\x07\xff\x10\x00")).tolist() == [[7, 16]]
+    assert images.decode(made(9, 1, 1, 0, b"\x00\xa0\x80")).tolist() == [[255, 0, 255, 0, 0, 0, 0, 0, 255]]
+    assert images.decode(made(2, 1, 8, 5, b"\x00ab")) is None
+
+
 def test_copies_are_found(spark):
     vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     got = images.copies(spark, vectors).collect()
     asked = vectors.where("vec_id % 50 = 0").count()
-    assert sum(r["query_id"] == r["image_id"] for r in got) >= 0.9 * asked and len(got) < 3 * asked
+    assert sum(r["query_id"] == r["best_id"] for r in got) >= 0.9 * asked and len(got) <= asked
+    assert all(r["n_links"] >= 1 and r["class_id"] <= r["best_id"] and r["agreeing"] <= r["of"] for r in got)
+
+
+def test_clashing_columns(spark):
+    """Columns of internal names, and names that differ in case only."""
+    rng = np.random.default_rng(1)
+    rows = [(n, rng.normal(size=64).tolist(), 1, 2, "x") for n in (0, 50, None)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, image int, digest int, data string")
+    clash = frame.select("*", F.lit(9).alias("key"), F.lit(8).alias("corners"), F.lit(7).alias("VEC_ID"))
+    assert {r["query_id"]: r["best_id"] for r in images.copies(spark, clash).collect()} == {0: 0, 50: 50}
+    empty = images.copies(spark, frame.limit(0))
+    assert empty.count() == 0 and empty.columns == ["query_id", "class_id", "n_links", "best_id", "agreeing", "of"]
 
 
 def test_odd_images(spark):
@@ -78,26 +115,36 @@ def test_noisy_copies_are_found(spark):
 
 
 def test_recall_of_every_edit(spark):
-    """Of the pictures that all-pairs comparison finds, search() finds each; and nearly all are found."""
+    """search() against all pairs of corners compared bit by bit: what it finds is right, and it finds nine in ten of each kind."""
     rng = np.random.default_rng(6)
-    assert set(images.EDITS) >= {"crop", "rotate", "shrink", "grow", "noise"}
-    pictures = [images.draw(rng.normal(size=64).tolist()) for _ in range(36)]
-    edits = [images.edited(p, n) for n, p in enumerate(pictures)]
+    kinds = {name: [lambda p, n, e=edit: e(p, n)] for name, edit in images.EDITS.items()}
+    kinds |= {"turned by 10": [lambda p, n: images.rotated(p, 10)], "turned by 30": [lambda p, n: images.rotated(p, 30)], "scale 0.9": [lambda p, n: images.resize(p, 0.9)]}
+    pictures = [images.draw(rng.normal(size=64).tolist()) for _ in range(20)]
     schema = "image_id bigint, data binary"
-    asked, held = (spark.createDataFrame([(n, images.encode(p)) for n, p in enumerate(f)], schema) for f in (edits, pictures))
+    held = spark.createDataFrame([(n, images.encode(p)) for n, p in enumerate(pictures)], schema)
+    edits = {(k * 100 + n): 0.85 * f[0](p, n) + 15 for k, f in enumerate(kinds.values()) for n, p in enumerate(pictures)}
+    asked = spark.createDataFrame([(k, images.encode(p)) for k, p in edits.items()], schema)
     got = {(r["query_id"], r["image_id"]) for r in images.search(asked, held).collect()}
-
-    def corners(picture):
-        found = images.describe(images.decode(images.encode(picture)))
-        records = np.zeros(len(found), images.CORNER)
-        for record, (x, y, scale, angle, bits) in zip(records, found, strict=True):
-            record["x"], record["y"], record["scale"], record["angle"], record["words"] = x, y, scale, angle, bits.view("<u8")
-        return records
-
-    want = set()
-    for n, a in enumerate(map(corners, edits)):
-        for m, b in enumerate(map(corners, pictures)):
+    corners = lambda picture: images.describe(images.decode(images.encode(picture)))
+    known, want = [corners(p) for p in pictures], set()
+    for k, picture in edits.items():
+        a = corners(picture)
+        for m, b in enumerate(known):
             pairs = np.array(sorted(all_pairs(a, b)), np.int64).reshape(-1, 2)
-            if len(images.agreeing(a, b, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int64), 6)[0]):
-                want.add((n, m))
-    assert got == want and sum((n, n) in got for n in range(36)) >= 33
+            if images.agreeing(a, b, pairs[:, 0], pairs[:, 1]) >= 6:
+                want.add((k, m))
+    assert got <= want and len(got) >= 0.98 * len(want)
+    for k, name in enumerate(kinds):
+        assert sum((k * 100 + n, n) in got for n in range(20)) >= 18, name
+
+
+def test_hot_keys(spark, monkeypatch):
+    """Chunks of a few entries give the same result as whole buckets."""
+    rng = np.random.default_rng(3)
+    base = images.draw(rng.normal(size=64).tolist())
+    rows = [(n, images.encode(base + rng.normal(0, 3, base.shape))) for n in range(30)]
+    frame = spark.createDataFrame(rows, "image_id bigint, data binary")
+    listed = lambda: sorted(images.search(frame.where("image_id % 3 = 0"), frame).collect())
+    whole = listed()
+    monkeypatch.setattr(images, "CHUNK", 2)
+    assert listed() == whole and len(whole) == 300
