@@ -38,9 +38,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .frames import stored, take
 
 HALF, MARGIN = 7, 10
-SCALES = (1.0, 0.8, 0.64)
+SCALES = (1.0, 0.89, 0.79, 0.7)
 MOST_BITS = 48  # of 256 that may differ
-TABLES, KEY_BITS = 20, 30
+LEAST = 8  # agreeing corners of a match; unrelated pictures reach 6 in one pair of a hundred, 8 in one of two thousand
+TABLES, KEY_BITS = 14, 34
 CHUNK = 1024  # entries of one key on either side of a task's comparison
 BLOCK_BITS = 16  # images of a block, as a power of two
 CORNER = np.dtype([("x", "<f4"), ("y", "<f4"), ("scale", "<f4"), ("angle", "<f4"), ("words", "<u8", 4)])
@@ -159,7 +160,7 @@ def _peak(before: np.ndarray, at: np.ndarray, after: np.ndarray) -> np.ndarray:
     return np.where(bend < 0, np.clip(0.5 * (before - after) / np.where(bend == 0, 1, bend), -0.5, 0.5), 0)
 
 
-def describe(image: np.ndarray, corners: int = 16) -> np.ndarray:
+def describe(image: np.ndarray, corners: int = 12) -> np.ndarray:
     """CORNER records of the strongest corners of each scale, in the image's own pixels; ``corners`` for each 72 x 72 pixels of it."""
     found = [np.zeros(0, CORNER)]
     for scale in SCALES:
@@ -198,7 +199,7 @@ def _bits(corners: np.ndarray) -> np.ndarray:
 def picked() -> np.ndarray:
     """(TABLES x KEY_BITS) the bits of each table's keys: such as tell little of each other, judged by 48 fixed random pictures.
 
-    Turned patches make many tests alike; of 32 bits drawn blindly, two unrelated corners agree in one of 2**15, of these in one of 2**21 (2**20 for 30 bits).
+    Turned patches make many tests alike; of 32 bits drawn blindly, two unrelated corners agree in one of 2**15, of 34 picked so in one of 2**22.
     """
     rng = np.random.default_rng(7)
     bits = _bits(np.concatenate([describe(128 + resize(rng.normal(0, 45, (24, 24)), 3.0)) for _ in range(48)]))
@@ -251,20 +252,24 @@ def classes(made: DataFrame) -> DataFrame:
 def entries(images: DataFrame, asked: bool) -> DataFrame:
     """(hkey, asked, image, corner): the table entries of each image; only for images asked about a corner is told."""
 
+    def of(batch):
+        names, parts = batch.column("image").to_numpy(), [np.frombuffer(c.as_buffer(), CORNER) if len(c.as_buffer()) else np.zeros(0, CORNER) for c in batch.column("corners")]
+        count = np.array([len(p) for p in parts])
+        hashed = keys(np.concatenate([np.zeros(0, CORNER), *parts])).ravel()
+        image = np.repeat(np.repeat(names, count), TABLES)
+        corner = np.repeat(np.concatenate([np.zeros(0, np.int64), *(np.arange(n) for n in count)]), TABLES) if asked else np.full(len(image), -1)
+        if not asked:  # a key that an image has twice counts once
+            order = np.lexsort((hashed, image))
+            hashed, image = hashed[order], image[order]
+            new = np.ones(len(image), bool)
+            new[1:] = (hashed[1:] != hashed[:-1]) | (image[1:] != image[:-1])
+            hashed, image, corner = hashed[new], image[new], corner[new]
+        return pa.RecordBatch.from_arrays([pa.array(hashed), pa.array(image), pa.array(corner, pa.int32())], ["hkey", "image", "corner"])
+
     def run(batches):
         for batch in batches:
-            names, parts = batch.column("image").to_numpy(), [np.frombuffer(c.as_buffer(), CORNER) if len(c.as_buffer()) else np.zeros(0, CORNER) for c in batch.column("corners")]
-            count = np.array([len(p) for p in parts])
-            hashed = keys(np.concatenate([np.zeros(0, CORNER), *parts])).ravel()
-            image = np.repeat(np.repeat(names, count), TABLES)
-            corner = np.repeat(np.concatenate([np.zeros(0, np.int64), *(np.arange(n) for n in count)]), TABLES) if asked else np.full(len(image), -1)
-            if not asked:  # a key that an image has twice counts once
-                order = np.lexsort((hashed, image))
-                hashed, image = hashed[order], image[order]
-                new = np.ones(len(image), bool)
-                new[1:] = (hashed[1:] != hashed[:-1]) | (image[1:] != image[:-1])
-                hashed, image, corner = hashed[new], image[new], corner[new]
-            yield pa.RecordBatch.from_arrays([pa.array(hashed), pa.array(image), pa.array(corner, pa.int32())], ["hkey", "image", "corner"])
+            for low in range(0, batch.num_rows, 128):
+                yield of(batch.slice(low, 128))
 
     return images.where("found > 0").select("image", "corners").mapInArrow(run, "hkey bigint, image bigint, corner int")
 
@@ -431,7 +436,7 @@ def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, least: int, mo
     return pairs.join(told(right, "i"), "iimage").join(told(left, "q"), "qimage").select("qimage", "iimage", "qcorners", "icorners").mapInArrow(run, "qimage bigint, iimage bigint, agreeing bigint")
 
 
-def search(asked: DataFrame, images: DataFrame, least: int = 6, corners: int = 16, most: int = MOST_BITS, data: str = "data", key: str = "image_id") -> DataFrame:
+def search(asked: DataFrame, images: DataFrame, least: int = LEAST, corners: int = 12, most: int = MOST_BITS, data: str = "data", key: str = "image_id") -> DataFrame:
     """(query_id, image_id, copies, agreeing, of): distinct images that share enough agreeing corners with an image asked about.
 
     An image is told by its least key and the number of its copies; each row asked about is listed. ``agreeing``: corners of
@@ -490,11 +495,12 @@ def drawn(vectors: DataFrame, change: bool = False) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, data = batch.column("vec_id"), []
-            for number, vector in zip(ids.to_pylist(), batch.column("embedding").to_pylist(), strict=True):
-                picture = None if vector is None else draw(vector)
-                data.append(None if picture is None else encode(edited(picture, number // 50 if number is not None else 0) if change else picture))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(data, pa.binary())], ["image_id", "data"])
+            for low in range(0, batch.num_rows, 128):
+                part, data = batch.slice(low, 128), []
+                for number, vector in zip(part.column("vec_id").to_pylist(), part.column("embedding").to_pylist(), strict=True):
+                    picture = None if vector is None else draw(vector)
+                    data.append(None if picture is None else encode(edited(picture, number // 50 if number is not None else 0) if change else picture))
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), pa.array(data, pa.binary())], ["image_id", "data"])
 
     return take(vectors, vec_id="vec_id", embedding="embedding").mapInArrow(run, "image_id bigint, data binary")
 

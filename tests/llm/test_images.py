@@ -131,7 +131,7 @@ def test_recall_of_every_edit(spark):
         a = corners(picture)
         for m, b in enumerate(known):
             pairs = np.array(sorted(all_pairs(a, b)), np.int64).reshape(-1, 2)
-            if images.agreeing(a, b, pairs[:, 0], pairs[:, 1]) >= 6:
+            if images.agreeing(a, b, pairs[:, 0], pairs[:, 1]) >= images.LEAST:
                 want.add((k, m))
     assert got <= want and len(got) >= 0.98 * len(want)
     for k, name in enumerate(kinds):
