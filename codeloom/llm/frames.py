@@ -66,6 +66,16 @@ def slices(array: pa.Array, most_bytes: int = 1 << 20):
         at = end
 
 
+def meet(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """Join by ``names``, and by a hash of them. The right side was summed by the names themselves, so for this join both sides
+    are dealt out anew, and Spark can split the partitions of keys that very many rows share."""
+    other = right.withColumnsRenamed({n: f"_{n}" for n in names})
+    same = F.xxhash64(*names) == F.xxhash64(*(f"_{n}" for n in names))
+    for n in names:
+        same &= F.col(n) == F.col(f"_{n}")
+    return left.join(other, same, how).drop(*(f"_{n}" for n in names))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Send texts to Python workers in small batches, which bounds the memory of both sides. For entry points, not operators."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -74,11 +84,13 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 def shared_folder(spark: SparkSession, what: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    The setting is read from the session (or the context's configuration). Where
-    it is unset, as in tests on one machine, a folder in the warehouse is used.
+    The setting is read from the session (or the context's configuration). Where it is unset
+    and the master is local, as in tests, a folder in the warehouse is used; on a cluster it must be set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = posixpath.join(spark.conf.get("spark.sql.warehouse.dir"), "_shared")
     return posixpath.join(root, f"{what}-{uuid.uuid4().hex}")
 

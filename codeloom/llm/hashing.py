@@ -14,6 +14,8 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: A second base, for hashes of the same words that are independent of the first.
+OTHER = 0xC2B2AE3D27D4EB4F
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,6 +47,10 @@ def _powers(base: int, n: int) -> np.ndarray:
     return known[:n]
 
 
+def _inverse(base: int) -> int:
+    return _INVERSE if base == _BASE else pow(base, -1, 1 << 64)
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end) byte of each word of texts laid end to end, and the first word of each text."""
     inside = np.zeros(len(data) + 2, bool)
@@ -56,28 +62,40 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers(_BASE, len(data)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _powers(_INVERSE, len(data) + 1)[starts])
+#: Bytes that are summed up at once; bounds the memory that one long text takes.
+STRETCH = 1 << 20
 
 
-def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    out = np.empty(len(starts), np.uint64)
+    low = 0
+    while low < len(starts):
+        high = max(low + 1, int(np.searchsorted(ends, starts[low] + STRETCH, side="right")))
+        first = int(starts[low])
+        own = data[first : ends[high - 1]]
+        sums = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum(_BYTE[own] * _powers(_BASE, len(own)), out=sums[1:])
+        out[low:high] = mix((sums[ends[low:high] - first] - sums[starts[low:high] - first]) * _powers(_INVERSE, len(own) + 1)[starts[low:high] - first])
+        low = high
+    return out
+
+
+def window_hashes(hashes: np.ndarray, width: int, base: int = _BASE) -> np.ndarray:
     """Hash of hashes[i : i + width] at each i where that many are left."""
     n = len(hashes)
     if n < width:
         return np.zeros(0, np.uint64)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * _powers(_BASE, n), out=sums[1:])
-    return mix((sums[width:] - sums[: n - width + 1]) * _powers(_INVERSE, n)[: n - width + 1])
+    np.cumsum(hashes * _powers(base, n), out=sums[1:])
+    return mix((sums[width:] - sums[: n - width + 1]) * _powers(_inverse(base), n)[: n - width + 1])
 
 
-def range_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def range_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
     """Hash of hashes[s : e] for ranges of any lengths; equal ranges have equal hashes."""
     n = len(hashes)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * _powers(_BASE, n), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _powers(_INVERSE, n + 1)[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum(hashes * _powers(base, n), out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _powers(_inverse(base), n + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
 def sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:

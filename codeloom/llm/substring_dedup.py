@@ -12,24 +12,26 @@ are in no single block; those are looked up one by one among the boundary window
 texts and the windows of one copy of each indexed block. So the result is exact: a word
 goes if and only if a window over it starts at another place too, in whatever text.
 
-Anchors, blocks and windows are 64-bit hashes of words; texts are compared by no other way.
-Rows are told apart by a hash of key and text; equal rows share it, and their outcome.
+Each distinct text is worked on once, with a note whether it has copies; rows take their
+text's result, so copies cost a narrow join each. A text is named by 96 bits of hashes, blocks
+by 128 and windows by 96 bits, all over 64-bit hashes of words (of vocabularies far below
+2**32 words); anchors, where a false match does no harm, by 64.
 
 Defined results: null text counts as empty; texts of fewer words than a window keep them
-all; texts of any length are worked on whole; equal rows lose the same words; an empty table
-gives an empty result.
+all; texts of any length are worked on whole, with memory of about ten times the longest;
+equal texts lose the same words, however many there are; null and repeated keys are kept as
+any others; an empty table gives an empty result; columns may have any names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import gather
-from .frames import place, restore, slices, take, utf8
-from .hashing import fits, range_hashes, sliding, window_hashes, word_hashes, words
+from .frames import meet, place, restore, slices, take, utf8
+from .hashing import OTHER, fits, range_hashes, sliding, window_hashes, word_hashes, words
 
 #: Words of an anchor; a window of w words holds w - ANCHOR + 1 places where one may start.
 ANCHOR = 16
@@ -83,8 +85,16 @@ def _parts(batches):
             yield part, Words(part.column("text"))
 
 
+#: The name of a distinct text.
+NAME = ["t1", "t2"]
+
+
+def _named(part: pa.RecordBatch, rows: np.ndarray) -> list[pa.Array]:
+    return [part.column(c).take(pa.array(rows)) for c in NAME]
+
+
 def anchors(texts: DataFrame, window: int) -> DataFrame:
-    """(rk, anchor, n): the anchors of each row and how often it has them."""
+    """(t1, t2, anchor, n): the anchors of each text and how often it has them, twice if it has copies."""
 
     def run(batches):
         for part, text in _parts(batches):
@@ -93,10 +103,14 @@ def anchors(texts: DataFrame, window: int) -> DataFrame:
             order = np.lexsort((values, rows))
             rows, values = rows[order], values[order]
             new = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (values[1:] != values[:-1])])) if len(rows) else np.zeros(0, np.int64)
-            counts = np.diff(np.concatenate([new, [len(rows)]]))
-            yield pa.RecordBatch.from_arrays([part.column("rk").take(pa.array(rows[new])), pa.array(values[new].view(np.int64)), pa.array(counts, pa.int32())], ["rk", "anchor", "n"])
+            counts = np.diff(np.concatenate([new, [len(rows)]])) * _copies(part)[rows[new]]
+            yield pa.RecordBatch.from_arrays([*_named(part, rows[new]), pa.array(values[new].view(np.int64)), pa.array(counts, pa.int32())], [*NAME, "anchor", "n"])
+
+    return texts.mapInArrow(run, "t1 bigint, t2 int, anchor bigint, n int")
 
-    return texts.mapInArrow(run, "rk bigint, anchor bigint, n int")
+
+def _copies(part: pa.RecordBatch) -> np.ndarray:
+    return part.column("copies").to_numpy()
 
 
 def _indexed(part: pa.RecordBatch, values: np.ndarray) -> np.ndarray:
@@ -105,31 +119,32 @@ def _indexed(part: pa.RecordBatch, values: np.ndarray) -> np.ndarray:
 
 
 def reference_blocks(seeded: DataFrame, window: int) -> DataFrame:
-    """(rk, block, words, starts): the blocks between indexed anchors, with all their places in the row."""
+    """(t1, t2, b1, b2, words, starts, copies): the blocks between indexed anchors, with all their places in the text."""
 
     def run(batches):
         for part, text in _parts(batches):
             at, values, _ = text.anchors(window)
             start, end = text.blocks(window, at, _indexed(part, values))
-            rows, block = text.text[start], range_hashes(text.hashes, start, end)
-            order = np.lexsort((start, block, rows))
-            rows, block, start, size = rows[order], block[order], start[order], (end - start)[order]
-            new = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (block[1:] != block[:-1])])) if len(rows) else np.zeros(0, np.int64)
+            rows, block, other = text.text[start], range_hashes(text.hashes, start, end), range_hashes(text.hashes, start, end, OTHER)
+            order = np.lexsort((start, other, block, rows))
+            rows, block, other, start, size = rows[order], block[order], other[order], start[order], (end - start)[order]
+            new = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (block[1:] != block[:-1]) | (other[1:] != other[:-1])])) if len(rows) else np.zeros(0, np.int64)
             places = pa.ListArray.from_arrays(pa.array(np.concatenate([new, [len(rows)]]), pa.int32()), pa.array(start - text.first[rows], pa.int32()))
-            yield pa.RecordBatch.from_arrays([part.column("rk").take(pa.array(rows[new])), pa.array(block[new].view(np.int64)), pa.array(size[new], pa.int32()), places], ["rk", "block", "words", "starts"])
+            kept = [pa.array(block[new].view(np.int64)), pa.array(other[new].view(np.int64)), pa.array(size[new], pa.int32()), places, pa.array(_copies(part)[rows[new]], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*_named(part, rows[new]), *kept], [*NAME, "b1", "b2", "words", "starts", "copies"])
 
-    return seeded.mapInArrow(run, "rk bigint, block bigint, words int, starts array<int>")
+    return seeded.mapInArrow(run, "t1 bigint, t2 int, b1 bigint, b2 bigint, words int, starts array<int>, copies int")
 
 
 def _factors(part: pa.RecordBatch, text: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, words, whether it is its own reference, whether it begins a factor) of each indexed block, by place."""
     flat, rows = _lists(part, "found")
-    size, ref, ref_start = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(1, 4))
+    size, ref, ref2, ref_start = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(1, 5))
     places = flat.field(0)
     times = places.value_lengths().to_numpy(zero_copy_only=False) if len(places) else np.zeros(0, np.int64)
     start = places.flatten().to_numpy(zero_copy_only=False)
-    rows, size, ref, ref_start = (np.repeat(x, times) for x in (rows, size, ref, ref_start))
-    own = (ref == part.column("rk").to_numpy(zero_copy_only=False)[rows]) & (ref_start == start)
+    rows, size, ref, ref2, ref_start = (np.repeat(x, times) for x in (rows, size, ref, ref2, ref_start))
+    own = (ref == part.column("t1").to_numpy()[rows]) & (ref2 == part.column("t2").to_numpy()[rows]) & (ref_start == start)
     order = np.lexsort((start, rows))
     start, size, ref, shift, rows, own = start[order].astype(np.int64), size[order].astype(np.int64), ref[order], (ref_start - start)[order], rows[order], own[order]
     begins = np.ones(len(rows), bool)
@@ -154,7 +169,7 @@ def _inside(n: int, start: np.ndarray, size: np.ndarray, window: int) -> np.ndar
 
 
 def windows(parsed: DataFrame, window: int, boundary: bool) -> DataFrame:
-    """(window, weight, rk, start): boundary windows weigh 1; unless only those are asked for, windows of reference blocks weigh 2."""
+    """(window, other, weight, t1, t2, start): boundary windows weigh 1, in texts with copies 2; unless only those are asked for, windows of reference blocks weigh 2."""
 
     def run(batches):
         for part, text in _parts(batches):
@@ -164,62 +179,61 @@ def windows(parsed: DataFrame, window: int, boundary: bool) -> DataFrame:
             inside = _inside(text.n, start, size, window)
             edge = np.flatnonzero((least > 0) & ~inside & np.isin(least, seeds))
             kept = np.zeros(0, np.int64) if boundary else np.flatnonzero(_inside(text.n, start[own], size[own], window))
-            hashes = window_hashes(text.hashes, window).view(np.int64)
+            at = np.concatenate([edge, kept])
+            hashes = window_hashes(text.hashes, window).view(np.int64)[at]
+            others = (window_hashes(text.hashes, window, OTHER)[at] >> np.uint64(33)).astype(np.int32)
             rows = text.text[edge]
-            rk = pa.concat_arrays([part.column("rk").take(pa.array(rows)), pa.nulls(len(kept), pa.int64())])
-            place = pa.concat_arrays([pa.array(edge - text.first[rows], pa.int32()), pa.nulls(len(kept), pa.int32())])
-            weight = pa.array(np.concatenate([np.full(len(edge), 1), np.full(len(kept), 2)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[np.concatenate([edge, kept])]), weight, rk, place], ["window", "weight", "rk", "start"])
+            none = pa.nulls(len(kept), pa.int32())
+            names = [pa.concat_arrays([c, n]) for c, n in zip(_named(part, rows), (pa.nulls(len(kept), pa.int64()), none), strict=True)]
+            place = pa.concat_arrays([pa.array(edge - text.first[rows], pa.int32()), none])
+            weight = pa.array(np.concatenate([_copies(part)[rows], np.full(len(kept), 2)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(others), weight, *names, place], ["window", "other", "weight", *NAME, "start"])
 
-    return parsed.mapInArrow(run, "window bigint, weight int, rk bigint, start int")
+    return parsed.mapInArrow(run, "window bigint, other int, weight int, t1 bigint, t2 int, start int")
 
 
-def meet(left: DataFrame, right: DataFrame, name: str, how: str = "inner") -> DataFrame:
-    """Join by ``name``, and by a hash of it. The right side was summed by the key itself, so for this join both sides are
-    dealt out anew, and Spark can split the partitions of keys that very many rows share."""
-    other = right.withColumnRenamed(name, "_name")
-    return left.join(other, (F.xxhash64(name) == F.xxhash64("_name")) & (F.col(name) == F.col("_name")), how).drop("_name")
+def _name(text) -> list:
+    return [F.xxhash64(text).alias("t1"), (F.xxhash64(F.lit("other"), text) % (1 << 31)).cast("int").alias("t2")]
 
 
-def _parsed(docs: DataFrame, window: int, text: str, key: str, row: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows with rk, seeds of each row, indexed blocks of each row)."""
-    texts = take(docs, row="row" if row else None, apart=text, key=key, text=text).withColumn("text", F.col("text").cast("string")).withColumn("rk", F.xxhash64("key", "text"))
-    met = anchors(texts.select("rk", "text"), window)
+def _parsed(docs: DataFrame, window: int, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(distinct texts with their names, seeds of each, indexed blocks of each)."""
+    each = take(docs, text=text).select(F.col("text").cast("string").alias("text"))
+    texts = each.select(*_name(F.col("text")), "text").groupBy(*NAME).agg(F.any_value("text").alias("text"), F.least(F.count("*"), F.lit(2)).cast("int").alias("copies"))
+    met = anchors(texts, window)
     repeated = met.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    seeds = meet(met.select("rk", "anchor"), repeated, "anchor").groupBy("rk").agg(F.collect_list("anchor").alias("seeds"))  # at most a text's words
-    blocks = reference_blocks(texts.join(seeds, "rk"), window)
-    first = F.get("starts", F.lit(0))
-    index = blocks.groupBy("block").agg(F.sum(F.size("starts")).alias("n"), F.min("rk").alias("ref"), F.min_by(first, "rk").alias("ref_start")).where("n > 1")
-    found = meet(blocks, index.select("block", "ref", "ref_start"), "block").groupBy("rk").agg(F.collect_list(F.struct("starts", "words", "ref", "ref_start")).alias("found"))
+    seeds = meet(met.select(*NAME, "anchor"), repeated, ["anchor"]).groupBy(*NAME).agg(F.collect_list("anchor").alias("seeds"))  # at most a text's words
+    blocks = reference_blocks(texts.join(seeds, NAME), window)
+    first = F.struct("t1", "t2", F.get("starts", F.lit(0)).alias("start"))
+    index = blocks.groupBy("b1", "b2").agg(F.sum(F.size("starts") * F.col("copies")).alias("n"), F.min(first).alias("ref")).where("n > 1")
+    found = meet(blocks.drop("copies"), index.select("b1", "b2", "ref"), ["b1", "b2"]).groupBy(*NAME).agg(F.collect_list(F.struct("starts", "words", "ref.t1", "ref.t2", "ref.start")).alias("found"))
     return texts, seeds, found
 
 
 def factors(docs: DataFrame, window: int = 35, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, start, words, own): the factors of each text, in words; own: its block is the index's place of reference."""
-    texts, _, found = _parsed(docs, window, text, key, False)
+    texts, _, found = _parsed(docs, window, text)
 
     def run(batches):
         for part, words_of in _parts(batches):
             start, size, own, begins = _factors(part, words_of)
             at, length = _spans(start, size, begins)
             rows = words_of.text[at]
-            yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(rows)), pa.array(at - words_of.first[rows], pa.int64()), pa.array(length, pa.int64()), pa.array(own[begins])], ["key", "start", "words", "own"])
-
-    kind = texts.schema["key"].dataType.simpleString()
-    return texts.join(found, "rk").mapInArrow(run, f"key {kind}, start bigint, words bigint, own boolean").withColumnRenamed("key", key)
+            yield pa.RecordBatch.from_arrays([*_named(part, rows), pa.array(at - words_of.first[rows], pa.int64()), pa.array(length, pa.int64()), pa.array(own[begins])], [*NAME, "start", "words", "own"])
 
+    made = texts.join(found, NAME).mapInArrow(run, "t1 bigint, t2 int, start bigint, words bigint, own boolean")
+    rows = take(docs, key=key, text=text).select("key", *_name(F.col("text").cast("string")))
+    return rows.join(made, NAME).select(F.col("key").alias(key), "start", "words", "own")
 
-def dedup(docs: DataFrame, window: int = 35, text: str = "text", key: str = "doc_id", row: bool = False) -> DataFrame:
-    """(key, n_words, n_removed, kept): each text's words without the repeated ones, joined by one blank.
 
-    ``row`` adds a struct of the input's other columns, and keeps a text from which nothing is removed as it was.
-    """
-    texts, seeds, found = _parsed(docs, window, text, key, row)
-    parsed = texts.join(seeds, "rk").join(found, "rk", "left")
-    twice = windows(parsed, window, boundary=False).groupBy("window").agg(F.sum("weight").alias("n")).where("n > 1").select("window")
-    edges = meet(windows(parsed, window, boundary=True), twice, "window", "left_semi").groupBy("rk").agg(F.collect_list("start").alias("edges"))
-    whole = texts.join(found, "rk", "left").join(edges, "rk", "left")
-    extra = ["row"] if row else []
+def removed(docs: DataFrame, window: int = 35, text: str = "text") -> DataFrame:
+    """(t1, t2, n_words, n_removed, kept) of each distinct text: its words without the repeated ones, joined by one blank."""
+    texts, seeds, found = _parsed(docs, window, text)
+    parsed = texts.join(seeds, NAME).join(found, NAME, "left")
+    name = ["window", "other"]
+    twice = windows(parsed, window, boundary=False).groupBy(*name).agg(F.sum("weight").alias("n")).where("n > 1").select(*name)
+    edges = meet(windows(parsed, window, boundary=True).select(*name, *NAME, "start"), twice, name, "left_semi").groupBy(*NAME).agg(F.collect_list("start").alias("edges"))
+    whole = texts.join(found, NAME, "left").join(edges, NAME, "left")
 
     def run(batches):
         for part, own in _parts(batches):
@@ -228,8 +242,7 @@ def dedup(docs: DataFrame, window: int = 35, text: str = "text", key: str = "doc
             at, rows = _lists(part, "edges")
             at = at.to_numpy(zero_copy_only=False).astype(np.int64) + own.first[rows]
             start, size = np.concatenate([start, at]), np.concatenate([size, np.full(len(at), window)])
-            gone = _inside(own.n, start, size, 1)
-            stay = ~gone
+            stay = ~_inside(own.n, start, size, 1)
             lengths = (own.ends - own.starts)[stay] + 1
             made, ends = gather(np.concatenate([own.data, [np.uint8(32)]]), own.starts[stay], lengths)
             made[ends[1:] - 1] = 32
@@ -238,26 +251,28 @@ def dedup(docs: DataFrame, window: int = 35, text: str = "text", key: str = "doc
             raw = made.tobytes()
             kept = [raw[a : b - (c > 0)] for a, b, c in zip(bytes_at[:-1].tolist(), bytes_at[1:].tolist(), counts.tolist(), strict=True)]
             total = np.diff(own.first)
-            made_text = pa.array(kept, pa.binary()).cast(pa.string())
-            if row:
-                made_text = pc.if_else(pa.array(total == counts), part.column("text"), made_text)
-            columns = [part.column("key"), pa.array(total, pa.int64()), pa.array(total - counts, pa.int64()), made_text]
-            yield pa.RecordBatch.from_arrays([*columns, *(part.column(c) for c in extra)], ["key", "n_words", "n_removed", "kept", *extra])
+            columns = [part.column("t1"), part.column("t2"), pa.array(total, pa.int64()), pa.array(total - counts, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*NAME, "n_words", "n_removed", "kept"])
 
-    schema = f"key {texts.schema['key'].dataType.simpleString()}, n_words bigint, n_removed bigint, kept string"
-    kind = schema + (", row " + texts.schema["row"].dataType.simpleString() if row else "")
-    return whole.mapInArrow(run, kind).withColumnRenamed("key", key)
+    return whole.mapInArrow(run, "t1 bigint, t2 int, n_words bigint, n_removed bigint, kept string")
 
 
-def without_repeats(docs: DataFrame, window: int = 35, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` without the repeated words in its text; rows of which no word is left go, other columns stay."""
+def without_repeats(docs: DataFrame, window: int = 35, text: str = "text") -> DataFrame:
+    """``docs`` without the repeated words in its text; rows of which no word is left go, other columns stay.
+
+    A text from which nothing is removed stays as it was, so only others travel to their rows.
+    """
     names = docs.columns
-    made = dedup(docs, window, text, key, row=True).where("n_words > n_removed or n_removed = 0")
-    return restore(made, "row", names, {place(names, text): F.col("kept")})
+    changed = removed(docs, window, text).where("n_removed > 0").select(*NAME, "kept", (F.col("n_words") > F.col("n_removed")).alias("left"))
+    rows = take(docs, row="row", apart=text, text=text).withColumn("text", F.col("text").cast("string"))
+    made = rows.select("row", "text", *_name(F.col("text"))).join(changed, NAME, "left").where(F.coalesce("left", F.lit(True)))
+    return restore(made, "row", names, {place(names, text): F.when(F.col("left"), F.col("kept")).otherwise(F.col("text"))})
 
 
-def digest(docs: DataFrame, window: int = 35) -> DataFrame:
-    return dedup(docs, window).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+def digest(docs: DataFrame, window: int = 35, text: str = "text", key: str = "doc_id") -> DataFrame:
+    made = removed(docs, window, text).select(*NAME, "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    rows = take(docs, key=key, text=text).select("key", *_name(F.col("text").cast("string")))
+    return rows.join(made, NAME).select(F.col("key").alias(key), "n_words", "n_removed", "kept_sha256")
 
 
 #: ``digest`` as DuckDB SQL.
