@@ -12,7 +12,9 @@ components of the links, found by joins of tables; nothing is collected to the d
 
 Defined results: null text counts as empty; a text of fewer than n words has the one n-gram
 of all its words; a text without words is in a class of its own and has no links; rows with
-equal texts are in one class and linked with each other.
+equal texts are in one class and linked with each other; null and repeated keys are kept as
+any others; texts of any length are worked on whole, with memory of about ten times the longest;
+an empty table gives an empty result; columns may have any names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .frames import place, restore, slices, stored, take, utf8
+from .frames import meet, place, restore, slices, stored, take, utf8
 from .hashing import mix, range_hashes, window_hashes, word_hashes, words
 
 BANDS, ROWS = 28, 4
@@ -225,10 +227,13 @@ def judged(dealt: DataFrame, threshold: float, tolerance: float) -> DataFrame:
             for j in found.tolist():
                 a, b = top(i), top(j)
                 root[max(a, b)] = min(a, b)
+        groups: dict[int, list[int]] = {}
         for i in np.flatnonzero(texts).tolist():
             yield (*chunk.names[i], None, None, int(texts[i]), int(copies[i]))
-            if top(i) != i:
-                yield (*chunk.names[i], *chunk.names[top(i)], 0, 0)
+            groups.setdefault(top(i), []).append(i)
+        for members in groups.values():  # a binary tree, so that no class has many edges
+            for at in range(1, len(members)):
+                yield (*chunk.names[members[at]], *chunk.names[members[(at - 1) // 2]], 0, 0)
 
     def run(batches):
         now, rows, made = None, {}, []
@@ -270,7 +275,7 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("m")), "b").groupBy("a").agg(F.min("m").alias("m"))
         lower = labels.join(near.select(F.col("a").alias("node"), "m"), "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        after = stored(lower.join(jump, "root").select("node", "old", F.least("root", "next").alias("root")), "labels")
+        after = stored(meet(lower, jump, ["root"]).select("node", "old", F.least("root", "next").alias("root")), "labels")
         if after.where("root <> old").isEmpty():
             return after.select("node", "root")
         labels = after.select("node", "root")
@@ -298,7 +303,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance: float =
     """
     rows, sets = grouped(docs, n, threshold, tolerance, text, key, chunk_rows, chunk_bytes)
     least = sets.groupBy("root").agg(F.min("rep.key").alias("class_id"))
-    named = sets.join(least, "root").select("c1", "c2", "class_id", F.col("rep.key").alias("text_id"), "copies", "texts", "linked")
+    named = meet(sets, least, ["root"]).select("c1", "c2", "class_id", F.col("rep.key").alias("text_id"), "copies", "texts", "linked")
     linked = rows.where("grams > 0").join(named, ["c1", "c2"]).select(F.col("key").alias(key), "class_id", (F.col("linked") + F.col("copies") - 1).alias("n_links"), "text_id", F.col("texts").alias("n_text_links"))
     alone = rows.where("grams = 0").select(F.col("key").alias(key), F.col("key").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("text_id"), F.lit(0).cast("long").alias("n_text_links"))
     return linked.unionByName(alone)
