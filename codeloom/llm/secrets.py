@@ -7,7 +7,10 @@ a secret of kind ``guess``. Fixed forms (assignments, access keys, long hexadeci
 are found besides.
 
 Defined results: null text counts as empty text; texts are scanned whole; a value of any
-length is costed whole; equal rows give equal rows; positions are code points, end exclusive.
+length is costed whole, and every word, date, repeat and walk in it is tried; equal rows give
+equal rows, null and repeated keys are kept as any others; of spans that start together the kind
+listed first comes first; positions are code points, end exclusive; an empty table gives an empty
+result; columns may have any names.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import math
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
@@ -84,65 +88,110 @@ def words() -> dict[str, int]:
 _LEET = str.maketrans("@4301!5$7", "aaeoiisst")
 _ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
 _NEXT = {(row[i], row[i + s]) for row in _ROWS for s in (1, -1) for i in range(len(row)) if 0 <= i + s < len(row)}
-_DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-/._])(?:0?[1-9]|1[0-2])\2(?:19|20)?\d\d|(?:0[1-9]|[12]\d|3[01])(?:0[1-9]|1[0-2])(?:19|20)\d\d|(?:19|20)\d\d")
+_YEAR, _MONTH, _DAY, _MARK = r"(?:19|20)\d\d", r"(?:0?[1-9]|1[0-2])", r"(?:0?[1-9]|[12]\d|3[01])", r"[-/._]"
+_FULL_MONTH, _FULL_DAY = r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])"
+#: Forms of a date and the bits of one: 120 years, 366 days, and two bits for the mark between.
+DATES = [
+    (re.compile(form), bits)
+    for form, bits in (
+        (_YEAR, math.log2(120)),
+        (_YEAR + _FULL_MONTH + _FULL_DAY, math.log2(120 * 366)),
+        (_FULL_DAY + _FULL_MONTH + _YEAR, math.log2(120 * 366)),
+        (_YEAR + f"({_MARK})" + _FULL_MONTH + r"\1" + _FULL_DAY, math.log2(120 * 366) + 2),
+        (_DAY + f"({_MARK})" + _MONTH + r"\1" + _YEAR, math.log2(120 * 366) + 2),
+        (_DAY + f"({_MARK})" + _MONTH + r"\1" + r"\d\d", math.log2(120 * 366) + 2),
+    )
+]
 _SEGMENT_BITS = 1.0  # where a segment ends has to be guessed too
+PERIODS = range(1, 9)  # lengths of a block that is repeated
 
 
 def _brute(char: str) -> float:
     return math.log2(10 if char.isdigit() else 26 if char.isascii() and char.isalpha() else 33 if char.isascii() else 1000)
 
 
+class _Value:
+    """A value with what tells quickly which segments start at a place."""
+
+    def __init__(self, value: str):
+        lower = value.lower()
+        self.value, self.n = value, len(value)
+        self.lower = lower if len(lower) == len(value) else value
+        self.plain = self.lower.translate(_LEET)
+        n, low = self.n, self.lower
+        self.brute = np.array([_brute(c) for c in value])
+        self.brute_before = np.concatenate([[0.0], np.cumsum(self.brute)])
+        codes = np.array([ord(c) for c in value])
+        self.reach = {}  # of each period: how many characters from a place on are as one period later
+        for period in PERIODS:
+            same = np.concatenate([codes[:-period] == codes[period:], np.zeros(min(period, n), bool)])[:n] if period < n else np.zeros(n, bool)
+            ends = np.where(same, n, np.arange(n))
+            self.reach[period] = np.minimum.accumulate(ends[::-1])[::-1] - np.arange(n)
+        steps = np.array([(low[i], low[i + 1]) in _NEXT for i in range(n - 1)] + [False], bool)
+        ends = np.where(steps, n, np.arange(n))
+        self.walk = np.minimum.accumulate(ends[::-1])[::-1] + 1 if n else ends  # the end of the walk that goes on from a place
+        self.turns = np.cumsum([0, 0, *(low[i] == low[i - 2] for i in range(2, n))])[:n]
+        self.raised = np.concatenate([[0], np.cumsum([a != b for a, b in zip(value, low, strict=True)])])
+
+    def words(self, i: int):
+        """(end, bits) of every word at ``i``."""
+        known = words()
+        for j in range(i + 3, min(self.n, i + _LONGEST_WORD) + 1):
+            word, own = self.plain[i:j], self.lower[i:j]
+            ranks = [(known[w], changed) for w, changed in {own: 0, word: sum(a != b for a, b in zip(word, own, strict=True))}.items() if w in known]
+            if ranks:
+                raised = sum(c.isupper() for c in self.value[i:j])
+                case = 0 if not raised else 1 if raised == j - i or self.value[i].isupper() and raised == 1 else raised + 1
+                yield j, case + min(math.log2(rank) + changed for rank, changed in ranks)
+
+    def dates(self, i: int):
+        for form, bits in DATES:
+            if (m := form.match(self.value, i)) is not None:
+                yield m.end(), bits
+
+    def repeats(self, i: int):
+        """(ends, bits) of all blocks at ``i`` that come again and again, for each length of the block."""
+        for period in PERIODS:
+            most, least = int(self.reach[period][i]) // period + 1, 3 if period == 1 else 2
+            if most >= least:
+                times = np.arange(least, most + 1)
+                yield i + times * period, self.brute_before[i + period] - self.brute_before[i] + np.log2(times)
+
+    def walks(self, i: int):
+        """(ends, bits) of all runs of neighbours on a keyboard row, or in the alphabet, from ``i`` on."""
+        ends = np.arange(i + 3, int(self.walk[i]) + 1)
+        if len(ends):
+            yield ends, math.log2(47) + np.log2(ends - i) + self.turns[ends - 1] - self.turns[i + 1] + (self.raised[ends] > self.raised[i])
+
+
 def _segments(value: str):
     """(start, end, kind, bits) of every segment but the brute-force ones."""
-    lower = value.lower()
-    lower = lower if len(lower) == len(value) else value
-    plain = lower.translate(_LEET)
-    n, known = len(value), words()
-    for i in range(n):
-        for j in range(i + 3, min(n, i + _LONGEST_WORD) + 1):
-            word = plain[i:j]
-            if (rank := known.get(word) or known.get(lower[i:j])) is not None:
-                raised = sum(c.isupper() for c in value[i:j])
-                case = 0 if not raised else 1 if raised == j - i or value[i].isupper() and raised == 1 else raised + 1
-                yield i, j, "word", math.log2(rank) + case + sum(a != b for a, b in zip(word, lower[i:j], strict=True))
-        if (m := _DATE.match(value, i)) is not None:
-            yield i, m.end(), "date", math.log2(120) if m.end() - i == 4 else math.log2(120 * 366) + (2 if m[1] or m[2] else 0)
-    for period in range(1, 9):  # a block of up to eight characters, again and again
-        same = [value[i] == value[i + period] for i in range(n - period)]
-        i = 0
-        while i < len(same):
-            j = i
-            while j < len(same) and same[j]:
-                j += 1
-            times = (j - i) // period + 1
-            if times >= (3 if period == 1 else 2):
-                block = sum(map(_brute, value[i : i + period]))
-                for k in range(2 if period > 1 else 3, times + 1) if times <= 16 else (times,):
-                    yield i, i + k * period, "repeat", block + math.log2(k)
-            i = j + 1
-    i = 0
-    while i + 2 < n:  # keyboard rows and the alphabet, either way
-        j = i
-        while j + 1 < n and (lower[j], lower[j + 1]) in _NEXT:
-            j += 1
-        turns = sum(1 for k in range(i + 2, j + 1) if lower[k] == lower[k - 2])
-        for k in range(i + 3, j + 2):
-            yield i, k, "walk", math.log2(47) + math.log2(k - i) + turns + (1 if value[i:k] != lower[i:k] else 0)
-        i = max(j, i + 1)
+    v = _Value(value)
+    for i in range(v.n):
+        for kind, found in (("word", v.words(i)), ("date", v.dates(i))):
+            yield from ((i, j, kind, bits) for j, bits in found)
+        for kind, found in (("repeat", v.repeats(i)), ("walk", v.walks(i))):
+            for ends, bits in found:
+                yield from ((i, j, kind, b) for j, b in zip(ends.tolist(), bits.tolist(), strict=True))
 
 
 @lru_cache(maxsize=20_000)
 def guess_bits(value: str) -> float:
-    """Minimum cost of ``value``: best[e] over all segmentations of its first e characters."""
-    by_end: dict[int, list[tuple[int, float]]] = {}
-    for start, end, _, bits in _segments(value):
-        by_end.setdefault(end, []).append((start, bits))
-    best, brute = [0.0], [math.inf]  # brute[e]: the last segment is a brute-force one
-    for end in range(1, len(value) + 1):
-        cost = _brute(value[end - 1])
-        brute.append(min(brute[-1], best[-1] + _SEGMENT_BITS) + cost)
-        best.append(min([brute[-1], *(best[s] + _SEGMENT_BITS + bits for s, bits in by_end.get(end, ()))]))
-    return best[-1]
+    """Minimum cost of ``value`` over all segmentations: best[e] for its first e characters, carried forward from each start.
+
+    Every segment is tried, so a run of n like characters takes n * n steps, as array operations.
+    """
+    v = _Value(value)
+    best = np.full(v.n + 1, np.inf)  # the last segment is none of brute force; the start counts as one
+    best[0], brute = 0.0, math.inf  # brute: the cost if the last segment is one of brute force
+    for i in range(v.n):
+        now = min(float(best[i]), brute) + _SEGMENT_BITS
+        for j, bits in (*v.words(i), *v.dates(i)):
+            best[j] = min(best[j], now + bits)
+        for ends, bits in (*v.repeats(i), *v.walks(i)):
+            best[ends] = np.minimum(best[ends], now + bits)
+        brute = min(brute, now) + float(v.brute[i])
+    return min(float(best[v.n]), brute)
 
 
 def find(text: str, min_bits: float = 40.0) -> list[tuple[int, int, str]]:
