@@ -9,8 +9,9 @@ cut into powers of two, which need no padding. A row finds its place from its re
 and its rank among equal remainders alone.
 
 Defined results: null text counts as empty text; an empty text still has its end id; a
-text of any length is packed whole; equal rows are packed one by one; an empty table
-gives no pieces.
+text of any length is packed whole; equal rows, null and repeated keys are packed one by one;
+remainders of one length are alike, so their order among themselves is that of their rows; an
+empty table gives no pieces; other columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
 from .bpe import byte_characters, gather
-from .frames import stored, strings, take
+from .frames import slices, stored, strings, take
 
 #: The tokenizer's split for lower-case Latin-1 text; other words take the library's own splitter.
 _LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾ ]+")
@@ -35,9 +36,12 @@ _BYTES = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
 
 
 class WordBpe:
-    """Ids by a tokenizers file whose pieces never cross white space. ``cache`` bounds what is remembered."""
+    """Ids by a tokenizers file whose pieces never cross white space. ``cache`` bounds the bytes of what is remembered."""
 
-    def __init__(self, path: str, cache: int = 400_000):
+    #: Longer pieces are encoded each time; texts are cut at blanks into stretches of about so many characters.
+    LONGEST, STRETCH = 64, 1 << 18
+
+    def __init__(self, path: str, cache: int = 64 << 20):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size()
@@ -47,6 +51,7 @@ class WordBpe:
     def forget(self) -> None:
         self.pieces: dict[str, int] = {}  # of plain texts
         self.words: dict[str, int] = {}  # of others, between blanks
+        self.held = 0
         self.flat = array("i")
         self.ends = array("q", [0])
 
@@ -54,42 +59,64 @@ class WordBpe:
         for piece in mapped:
             self.flat.extend([t.id for t in self.model.tokenize(piece)])
         self.ends.append(len(self.flat))
+        self.held += 4 * int(self.ends[-1] - self.ends[-2]) + 8
         return len(self.ends) - 2
 
-    def _piece(self, piece: str) -> int:
-        self.pieces[piece] = at = self._add([piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)])
+    def _keep(self, known: dict[str, int], word: str, at: int) -> int:
+        if len(word) <= self.LONGEST:
+            known[word] = at
+            self.held += 100 + len(word)  # the entry, the string and its number
         return at
 
+    def _piece(self, piece: str) -> int:
+        return self._keep(self.pieces, piece, self._add([piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)]))
+
     def _word(self, word: str) -> int:
         normal = self.tokenizer.normalizer.normalize_str(word)
-        self.words[word] = at = self._add([p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)])
-        return at
+        return self._keep(self.words, word, self._add([p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]))
 
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with ``end`` after it; offsets)."""
-        if len(self.pieces) + len(self.words) > self.most:
-            self.forget()
+        made, counts, total = [np.zeros(0, np.int32)], [0], 0
         at: list[int] = []
-        last = self.words.get("\n")  # no word has a line feed in it
-        if last is None:
-            self.flat.append(end)
-            self.ends.append(len(self.flat))
-            self.words["\n"] = last = len(self.ends) - 2
-        counts = [0]
+        marks: list[int] = []  # how many of ``at`` each finished text has
+
+        def flush() -> None:
+            nonlocal total
+            where, ends = np.asarray(at, np.int64), np.frombuffer(self.ends, np.int64)  # views: gone before the arrays grow again
+            ids, offsets = gather(np.frombuffer(self.flat, np.int32) if self.flat else np.zeros(0, np.int32), ends[where], ends[where + 1] - ends[where])
+            made.append(ids)
+            counts.extend((offsets[np.asarray(marks, np.int64)] + total).tolist())
+            total += len(ids)
+            at.clear(), marks.clear()
+
         for text in texts:
             if text:
                 line = text.replace("\n", " ")
-                if _plain(line):
-                    get, learn = self.pieces.get, self._piece
-                    at += [learn(p) if (i := get(p)) is None else i for p in _LATIN.findall(line.lower())]
-                else:
-                    get, learn = self.words.get, self._word
-                    at += [learn(w) if (i := get(w)) is None else i for w in line.split(" ")]
+                plain, lower = _plain(line), 0
+                while lower < len(line):
+                    upper = line.find(" ", lower + self.STRETCH) if len(line) - lower > self.STRETCH else -1
+                    part = line[lower:upper] if upper >= 0 else line[lower:]
+                    lower = upper + 1 if upper >= 0 else len(line)  # blanks part pieces and are in none
+                    if plain:
+                        get, learn = self.pieces.get, self._piece
+                        at += [learn(p) if (i := get(p)) is None else i for p in _LATIN.findall(part.lower())]
+                    else:
+                        get, learn = self.words.get, self._word
+                        at += [learn(w) if (i := get(w)) is None else i for w in part.split(" ")]
+                    if self.held > self.most or len(at) > 4 * self.STRETCH:
+                        flush()
+                        if self.held > self.most:
+                            self.forget()
+            last = self.words.get("\n")  # no word has a line feed in it
+            if last is None:
+                self.flat.append(end)
+                self.ends.append(len(self.flat))
+                self.words["\n"] = last = len(self.ends) - 2
             at.append(last)
-            counts.append(len(at))
-        where, ends = np.asarray(at, np.int64), np.frombuffer(self.ends, np.int64)  # views: gone before the arrays grow again
-        ids, offsets = gather(np.frombuffer(self.flat, np.int32), ends[where], ends[where + 1] - ends[where])
-        return ids, offsets[np.asarray(counts)]
+            marks.append(len(at))
+        flush()
+        return np.concatenate(made), np.asarray(counts)
 
 
 def _plain(line: str) -> bool:
@@ -121,31 +148,46 @@ def combinations(window: int, present: np.ndarray) -> np.ndarray:
     return np.concatenate(rows)
 
 
-def nonnegative_least_squares(parts: np.ndarray, counts: np.ndarray, rounds: int = 150) -> np.ndarray:
+def _apart(parts: np.ndarray, candidates: np.ndarray, lengths: int) -> np.ndarray:
+    """Candidates, best first, that share no length with a better one that is chosen."""
+    chosen = []
+    while len(candidates):
+        own, place = parts[candidates], np.arange(len(candidates))
+        first = np.full(lengths, len(candidates))
+        first[own[::-1].ravel()] = np.repeat(place[::-1], 3)  # the last to write is the best
+        first[0] = len(candidates)
+        good = ((first[own] == place[:, None]) | (own == 0)).all(axis=1)
+        chosen.append(candidates[good])
+        used = np.zeros(lengths, bool)
+        used[own[good].ravel()] = True
+        used[0] = False
+        candidates = candidates[~used[own].any(axis=1)]
+    return np.concatenate([np.zeros(0, np.int64), *chosen])
+
+
+def nonnegative_least_squares(parts: np.ndarray, counts: np.ndarray, tolerance: float = 5e-4) -> np.ndarray:
     """x >= 0 that brings the sum of x over the rows that use a length close to its count.
 
-    Projected descent by blocks: each round takes the steepest columns that share no
-    length, and moves each to its own minimum.
+    Descent by blocks: each round moves columns that share no length, those that gain most
+    first, each to its own minimum. It ends when a round lowers the squared distance by less
+    than ``tolerance`` of it, or by nothing.
     """
     x, left = np.zeros(len(parts)), counts.astype(float)
+    left[0] = 0
     norm = np.array([(parts == parts[:, [i]]).sum(1) * (parts[:, i] > 0) for i in range(3)]).sum(0)
-    for _ in range(rounds):
+    while len(parts):
+        far = float((left**2).sum())
         slope = left[parts].sum(1)
         step = np.maximum(slope / norm, -x)
-        order = np.argsort(-np.abs(step), kind="stable")[:50_000]
-        if not len(order) or abs(step[order[0]]) < 0.05:
-            break
-        first = np.full(len(counts), len(order))
-        for i in range(3):
-            np.minimum.at(first, parts[order, i], np.arange(len(order)))
-        first[0] = len(order)
-        mine = np.arange(len(order))
-        own = [(first[parts[order, i]] == mine) | (parts[order, i] == 0) for i in range(3)]
-        chosen = order[own[0] & own[1] & own[2]]
+        gain = step * (2 * slope - norm * step)
+        candidates = np.flatnonzero(gain > max(tolerance * far / len(counts), gain.max() / 16))
+        chosen = _apart(parts, candidates[np.argsort(-gain[candidates], kind="stable")], len(counts))
         x[chosen] += step[chosen]
         for i in range(3):
-            np.add.at(left, parts[chosen, i], -step[chosen])
+            left -= np.bincount(parts[chosen, i], step[chosen], len(counts))
         left[0] = 0
+        if far - float((left**2).sum()) <= tolerance * far:
+            break
     return x
 
 
@@ -233,8 +275,8 @@ def tokenized(docs: DataFrame, path: str, end: int, window: int, text: str = "te
         kind = "<u2" if bpe.size <= 1 << 16 and end < 1 << 16 else "<u4"
         part, seen, wholes = TaskContext.get().partitionId(), [0] * window, 0
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                rows = batch.slice(low, 500)
+            for low, high in slices(batch.column("text")):
+                rows = batch.slice(low, high - low)
                 ids, offsets = bpe.encode(strings(rows, "text"), end)
                 raw, width = ids.astype(kind).tobytes(), int(kind[-1])
                 sizes = np.diff(offsets)
@@ -264,7 +306,8 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end: int = 1, text: str
     earlier = Window.partitionBy("remainder").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     wholes = per_part.groupBy("part").agg(F.sum("whole").alias("whole"))  # a row for each task of the tokenizing stage
     first_whole = wholes.select(F.col("part").alias("part"), F.coalesce(F.sum("whole").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first_whole"))
-    first = per_part.select("part", "remainder", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first")).join(first_whole, "part")
+    # written first: its size is known then, and up to Spark's own bound it is sent to the rows instead of shuffling them
+    first = stored(per_part.select("part", "remainder", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first")).join(first_whole, "part"), "places")
     placed = rows.join(first, ["part", "remainder"]).select("key", "ids", "n", "remainder", (F.col("rank") + F.col("first")).alias("rank"), (F.col("wholes") + F.col("first_whole")).alias("whole"))
     out = ["key", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
