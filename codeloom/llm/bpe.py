@@ -3,11 +3,14 @@
 The merges come from a public rank file (one base64 token and its rank a line).
 Each match of the split pattern is mapped byte by byte to printable characters and
 given to the BPE model of the tokenizers library; an id list decodes through the
-reversed table. A chunk of text that was met before is looked up, not encoded anew.
-
-Defined results: null text encodes as empty text (no ids); empty text has no ids;
-text of any length is encoded whole; equal rows give equal rows; extra columns are
-dropped by ``encode`` unless they travel in the struct column ``row``.
+reversed table. A short chunk of text that was met before is looked up, not encoded anew; what
+is remembered is bounded by its bytes. Rows are worked on about a megabyte at a time, and a long
+text in stretches that end where no match can go on.
+
+Defined results: null text encodes as empty text (no ids); empty text has no ids; text of any
+length is encoded whole; equal rows give equal rows; of equal ranks there are none, as a rank file
+names each once; null and repeated keys are kept as any others; an empty table gives an empty
+result; extra columns are dropped by ``encode``, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,10 +26,11 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from tokenizers.models import BPE
 
-from .frames import strings, take
+from .frames import slices, strings, take
 
 #: White space as the pattern's \s means it; Python's own \s takes four controls more.
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
+_BLANK = re.compile(rf"[{_SPACE}\s]")
 #: A blank between white space and white space (or the end) is not the start of a piece.
 _UNSAFE = re.compile(r"\s (?=\s|\Z)")
 
@@ -56,9 +60,12 @@ def _halves(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | None
 
 
 class ByteBpe:
-    """Encoder and decoder of one rank file. ``cache`` bounds the remembered chunks."""
+    """Encoder and decoder of one rank file. ``cache`` bounds the bytes of what is remembered."""
+
+    #: Longer chunks are encoded each time; texts are cut into stretches of about so many characters.
+    LONGEST, STRETCH = 64, 1 << 18
 
-    def __init__(self, path: str, pattern: str, cache: int = 800_000):
+    def __init__(self, path: str, pattern: str, cache: int = 96 << 20):
         ranks = read_ranks(path)
         letters = byte_characters()
         self.table = str.maketrans({chr(b): c for b, c in enumerate(letters)})
@@ -79,6 +86,7 @@ class ByteBpe:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.held = 0
         self.flat = array("i")
         self.ends = array("q", [0])
 
@@ -91,9 +99,26 @@ class ByteBpe:
         for match in self.split.findall(chunk):
             self.flat.extend(self.piece(match))
         self.ends.append(len(self.flat))
-        self.known[chunk] = at = len(self.ends) - 2
+        at = len(self.ends) - 2
+        self.held += 4 * int(self.ends[-1] - self.ends[-2]) + 8
+        if len(chunk) <= self.LONGEST:
+            self.known[chunk] = at
+            self.held += 100 + len(chunk)  # the entry, the string and its number
         return at
 
+    def stretches(self, text: str):
+        """Parts of a text that are encoded on their own: a match starts at a blank after something that is not white space."""
+        at = 0
+        while len(text) - at > self.STRETCH:
+            cut = text.find(" ", at + self.STRETCH)
+            while cut >= 0 and _BLANK.match(text[cut - 1]):
+                cut = text.find(" ", cut + 1)
+            if cut < 0:
+                break
+            yield text[at:cut]
+            at = cut
+        yield text[at:] if at else text
+
     def chunks(self, text: str) -> list[str]:
         """Stretches that never share a match: cut before blanks, where that is safe."""
         if not text:
@@ -105,30 +130,48 @@ class ByteBpe:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets)."""
-        if len(self.known) > self.most:
-            self.forget()
+        made, counts, total = [np.zeros(0, np.int32)], [0], 0
         at: list[int] = []
-        counts = [0]
-        get, learn = self.known.get, self._learn
+        marks: list[int] = []  # how many of ``at`` each finished text has
+
+        def flush() -> None:
+            nonlocal total
+            where = np.asarray(at, np.int64)
+            ends = np.frombuffer(self.ends, np.int64)  # views: gone before the arrays grow again
+            ids, offsets = gather(np.frombuffer(self.flat, np.int32) if self.flat else np.zeros(0, np.int32), ends[where], ends[where + 1] - ends[where])
+            made.append(ids)
+            counts.extend((offsets[np.asarray(marks, np.int64)] + total).tolist())
+            total += len(ids)
+            at.clear(), marks.clear()
+
         for text in texts:
-            at += [learn(c) if (i := get(c)) is None else i for c in self.chunks(text or "")]
-            counts.append(len(at))
-        where = np.asarray(at, np.int64)
-        ends = np.frombuffer(self.ends, np.int64)  # views: gone before the arrays grow again
-        ids, offsets = gather(np.frombuffer(self.flat, np.int32) if self.flat else np.zeros(0, np.int32), ends[where], ends[where + 1] - ends[where])
-        return ids, offsets[np.asarray(counts)]
+            for part in self.stretches(text or ""):
+                get, learn = self.known.get, self._learn
+                at += [learn(c) if (i := get(c)) is None else i for c in self.chunks(part)]
+                if self.held > self.most or len(at) > 4 * self.STRETCH:
+                    flush()
+                    if self.held > self.most:
+                        self.forget()
+            marks.append(len(at))
+        flush()
+        return np.concatenate(made), np.asarray(counts)
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes of all id lists, offsets)."""
         data, ends = gather(self.bytes, self.starts[ids], self.lengths[ids])
         return data, ends[offsets]
 
-    def character_spans(self, ids: np.ndarray) -> list[tuple[int, int]]:
-        """Code points [start, end) that each token touches; tokens that split a character share it."""
+    def places(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First code point of its text that each token touches, and the one after its last; tokens that split a character share it."""
         data, ends = gather(self.bytes, self.starts[ids], self.lengths[ids])
         lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         begun, done = lead[np.minimum(ends[:-1] + 1, len(data))] - 1, lead[ends[1:]]
-        return list(zip(begun.tolist(), done.tolist(), strict=True))
+        first = np.repeat(lead[ends[offsets[:-1]]], np.diff(offsets))
+        return begun - first, done - first
+
+    def character_spans(self, ids: np.ndarray) -> list[tuple[int, int]]:
+        """``places`` of one text's ids."""
+        return list(zip(*(v.tolist() for v in self.places(ids, np.array([0, len(ids)]))), strict=True))
 
 
 def gather(source: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,19 +200,22 @@ def codec(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, ids array<int>) of every row."""
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", offsets: bool = False) -> DataFrame:
+    """(key, ids array<int>) of every row; ``offsets`` adds starts and ends (array<int>), the code points that each id touches."""
+    told = offsets
 
     def run(batches):
         bpe = codec(path, pattern)
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
+            for low, high in slices(batch.column("text")):
+                part = batch.slice(low, high - low)
                 ids, offsets = bpe.encode(strings(part, "text"))
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))], ["key", "ids"])
+                lists = [ids, *(bpe.places(ids, offsets) if told else ())]
+                yield pa.RecordBatch.from_arrays([part.column("key"), *(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(v, pa.int32())) for v in lists)], ["key", *("ids", "starts", "ends")[: len(lists)]])
 
     narrow = take(docs, key=key, text=text).withColumn("text", F.col("text").cast("string"))
-    return narrow.mapInArrow(run, f"key {narrow.schema['key'].dataType.simpleString()}, ids array<int>").withColumnRenamed("key", key)
+    kinds = "ids array<int>" + (", starts array<int>, ends array<int>" if told else "")
+    return narrow.mapInArrow(run, f"key {narrow.schema['key'].dataType.simpleString()}, {kinds}").withColumnRenamed("key", key)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
@@ -179,14 +225,19 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", data:
     def run(batches):
         bpe = codec(path, pattern)
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
+            sizes = batch.column(names.index(ids)).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+            low = 0
+            while low < batch.num_rows:  # lists of about a million ids at a time
+                high = max(low + 1, int(np.searchsorted(ends, ends[low] + (1 << 20), side="right")) - 1)
+                part = batch.slice(low, high - low)
+                low = high
                 lists = part.column(names.index(ids))
                 flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                got, ends = bpe.decode(flat, np.concatenate([[0], np.cumsum(sizes)]))
+                own = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                got, at = bpe.decode(flat, np.concatenate([[0], np.cumsum(own)]))
                 whole = got.tobytes()
-                made = [None if gone else whole[a:b] for gone, a, b in zip(lists.is_null().to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                made = [None if gone else whole[a:b] for gone, a, b in zip(lists.is_null().to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], [*names, data])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)

@@ -1,7 +1,8 @@
 """Exact histogram of encoded lengths, and what follows from it for every context limit.
 
 Defined results: null text counts as empty (length 0); texts of any length are encoded whole;
-equal rows count one by one; an empty table gives no rows.
+equal rows, null and repeated keys count one by one; ties don't arise, as a length is one row;
+other columns are dropped, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bpe import codec
-from .frames import stored, strings, take
+from .frames import slices, stored, strings, take
 
 #: Lengths in a block of the two-step suffix sums; bounds what one task of the second step sees.
 BLOCK = 1024
@@ -24,7 +25,7 @@ def lengths(docs: DataFrame, path: str, pattern: str, text: str = "text", key: s
     def run(batches):
         bpe = codec(path, pattern)
         for batch in batches:
-            sizes = [np.diff(bpe.encode(strings(batch.slice(low, 500), "text"))[1]) for low in range(0, batch.num_rows, 500)]
+            sizes = [np.diff(bpe.encode(strings(batch.slice(low, high - low), "text"))[1]) for low, high in slices(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.concatenate([np.zeros(0, np.int64), *sizes]), pa.int64())], ["key", "length"])
 
     return narrow.mapInArrow(run, f"key {narrow.schema['key'].dataType.simpleString()}, length bigint").withColumnRenamed("key", key)
@@ -54,14 +55,14 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
 
 
 def answer(sums: DataFrame, limits: list[int]) -> DataFrame:
-    """(context_limit, truncated_tokens, docs_cut) for any limits, from the suffix sums alone."""
-    asked = sums.sparkSession.createDataFrame([(n,) for n in limits], "context_limit bigint")
-    longer = F.col("length") > F.col("context_limit")
-    # the limits are a stated query set; each meets the histogram, not the documents
-    met = sums.crossJoin(F.broadcast(asked)).groupBy("context_limit").agg(
-        F.sum(F.when(longer, F.col("n_docs"))).alias("over"), F.sum(F.col("n_docs") * F.least("length", "context_limit")).alias("truncated_tokens")
-    )
-    return met.select("context_limit", "truncated_tokens", F.coalesce("over", F.lit(0)).alias("docs_cut"))
+    """(context_limit, truncated_tokens, docs_cut) for any limits: what the suffix sums say at the next greater length."""
+    asked = F.broadcast(sums.sparkSession.createDataFrame([(n,) for n in limits], "context_limit bigint"))
+    # the limits are a stated query set; each looks for one row of the histogram
+    after = sums.crossJoin(asked).where(F.col("length") > F.col("context_limit")).groupBy("context_limit").agg(F.min_by(F.struct("docs_at_least", "tokens_at_least"), "length").alias("after"))
+    everything = sums.agg(F.any_value("total_tokens").alias("total_tokens"))  # one row
+    cut = F.coalesce("after.docs_at_least", F.lit(0).cast("long"))
+    total = F.col("total_tokens") - F.coalesce("after.tokens_at_least", F.lit(0)) + cut * F.col("context_limit")
+    return asked.join(after, "context_limit", "left").crossJoin(F.broadcast(everything)).where("total_tokens is not null").select("context_limit", total.alias("truncated_tokens"), cut.alias("docs_cut"))
 
 
 def quantile(sums: DataFrame, q: float) -> DataFrame:
