@@ -6,12 +6,14 @@ mean of their log-probabilities decides. Training takes a bounded sample of labe
 (``Budget``), the same for the same table.
 
 Defined results: null text, and text without a letter, is ``und`` with score 0; texts of any
-length are read whole; equal texts have equal predictions; without labelled rows every text
-is ``und``.
+length are read whole; equal texts have equal predictions, of equally likely languages the first by
+name; null and repeated keys are kept as any others, a null one is never held out; without labelled
+rows every text is ``und``; an empty table gives an empty result; columns may have any names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -117,28 +119,39 @@ def windows(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarra
 
 
 def sample(docs: DataFrame, budget: Budget, text: str, key: str, lang: str) -> DataFrame:
-    """(text, lang): at most ``rows`` rows of each of at most ``languages`` languages, by a hash of the key."""
-    known = take(docs, key=key, text=text, lang=lang).where("lang is not null and text is not null and key is not null").where(F.crc32(F.col("key").cast("string")) % 5 != 0).withColumn("order", F.xxhash64("key"))
+    """(lang, windows binary): byte windows of at most ``rows`` rows of each of at most ``languages`` languages, by a hash of the key."""
+    known = take(docs, key=key, text=text, lang=lang).withColumn("text", F.col("text").cast("string")).where("lang is not null and text is not null and key is not null").where(F.crc32(F.col("key").cast("string")) % 5 != 0).withColumn("order", F.xxhash64("key"))
     counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(budget.languages)
     # thinned by the hash to a few times what is wanted, then exactly that many
     share = F.col("order") / F.lit(2.0**64) + 0.5 <= F.lit(3.0 * budget.rows) / F.col("n") + F.lit(50.0) / F.col("n")
     thin = known.join(F.broadcast(counts), "lang").where(share)  # at most ``languages`` rows
-    ranked = thin.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "text")))
-    return ranked.where(F.col("rank") <= budget.rows).select("text", "lang")
+
+    def cut(batches):
+        for batch in batches:
+            made = []
+            for body in batch.column("text").to_pylist():
+                raw = np.frombuffer(body.encode(), np.uint8)
+                starts = np.arange(max(1, -(-len(raw) // budget.window))) * budget.window
+                keep = np.unique(np.linspace(0, len(starts) - 1, budget.windows).astype(int))
+                made.append(b"".join(raw[s : s + budget.window].tobytes().ljust(budget.window, b"\0") for s in starts[keep]))
+            tie = [int.from_bytes(hashlib.sha256(m).digest()[:7]) for m in made]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("order"), pa.array(tie, pa.int64()), pa.array(made, pa.binary())], ["lang", "order", "tie", "windows"])
+
+    # texts stay where they are: of each row a few windows travel
+    windowed = thin.select("lang", "order", "text").mapInArrow(cut, "lang string, order bigint, tie bigint, windows binary")
+    ranked = windowed.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "tie")))
+    return ranked.where(F.col("rank") <= budget.rows).select("lang", "windows")
 
 
 def fit(docs: DataFrame, budget: Budget = Budget(), text: str = "text", key: str = "doc_id", lang: str = "lang") -> Network | None:
-    rows = sorted((r["lang"], r["text"]) for r in sample(docs, budget, text, key, lang).collect())  # bounded by the budget
+    # at most languages * rows * windows * window bytes
+    rows = sorted((r["lang"], bytes(r["windows"])) for r in sample(docs, budget, text, key, lang).collect())
     if not rows:
         return None
     labels = sorted({name for name, _ in rows})
-    xs, ys = [], []
-    for name, body in rows:
-        got, _ = windows(np.frombuffer(body.encode(), np.uint8), np.array([0, len(body.encode())]), budget.window)
-        keep = np.unique(np.linspace(0, len(got) - 1, budget.windows).astype(int))
-        xs.append(got[keep])
-        ys += [labels.index(name)] * len(keep)
-    return Network(labels, budget.window, budget.seed).train(np.concatenate(xs), np.array(ys), budget.steps, budget.batch, budget.seed)
+    xs = [np.frombuffer(body, np.uint8).reshape(-1, budget.window) for _, body in rows]
+    ys = np.repeat([labels.index(name) for name, _ in rows], [len(x) for x in xs])
+    return Network(labels, budget.window, budget.seed).train(np.concatenate(xs), ys, budget.steps, budget.batch, budget.seed)
 
 
 def _predict(narrow: DataFrame, network: Network | None, carried: list[str]) -> DataFrame:
