@@ -4,8 +4,13 @@ Every line is judged by punctuation, navigation and boilerplate rules; failing l
 removed; a text that loses too much of its words is rejected. Statistics of the whole text
 (symbols, repeated lines, words in repeated windows) reject besides.
 
-Defined results: null text counts as empty (no words, so it fails); blank lines are neither
-judged nor counted; texts of any length are worked on whole; equal rows have equal results.
+The rules of a line: its words outnumber HEADING_WORDS and it has no mark at its end, or symbols
+abound; it is cut up by bars; or it is short and holds a phrase of page furniture.
+
+Defined results: null text counts as empty (no words, so it fails); blank lines are neither judged
+nor counted; texts of any length are worked on whole; equal rows have equal results, null and
+repeated keys are kept as any others; an empty table gives an empty result; columns may have any
+names; a text on the border of losing too much is kept.
 """
 
 from __future__ import annotations
@@ -20,7 +25,23 @@ SYMBOLS = "#*$%&|<>"
 TERMINAL = r"[.!?:;…。！？][\"'”’»)\]]*$"
 #: Lines of at most this many words may be headings, and need no terminal mark.
 HEADING_WORDS = 8
-BOILERPLATE = r"(?i)\b(lorem ipsum|all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings|consent)|we use cookies|enable javascript|javascript is (disabled|required)|click here|read more|sign up for our|subscribe to our|share this (page|article|post)|powered by|back to top|skip to (main )?content)\b"
+#: Phrases of pages around texts, in English, German, French and Spanish; a dot stands for a letter with a mark.
+_PHRASES = """
+lorem ipsum|all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings|consent)|we use cookies
+enable javascript|javascript is (disabled|required)|click here|read more|sign up for our|subscribe to our
+share this (page|article|post)|powered by|back to top|skip to (main )?content
+alle rechte vorbehalten|allgemeine gesch.ftsbedingungen|datenschutz(erkl.rung|richtlinie|hinweise)|cookie-?einstellungen
+hier klicken|weiterlesen|newsletter abonnieren|nach oben scrollen|zum inhalt springen|bitte javascript aktivieren
+tous droits r.serv.s|conditions (g.n.rales|d.utilisation)|(accepter|g.rer) les cookies|cliquez ici|lire la suite
+abonnez-vous|retour en haut|aller au contenu|partager cet article|politique de cookies
+todos los derechos reservados|t.rminos (de uso|y condiciones)|pol.tica de (privacidad|cookies)|leer m.s sobre
+suscr.base a|volver arriba|saltar al contenido|compartir (este|esta)
+""".strip().replace("\n", "|")
+#: Those that end in a letter with a mark, after which engines see no common word border.
+_OPEN_PHRASES = "politique de confidentialit.|haga clic aqu."
+BOILERPLATE = rf"(?i)\b({_PHRASES})\b|\b({_OPEN_PHRASES})"
+#: Longer lines that hold such a phrase are taken for prose that mentions it.
+BOILERPLATE_WORDS = 40
 WINDOW = 8
 
 
@@ -66,7 +87,7 @@ def line_fails(line: Column) -> Column:
     def judge(n: Column) -> Column:
         punctuation = ((n > HEADING_WORDS) & ~F.rtrim(line).rlike(TERMINAL)) | (symbols * 2 > n)
         navigation = (bars >= 2) & (bars * 4 > n)
-        return punctuation | navigation | ((n <= 40) & line.rlike(BOILERPLATE))
+        return punctuation | navigation | ((n <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE))
 
     return let(count, judge)
 
