@@ -51,6 +51,36 @@ def test_factors(docs, hard_texts):
     assert all(len(c) <= removed[i] for i, c in covered.items()) and any(len(c) == removed[i] for i, c in covered.items())
 
 
+def test_very_many_equal_rows(spark):
+    """Ten thousand equal rows, some of equal keys, and as many others with one shared passage."""
+    rng = random.Random(9)
+    body = " ".join(str(rng.random()) for _ in range(400))
+    shared = " ".join(str(rng.random()) for _ in range(40))
+    rows = [(i % 100 if i % 2 else None, body) for i in range(10_000)] + [(20_000 + i, f"{i} {rng.random()} {shared}") for i in range(2000)]
+    got = substring_dedup.digest(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)).groupBy("n_words", "n_removed").count().collect()
+    assert {tuple(r) for r in got} == {(400, 400, 10_000), (42, 40, 2000)}
+
+
+def test_long_texts(spark):
+    """A text of five megabytes, one of 300,000 words without a line, and one word of a megabyte, through each operator."""
+    rng = random.Random(5)
+    long = " ".join("".join(rng.choice("abcdeé\n") for _ in range(rng.randint(1, 9))) for _ in range(700_000))
+    rows = [(1, long), (2, long[:2_000_000] + " end"), (3, "x" * 1_000_000), (4, "a b c d e " * 60_000), (5, "short text")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    lists = [brute.words(t) for _, t in rows]
+    got = by_id(substring_dedup.digest(frame))
+    assert [got[i + 1]["n_words"] for i in range(5)] == [len(w) for w in lists] and got[2]["n_removed"] == got[2]["n_words"] - 1 and got[3]["n_removed"] == 0 and got[4]["n_removed"] == 300_000
+    tokens = by_id(bpe.digest(frame, RANKS, public_tokenizers.PATTERN))
+    assert all(tokens[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest() for i, t in rows)
+    counted = by_id(token_counts.lengths(frame, RANKS, public_tokenizers.PATTERN))
+    assert all(counted[i]["length"] == tokens[i]["n_tokens"] for i, _ in rows)
+    tokenizer = Tokenizer.from_file(WORDS)
+    packed = packing.pack(frame, WORDS).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in packed} == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows}
+    assert {r["doc_id"]: r["n_links"] for r in ngram_join.join(frame).collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 0}
+    assert secrets.report(frame).count() == 5 and langid.identify(frame, None).count() == 5
+
+
 # n-gram join
 
 
@@ -105,6 +135,27 @@ def test_bpe_on_odd_characters(reference):
         assert ids.tolist() == reference.encode_ordinary(text), repr(text)
 
 
+def test_offsets(spark, docs, hard_texts, reference):
+    """Each id's code points, against the library's own decoding with offsets."""
+    for r in bpe.encode(docs, RANKS, public_tokenizers.PATTERN, offsets=True).collect():
+        text = hard_texts[r["doc_id"]] or ""
+        whole, starts = reference.decode_with_offsets(r["ids"])
+        assert whole == text and list(r["starts"]) == starts
+        assert all(a < z <= len(text) for a, z in zip(r["starts"], r["ends"], strict=True)) and (not r["ends"] or r["ends"][-1] == len(text))
+
+
+def test_stretches(reference):
+    codec = bpe.codec(RANKS, public_tokenizers.PATTERN)
+    rng = random.Random(2)
+    text = "".join(rng.choice(["word", " ", "  ", "\n", " \n ", "it's", "12", "é", "…", "\u3000", " x"]) for _ in range(4000))
+    codec.STRETCH, codec.most = 16, 3000
+    try:
+        assert codec.encode([text, "", text])[0].tolist() == reference.encode_ordinary(text) * 2
+    finally:
+        del codec.STRETCH
+        codec.most = 96 << 20
+
+
 def test_split_characters():
     codec = bpe.codec(RANKS, public_tokenizers.PATTERN)
     text = "a漢😀é"
@@ -194,12 +245,84 @@ def test_guess_cost():
     assert cost("password") < 3 and cost("qwertyuiop") < 12 and cost("aaaaaaaaaaaaaaaa") < 12 and cost("19991231") < 20 and cost("abcabcabcabc") < 22
     assert cost("correcthorsebatterystaple") < 40 < cost("b7db7aa4a5fcc78305")
     # no segmentation of all splits into single pieces is cheaper
-    for value in ("ab1", "zz99", "Pass12", "qweR"):
+    for value in ("ab1", "zz99", "Pass12", "qweR", "aaaaab", "1/2/99x", "ababab1"):
         pieces = {(s, e): b for s, e, _, b in secrets._segments(value)}
         best = min(_costs(value, 0, pieces, False))
         assert cost(value) == pytest.approx(best)
 
 
+def test_every_segment_is_tried():
+    """Segments by plain slices: any part that is a repeat, a walk or a known word, wherever it starts and ends."""
+    rows = "".join(a + b for a, b in secrets._NEXT)
+    for value in ("xaaaaaaaaaaaaaaaaaaaaaaaay", "qwertrewq12", "abcabcabcabcab", "Passw0rdpassword", "31121999", "1.2.2003!", "00" * 12):
+        found = {(s, e, k) for s, e, k, _ in secrets._segments(value)}
+        for i in range(len(value)):
+            for j in range(i + 2, len(value) + 1):
+                part, low = value[i:j], value[i:j].lower()
+                for period in range(1, 9):
+                    times, rest = divmod(len(part), period)
+                    if not rest and times >= (3 if period == 1 else 2) and part == part[:period] * times:
+                        assert (i, j, "repeat") in found, (value, part)
+                walk = len(part) >= 3 and all((a, b) in secrets._NEXT for a, b in zip(low, low[1:], strict=False))
+                assert walk == ((i, j, "walk") in found), (value, part)
+                if len(part) >= 3 and (low in secrets.words() or low.translate(secrets._LEET) in secrets.words()):
+                    assert (i, j, "word") in found, (value, part)
+    assert rows and secrets.guess_bits("a" * 3000) < 20 and secrets.guess_bits("a" * 40) < secrets.guess_bits("a" * 41) < 14
+
+
+def test_base_spans(spark, docs, hard_texts):
+    """Counts and digest against a scan written on its own."""
+    import re
+
+    letters = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_.=-"
+
+    def scan(text):
+        out = []
+        at = 0
+        while m := re.search(r"password|passwd|secret|token|api_?key", text[at:], re.I | re.A):
+            begin, i = at + m.start(), at + m.end()
+            i += text[i : i + 1] in ('"', "'") and text[i : i + 1] != ""
+            while text[i : i + 1] == " ":
+                i += 1
+            end = -1
+            if text[i : i + 1] in (":", "=") and text[i : i + 1]:
+                i += 1
+                while text[i : i + 1] == " ":
+                    i += 1
+                i += text[i : i + 1] in ('"', "'") and text[i : i + 1] != ""
+                end = i
+                while end < len(text) and text[end] in letters:
+                    end += 1
+            if end > i:
+                if end - i >= 12:
+                    out.append((begin, 0, f"assign:{begin}:{end}"))
+                at = end
+            else:
+                at = begin + 1
+        for kind, first, more, least, name in ((1, "AKIA", letters[:10] + letters[36:62], 18, "access"), (2, "", "0123456789abcdef", 16, "hex")):
+            at = 0
+            while at < len(text):
+                if not text.startswith(first, at) or text[at + len(first) : at + len(first) + 1] not in tuple(more):
+                    at += 1
+                    continue
+                end = at + len(first)
+                while end < len(text) and text[end] in more:
+                    end += 1
+                if end - at >= least:
+                    out.append((at, kind, f"{name}:{at}:{end}"))
+                at = end
+        return [x for _, _, x in sorted(out)]
+
+    rng = random.Random(4)
+    bits = ["password", "PASSWD", "api_key", "apikey", "token", "secret", " ", "  ", ":", "=", "'", '"', "AKIA", "ABCDEFGHIJ1234", "0123456789abcdef", "é", "x", "Zz9+/", "\n", "deadbeef"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(3000)] + [t or "" for t in hard_texts]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in secrets.report(frame).collect():
+        want = scan(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest(), texts[r["doc_id"]]
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(w.startswith(k) for w in want) for k in ("assign", "access", "hex")]
+
+
 @pytest.mark.parametrize("word", "configuration requirements responsibility Einstellungen Verantwortung développement utilisateurs configuración conocimiento".split())
 def test_ordinary_words_are_no_secrets(word):
     assert not [s for s in secrets.find(f"token: {word} and more") if s[2] == "guess"]
@@ -243,6 +366,13 @@ def test_line_rules(spark):
     assert got[1]["n_failed_lines"] == 2 and got[1]["n_dup_lines"] == 1 and got[2]["n_failed_lines"] == 30 and not got[2]["kept"]
 
 
+def test_boilerplate_in_every_language(spark):
+    good = "This line says quite a lot of things in a row and ends."
+    lines = ["All rights reserved.", "Alle Rechte vorbehalten.", "Unsere Datenschutzerklärung.", "Tous droits réservés.", "Politique de confidentialité", "Todos los derechos reservados.", "Haga clic aquí", "Skip to main content"]
+    rows = [(i, f"{good}\n{good} {line}\n{line}\n{good} {' '.join(['word'] * 40)} {line}. End.") for i, line in enumerate(lines)]
+    assert {r["n_failed_lines"] for r in quality.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == {2}
+
+
 # token counts
 
 
@@ -280,7 +410,7 @@ def test_language(spark, empty, clashing):
 
 def test_sharding(spark, docs, empty, tmp_path, clashing):
     store = sharding.ShardStore(spark, str(tmp_path / "a"), target=20_000)
-    assert store.version() == 0 and store.append(clashing, F.col("doc_id") % 10) == 1 and store.append(docs.limit(0), F.lit(1)) == 2
+    assert store.version() == 0 and store.read().count() == 0 and store.append(clashing, F.col("doc_id") % 10) == 1 and store.append(docs.limit(0), F.lit(1)) == 2
     before = store.manifest(2).agg(F.sum("n_rows"), F.count("*")).first()
     number = store.compact(2)
     after = store.manifest().agg(F.sum("n_rows"), F.count("*")).first()
@@ -293,6 +423,42 @@ def test_sharding(spark, docs, empty, tmp_path, clashing):
     assert sharding.report(empty, str(tmp_path / "b")).count() == 0
 
 
+def test_late_arrivals_and_tiers(spark, tmp_path):
+    """Arrivals that come again and again, null ones too, through several merges: rows are neither lost nor multiplied."""
+    store = sharding.ShardStore(spark, str(tmp_path / "a"), target=16_000)
+    sent, tiers = [], set()
+    for wave in range(9):
+        rows = [(None if i % 17 == 0 else (7 * i + wave) % 12, "x" * (40 + i % 5), f"{wave}-{i}" if i % 3 else None) for i in range(60)]
+        frame = spark.createDataFrame(rows, "when bigint, TEXT string, text string")
+        store.append(frame.repartition(2), F.col("when"), "TEXT", clustered=wave % 2 == 0)
+        sent += rows
+        tiers |= {r["tier"] for r in store.manifest().select("tier").collect()}
+        store.compact(3)
+    got = [tuple(r["row"])[:3] for r in store.read().collect()]
+    assert sorted(map(str, got)) == sorted(map(str, sent)) and len(tiers) >= 3
+    listed = store.manifest().collect()
+    assert len({(r["shard"], r["location"]) for r in listed}) == len(listed) and sum(r["n_rows"] for r in listed) == len(sent)
+    assert {r["arrival"] for r in store.read().collect()} == {-1, *range(12)}
+    merged = [r for r in listed if r["shard"][0] == "m"]
+    assert merged and all(len(list((tmp_path / "a" / "data" / f"_write={r['location']}" / f"_shard={r['shard']}").glob("*.parquet"))) == 1 for r in merged)
+    again = sharding.ShardStore(spark, str(tmp_path / "a"), target=16_000)
+    assert again.read(2).count() <= 120 and again.read().count() == len(sent)
+
+
+def test_sharding_cascade(spark, tmp_path):
+    """The report on a table whose arrivals need several merges, with columns that clash, against plain sums."""
+    rows = [(i if i % 50 else None, "word " * (i % 7), 1, 2) for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, DOC_ID int, __arrival int")
+    got = sharding.report(frame, str(tmp_path / "a"), rows_per_arrival=5, target=3_000).collect()
+    want = [(i, -1 if i is None else i // 5, hashlib.md5(t.encode()).hexdigest()) for i, t, _, _ in rows]
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["arrival"], r["text_md5"])) for r in got)
+    sizes = {}
+    for r in got:
+        sizes.setdefault(r["shard"], []).append(r)
+    assert all(len(v) == v[0]["shard_rows"] and len({r["arrival"] for r in v}) == v[0]["shard_arrivals"] for v in sizes.values())
+    assert len({s.split("_")[0] for s in sizes if s[0] == "m"}) >= 2
+
+
 def test_oracles(spark):
     con = oracle.connect(SF)
     for name, sql in queries.ORACLE_SQL.items():
