@@ -59,6 +59,9 @@ class CodeEngine:
     def get_meta(self, key: str) -> str | None:
         return self.store.get_meta(key)
 
+    def set_meta(self, key: str, value: str) -> None:
+        self.store.set_meta(key, value)
+
     def watch(self, rounds: int | None = None):
         from .streaming.watch import Watcher
 
@@ -72,7 +75,7 @@ class CodeEngine:
     def search_symbols(self, text: str) -> DataFrame:
         asked = self.spark.createDataFrame([(0, text)], "kw_pos int, keyword string")
         now = self.now
-        return lookup.with_path(lookup.search_symbols(now.symbols, asked), now.files).orderBy("id")
+        return lookup.with_path(lookup.search_symbols(now.symbols, asked, index=now.tokens), now.files).orderBy("id")
 
     def _target(self, text: str) -> DataFrame:
         now = self.now
@@ -114,7 +117,7 @@ class CodeEngine:
         own = now.files.where(F.col("path") == path)
         if own.isEmpty():
             return None
-        imports = now.imports.join(own.select(F.col("id").alias("file_id")), "file_id", "left_semi").orderBy("id").select("source_path", "imported_names", "is_default", "is_namespace")
+        imports = lookup.imports_of(now.imports, now.files, path).drop("file_path")
         return {"file": own, "symbols": lookup.symbols_by_file(now.symbols, now.files, path), "imports": imports, "co_changes": self.history(path).limit(5)}
 
     def history(self, path: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
 #: What tells a naming style, tried in this order.
@@ -47,9 +49,13 @@ def is_test(path: Column) -> Column:
     return path.contains("test") | path.contains("spec")
 
 
+#: Lower-case Latin letters with marks, and the letter that each is made of.
+_PLAIN = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, (*range(0xE0, 0x250), *range(0x1E00, 0x1F00))) if c.islower() and unicodedata.normalize("NFD", c)[0] in "abcdefghijklmnopqrstuvwxyz"}
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case alphanumeric runs, common accents folded."""
-    folded = F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    """Lower-case alphanumeric runs, marks on Latin letters dropped."""
+    folded = F.translate(F.lower(text), "".join(_PLAIN), "".join(_PLAIN.values()))
     return F.array_remove(F.split(folded, r"[^\p{L}\p{N}]+"), "")
 
 

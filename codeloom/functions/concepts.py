@@ -65,6 +65,19 @@ GROUPS = tuple(
     upload attach multipart
     config configuration settings
     credential apikey
+    component widget element view
+    render display show draw paint
+    state store redux context atom
+    hook usecallback useeffect usememo usestate
+    navigate route redirect push router
+    modal dialog popup overlay drawer
+    form input field submit validation
+    gps location geolocation coordinate position latlng geo
+    map marker polygon layer tile
+    track tracking trace follow monitor
+    notify notification alert toast message push
+    email mail smtp sendgrid
+    sms text twilio
     """.strip().splitlines()
 )
 

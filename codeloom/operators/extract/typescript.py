@@ -197,7 +197,7 @@ def _arguments(src: Source, found: Found, called: str, plain: frozenset[str], he
         if caller:
             depth, item = 0, []
             close = src.closing(m.end() - 1)
-            for i in range(m.end(), min(close, m.end() + 4000) + 1):
+            for i in range(m.end(), close + 1):
                 c = src.code[i] if i < close else ","
                 if c == "," and not depth:
                     word = "".join(item).strip()

@@ -78,13 +78,13 @@ def stats(files: DataFrame, symbols: DataFrame, calls: DataFrame, pairs: DataFra
     return reduce(DataFrame.union, [*counted, by_language])
 
 
-def symbol_at(symbols: DataFrame, probes: DataFrame, block: int = 256) -> DataFrame:
-    """For each probe (file_id, line) the tightest symbol around it; ties go to the earlier start, then the lesser id.
+def symbol_at(symbols: DataFrame, places: DataFrame, block: int = 256) -> DataFrame:
+    """For each place (file_id, line) the tightest symbol around it; ties go to the earlier start, then the lesser id.
 
-    An interval meets the probes of the line blocks it touches, so the join is an equi-join on (file, block).
+    An interval meets the places of the line blocks it touches, so the join is an equi-join on (file, block).
     """
     spread = symbols.withColumn("block", F.explode(F.sequence(F.expr(f"line_start div {block}"), F.expr(f"line_end div {block}"))))
-    asked = probes.withColumn("block", F.expr(f"line div {block}"))
+    asked = places.withColumn("block", F.expr(f"line div {block}"))
     met = asked.join(spread, ["file_id", "block"]).where("line between line_start and line_end")
     order = F.struct((F.col("line_end") - F.col("line_start")).alias("width"), "line_start", "id", "name")
     return met.groupBy("file_id", "line").agg(F.min(order).alias("best")).select("file_id", "line", F.col("best.id").alias("symbol_id"), F.col("best.name").alias("name"), F.col("best.width").cast("long").alias("width"))
@@ -97,6 +97,12 @@ def files_by_path(files: DataFrame, symbols: DataFrame, like: str | None = None)
     return chosen.join(counted, "id", "left").withColumn("symbol_count", F.coalesce("symbol_count", F.lit(0)))
 
 
+def imports_of(imports: DataFrame, files: DataFrame, path: str | None = None) -> DataFrame:
+    """Imports of one file, or of each, in their order: (file_path, source_path, imported_names, is_default, is_namespace)."""
+    chosen = files if path is None else files.where(F.col("path") == path)
+    return with_path(imports, chosen).orderBy("file_path", "id").select("file_path", "source_path", "imported_names", "is_default", "is_namespace")
+
+
 def tests_of(calls: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
     """(callee_symbol_id, path, name, line_start) of callers in a path that says test."""
     found = callers(calls, symbols, files).where(F.col("file_path").contains("test"))
@@ -109,10 +115,14 @@ def tests_named_like(files: DataFrame, targets: DataFrame) -> DataFrame:
     return targets.select(F.col("path").alias("target"), stem(F.col("path")).alias("base")).join(tests, "base").select("target", F.col("test_path").alias("path"))
 
 
-def directory_exports(symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """(dir, exports): the first exported names below each directory, by kind and name."""
-    below = with_path(symbols.where("is_exported"), files).withColumn("parts", F.split("file_path", "/"))
-    each = below.select("kind", "name", "id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("parts") - 1, F.lit(1))), lambda n: F.array_join(F.slice("parts", F.lit(1), n), "/"))).alias("dir"))
+def directory_exports(symbols: DataFrame, files: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(dir, exports): the first exported names below each directory, or each of ``wanted`` (dir), by kind and name."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    below = files.select(F.col("id").alias("file_id"), F.explode(above).alias("dir"))
+    if wanted is not None:
+        below = below.join(wanted.select("dir").distinct(), "dir", "left_semi")
+    each = below.join(symbols.where("is_exported").select("file_id", "kind", "name", "id"), "file_id")
     rank = F.row_number().over(Window.partitionBy("dir").orderBy("kind", "name", "id"))
     first = each.withColumn("rank", rank).where(F.col("rank") <= EXPORT_LIMIT)
     return first.groupBy("dir").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda s: s["name"]), ", ").alias("exports"))
@@ -124,6 +134,16 @@ def token_table(rows: DataFrame, id_column: str, fields: list[str]) -> DataFrame
     return each
 
 
+#: Fields of a symbol that are searched.
+TEXT_FIELDS = ("name", "signature", "doc_comment", "tags_text")
+
+
+def symbol_tokens(symbols: DataFrame) -> DataFrame:
+    """The inverted index of symbols: (id, field, pos, token)."""
+    text = symbols.withColumn("tags_text", F.array_join("tags", " ")) if "tags" in symbols.columns else symbols
+    return token_table(text, "id", [c for c in TEXT_FIELDS if c in text.columns])
+
+
 def phrase_search(index: DataFrame, phrases: DataFrame) -> DataFrame:
     """(phrase_id, id): rows that hold all tokens of a phrase side by side in one field.
 
@@ -134,16 +154,16 @@ def phrase_search(index: DataFrame, phrases: DataFrame) -> DataFrame:
     return met.groupBy("phrase_id", "n", "id", "field", "start").agg(F.count("*").alias("hits")).where("hits = n").select("phrase_id", "id").distinct()
 
 
-def search_symbols(symbols: DataFrame, keywords: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
+def search_symbols(symbols: DataFrame, keywords: DataFrame, limit: int = SEARCH_LIMIT, index: DataFrame | None = None) -> DataFrame:
     """(kw_pos, keyword, symbol ...): token matches of each keyword, or else names and signatures that contain it.
 
     keywords: (kw_pos, keyword). White space parts a keyword into phrases, any of which may match; at most
-    ``limit`` symbols a keyword, by id.
+    ``limit`` symbols a keyword, by id. ``index``: the inverted index, if it is stored; else it is made.
     """
     terms = keywords.select("kw_pos", F.explode(F.array_remove(F.split("keyword", r"\s+"), "")).alias("term")).select("kw_pos", tokens(F.col("term")).alias("words")).withColumn("phrase_id", F.struct("kw_pos", "words"))
-    text = symbols.withColumn("tags_text", F.array_join("tags", " ")) if "tags" in symbols.columns else symbols
-    fields = [c for c in ("name", "signature", "doc_comment", "tags_text") if c in text.columns]
-    hits = phrase_search(token_table(text, "id", fields), terms.select("phrase_id", "words")).select(F.col("phrase_id.kw_pos").alias("kw_pos"), "id").distinct()
+    asked = {w for r in terms.select("words").collect() for w in r["words"]}  # words of one question
+    stored = (symbol_tokens(symbols) if index is None else index).where(F.col("token").isin(*asked))  # reaches the scan of a stored index
+    hits = phrase_search(stored, terms.select("phrase_id", "words")).select(F.col("phrase_id.kw_pos").alias("kw_pos"), "id").distinct()
     missed = keywords.join(hits.select("kw_pos").distinct(), "kw_pos", "left_anti")
     like = F.concat(F.lit("%"), F.col("keyword"), F.lit("%"))
     # keywords are a handful, made from one question

@@ -12,20 +12,22 @@ from ..plans.lineage import cut
 #: Kinds that can be called, and how sure an edge is.
 CALLABLE = ("function", "method", "class", "variable", "constant")
 SURE, BY_RECEIVER, BY_TYPE = 1.0, 0.7, 0.8
-#: Hops of re-exports that are followed.
-HOPS = 8
 
 
 def import_path(from_path: Column, source: Column, aliases: list[tuple[str, str]] = (), module: str | None = None) -> Column:
     """Where an import points: relative to its file, by an alias, below the Go module, or as it says."""
     out = F.when(source.startswith("."), normal_path(F.concat_ws("/", dir_name(from_path), source)))
     for prefix, target in aliases:
-        out = out.when(source.startswith(prefix), normal_path(F.concat(F.lit(target), F.substring(source, len(prefix) + 1, 4096))))
+        out = out.when(source.startswith(prefix), normal_path(F.concat(F.lit(target), _after(source, prefix))))
     if module:
-        out = out.when(source.startswith(module + "/"), F.substring(source, len(module) + 2, 4096))
+        out = out.when(source.startswith(module + "/"), _after(source, module + "/"))
     return out.otherwise(source)
 
 
+def _after(text: Column, prefix: str) -> Column:
+    return F.substr(text, F.lit(len(prefix) + 1), F.length(text))
+
+
 def _last(name: Column) -> Column:
     return F.element_at(F.split(name, r"\."), -1)
 
@@ -71,13 +73,16 @@ def path_keys(files: DataFrame) -> DataFrame:
 
 
 def reexports(imports: DataFrame, files: DataFrame, aliases=(), module=None) -> DataFrame:
-    """(start, target): what a path leads to through files that re-export others wholly, in any number of hops up to HOPS."""
+    """(start, target): what a path leads to through files that re-export others wholly, in any number of hops.
+
+    A pair is found once, so rings end; the driver learns only whether a hop found any.
+    """
     whole = imports.where(F.col("is_namespace") & (F.size("imported_names") == 0)).join(files.select(F.col("id").alias("file_id"), F.col("path").alias("from_path")), "file_id")
     step = whole.select(stem(F.col("from_path")).alias("start"), import_path(F.col("from_path"), F.col("source_path"), aliases, module).alias("target"))
     index = step.where(F.col("start").rlike(r"/index$")).select(F.regexp_replace("start", r"/index$", "").alias("start"), "target")
     step = cut(step.union(index).distinct())
     found = frontier = step
-    for _ in range(HOPS):
+    while True:
         onward = frontier.join(step.select(F.col("start").alias("target"), F.col("target").alias("next")), "target").select("start", F.col("next").alias("target")).distinct()
         frontier = cut(onward.join(found, ["start", "target"], "left_anti"))
         if frontier.isEmpty():
@@ -93,12 +98,13 @@ def call_graph(sites: DataFrame, symbols: DataFrame, files: DataFrame, imports:
     same = called.join(_in_file(symbols.where(F.col("kind").isin(*CALLABLE))).select("file_id", F.col("name").alias("callee_name"), "symbol"), ["file_id", "callee_name"]).select("id", "symbol", F.lit(1).alias("how"))
     names = imported_names(imports, files, aliases, module)
     sources = called.select("id", "file_id", F.col("callee_name").alias("alias")).join(names, ["file_id", "alias"])
-    keys = path_keys(files)
+    # by path key and name together, so that a key that many files share (an index file's) meets only who asks for its names
+    offered = path_keys(files).join(candidates.select("file_id", F.col("name").alias("original"), "symbol"), "file_id").groupBy("how", "key", "original").agg(F.min("symbol").alias("symbol"))
 
     def through(asked: DataFrame, how: int) -> DataFrame:
         """First candidate in a file that the target names. asked: (id, original, target)."""
         wanted = asked.select("id", "original", F.explode(F.array(F.struct(F.lit("whole").alias("how"), F.col("target").alias("key")), F.struct(F.lit("last").alias("how"), base_name(F.col("target")).alias("key")))).alias("w")).select("id", "original", "w.how", "w.key")
-        met = wanted.join(keys, ["how", "key"]).join(candidates.select("file_id", F.col("name").alias("original"), "symbol"), ["file_id", "original"])
+        met = wanted.join(offered, ["how", "key", "original"])
         return met.groupBy("id").agg(F.min("symbol").alias("symbol")).select("id", "symbol", F.lit(how).alias("how"))
 
     direct = through(sources.select("id", "original", "target"), 2)
@@ -128,14 +134,21 @@ def method_calls(sites: DataFrame, symbols: DataFrame, imports: DataFrame, hints
     hinted = spread.join(hints.select("file_id", "scope", "variable_name", "type_name", F.col("id").alias("hint_id")), ["file_id", "scope", "variable_name"]).groupBy("id").agg(F.min_by("type_name", F.struct("near", -F.col("hint_id"))).alias("type_name"))
     returned = symbols.where(F.col("return_type").isNotNull()).groupBy(F.col("name").alias("receiver_name")).agg(F.max_by("return_type", "id").alias("returned"))
     typed = asked.join(hinted, "id", "left").join(returned, "receiver_name", "left").withColumn("type_name", F.coalesce("type_name", "returned"))
-    met = typed.join(methods, "callee_name")
-    made = implements.select(F.col("class_symbol_id").alias("parent_symbol_id"), F.col("interface_name").alias("type_name")).withColumn("implements", F.lit(True)).distinct()
-    met = met.join(made, ["parent_symbol_id", "type_name"], "left")
-    several = met.groupBy("id").agg(F.count("*").alias("n"))
-    imported = imports.select("file_id", F.explode("imported_names").alias("class_name")).distinct().withColumn("imported", F.lit(True))
-    met = met.join(several, "id").join(imported, ["file_id", "class_name"], "left")
-    how = F.when(F.col("class_name") == F.col("type_name"), 1).when(F.col("implements"), 2).when(F.col("n") == 1, 3).when(F.col("imported"), 4).when(F.col("method_file") == F.col("file_id"), 5)
-    best = met.withColumn("how", how).where("how is not null").groupBy("id").agg(F.min_by("symbol", F.struct("how", "symbol")).alias("callee"))
+    # each way of telling is an equi-join with the first method it can lead to, so a common name meets no list of methods
+    made = implements.select(F.col("class_symbol_id").alias("parent_symbol_id"), F.col("interface_name").alias("type_name")).distinct()
+    imported = imports.select("file_id", F.explode("imported_names").alias("class_name")).distinct()
+    ways = (
+        methods.select("callee_name", F.col("class_name").alias("type_name"), "symbol"),
+        methods.join(made, "parent_symbol_id").select("callee_name", "type_name", "symbol"),
+        methods.groupBy("callee_name").agg(F.count("*").alias("n"), F.min("symbol").alias("symbol")).where("n = 1").drop("n"),
+        methods.join(imported, "class_name").select("callee_name", "file_id", "symbol"),
+        methods.select("callee_name", F.col("method_file").alias("file_id"), "symbol"),
+    )
+    told = []
+    for how, way in enumerate(ways, 1):
+        by = [c for c in way.columns if c != "symbol"]
+        told.append(typed.join(way.groupBy(*by).agg(F.min("symbol").alias("symbol")), by).select("id", "symbol", F.lit(how).alias("how")))
+    best = reduce(DataFrame.union, told).groupBy("id").agg(F.min_by("symbol", "how").alias("callee"))
     edges = asked.join(best, "id").where("caller <> callee").groupBy("caller", "callee").agg(F.min(F.struct("id", "line")).alias("f"))
     return edges.select(F.col("caller").alias("caller_symbol_id"), F.col("callee").alias("callee_symbol_id"), "f.line", F.lit(BY_TYPE).alias("confidence"))
 

@@ -54,8 +54,8 @@ def symbol_score(name: Column, keyword: Column, exported: Column) -> Column:
     return F.least(score + F.when(F.coalesce(exported, F.lit(False)), EXPORTED_BONUS).otherwise(0), F.lit(100))
 
 
-def by_name(symbols: DataFrame, files: DataFrame, asked: DataFrame) -> DataFrame:
-    found = lookup.with_path(lookup.search_symbols(symbols, asked.select("kw_pos", "keyword")), files).join(F.broadcast(asked.select("kw_pos", "original")), "kw_pos")
+def by_name(symbols: DataFrame, files: DataFrame, asked: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+    found = lookup.with_path(lookup.search_symbols(symbols, asked.select("kw_pos", "keyword"), index=tokens), files).join(F.broadcast(asked.select("kw_pos", "original")), "kw_pos")
     score = symbol_score(F.col("name"), F.col("keyword"), F.col("is_exported"))
     score = F.when(F.col("original"), score).otherwise(F.greatest(score - SYNONYM_LOSS, F.lit(SYNONYM_FLOOR)))
     reason = F.when(F.col("original"), F.format_string('Match: "%s" in %s name', "keyword", "kind")).otherwise(F.format_string('Semantic match: "%s" (synonym) in %s name', "keyword", "kind"))
@@ -119,7 +119,8 @@ def directories(words: DataFrame, symbols: DataFrame, files: DataFrame) -> DataF
     parts = hits.join(enough, "kw_pos").withColumn("parts", F.split("path", "/")).select("kw_pos", "keyword", "path", "n", "parts", F.posexplode("parts").alias("i", "part")).where(F.lower("part") == F.lower("keyword"))
     dirs = parts.where(F.col("i") < F.size("parts") - 1).select("kw_pos", "keyword", "n", "i", F.array_join(F.slice("parts", F.lit(1), F.col("i") + 1), "/").alias("dir"))
     counted = dirs.groupBy("kw_pos", "keyword", "dir").agg(F.count("*").alias("files"), F.min(F.struct("n", "i")).alias("first"))
-    shown = counted.join(lookup.directory_exports(symbols, files), "dir", "left")
+    counted = cut(counted)  # a few rows a word
+    shown = counted.join(lookup.directory_exports(symbols, files, counted), "dir", "left")
     return _entry(shown, key=F.concat(F.col("dir"), F.lit(":__dir__")), file=F.concat(F.col("dir"), F.lit("/")), signature=F.concat(F.col("files").cast("string"), F.lit(" files | Exports: "), F.coalesce("exports", F.lit("none"))), reason=F.format_string('Directory matches "%s"', "keyword"), relevance=F.lit(DIRECTORY), slot=_slot(6, F.col("kw_pos"), F.col("first.n"), F.col("first.i")))
 
 
@@ -129,7 +130,7 @@ def query(spark: SparkSession, index, task: str, limit: int = 15, groups=concept
     asked = spark.createDataFrame(asked_rows, "kw_pos int, keyword string, original boolean")
     words = spark.createDataFrame(list(enumerate(concepts.keywords(task) if asked_rows else [])), "kw_pos int, keyword string")
     # what a pass found is bounded by the keywords and the limits; it is written before the next pass starts from it
-    found = cut(_merge(by_name(index.symbols, index.files, asked)).unionByName(by_path(index.symbols, index.files, asked)))
+    found = cut(_merge(by_name(index.symbols, index.files, asked, getattr(index, "tokens", None))).unionByName(by_path(index.symbols, index.files, asked)))
     new, edges = neighbours(found, index.symbols, index.files, index.calls)
     entries = cut(_add(found, new))
     entries = _add(entries, partners(entries, index.co_changes))

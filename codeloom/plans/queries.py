@@ -137,15 +137,33 @@ def files_by_path(v):
     return v.files.orderBy("path")
 
 
-@register("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+@register(
+    "SELECT path AS file_path, source_path, imported_names, is_default, is_namespace FROM (SELECT page_id % 50 AS file_id, regexp_replace(url, '^https?://', '') AS source_path, string_split(regexp_replace(url, '^https?://', ''), '/') AS imported_names, page_id % 2 = 0 AS is_default, page_id % 3 = 0 AS is_namespace FROM pages) JOIN files ON files.id = file_id",
+    FILES,
+)
 def file_imports(v):
-    return v.table("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    path = F.regexp_replace("url", r"^https?://", "")
+    imports = v.table("pages").select(F.col("page_id").alias("id"), (F.col("page_id") % 50).alias("file_id"), path.alias("source_path"), F.split(path, "/").alias("imported_names"), (F.col("page_id") % 2 == 0).alias("is_default"), (F.col("page_id") % 3 == 0).alias("is_namespace"))
+    return lookup.imports_of(imports, v.files)
+
 
+#: Every seventh file in the role of a test.
+_TESTED = """tested AS (SELECT id, CASE id % 7 WHEN 0 THEN 'tests/' || path WHEN 1 THEN replace(path, '.txt', '.test.txt') WHEN 2 THEN replace(path, '.txt', '.spec.txt') ELSE path END AS path FROM files)"""
 
-@register("SELECT DISTINCT c.callee_symbol_id, f.path AS file_path, s.name, s.line_start FROM calls c JOIN symbols s ON s.id = c.caller_symbol_id JOIN files f ON f.id = s.file_id WHERE f.path LIKE '%doc_1%'", f"{FILES}, {SYMBOLS}, {CALLS}")
+
+@register("SELECT DISTINCT c.callee_symbol_id, f.path AS file_path, s.name, s.line_start FROM calls c JOIN symbols s ON s.id = c.caller_symbol_id JOIN tested f ON f.id = s.file_id WHERE f.path LIKE '%test%'", f"{FILES}, {SYMBOLS}, {CALLS}, {_TESTED}")
 def tests_semi_join(v):
-    found = lookup.callers(v.calls, v.symbols, v.files).where(F.col("file_path").contains("doc_1"))
-    return found.select("callee_symbol_id", "file_path", "name", "line_start").distinct()
+    return lookup.tests_of(v.calls, v.symbols, _tested(v))
+
+
+@register("SELECT DISTINCT target, path FROM (SELECT f.path AS target, t.path FROM files f JOIN tested t ON t.id = f.id WHERE t.path LIKE '%.test.txt')", f"{FILES}, {_TESTED}")
+def tests_by_name(v):
+    return lookup.tests_named_like(v.files.unionByName(_tested(v)), v.files).distinct()
+
+
+@register("SELECT f.*, coalesce(n, 0) AS symbol_count FROM files f LEFT JOIN (SELECT file_id, count(*) AS n FROM symbols GROUP BY file_id) s ON s.file_id = f.id WHERE path ILIKE '%/EN/doc_%7%'", f"{FILES}, {SYMBOLS}")
+def files_like(v):
+    return lookup.files_by_path(v.files, v.symbols, "%/EN/doc_%7%")
 
 
 @register(
@@ -154,8 +172,8 @@ FROM (SELECT 1 AS file_id, p.line, s.* EXCLUDE (file_id) FROM (SELECT DISTINCT l
     SYMBOLS,
 )
 def symbol_at_line(v):
-    probes = v.table("lineitem").select(F.lit(1).alias("file_id"), F.col("l_partkey").alias("line")).distinct()
-    return lookup.symbol_at(v.symbols.withColumn("file_id", F.lit(1)), probes)
+    places = v.table("lineitem").select(F.lit(1).alias("file_id"), F.col("l_partkey").alias("line")).distinct()
+    return lookup.symbol_at(v.symbols.withColumn("file_id", F.lit(1)), places)
 
 
 _TREE = """edges AS (SELECT DISTINCT callee_symbol_id AS src, caller_symbol_id AS dst FROM calls)"""
@@ -172,11 +190,11 @@ def impact_bfs(v):
 
 @register(
     "SELECT seed, node, CAST(min(d) AS INTEGER) AS depth FROM walk GROUP BY seed, node",
-    f"RECURSIVE {CALLS}, walk AS (SELECT CAST(p_partkey AS BIGINT) AS seed, CAST(p_partkey AS BIGINT) AS node, 0 AS d FROM part UNION SELECT seed, callee_symbol_id, d + 1 FROM walk JOIN calls ON caller_symbol_id = node WHERE d < 3)",
+    f"RECURSIVE {CALLS}, walk AS (SELECT CAST(p_partkey AS BIGINT) AS seed, CAST(p_partkey AS BIGINT) AS node, 0 AS d FROM part WHERE p_partkey % 50 = 0 UNION SELECT seed, callee_symbol_id, d + 1 FROM walk JOIN calls ON caller_symbol_id = node WHERE d < 3)",
 )
 def depends_chain(v):
-    """Every symbol and all that it depends on, to depth 3."""
-    return graph.callees_within(v.calls, v.symbols.select(F.col("id").alias("node")), 3)
+    """All that the symbols asked about depend on, to depth 3. Asked about: every symbol whose id is divisible by 50."""
+    return graph.callees_within(v.calls, v.symbols.where("id % 50 = 0").select(F.col("id").alias("node")), 3)
 
 
 _RISK = f"""{FILES}, {SYMBOLS}, {CALLS}, placed AS (
@@ -194,33 +212,23 @@ def impact_risk(v):
 
 
 @register(
-    """SELECT target_id, direct, indirect, core_files, high_risk, CAST(0 AS BIGINT) AS tests, score, CASE WHEN score >= 80 THEN 'CRITICAL' WHEN score >= 50 THEN 'HIGH' WHEN score >= 20 THEN 'MEDIUM' ELSE 'LOW' END AS level
-FROM (SELECT *, CAST(least(100, 10 * direct + 5 * core_files + 15 * high_risk + CASE WHEN direct > 0 THEN 20 ELSE 0 END) AS BIGINT) AS score FROM sums)""",
-    _RISK + """, sums AS (
-  SELECT c.callee_symbol_id AS target_id, count(*) AS direct, CAST(0 AS BIGINT) AS indirect, count(DISTINCT r.file_path) AS core_files, count(*) FILTER (WHERE r.risk = 'high') AS high_risk
-  FROM calls c JOIN rated r ON r.id = c.caller_symbol_id JOIN symbols t ON t.id = c.callee_symbol_id GROUP BY 1
-)""",
-)
-def impact_blast_radius(v):
-    """Of every symbol, by its direct callers."""
-    return graph.blast_radius(v.calls, v.symbols, v.files, v.symbols.select(F.col("id").alias("node")), 1)
-
-
-@register(
-    """SELECT target_id, direct, indirect, core_files, high_risk, CAST(0 AS BIGINT) AS tests, score, CASE WHEN score >= 80 THEN 'CRITICAL' WHEN score >= 50 THEN 'HIGH' WHEN score >= 20 THEN 'MEDIUM' ELSE 'LOW' END AS level
-FROM (SELECT *, CAST(least(100, 10 * direct + 3 * indirect + 5 * core_files + 15 * high_risk + CASE WHEN direct > 0 THEN 20 ELSE 0 END) AS BIGINT) AS score FROM sums)""",
-    "RECURSIVE " + _RISK + f""", {_TREE}, walk AS (
-  SELECT id AS target_id, id AS node, 0 AS d FROM symbols UNION SELECT target_id, dst, d + 1 FROM walk JOIN edges ON src = node WHERE d < 3
+    """SELECT target_id, direct, indirect, core_files, high_risk, tests, score, CASE WHEN score >= 80 THEN 'CRITICAL' WHEN score >= 50 THEN 'HIGH' WHEN score >= 20 THEN 'MEDIUM' ELSE 'LOW' END AS level
+FROM (SELECT *, CAST(least(100, 10 * direct + 3 * indirect + 5 * core_files + 15 * high_risk + CASE WHEN direct > 0 AND tests = 0 THEN 20 ELSE 0 END) AS BIGINT) AS score FROM sums)""",
+    "RECURSIVE " + _RISK.replace("JOIN files f", "JOIN tested f").replace(f"{CALLS},", f"{CALLS}, {_TESTED},") + f""", {_TREE}, walk AS (
+  SELECT id AS target_id, id AS node, 0 AS d FROM symbols WHERE id % 50 = 0 UNION SELECT target_id, dst, d + 1 FROM walk JOIN edges ON src = node WHERE d < 3
 ), near AS (SELECT target_id, node, min(d) AS d FROM walk GROUP BY 1, 2
+), t AS (
+  SELECT target_id, path, name, line_start FROM edges JOIN walk w ON w.d = 0 AND src = w.node JOIN symbols s ON s.id = dst JOIN tested f ON f.id = s.file_id WHERE path LIKE '%test%' GROUP BY ALL
+), n AS (SELECT target_id, count(*) AS tests FROM t GROUP BY 1
 ), sums AS (
-  SELECT target_id, count(*) FILTER (WHERE d = 1) AS direct, count(*) FILTER (WHERE d > 1) AS indirect,
-         count(DISTINCT file_path) FILTER (WHERE file_path NOT LIKE '%test%' AND file_path NOT LIKE '%spec%') AS core_files, count(*) FILTER (WHERE risk = 'high') AS high_risk
-  FROM near JOIN rated ON rated.id = node WHERE d > 0 GROUP BY 1
+  SELECT near.target_id, count(*) FILTER (WHERE d = 1) AS direct, count(*) FILTER (WHERE d > 1) AS indirect,
+         count(DISTINCT file_path) FILTER (WHERE file_path NOT LIKE '%test%' AND file_path NOT LIKE '%spec%') AS core_files, count(*) FILTER (WHERE risk = 'high') AS high_risk, coalesce(any_value(tests), 0) AS tests
+  FROM near JOIN rated ON rated.id = node LEFT JOIN n ON n.target_id = near.target_id WHERE d > 0 GROUP BY near.target_id
 )""",
 )
-def impact_blast_radius_indirect(v):
-    """Of every symbol, by its callers to the depth that the engine takes."""
-    return graph.blast_radius(v.calls, v.symbols, v.files, v.symbols.select(F.col("id").alias("node")))
+def impact_blast_radius(v):
+    """Of every symbol whose id is divisible by 50, by its callers to depth 3, with every seventh file a test."""
+    return graph.blast_radius(v.calls, v.symbols, _tested(v), v.symbols.where("id % 50 = 0").select(F.col("id").alias("node")))
 
 
 _STYLE = """CASE WHEN regexp_matches({0}, '^[a-z][a-zA-Z0-9]*$') AND regexp_matches({0}, '[A-Z]') THEN 'camelCase' WHEN regexp_matches({0}, '^[A-Z][a-zA-Z0-9]*$') THEN 'PascalCase'
@@ -419,7 +427,7 @@ def compound_identifiers(v):
     return v.spark.createDataFrame(list(enumerate(concepts.compounds(["create", "user"]))), "pos int, compound string")
 
 
-@register("SELECT * FROM (VALUES (1, 3, 15, 1.0::DOUBLE), (4, 1, 18, 1.0), (5, 1, 10, 1.0)) t(caller_symbol_id, callee_symbol_id, line, confidence)")
+@register("SELECT * FROM (VALUES (1, 2, 12, 1.0::DOUBLE), (1, 3, 24, 1.0), (3, 4, 15, 1.0), (5, 1, 18, 1.0), (5, 6, 27, 1.0), (7, 1, 20, 1.0), (8, 1, 14, 1.0)) t(caller_symbol_id, callee_symbol_id, line, confidence)")
 def resolve_static_calls(v):
     s = scenario(v.spark)
     edges = resolve.call_graph(s.call_sites, s.symbols, s.files, s.imports)
@@ -494,26 +502,116 @@ def _extraction(language: str):
     return run
 
 
-for _name, _ending in (("typescript", ".ts"), ("python", ".py"), ("go", ".go"), ("rust", ".rs"), ("java", ".java"), ("ruby", ".rb"), ("csharp", ".cs"), ("php", ".php")):
-    QUERIES[f"extract_{_name}"] = _extraction(_ending)
+def _declared(ending: str) -> str:
+    """The same as constant rows."""
+    from .scenario import DECLARED, SOURCES
+
+    path = next(p for p, _ in SOURCES if p.endswith("." + ending))
+    quoted = lambda text: "CAST(NULL AS VARCHAR)" if text == "-" else "'" + text.replace("'", "''") + "'"
+    rows = [f"({quoted(path)}, {quoted(n)}, {quoted(k)}, {a}, {z}, {'true' if e == 'y' else 'false'}, {quoted(p)})" for own, n, k, a, z, e, p in DECLARED if own == ending]
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) t(path, name, kind, line_start, line_end, is_exported, parent_name)"
+
+
+for _name, _ending in (("typescript", "ts"), ("python", "py"), ("go", "go"), ("rust", "rs"), ("java", "java"), ("ruby", "rb"), ("csharp", "cs"), ("php", "php")):
+    QUERIES[f"extract_{_name}"], ORACLE_SQL[f"extract_{_name}"] = _extraction("." + _ending), _declared(_ending)
+
+
+#: The question of the two queries below, its keywords as ``concepts.question`` makes them, and its words.
+_TASK = "where is the small ring src3"
+
+
+def _asked(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join("'" + v + "'" if isinstance(v, str) else str(v).lower() for v in r) + ")" for r in rows)
+
+
+_TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda x: x <> '')"
+_SEARCH = f"""{FILES}, {SYMBOLS}, {CALLS}, {_TESTED}, co AS (
+  SELECT a.path AS fa, b.path AS fb, CAST(2 AS BIGINT) AS change_count, CAST((30 + a.id % 60) AS DOUBLE) / 100 AS confidence FROM tested a JOIN tested b ON b.id = a.id + 1
+), asked AS (SELECT * FROM (VALUES {_asked(concepts.question(_TASK))}) t(kw_pos, keyword, original)
+), words AS (SELECT * FROM (VALUES {_asked(list(enumerate(concepts.keywords(_TASK))))}) t(kw_pos, keyword)
+), placed AS (SELECT s.*, f.path FROM symbols s JOIN tested f ON f.id = s.file_id
+), hits AS (
+  SELECT DISTINCT kw_pos, id FROM (SELECT kw_pos, ' ' || array_to_string({_TOKENS.format("keyword")}, ' ') || ' ' AS phrase FROM asked) q
+  JOIN (SELECT id, unnest([name, signature]) AS field FROM symbols) s ON contains(' ' || array_to_string({_TOKENS.format("field")}, ' ') || ' ', phrase)
+), matched AS (
+  SELECT * FROM hits UNION ALL SELECT kw_pos, id FROM asked JOIN symbols ON name ILIKE '%' || keyword || '%' OR signature ILIKE '%' || keyword || '%' WHERE kw_pos NOT IN (SELECT kw_pos FROM hits)
+), ranked AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kw_pos ORDER BY id) AS row_pos FROM matched) WHERE row_pos <= 50
+), e1 AS (
+  SELECT path || ':' || name AS key, path AS file, name AS symbol, kind, CAST(line_start AS INTEGER) AS line, signature, 'Match: "' || keyword || '" in ' || kind || ' name' AS reason,
+         least(100, CASE WHEN lower(name) = lower(keyword) THEN 100 WHEN starts_with(lower(name), lower(keyword)) THEN 85 WHEN contains(lower(name), lower(keyword)) THEN 70 ELSE 50 END + CASE WHEN is_exported THEN 5 ELSE 0 END) AS relevance,
+         [1, kw_pos, row_pos, 0, 0] AS slot
+  FROM ranked JOIN asked USING (kw_pos) JOIN placed USING (id)
+), paths AS (
+  SELECT * FROM (SELECT f.id, path, keyword, kw_pos, row_number() OVER (PARTITION BY kw_pos ORDER BY f.id) AS row_pos FROM asked JOIN tested f ON path ILIKE '%' || keyword || '%') WHERE row_pos <= 10
+), e2 AS (
+  SELECT path || ':__file__' AS key, path AS file, CAST(NULL AS VARCHAR) AS symbol, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS INTEGER) AS line, CAST(NULL AS VARCHAR) AS signature, 'File path matches "' || keyword || '"' AS reason,
+         CASE WHEN own = lower(keyword) THEN 85 WHEN list_contains(dirs, lower(keyword)) THEN 80 WHEN contains(own, lower(keyword)) THEN 75 ELSE 50 END + CASE WHEN n > 0 THEN 5 ELSE 0 END AS relevance, [2, kw_pos, row_pos, 0, 0] AS slot
+  FROM (SELECT p.*, n, lower(regexp_replace(string_split(path, '/')[-1], '\\.[^.]+$', '')) AS own, list_transform(string_split(path, '/')[:-2], lambda x: lower(x)) AS dirs, row_number() OVER (PARTITION BY path ORDER BY kw_pos) AS turn
+        FROM paths p LEFT JOIN (SELECT file_id, count(*) AS n FROM symbols GROUP BY 1) c ON c.file_id = p.id) WHERE turn = 1
+), found AS (
+  SELECT key, file, symbol, kind, line, signature, reason, relevance, least_slot AS slot FROM (
+    SELECT *, row_number() OVER (PARTITION BY key ORDER BY relevance DESC, slot) AS k, min(slot) OVER (PARTITION BY key) AS least_slot FROM (SELECT * FROM e1 UNION ALL SELECT * FROM e2)) WHERE k = 1
+), starts AS (
+  SELECT key, f.symbol, slot, min(p.id) AS start_id FROM found f JOIN placed p ON p.path = f.file AND p.name = f.symbol WHERE relevance >= 60 AND line IS NOT NULL GROUP BY ALL
+), sides AS (
+  SELECT s.key, s.symbol, slot, 0 AS side, caller_symbol_id AS id, row_number() OVER (PARTITION BY s.key ORDER BY c.line, caller_symbol_id) AS k FROM starts s JOIN calls c ON c.callee_symbol_id = start_id JOIN placed p ON p.id = caller_symbol_id
+  UNION ALL SELECT s.key, s.symbol, slot, 1, callee_symbol_id, row_number() OVER (PARTITION BY s.key ORDER BY c.line, callee_symbol_id) FROM starts s JOIN calls c ON c.caller_symbol_id = start_id JOIN placed p ON p.id = callee_symbol_id
+), e3 AS (
+  SELECT path || ':' || name AS key, path AS file, name AS symbol, p.kind, CAST(line_start AS INTEGER) AS line, p.signature, CASE side WHEN 0 THEN 'Calls ' ELSE 'Called by ' END || s.symbol AS reason, CASE side WHEN 0 THEN 40 ELSE 35 END AS relevance,
+         [3, slot[1] * 1000000 + slot[2], slot[3], side, k] AS slot
+  FROM sides s JOIN placed p USING (id) WHERE k <= 5
+), a3 AS (
+  SELECT * FROM found UNION ALL SELECT * EXCLUDE (turn) FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY slot) AS turn FROM e3) WHERE turn = 1 AND key NOT IN (SELECT key FROM found)
+), sources AS (SELECT file AS path, min(slot) AS slot FROM a3 WHERE relevance >= 50 GROUP BY 1
+), e4 AS (
+  SELECT file || ':__cochange__' AS key, file, NULL, NULL, NULL, NULL, 'Co-changes with ' || path || ' (' || CAST(floor(confidence * 100 + 0.5) AS BIGINT) || '% correlation)' AS reason, CAST(20 + floor(confidence * 20 + 0.5) AS INTEGER) AS relevance,
+         [4, slot[1] * 1000000 + slot[2], slot[3], k, 0] AS slot
+  FROM (SELECT s.path, s.slot, file, confidence, row_number() OVER (PARTITION BY s.path ORDER BY confidence DESC, file) AS k FROM sources s JOIN (SELECT fa AS path, fb AS file, confidence FROM co UNION SELECT fb, fa, confidence FROM co) c ON c.path = s.path) WHERE k <= 3
+), a4 AS (
+  SELECT * FROM a3 UNION ALL SELECT * EXCLUDE (turn) FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY slot) AS turn FROM e4) WHERE turn = 1 AND key NOT IN (SELECT key FROM a3)
+), patterns AS (
+  SELECT file AS source, slot, unnest([base || '.test.%', base || '.spec.%', '%test%' || regexp_replace(string_split(file, '/')[-1], '\\.[^.]+$', '') || '%']) AS pattern, unnest([0, 1, 2]) AS n
+  FROM (SELECT *, regexp_replace(file, '\\.[^.]+$', '') AS base FROM a4) WHERE relevance >= 50
+), e5 AS (
+  SELECT path || ':__test__' AS key, path AS file, NULL, NULL, NULL, NULL, 'Test file for ' || source AS reason, 30 AS relevance, [5, slot[1] * 1000000 + slot[2], slot[3], n, id] AS slot FROM patterns JOIN tested ON path ILIKE pattern
+), a5 AS (
+  SELECT * FROM a4 UNION ALL SELECT * EXCLUDE (turn) FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY slot) AS turn FROM e5) WHERE turn = 1 AND key NOT IN (SELECT key FROM a4)
+), inside AS (
+  SELECT * FROM (SELECT kw_pos, keyword, path, string_split(path, '/') AS parts, row_number() OVER (PARTITION BY kw_pos ORDER BY f.id) AS n FROM words JOIN tested f ON path ILIKE '%/' || keyword || '/%') WHERE n <= 50
+), dirs AS (
+  SELECT kw_pos, keyword, array_to_string(parts[:i + 1], '/') AS dir, count(*) AS files, min([n, i]) AS first FROM (SELECT *, unnest(range(0, len(parts))) AS i FROM inside WHERE kw_pos IN (SELECT kw_pos FROM inside GROUP BY 1 HAVING count(*) >= 3))
+  WHERE lower(parts[i + 1]) = lower(keyword) AND i < len(parts) - 1 GROUP BY ALL
+), e6 AS (
+  SELECT dir || ':__dir__' AS key, dir || '/' AS file, NULL, NULL, NULL, files || ' files | Exports: ' || coalesce(array_to_string(list(p.name ORDER BY p.kind, p.name, p.id)[1:15], ', '), 'none') AS signature, 'Directory matches "' || keyword || '"' AS reason, 78 AS relevance, [6, kw_pos, first[1], first[2], 0] AS slot
+  FROM dirs LEFT JOIN placed p ON starts_with(p.path, dir || '/') AND p.is_exported GROUP BY kw_pos, keyword, dir, files, first
+), a6 AS (
+  SELECT * FROM a5 UNION ALL SELECT * EXCLUDE (turn) FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY slot) AS turn FROM e6) WHERE turn = 1 AND key NOT IN (SELECT key FROM a5)
+), numbered AS (SELECT CAST(row_number() OVER (ORDER BY relevance DESC, slot) AS INTEGER) AS rank, * FROM a6)"""
 
 
 def _searched(v: StandIns):
     from ..operators import search
 
+    files = _tested(v)
+    after = files.select((F.col("id") - 1).alias("id"), F.col("path").alias("file_path_b"))
+
     class Index:
-        files, symbols, calls, co_changes = v.files, v.symbols, v.calls, _pairs(v)
+        symbols, calls = v.symbols, v.calls
+        co_changes = files.withColumnRenamed("path", "file_path_a").join(after, "id").select("file_path_a", "file_path_b", F.lit(2).cast("long").alias("change_count"), ((F.col("id") % 60 + 30) / 100).alias("confidence"))
 
+    Index.files = files
     return search, Index
 
 
-@register()
+@register("SELECT rank, key, file, symbol, kind, line, signature, reason, relevance FROM numbered", _SEARCH)
 def ranked_search(v):
+    """All that all six passes find, in order; every seventh file in the role of a test, neighbours by id changing together."""
     search, index = _searched(v)
-    return search.query(v.spark, index, "where is the cold ring handled", 15).drop("calls", "called_by")
+    return search.query(v.spark, index, _TASK, 1 << 30).drop("calls", "called_by")
 
 
-@register()
+@register("SELECT rank, CASE WHEN relevance >= 60 THEN 'READ' WHEN relevance >= 30 THEN 'CHECK' ELSE 'AWARE' END AS priority, file, symbol, relevance, reason FROM numbered WHERE rank <= 10", _SEARCH)
 def suggest(v):
     search, index = _searched(v)
-    return search.suggest(v.spark, index, "find the cold ring")
+    return search.suggest(v.spark, index, _TASK)

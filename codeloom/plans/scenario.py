@@ -17,17 +17,22 @@ def _frame(spark: SparkSession, table: str, columns: str, rows: list[tuple]):
 
 
 def scenario(spark: SparkSession) -> SimpleNamespace:
-    """A log-in service, its session, a route and a test: three calls."""
-    files = _frame(spark, "files", "id path language size hash", [(1, "src/auth/service.ts", "typescript", 500, "a"), (2, "src/auth/session.ts", "typescript", 300, "b"), (3, "src/routes/auth.ts", "typescript", 400, "c"), (4, "tests/auth.test.ts", "typescript", 200, "d")])
-    columns = "id file_id name kind line_start line_end signature is_exported is_default"
-    symbols = _frame(
-        spark, "symbols", columns,
-        [(1, 1, "loginUser", "function", 5, 20, "function loginUser(email, password)", True, False), (2, 1, "validateToken", "function", 22, 30, "function validateToken(token)", True, False), (3, 2, "createSession", "function", 3, 15, "function createSession(user)", True, False), (4, 3, "handleLogin", "function", 10, 25, "function handleLogin(req, res)", True, False), (5, 4, "testLogin", "function", 5, 20, "function testLogin()", False, False)],
+    """A book catalogue: a search and its ranking, a web route, a nightly job that imports under another name, and a test."""
+    paths = ("app/catalog/search.ts", "app/catalog/ranking.ts", "app/web/routes.ts", "app/jobs/reindex.ts", "tests/catalog/search.test.ts")
+    files = _frame(spark, "files", "id path language size hash", [(i, p, "typescript", 900 + 70 * i, f"h{i}") for i, p in enumerate(paths, 1)])
+    declared = (  # file, name, lines, exported
+        (1, "findBooks", 8, 31, True), (1, "parseFilters", 33, 52, False),
+        (2, "rankHits", 4, 27, True), (2, "weighTerm", 29, 40, False),
+        (3, "getBooks", 12, 30, True), (3, "sendPage", 32, 47, False),
+        (4, "rebuildIndex", 6, 44, True), (5, "checkFinding", 9, 26, False),
     )
-    imports = _frame(spark, "imports", "id file_id source_path imported_names original_names is_default is_namespace", [(1, 1, "./session", ["createSession"], {}, False, False), (2, 3, "../auth/service", ["loginUser"], {}, False, False), (3, 4, "../src/auth/service", ["loginUser"], {}, False, False)])
-    sites = _frame(spark, "call_sites", "id file_id caller_name callee_name receiver_name line", [(1, 1, "loginUser", "createSession", None, 15), (2, 3, "handleLogin", "loginUser", None, 18), (3, 4, "testLogin", "loginUser", None, 10)])
+    symbols = _frame(spark, "symbols", "id file_id name kind line_start line_end signature is_exported is_default", [(i, f, n, "function", a, z, f"function {n}()", e, False) for i, (f, n, a, z, e) in enumerate(declared, 1)])
+    brought = ((1, "./ranking", "rankHits", {}), (3, "../catalog/search", "findBooks", {}), (4, "../catalog/search", "lookup", {"lookup": "findBooks"}), (5, "../../app/catalog/search", "findBooks", {}))
+    imports = _frame(spark, "imports", "id file_id source_path imported_names original_names is_default is_namespace", [(i, f, p, [n], o, False, False) for i, (f, p, n, o) in enumerate(brought, 1)])
+    called = ((1, "findBooks", "parseFilters", 12), (1, "findBooks", "rankHits", 24), (2, "rankHits", "weighTerm", 15), (3, "getBooks", "findBooks", 18), (3, "getBooks", "sendPage", 27), (4, "rebuildIndex", "lookup", 20), (5, "checkFinding", "findBooks", 14))
+    sites = _frame(spark, "call_sites", "id file_id caller_name callee_name receiver_name line", [(i, f, a, z, None, n) for i, (f, a, z, n) in enumerate(called, 1)])
     empty = {t: spark.createDataFrame([], TABLES[t]) for t in ("type_hints", "implements", "co_changes", "type_refs")}
-    calls = _frame(spark, "calls", "caller_symbol_id callee_symbol_id line confidence", [(1, 3, 15, 1.0), (4, 1, 18, 1.0), (5, 1, 10, 1.0)])
+    calls = _frame(spark, "calls", "caller_symbol_id callee_symbol_id line confidence", [(1, 2, 12, 1.0), (1, 3, 24, 1.0), (3, 4, 15, 1.0), (5, 1, 18, 1.0), (5, 6, 27, 1.0), (7, 1, 20, 1.0), (8, 1, 14, 1.0)])
     return SimpleNamespace(files=files, symbols=symbols, imports=imports, call_sites=sites, calls=calls, **empty)
 
 
@@ -286,3 +291,88 @@ class Auth implements Checker
 function lookup($x) { return strtolower($x); }
 '''),
 ]
+
+#: What each source declares, by reading it: ending, name, kind, first and last line, whether it is exported, its parent.
+DECLARED = [
+    line.split(" ")
+    for line in """
+ts total function 7 11 y -
+ts round function 13 13 n -
+ts discount function 15 15 y -
+ts CartController class 17 30 y -
+ts limit variable 18 18 n CartController
+ts secret variable 19 19 n CartController
+ts constructor method 21 21 n CartController
+ts checkout method 24 27 n CartController
+ts save method 29 29 n CartController
+ts Saver interface 32 32 y -
+ts Money type 33 33 y -
+ts Currency enum 34 34 n -
+py MAX_RETRIES constant 6 6 y -
+py _HIDDEN constant 7 7 n -
+py UserService class 10 24 y -
+py table variable 13 13 y UserService
+py __init__ method 15 16 n UserService
+py find_by_email method 18 21 y UserService
+py _check method 23 24 n UserService
+py authenticate function 27 29 y -
+py _later function 32 33 n -
+go MaxRetries constant 9 9 y -
+go hidden constant 10 10 n -
+go Default variable 13 13 y -
+go AuthService class 16 18 y -
+go Finder interface 20 20 y -
+go Name type 21 21 y -
+go Login method 24 28 y AuthService
+go verify function 30 30 n -
+rs MAX constant 5 5 y -
+rs AuthService class 8 8 y -
+rs Role enum 9 9 y -
+rs Finder interface 10 10 y -
+rs always method 10 10 n Finder
+rs Answer type 11 11 y -
+rs new method 14 14 y AuthService'_
+rs verify method 15 15 n AuthService'_
+rs build function 18 18 n -
+java Auth class 6 20 y -
+java MAX constant 8 8 y Auth
+java last variable 9 9 n Auth
+java Auth method 11 11 y Auth
+java login method 13 17 y Auth
+java verify method 19 19 n Auth
+java Checker interface 22 22 n -
+java login method 22 22 n Checker
+java Role enum 23 23 n -
+rb MAX constant 4 4 y -
+rb Checks class 6 28 y -
+rb Auth class 7 23 y Checks
+rb login method 8 12 y Auth
+rb create method 14 16 y Auth
+rb verify method 20 22 n Auth
+rb User class 25 27 y Checks
+rb show method 26 26 y User
+rb helper function 30 32 y -
+cs App.Auth class 4 27 y -
+cs AuthService class 8 23 y -
+cs Max constant 10 10 y AuthService
+cs Key constant 11 11 n AuthService
+cs Other constant 11 11 n AuthService
+cs Name variable 12 12 y AuthService
+cs AuthService method 14 14 y AuthService
+cs Login method 16 20 y AuthService
+cs Verify method 22 22 n AuthService
+cs IAuth interface 25 25 y -
+cs Login method 25 25 n IAuth
+cs Role enum 26 26 y -
+php Checker interface 7 7 y -
+php check method 7 7 y Checker
+php Logs class 8 8 y -
+php log method 8 8 y Logs
+php Auth class 10 24 y -
+php MAX constant 12 12 y Auth
+php last variable 13 13 n Auth
+php check method 15 21 y Auth
+php find method 23 23 n Auth
+php lookup function 26 26 y -
+""".strip().splitlines()
+]

@@ -17,7 +17,7 @@ SYMBOLS = """symbols AS (
 )"""
 CALLS = """steps AS (
   SELECT l_partkey AS caller, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS callee, l_linenumber AS line
-  FROM lineitem WHERE l_quantity >= 40
+  FROM lineitem
 ), calls AS (
   SELECT caller AS caller_symbol_id, callee AS callee_symbol_id, min(line) AS line, CAST(1.0 AS DOUBLE) AS confidence
   FROM steps WHERE callee IS NOT NULL AND caller <> callee GROUP BY caller, callee
@@ -49,7 +49,7 @@ class StandIns:
     @cached_property
     def calls(self) -> DataFrame:
         order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-        steps = self.table("lineitem").where("l_quantity >= 40").select(F.col("l_partkey").alias("caller"), F.lead("l_partkey").over(order).alias("callee"), F.col("l_linenumber").alias("line"))
+        steps = self.table("lineitem").select(F.col("l_partkey").alias("caller"), F.lead("l_partkey").over(order).alias("callee"), F.col("l_linenumber").alias("line"))
         edges = steps.where("callee is not null and caller <> callee").groupBy(F.col("caller").alias("caller_symbol_id"), F.col("callee").alias("callee_symbol_id"))
         return edges.agg(F.min("line").alias("line"), F.lit(1.0).alias("confidence"))
 

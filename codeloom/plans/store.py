@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..operators import cochange, patterns, resolve
+from ..operators import cochange, lookup, patterns, resolve
 from ..schemas import PARSED_DDL, TABLES, conform
 from ..sources.project import diff
 from .lineage import cut
@@ -50,6 +50,7 @@ class Index:
     co_changes: DataFrame
     patterns: DataFrame
     meta: DataFrame
+    tokens: DataFrame
 
 
 def relations(parsed: DataFrame) -> dict[str, DataFrame]:
@@ -98,8 +99,10 @@ def build(parsed: DataFrame, commits: DataFrame | None = None, aliases=(), modul
     else:
         pairs = conform(cochange.analyze(commits, r["files"], min_confidence, most_files), "co_changes")
     rows = conform(patterns.extract(r["files"], r["symbols"], r["imports"]), "patterns")
+    # in order of the tokens, so that a question reads the row groups of its own words only
+    tokens = cut(conform(lookup.symbol_tokens(r["symbols"]), "tokens").repartitionByRange("token").sortWithinPartitions("token", "id"))
     pairs_of = [(k, v) for k, v in (meta or {}).items()]
-    return Index(**r, calls=calls, co_changes=cut(pairs), patterns=cut(rows), meta=spark.createDataFrame(pairs_of, TABLES["meta"]))
+    return Index(**r, calls=calls, co_changes=cut(pairs), patterns=cut(rows), meta=spark.createDataFrame(pairs_of, TABLES["meta"]), tokens=tokens)
 
 
 def refresh(before: DataFrame, texts: DataFrame, parse) -> DataFrame:
@@ -113,7 +116,7 @@ def refresh(before: DataFrame, texts: DataFrame, parse) -> DataFrame:
 class IndexStore:
     """Versions of an index below a folder. A version is written whole, then named by one small file, so readers never see a half."""
 
-    TABLES = ("files", "symbols", "imports", "call_sites", "type_hints", "implements", "type_refs", "calls", "co_changes", "patterns", "meta")
+    TABLES = ("files", "symbols", "imports", "call_sites", "type_hints", "implements", "type_refs", "calls", "co_changes", "patterns", "meta", "tokens")
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -126,18 +129,40 @@ class IndexStore:
         fs, folder = self._fs(posixpath.join(self.root, "current"))
         if not fs.exists(folder):
             return None
-        names = sorted(s.getPath().getName() for s in fs.listStatus(folder))
-        return names[-1].split("_", 1)[1] if names else None
+        numbers = sorted(n for s in fs.listStatus(folder) if (n := s.getPath().getName()).isdigit())
+        return self._content(posixpath.join(self.root, "current", numbers[-1])) if numbers else None
+
+    def _content(self, path: str) -> str:
+        fs, name = self._fs(path)
+        stream = fs.open(name)
+        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return text
+
+    def _publish(self, folder: str, text: str) -> None:
+        """A file named by the next number, which appears whole or, if another writer was first, not at all."""
+        fs, where = self._fs(folder)
+        fs.mkdirs(where)
+        number = 1 + max((int(n) for s in fs.listStatus(where) if (n := s.getPath().getName()).isdigit()), default=-1)
+        _, part = self._fs(posixpath.join(folder, f"_{uuid.uuid4().hex}"))
+        _, final = self._fs(posixpath.join(folder, f"{number:08d}"))
+        out = fs.create(part, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.toUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(part, final, gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        except Exception:
+            fs.delete(part, False)
+            raise
 
     def write(self, index: Index, parsed: DataFrame) -> str:
         version = uuid.uuid4().hex
         for table in self.TABLES:
             getattr(index, table).write.parquet(posixpath.join(self.root, "versions", version, table))
         parsed.write.parquet(posixpath.join(self.root, "versions", version, "parsed"))
-        fs, folder = self._fs(posixpath.join(self.root, "current"))
-        number = len(fs.listStatus(folder)) if fs.exists(folder) else 0
-        _, name = self._fs(posixpath.join(self.root, "current", f"{number:08d}_{version}"))
-        fs.create(name, False).close()
+        self._publish(posixpath.join(self.root, "current"), version)
         return version
 
     def read(self) -> Index | None:
@@ -150,7 +175,17 @@ class IndexStore:
         version = self.current()
         return None if version is None else self.spark.read.schema(PARSED_DDL).parquet(posixpath.join(self.root, "versions", version, "parsed"))
 
+    def _meta_folder(self, key: str) -> str:
+        return posixpath.join(self.root, "meta", key.encode().hex())
+
+    def set_meta(self, key: str, value: str) -> None:
+        """Set a value beside the versions; it stands until it is set anew or all is cleared."""
+        self._publish(self._meta_folder(key), value)
+
     def get_meta(self, key: str) -> str | None:
+        fs, own = self._fs(self._meta_folder(key))
+        if fs.exists(own) and (numbers := sorted(n for s in fs.listStatus(own) if (n := s.getPath().getName()).isdigit())):
+            return self._content(posixpath.join(self._meta_folder(key), numbers[-1]))
         index = self.read()
         row = index.meta.where(F.col("key") == key).first() if index else None
         return row["value"] if row else None
@@ -164,7 +199,7 @@ class IndexStore:
         getattr(self.read(), table).write.json(path)
 
 
-def as_json(df: DataFrame, most: int = 10_000) -> str:
-    """Rows of a small result as a JSON array."""
-    rows = df.limit(most).select(F.to_json(F.struct(*df.columns)).alias("row")).collect()
+def as_json(df: DataFrame) -> str:
+    """All rows of an answer as a JSON array, a partition at a time; for larger tables there is ``IndexStore.export``."""
+    rows = df.select(F.to_json(F.struct(*df.columns)).alias("row")).toLocalIterator()
     return json.dumps([json.loads(r["row"]) for r in rows], indent=2)

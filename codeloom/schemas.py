@@ -20,6 +20,7 @@ _DDL = {
     "implements": "class_symbol_id bigint, interface_name string",
     "type_hints": "id bigint, file_id bigint, scope string, variable_name string, type_name string, source string",
     "meta": "key string, value string",
+    "tokens": "id bigint, field string, pos int, token string",
 }
 
 

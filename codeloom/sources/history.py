@@ -11,13 +11,15 @@ _MARK = "\x01"
 
 def commits(spark: SparkSession, root: str, most: int = 500) -> DataFrame:
     """(commit_hash, ts, file_path) of the last ``most`` commits; no rows where there is no history. The driver reads at most so many commits."""
-    said = subprocess.run(["git", "-C", root, "log", f"--max-count={most}", "--name-only", "--diff-filter=ACDMR", f"--format={_MARK}%H %cI"], capture_output=True, text=True)
+    # -z: names as they are, whatever their characters
+    said = subprocess.run(["git", "-C", root, "log", "-z", f"--max-count={most}", "--name-only", "--diff-filter=ACDMR", f"--format={_MARK}%H %cI"], capture_output=True)
     rows, commit, ts = [], None, None
-    for line in said.stdout.splitlines() if said.returncode == 0 else ():
-        if line.startswith(_MARK):
-            commit, ts = line[1:].split(" ", 1)
-        elif line.strip():
-            rows.append((commit, ts, line.replace("\\", "/")))
+    for item in said.stdout.decode(errors="replace").split("\0") if said.returncode == 0 else ():
+        head, _, name = item.partition("\n") if item.startswith(_MARK) else ("", "", item)
+        if head:
+            commit, ts = head[1:].split(" ", 1)
+        if name.strip("\n"):
+            rows.append((commit, ts, name.lstrip("\n")))
     made = spark.createDataFrame(rows, "commit_hash string, ts string, file_path string")
     return made.withColumn("ts", F.to_timestamp("ts"))
 

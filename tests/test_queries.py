@@ -25,7 +25,5 @@ def test_rows(spark, name):
 
 
 def test_indirect_dependents_count(spark):
-    got = queries.QUERIES["impact_blast_radius_indirect"](spark, SF).collect()
-    direct = {r["target_id"]: r for r in queries.QUERIES["impact_blast_radius"](spark, SF).collect()}
-    assert sum(r["indirect"] for r in got) > 0
-    assert all(r["direct"] == direct[r["target_id"]]["direct"] and r["score"] >= direct[r["target_id"]]["score"] for r in got if r["direct"])
+    got = queries.QUERIES["impact_blast_radius"](spark, SF).collect()
+    assert sum(r["indirect"] for r in got) > 0 and sum(r["tests"] for r in got) > 0 and len({r["level"] for r in got}) > 1

@@ -1,4 +1,4 @@
-"""The four-file project: edges, ranked search and impact, with literal expectations."""
+"""The book catalogue: edges, ranked search and impact, with literal expectations."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ def edges(df):
 
 
 def test_call_graph(s):
-    assert edges(resolve.call_graph(s.call_sites, s.symbols, s.files, s.imports)) == [(1, 3, 15, 1.0), (4, 1, 18, 1.0), (5, 1, 10, 1.0)]
+    assert edges(resolve.call_graph(s.call_sites, s.symbols, s.files, s.imports)) == [(1, 2, 12, 1.0), (1, 3, 24, 1.0), (3, 4, 15, 1.0), (5, 1, 18, 1.0), (5, 6, 27, 1.0), (7, 1, 20, 1.0), (8, 1, 14, 1.0)]
 
 
 def test_receivers_and_duplicates(spark):
@@ -36,32 +36,44 @@ def names(spark, s, task, limit=15):
 
 
 def test_query(spark, s):
-    login = names(spark, s, "login")
-    assert "loginUser" in [n for n, _, _ in login]
-    first = names(spark, s, "loginUser")[0]
-    assert first[0] == "loginUser" and first[2] == 100
-    assert any(f == "src/auth/session.ts" for _, f, _ in names(spark, s, "session"))
-    assert len(names(spark, s, "login", 2)) == 2
+    books = names(spark, s, "books")
+    assert {"findBooks", "getBooks"} <= {n for n, _, _ in books}
+    first = names(spark, s, "findBooks")[0]
+    assert first[0] == "findBooks" and first[2] == 100
+    assert any(f == "app/catalog/ranking.ts" for _, f, _ in names(spark, s, "ranking"))
+    assert len(names(spark, s, "books", 2)) == 2
     assert names(spark, s, "api") == []
 
 
+def test_query_with_a_stored_index(spark, s):
+    from types import SimpleNamespace
+
+    stored = SimpleNamespace(**vars(s), tokens=lookup.symbol_tokens(s.symbols))
+    for task in ("where are books found", "parse filters", "function"):
+        assert names(spark, stored, task) == names(spark, s, task)
+
+
 def seeds(spark, number):
     return spark.createDataFrame([(number,)], "node bigint")
 
 
+def blast_of(spark, s, number):
+    one = graph.blast_radius(s.calls, s.symbols, s.files, seeds(spark, number)).first()
+    return tuple(one[c] for c in ("direct", "indirect", "core_files", "tests", "score", "level"))
+
+
 def test_impact(spark, s):
-    one = graph.blast_radius(s.calls, s.symbols, s.files, seeds(spark, 1)).first()
-    assert (one["direct"], one["indirect"], one["core_files"], one["score"], one["level"]) == (2, 0, 1, 25, "MEDIUM")
-    session = graph.blast_radius(s.calls, s.symbols, s.files, seeds(spark, 3)).first()
-    assert (session["direct"], session["indirect"], session["core_files"], session["score"], session["level"]) == (1, 2, 2, 46, "MEDIUM")
+    assert blast_of(spark, s, 1) == (3, 0, 2, 1, 40, "MEDIUM")
+    assert blast_of(spark, s, 3) == (1, 3, 3, 0, 54, "HIGH")
+    assert blast_of(spark, s, 4) == (1, 4, 4, 0, 62, "HIGH")
     found = {r["name"]: (r["depth"], r["risk"]) for r in graph.dependents(s.calls, s.symbols, s.files, seeds(spark, 3)).collect()}
-    assert found == {"loginUser": (1, "medium"), "handleLogin": (2, "medium"), "testLogin": (2, "low")}
-    assert [r["path"] for r in graph.test_files(s.calls, s.symbols, s.files, seeds(spark, 1)).collect()] == ["tests/auth.test.ts"]
+    assert found == {"findBooks": (1, "medium"), "getBooks": (2, "medium"), "rebuildIndex": (2, "medium"), "checkFinding": (2, "low")}
+    assert [r["path"] for r in graph.test_files(s.calls, s.symbols, s.files, seeds(spark, 1)).collect()] == ["tests/catalog/search.test.ts"]
 
 
 @pytest.mark.parametrize(
     ("text", "name"),
-    [("src/auth/service.ts:10", "loginUser"), ("src/auth/service.ts:validateToken", "validateToken"), ("handleLogin", "handleLogin"), ("nothing", None), ("src/auth/service.ts", None), ("src/auth/service.ts:0", None)],
+    [("app/catalog/search.ts:10", "findBooks"), ("app/catalog/search.ts:parseFilters", "parseFilters"), ("getBooks", "getBooks"), ("nothing", None), ("app/web/routes.ts", None), ("app/web/routes.ts:0", None)],
 )
 def test_targets(s, text, name):
     row = graph.find_target(s.symbols, s.files, text).first()
@@ -74,13 +86,26 @@ def test_reach_is_minimal_and_ends(spark):
     assert found == {0: 0, 1: 1, 2: 1, 3: 2, 4: 3, 5: 4}
 
 
-def test_reexport_chain(spark, s):
-    rows = [(10, 3, "../hub", ["createSession"], {}, False, False), (11, 5, "../auth/session", [], {}, False, True)]
+@pytest.mark.parametrize("hops", [1, 12])
+def test_reexport_chain(spark, s, hops):
+    """Through any number of files, the last of which leads back to the first."""
+    rows = [(10, 3, "../h0", ["rankHits"], {}, False, False)]
+    rows += [(11 + k, 20 + k, "./h%d" % (k + 1), [], {}, False, True) for k in range(hops)]
+    rows += [(90, 20 + hops, "./catalog/ranking", [], {}, False, True), (91, 20 + hops, "./h0", [], {}, False, True)]
     more = spark.createDataFrame(rows, s.imports.schema)
-    files = s.files.union(spark.createDataFrame([(5, "src/hub/index.ts", "typescript", 1, "x")], s.files.schema))
-    sites = spark.createDataFrame([(9, 3, "handleLogin", "createSession", None, 20)], s.call_sites.schema)
+    files = s.files.union(spark.createDataFrame([(20 + k, f"app/h{k}/index.ts" if k == 0 else f"app/h{k}.ts", "typescript", 1, "x") for k in range(hops + 1)], s.files.schema))
+    more = more.withColumn("source_path", F.when((F.col("file_id") == 20), F.regexp_replace("source_path", r"^\./", "../")).otherwise(F.col("source_path")))
+    sites = spark.createDataFrame([(9, 3, "getBooks", "rankHits", None, 29)], s.call_sites.schema)
     symbols = s.symbols.withColumn("is_exported", F.lit(False))
-    assert edges(resolve.call_graph(sites, symbols, files, more)) == [(4, 3, 20, 1.0)]
+    assert edges(resolve.call_graph(sites, symbols, files, more)) == [(5, 3, 29, 1.0)]
+
+
+def test_every_group_is_known():
+    """Each term leads to all others of its groups."""
+    for group in concepts.GROUPS:
+        for term in group:
+            assert set(group) - {term} <= set(concepts.related()[term])
+    assert len(concepts.GROUPS) == 58 and "popup" in concepts.related()["modal"] and "smtp" in concepts.related()["email"]
 
 
 def test_concepts():
