@@ -13,9 +13,10 @@ texts and the windows of one copy of each indexed block. So the result is exact:
 goes if and only if a window over it starts at another place too, in whatever text.
 
 Each distinct text is worked on once, with a note whether it has copies; rows take their
-text's result, so copies cost a narrow join each. A text is named by 96 bits of hashes, blocks
-by 128 and windows by 96 bits, all over 64-bit hashes of words (of vocabularies far below
-2**32 words); anchors, where a false match does no harm, by 64.
+text's result, so copies cost a narrow join each. A text is named by 64 bits, of a hash under
+which no two texts that differ in 128 bits meet (a job of its own looks for that, and takes the
+next seed); blocks are told by 128 bits and windows by 96, over 64-bit hashes of words (of
+vocabularies far below 2**32 words); anchors, where a false match does no harm, by 64.
 
 Defined results: null text counts as empty; texts of fewer words than a window keep them
 all; texts of any length are worked on whole, with memory of about ten times the longest;
@@ -34,7 +35,7 @@ from .frames import meet, place, restore, slices, take, utf8
 from .hashing import OTHER, fits, range_hashes, sliding, window_hashes, word_hashes, words
 
 #: Words of an anchor; a window of w words holds w - ANCHOR + 1 places where one may start.
-ANCHOR = 16
+ANCHOR = 12
 
 
 class Words:
@@ -86,15 +87,15 @@ def _parts(batches):
 
 
 #: The name of a distinct text.
-NAME = ["t1", "t2"]
+NAME = "t"
 
 
-def _named(part: pa.RecordBatch, rows: np.ndarray) -> list[pa.Array]:
-    return [part.column(c).take(pa.array(rows)) for c in NAME]
+def _named(part: pa.RecordBatch, rows: np.ndarray) -> pa.Array:
+    return part.column(NAME).take(pa.array(rows))
 
 
 def anchors(texts: DataFrame, window: int) -> DataFrame:
-    """(t1, t2, anchor, n): the anchors of each text and how often it has them, twice if it has copies."""
+    """(t, anchor, n): the anchors of each text and how often it has them, twice if it has copies."""
 
     def run(batches):
         for part, text in _parts(batches):
@@ -104,9 +105,9 @@ def anchors(texts: DataFrame, window: int) -> DataFrame:
             rows, values = rows[order], values[order]
             new = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (values[1:] != values[:-1])])) if len(rows) else np.zeros(0, np.int64)
             counts = np.diff(np.concatenate([new, [len(rows)]])) * _copies(part)[rows[new]]
-            yield pa.RecordBatch.from_arrays([*_named(part, rows[new]), pa.array(values[new].view(np.int64)), pa.array(counts, pa.int32())], [*NAME, "anchor", "n"])
+            yield pa.RecordBatch.from_arrays([_named(part, rows[new]), pa.array(values[new].view(np.int64)), pa.array(counts, pa.int32())], [NAME, "anchor", "n"])
 
-    return texts.mapInArrow(run, "t1 bigint, t2 int, anchor bigint, n int")
+    return texts.mapInArrow(run, "t bigint, anchor bigint, n int")
 
 
 def _copies(part: pa.RecordBatch) -> np.ndarray:
@@ -119,7 +120,7 @@ def _indexed(part: pa.RecordBatch, values: np.ndarray) -> np.ndarray:
 
 
 def reference_blocks(seeded: DataFrame, window: int) -> DataFrame:
-    """(t1, t2, b1, b2, words, starts, copies): the blocks between indexed anchors, with all their places in the text."""
+    """(t, b1, b2, words, starts, copies): the blocks between indexed anchors, with all their places in the text."""
 
     def run(batches):
         for part, text in _parts(batches):
@@ -131,20 +132,20 @@ def reference_blocks(seeded: DataFrame, window: int) -> DataFrame:
             new = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (block[1:] != block[:-1]) | (other[1:] != other[:-1])])) if len(rows) else np.zeros(0, np.int64)
             places = pa.ListArray.from_arrays(pa.array(np.concatenate([new, [len(rows)]]), pa.int32()), pa.array(start - text.first[rows], pa.int32()))
             kept = [pa.array(block[new].view(np.int64)), pa.array(other[new].view(np.int64)), pa.array(size[new], pa.int32()), places, pa.array(_copies(part)[rows[new]], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*_named(part, rows[new]), *kept], [*NAME, "b1", "b2", "words", "starts", "copies"])
+            yield pa.RecordBatch.from_arrays([_named(part, rows[new]), *kept], [NAME, "b1", "b2", "words", "starts", "copies"])
 
-    return seeded.mapInArrow(run, "t1 bigint, t2 int, b1 bigint, b2 bigint, words int, starts array<int>, copies int")
+    return seeded.mapInArrow(run, "t bigint, b1 bigint, b2 bigint, words int, starts array<int>, copies int")
 
 
 def _factors(part: pa.RecordBatch, text: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, words, whether it is its own reference, whether it begins a factor) of each indexed block, by place."""
     flat, rows = _lists(part, "found")
-    size, ref, ref2, ref_start = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(1, 5))
+    size, ref, ref_start = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(1, 4))
     places = flat.field(0)
     times = places.value_lengths().to_numpy(zero_copy_only=False) if len(places) else np.zeros(0, np.int64)
     start = places.flatten().to_numpy(zero_copy_only=False)
-    rows, size, ref, ref2, ref_start = (np.repeat(x, times) for x in (rows, size, ref, ref2, ref_start))
-    own = (ref == part.column("t1").to_numpy()[rows]) & (ref2 == part.column("t2").to_numpy()[rows]) & (ref_start == start)
+    rows, size, ref, ref_start = (np.repeat(x, times) for x in (rows, size, ref, ref_start))
+    own = (ref == part.column(NAME).to_numpy()[rows]) & (ref_start == start)
     order = np.lexsort((start, rows))
     start, size, ref, shift, rows, own = start[order].astype(np.int64), size[order].astype(np.int64), ref[order], (ref_start - start)[order], rows[order], own[order]
     begins = np.ones(len(rows), bool)
@@ -169,7 +170,7 @@ def _inside(n: int, start: np.ndarray, size: np.ndarray, window: int) -> np.ndar
 
 
 def windows(parsed: DataFrame, window: int, boundary: bool) -> DataFrame:
-    """(window, other, weight, t1, t2, start): boundary windows weigh 1, in texts with copies 2; unless only those are asked for, windows of reference blocks weigh 2."""
+    """(window, other, weight, t, start): boundary windows weigh 1, in texts with copies 2; unless only those are asked for, windows of reference blocks weigh 2."""
 
     def run(batches):
         for part, text in _parts(batches):
@@ -184,55 +185,63 @@ def windows(parsed: DataFrame, window: int, boundary: bool) -> DataFrame:
             others = (window_hashes(text.hashes, window, OTHER)[at] >> np.uint64(33)).astype(np.int32)
             rows = text.text[edge]
             none = pa.nulls(len(kept), pa.int32())
-            names = [pa.concat_arrays([c, n]) for c, n in zip(_named(part, rows), (pa.nulls(len(kept), pa.int64()), none), strict=True)]
+            names = pa.concat_arrays([_named(part, rows), pa.nulls(len(kept), pa.int64())])
             place = pa.concat_arrays([pa.array(edge - text.first[rows], pa.int32()), none])
             weight = pa.array(np.concatenate([_copies(part)[rows], np.full(len(kept), 2)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(others), weight, *names, place], ["window", "other", "weight", *NAME, "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(others), weight, names, place], ["window", "other", "weight", NAME, "start"])
 
-    return parsed.mapInArrow(run, "window bigint, other int, weight int, t1 bigint, t2 int, start int")
+    return parsed.mapInArrow(run, "window bigint, other int, weight int, t bigint, start int")
 
 
-def _name(text) -> list:
-    return [F.xxhash64(text).alias("t1"), (F.xxhash64(F.lit("other"), text) % (1 << 31)).cast("int").alias("t2")]
+def _names(docs: DataFrame, text: str):
+    """A function of a text column that names its texts: the first of a row of hashes under which no two texts of ``docs`` share a name."""
+    each = take(docs, text=text).select(F.col("text").cast("string").alias("text"))
+    for seed in range(100):
+        name = lambda column, seed=seed: F.xxhash64(F.lit(f"name {seed}"), column).alias(NAME)
+        told = each.select(name(F.col("text")), F.xxhash64("text").alias("own")).groupBy(NAME).agg(F.min("own").alias("low"), F.max("own").alias("high"))
+        if told.where("low <> high").isEmpty():
+            return name
+    raise ValueError("no hash tells the texts apart")
 
 
-def _parsed(docs: DataFrame, window: int, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _parsed(docs: DataFrame, window: int, text: str, name) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(distinct texts with their names, seeds of each, indexed blocks of each)."""
     each = take(docs, text=text).select(F.col("text").cast("string").alias("text"))
-    texts = each.select(*_name(F.col("text")), "text").groupBy(*NAME).agg(F.any_value("text").alias("text"), F.least(F.count("*"), F.lit(2)).cast("int").alias("copies"))
+    texts = each.select(name(F.col("text")), "text").groupBy(NAME).agg(F.any_value("text").alias("text"), F.least(F.count("*"), F.lit(2)).cast("int").alias("copies"))
     met = anchors(texts, window)
     repeated = met.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    seeds = meet(met.select(*NAME, "anchor"), repeated, ["anchor"]).groupBy(*NAME).agg(F.collect_list("anchor").alias("seeds"))  # at most a text's words
+    seeds = meet(met.select(NAME, "anchor"), repeated, ["anchor"]).groupBy(NAME).agg(F.collect_list("anchor").alias("seeds"))  # at most a text's words
     blocks = reference_blocks(texts.join(seeds, NAME), window)
-    first = F.struct("t1", "t2", F.get("starts", F.lit(0)).alias("start"))
+    first = F.struct(NAME, F.get("starts", F.lit(0)).alias("start"))
     index = blocks.groupBy("b1", "b2").agg(F.sum(F.size("starts") * F.col("copies")).alias("n"), F.min(first).alias("ref")).where("n > 1")
-    found = meet(blocks.drop("copies"), index.select("b1", "b2", "ref"), ["b1", "b2"]).groupBy(*NAME).agg(F.collect_list(F.struct("starts", "words", "ref.t1", "ref.t2", "ref.start")).alias("found"))
+    found = meet(blocks.drop("copies"), index.select("b1", "b2", "ref"), ["b1", "b2"]).groupBy(NAME).agg(F.collect_list(F.struct("starts", "words", f"ref.{NAME}", "ref.start")).alias("found"))
     return texts, seeds, found
 
 
 def factors(docs: DataFrame, window: int = 35, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, start, words, own): the factors of each text, in words; own: its block is the index's place of reference."""
-    texts, _, found = _parsed(docs, window, text)
+    name = _names(docs, text)
+    texts, _, found = _parsed(docs, window, text, name)
 
     def run(batches):
         for part, words_of in _parts(batches):
             start, size, own, begins = _factors(part, words_of)
             at, length = _spans(start, size, begins)
             rows = words_of.text[at]
-            yield pa.RecordBatch.from_arrays([*_named(part, rows), pa.array(at - words_of.first[rows], pa.int64()), pa.array(length, pa.int64()), pa.array(own[begins])], [*NAME, "start", "words", "own"])
+            yield pa.RecordBatch.from_arrays([_named(part, rows), pa.array(at - words_of.first[rows], pa.int64()), pa.array(length, pa.int64()), pa.array(own[begins])], [NAME, "start", "words", "own"])
 
-    made = texts.join(found, NAME).mapInArrow(run, "t1 bigint, t2 int, start bigint, words bigint, own boolean")
-    rows = take(docs, key=key, text=text).select("key", *_name(F.col("text").cast("string")))
+    made = texts.join(found, NAME).mapInArrow(run, "t bigint, start bigint, words bigint, own boolean")
+    rows = take(docs, key=key, text=text).select("key", name(F.col("text").cast("string")))
     return rows.join(made, NAME).select(F.col("key").alias(key), "start", "words", "own")
 
 
-def removed(docs: DataFrame, window: int = 35, text: str = "text") -> DataFrame:
-    """(t1, t2, n_words, n_removed, kept) of each distinct text: its words without the repeated ones, joined by one blank."""
-    texts, seeds, found = _parsed(docs, window, text)
+def removed(docs: DataFrame, window: int, text: str, name) -> DataFrame:
+    """(t, n_words, n_removed, kept) of each distinct text: its words without the repeated ones, joined by one blank."""
+    texts, seeds, found = _parsed(docs, window, text, name)
     parsed = texts.join(seeds, NAME).join(found, NAME, "left")
-    name = ["window", "other"]
-    twice = windows(parsed, window, boundary=False).groupBy(*name).agg(F.sum("weight").alias("n")).where("n > 1").select(*name)
-    edges = meet(windows(parsed, window, boundary=True).select(*name, *NAME, "start"), twice, name, "left_semi").groupBy(*NAME).agg(F.collect_list("start").alias("edges"))
+    told = ["window", "other"]
+    twice = windows(parsed, window, boundary=False).groupBy(*told).agg(F.sum("weight").alias("n")).where("n > 1").select(*told)
+    edges = meet(windows(parsed, window, boundary=True).select(*told, NAME, "start"), twice, told, "left_semi").groupBy(NAME).agg(F.collect_list("start").alias("edges"))
     whole = texts.join(found, NAME, "left").join(edges, NAME, "left")
 
     def run(batches):
@@ -251,10 +260,10 @@ def removed(docs: DataFrame, window: int = 35, text: str = "text") -> DataFrame:
             raw = made.tobytes()
             kept = [raw[a : b - (c > 0)] for a, b, c in zip(bytes_at[:-1].tolist(), bytes_at[1:].tolist(), counts.tolist(), strict=True)]
             total = np.diff(own.first)
-            columns = [part.column("t1"), part.column("t2"), pa.array(total, pa.int64()), pa.array(total - counts, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [*NAME, "n_words", "n_removed", "kept"])
+            columns = [part.column(NAME), pa.array(total, pa.int64()), pa.array(total - counts, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [NAME, "n_words", "n_removed", "kept"])
 
-    return whole.mapInArrow(run, "t1 bigint, t2 int, n_words bigint, n_removed bigint, kept string")
+    return whole.mapInArrow(run, "t bigint, n_words bigint, n_removed bigint, kept string")
 
 
 def without_repeats(docs: DataFrame, window: int = 35, text: str = "text") -> DataFrame:
@@ -262,16 +271,17 @@ def without_repeats(docs: DataFrame, window: int = 35, text: str = "text") -> Da
 
     A text from which nothing is removed stays as it was, so only others travel to their rows.
     """
-    names = docs.columns
-    changed = removed(docs, window, text).where("n_removed > 0").select(*NAME, "kept", (F.col("n_words") > F.col("n_removed")).alias("left"))
+    names, name = docs.columns, _names(docs, text)
+    changed = removed(docs, window, text, name).where("n_removed > 0").select(NAME, "kept", (F.col("n_words") > F.col("n_removed")).alias("left"))
     rows = take(docs, row="row", apart=text, text=text).withColumn("text", F.col("text").cast("string"))
-    made = rows.select("row", "text", *_name(F.col("text"))).join(changed, NAME, "left").where(F.coalesce("left", F.lit(True)))
+    made = rows.select("row", "text", name(F.col("text"))).join(changed, NAME, "left").where(F.coalesce("left", F.lit(True)))
     return restore(made, "row", names, {place(names, text): F.when(F.col("left"), F.col("kept")).otherwise(F.col("text"))})
 
 
 def digest(docs: DataFrame, window: int = 35, text: str = "text", key: str = "doc_id") -> DataFrame:
-    made = removed(docs, window, text).select(*NAME, "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
-    rows = take(docs, key=key, text=text).select("key", *_name(F.col("text").cast("string")))
+    name = _names(docs, text)
+    made = removed(docs, window, text, name).select(NAME, "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    rows = take(docs, key=key, text=text).select("key", name(F.col("text").cast("string")))
     return rows.join(made, NAME).select(F.col("key").alias(key), "n_words", "n_removed", "kept_sha256")
 
 
