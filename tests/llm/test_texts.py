@@ -246,7 +246,7 @@ def test_guess_cost():
     assert cost("correcthorsebatterystaple") < 40 < cost("b7db7aa4a5fcc78305")
     # no segmentation of all splits into single pieces is cheaper
     for value in ("ab1", "zz99", "Pass12", "qweR", "aaaaab", "1/2/99x", "ababab1"):
-        pieces = {(s, e): b for s, e, _, b in secrets._segments(value)}
+        pieces = {(s, e): b for s, e, _, b in sorted(secrets._segments(value), key=lambda x: -x[3])}  # the cheapest of a span
         best = min(_costs(value, 0, pieces, False))
         assert cost(value) == pytest.approx(best)
 
