@@ -148,45 +148,47 @@ def combinations(window: int, present: np.ndarray) -> np.ndarray:
     return np.concatenate(rows)
 
 
-def _apart(parts: np.ndarray, candidates: np.ndarray, lengths: int) -> np.ndarray:
+def _apart(columns: list[np.ndarray], candidates: np.ndarray, lengths: int) -> np.ndarray:
     """Candidates, best first, that share no length with a better one that is chosen."""
-    chosen = []
+    chosen = [np.zeros(0, np.int64)]
     while len(candidates):
-        own, place = parts[candidates], np.arange(len(candidates))
+        own, place = [c[candidates] for c in columns], np.arange(len(candidates))
         first = np.full(lengths, len(candidates))
-        first[own[::-1].ravel()] = np.repeat(place[::-1], 3)  # the last to write is the best
-        first[0] = len(candidates)
-        good = ((first[own] == place[:, None]) | (own == 0)).all(axis=1)
+        first[np.stack(own, axis=1)[::-1].ravel()] = np.repeat(place[::-1], 3)  # the last to write is the best
+        good = ((own[0] == 0) | (first[own[0]] == place)) & (first[own[1]] == place) & (first[own[2]] == place)
         chosen.append(candidates[good])
         used = np.zeros(lengths, bool)
-        used[own[good].ravel()] = True
+        for c in own:
+            used[c[good]] = True
         used[0] = False
-        candidates = candidates[~used[own].any(axis=1)]
-    return np.concatenate([np.zeros(0, np.int64), *chosen])
+        candidates = candidates[~(used[own[0]] | used[own[1]] | used[own[2]])]
+    return np.concatenate(chosen)
 
 
-def nonnegative_least_squares(parts: np.ndarray, counts: np.ndarray, tolerance: float = 5e-4) -> np.ndarray:
+def nonnegative_least_squares(parts: np.ndarray, counts: np.ndarray, tolerance: float = 5e-4, near: float = 0.002) -> np.ndarray:
     """x >= 0 that brings the sum of x over the rows that use a length close to its count.
 
     Descent by blocks: each round moves columns that share no length, those that gain most
-    first, each to its own minimum. It ends when a round lowers the squared distance by less
-    than ``tolerance`` of it, or by nothing.
+    first, each to its own minimum. It ends when the counts are met within half a document (or
+    ``near`` of the mean count) in the quadratic mean, as rounding adds as much, or when a round
+    lowers the squared distance by less than ``tolerance`` of it.
     """
     x, left = np.zeros(len(parts)), counts.astype(float)
     left[0] = 0
-    norm = np.array([(parts == parts[:, [i]]).sum(1) * (parts[:, i] > 0) for i in range(3)]).sum(0)
-    while len(parts):
-        far = float((left**2).sum())
-        slope = left[parts].sum(1)
+    columns = [np.ascontiguousarray(parts[:, i]) for i in range(3)]
+    norm = sum((parts == c[:, None]).sum(axis=1) * (c > 0) for c in columns).astype(float)
+    met = len(counts) * max(0.5, near * left.mean()) ** 2
+    while len(parts) and (far := float(left @ left)) > met:
+        slope = left[columns[0]] + left[columns[1]] + left[columns[2]]
         step = np.maximum(slope / norm, -x)
         gain = step * (2 * slope - norm * step)
         candidates = np.flatnonzero(gain > max(tolerance * far / len(counts), gain.max() / 16))
-        chosen = _apart(parts, candidates[np.argsort(-gain[candidates], kind="stable")], len(counts))
+        chosen = _apart(columns, candidates[np.argsort(-gain[candidates], kind="stable")], len(counts))
         x[chosen] += step[chosen]
-        for i in range(3):
-            left -= np.bincount(parts[chosen, i], step[chosen], len(counts))
+        for c in columns:
+            left -= np.bincount(c[chosen], step[chosen], len(counts))
         left[0] = 0
-        if far - float((left**2).sum()) <= tolerance * far:
+        if far - float(left @ left) <= tolerance * far:
             break
     return x
 

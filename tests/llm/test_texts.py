@@ -200,6 +200,23 @@ def test_packing_order(docs, hard_texts):
         assert ids == tokenizer.encode(text or "", add_special_tokens=False).ids + [1] and parts[i][0][2] == len(ids)
 
 
+@pytest.mark.parametrize("mean", [4, 60])
+def test_least_squares(mean):
+    """Counts are met as closely as said, by no negative number; where no column fills a window nothing is solved."""
+    window = 512
+    counts = np.random.default_rng(mean).poisson(mean, window)
+    counts[0] = 0
+    parts = packing.combinations(window, counts > 0)
+    assert (parts.sum(axis=1) == window).all() and len(parts) == len({tuple(p) for p in parts.tolist()})
+    x = packing.nonnegative_least_squares(parts, counts)
+    left = counts - sum(np.bincount(parts[:, i], x, window) for i in range(3))
+    assert (x >= 0).all() and (left[1:] ** 2).mean() < 0.6**2
+    rows, rest = packing.plan(counts, window)
+    used = sum(np.bincount(rows[:, i], rows[:, 3], window) for i in range(3))
+    assert (used[1:] + rest[1:] == counts[1:]).all() and (rest >= 0).all() and rest.sum() < 0.2 * counts.sum()
+    assert len(packing.nonnegative_least_squares(parts[:0], counts)) == 0
+
+
 @pytest.mark.parametrize("kind", ["spread", "one length", "none"])
 def test_places(kind):
     rng, window = np.random.default_rng(1), 64
