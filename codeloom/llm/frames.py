@@ -99,13 +99,22 @@ def shared_folder(spark: SparkSession, what: str) -> str:
 _WRITTEN: list[str] = []
 
 
-def release(spark: SparkSession) -> int:
-    """Delete what operators have stored so far, once their results are consumed; returns the number of folders."""
-    done = len(_WRITTEN)
-    while _WRITTEN:
-        where = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+def written() -> int:
+    """How many folders operators have stored so far, for ``release(since=...)``."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete what operators have stored, once the results made from it are consumed; returns the number of folders.
+
+    ``since``: only what came after so many folders; ``keep``: but the last so many.
+    """
+    gone = _WRITTEN[since : len(_WRITTEN) - keep]
+    del _WRITTEN[since : len(_WRITTEN) - keep]
+    for path in gone:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    return done
+    return len(gone)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:

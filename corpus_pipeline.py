@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeloom.llm import langid, ngram_join, packing, secrets, substring_dedup
-from codeloom.llm.frames import small_batches, stored
+from codeloom.llm.frames import release, small_batches, stored, written
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -55,8 +55,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the documents of ``sf_dir``, each result written to the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages over the documents of ``sf_dir``, each result written to the shared folder; what a stage needed on its way is deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        release(spark, since=before, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)

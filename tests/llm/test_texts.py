@@ -202,15 +202,19 @@ def test_packing_order(docs, hard_texts):
 
 @pytest.mark.parametrize("mean", [4, 60])
 def test_least_squares(mean):
-    """Counts are met as closely as said, by no negative number; where no column fills a window nothing is solved."""
+    """By no negative number, counts are met as closely as by a far longer descent; where no column fills a window nothing is solved."""
     window = 512
     counts = np.random.default_rng(mean).poisson(mean, window)
     counts[0] = 0
     parts = packing.combinations(window, counts > 0)
     assert (parts.sum(axis=1) == window).all() and len(parts) == len({tuple(p) for p in parts.tolist()})
-    x = packing.nonnegative_least_squares(parts, counts)
-    left = counts - sum(np.bincount(parts[:, i], x, window) for i in range(3))
-    assert (x >= 0).all() and (left[1:] ** 2).mean() < 0.6**2
+    far = []
+    for tolerance in (5e-4, 1e-6):
+        x = packing.nonnegative_least_squares(parts, counts, tolerance)
+        left = counts - sum(np.bincount(parts[:, i], x, window) for i in range(3))
+        assert (x >= 0).all()
+        far.append(float((left[1:] ** 2).sum()) ** 0.5)
+    assert far[0] < 1.05 * far[1] and far[1] < 0.2 * float((counts**2).sum()) ** 0.5
     rows, rest = packing.plan(counts, window)
     used = sum(np.bincount(rows[:, i], rows[:, 3], window) for i in range(3))
     assert (used[1:] + rest[1:] == counts[1:]).all() and (rest >= 0).all() and rest.sum() < 0.2 * counts.sum()
