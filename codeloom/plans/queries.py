@@ -190,11 +190,11 @@ def impact_bfs(v):
 
 @register(
     "SELECT seed, node, CAST(min(d) AS INTEGER) AS depth FROM walk GROUP BY seed, node",
-    f"RECURSIVE {CALLS}, walk AS (SELECT CAST(p_partkey AS BIGINT) AS seed, CAST(p_partkey AS BIGINT) AS node, 0 AS d FROM part WHERE p_partkey % 50 = 0 UNION SELECT seed, callee_symbol_id, d + 1 FROM walk JOIN calls ON caller_symbol_id = node WHERE d < 3)",
+    f"RECURSIVE {CALLS}, walk AS (SELECT CAST(p_partkey AS BIGINT) AS seed, CAST(p_partkey AS BIGINT) AS node, 0 AS d FROM part UNION SELECT seed, callee_symbol_id, d + 1 FROM walk JOIN calls ON caller_symbol_id = node WHERE d < 3)",
 )
 def depends_chain(v):
-    """All that the symbols asked about depend on, to depth 3. Asked about: every symbol whose id is divisible by 50."""
-    return graph.callees_within(v.calls, v.symbols.where("id % 50 = 0").select(F.col("id").alias("node")), 3)
+    """Every symbol and all that it depends on, to depth 3."""
+    return graph.callees_within(v.calls, v.symbols.select(F.col("id").alias("node")), 3)
 
 
 _RISK = f"""{FILES}, {SYMBOLS}, {CALLS}, placed AS (
@@ -215,7 +215,7 @@ def impact_risk(v):
     """SELECT target_id, direct, indirect, core_files, high_risk, tests, score, CASE WHEN score >= 80 THEN 'CRITICAL' WHEN score >= 50 THEN 'HIGH' WHEN score >= 20 THEN 'MEDIUM' ELSE 'LOW' END AS level
 FROM (SELECT *, CAST(least(100, 10 * direct + 3 * indirect + 5 * core_files + 15 * high_risk + CASE WHEN direct > 0 AND tests = 0 THEN 20 ELSE 0 END) AS BIGINT) AS score FROM sums)""",
     "RECURSIVE " + _RISK.replace("JOIN files f", "JOIN tested f").replace(f"{CALLS},", f"{CALLS}, {_TESTED},") + f""", {_TREE}, walk AS (
-  SELECT id AS target_id, id AS node, 0 AS d FROM symbols WHERE id % 50 = 0 UNION SELECT target_id, dst, d + 1 FROM walk JOIN edges ON src = node WHERE d < 3
+  SELECT id AS target_id, id AS node, 0 AS d FROM symbols UNION SELECT target_id, dst, d + 1 FROM walk JOIN edges ON src = node WHERE d < 3
 ), near AS (SELECT target_id, node, min(d) AS d FROM walk GROUP BY 1, 2
 ), t AS (
   SELECT target_id, path, name, line_start FROM edges JOIN walk w ON w.d = 0 AND src = w.node JOIN symbols s ON s.id = dst JOIN tested f ON f.id = s.file_id WHERE path LIKE '%test%' GROUP BY ALL
@@ -227,8 +227,8 @@ FROM (SELECT *, CAST(least(100, 10 * direct + 3 * indirect + 5 * core_files + 15
 )""",
 )
 def impact_blast_radius(v):
-    """Of every symbol whose id is divisible by 50, by its callers to depth 3, with every seventh file a test."""
-    return graph.blast_radius(v.calls, v.symbols, _tested(v), v.symbols.where("id % 50 = 0").select(F.col("id").alias("node")))
+    """Of every symbol, by its callers to depth 3, with every seventh file a test."""
+    return graph.blast_radius(v.calls, v.symbols, _tested(v), v.symbols.select(F.col("id").alias("node")))
 
 
 _STYLE = """CASE WHEN regexp_matches({0}, '^[a-z][a-zA-Z0-9]*$') AND regexp_matches({0}, '[A-Z]') THEN 'camelCase' WHEN regexp_matches({0}, '^[A-Z][a-zA-Z0-9]*$') THEN 'PascalCase'
