@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, images, langid, ngram_join, packing, quality, secrets, sharding, substring_dedup, token_counts
+from . import bpe, class_lm, images, langid, lexical, ngram_join, packing, quality, secrets, sharding, substring_dedup, token_counts, whitening
 from .frames import shared_folder, small_batches
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -63,6 +63,19 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(documents(spark, sf_dir))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score(documents(spark, sf_dir))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.index(documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality_rules": op2_quality_rules,
@@ -74,6 +87,9 @@ QUERIES = {
     "op8_image_copies": op8_image_copies,
     "op9_packing": op9_packing,
     "op10_ngram_join": op10_ngram_join,
+    "op11_whitening": op11_whitening,
+    "op12_class_lm": op12_class_lm,
+    "op13_ranked_search": op13_ranked_search,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_sharding": sharding.REPORT_SQL, "op2_quality_rules": quality.REPORT_SQL, "op4_substring_dedup": substring_dedup.DIGEST_SQL, "op10_ngram_join": ngram_join.JOIN_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_sharding": sharding.REPORT_SQL, "op2_quality_rules": quality.REPORT_SQL, "op4_substring_dedup": substring_dedup.DIGEST_SQL, "op10_ngram_join": ngram_join.JOIN_SQL, "op13_ranked_search": lexical.SEARCH_SQL}
