@@ -15,8 +15,8 @@ goes if and only if a window over it starts at another place too, in whatever te
 Each distinct text is worked on once, with a note whether it has copies; rows take their
 text's result, so copies cost a narrow join each. A text is named by 64 bits, of a hash under
 which no two texts that differ in 128 bits meet (a job of its own looks for that, and takes the
-next seed); blocks are told by 128 bits and windows by 96, over 64-bit hashes of words (of
-vocabularies far below 2**32 words); anchors, where a false match does no harm, by 64.
+next seed); blocks are told by 122 bits and windows by 91, of two polynomials over independent hashes of
+the words (see ``hashing``); anchors, where a false match does no harm, by 61.
 
 Defined results: null text counts as empty; texts of fewer words than a window keep them
 all; texts of any length are worked on whole, with memory of about ten times the longest;
