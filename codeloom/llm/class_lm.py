@@ -19,8 +19,8 @@ over their blocks, and counts are added in a tree. In each round a part of the u
 a round that lowered the likelihood is taken back and a smaller part moved.
 
 Texts are read once, into blocks of codes (see ``coded``), written to the shared folder. Counts of
-words are exact, by the words themselves; those of words rarer than SHARE reach the blocks by a join of (word, block),
-grouped by block, so memory is bounded by the distinct words of a block.
+words are exact, by the words themselves, in one shuffle of (word, block); what words count in other blocks reaches a
+block grouped, so memory is bounded by its distinct words.
 
 Defined results: null text is empty, and scored as its end alone; rows with equal or null ids are scored each on
 its own; a row with null id is neither held out nor learnt from; where nothing is learnt from, the unknown
@@ -37,24 +37,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .coded import code, gathered, one_list, planes, unplaned
+from .coded import LOWER, code, gathered, one_list, planes, unplaned
 from .frames import stored, take
 
 #: Least share of the tokens that makes a word a unit of its own, and bytes of the ending that rarer words share.
 SHARE, ENDING = 1e-5, 2
-CLASSES, ROUNDS = 64, 6
+CLASSES, ROUNDS = 64, 5
 #: Pseudo-count of the unigram model.
 ADDED = 0.1
 TRAIN, HELD, NEITHER = 0, 1, 2
 
 
-def _split(column: pa.Array) -> list[list[bytes]]:
-    """Words of each text. bytes.lower and bytes.split know ASCII letters and the six ASCII blanks only."""
-    return [t.lower().split() if t else [] for t in column.cast(pa.binary()).to_pylist()]
-
-
 def blocks(docs: DataFrame, folds: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(block, keys, part, sizes, words, counts, codes), written to the shared folder. counts: of each word in texts to learn from."""
     fold = F.crc32(F.col("key").cast("string")) % folds
@@ -66,7 +61,7 @@ def blocks(docs: DataFrame, folds: int = 10, key: str = "doc_id", text: str = "t
             return pc.binary_length(batch.column("text")).fill_null(0).to_pylist()
 
         for held in gathered(batches, sized):
-            codes, sizes, words = code([t for b in held for t in _split(b.column("text"))])
+            codes, sizes, words = code([b.column("text") for b in held], LOWER)
             part = pa.concat_arrays([b.column("part") for b in held])
             learnt = np.repeat(part.to_numpy() == TRAIN, sizes)
             counts = np.bincount(codes[learnt], minlength=len(words))
@@ -85,9 +80,16 @@ def blocks(docs: DataFrame, folds: int = 10, key: str = "doc_id", text: str = "t
 
 
 def vocabulary(coded: DataFrame) -> DataFrame:
-    """(word, n): how often each word occurs in the texts to learn from, written to the shared folder."""
-    each = coded.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).where("w.counts > 0")
-    return stored(each.groupBy(F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("n")), "vocabulary")
+    """(word, block, pos, n), written to the shared folder: the words of the texts to learn from, with their counts n.
+
+    ``word`` stands in one row of each word; ``block`` and ``pos`` name a place in a block's list whose
+    count there isn't all of n. Other places need no row. A word has a row a block at most, so words meet in one
+    shuffle and no group is larger than the number of blocks.
+    """
+    each = coded.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select("block", "pos", F.col("w.words").alias("word"), F.col("w.counts").alias("own"))
+    of = Window.partitionBy("word")
+    met = each.withColumn("n", F.sum("own").over(of)).withColumn("first", F.min("block").over(of) == F.col("block")).where("n > 0 and (first or n > own)")
+    return stored(met.select(F.when(F.col("first"), F.col("word")).alias("word"), F.when(F.col("n") > F.col("own"), F.col("block")).alias("block"), "pos", "n"), "vocabulary")
 
 
 @dataclass
@@ -101,7 +103,7 @@ class Totals:
 
 
 def totals(coded: DataFrame, words: DataFrame) -> Totals:
-    v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1)).first()
+    v = words.where("word is not null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1)).first()
     ends = coded.agg(F.coalesce(F.sum(F.size(F.filter("part", lambda p: p == TRAIN))), F.lit(0))).first()[0]
     return Totals(v[0] + ends, v[1] + (ends > 0), ends, v[2])
 
@@ -114,20 +116,21 @@ class Units:
 
     def __init__(self, words: DataFrame, total: Totals, share: float = SHARE, ending: int = ENDING):
         least = max(1.0, share * total.tokens)
-        self.share, self.length = share, ending
-        frequent = words.where(F.col("n") >= least).orderBy(F.desc("n"), "word")
-        rows = [(bytes(r["word"]), r["n"]) for r in frequent.collect()]  # at most 1 / share
+        self.length, listed = ending, words.where("word is not null")
+        rows = listed.where(F.col("n") >= least).orderBy(F.desc("n"), "word").select("word", "n").collect()  # at most 1 / share
         last = F.expr(f"substring(word, greatest(length(word) - {ending - 1}, 1))")
-        ends = words.where(F.col("n") < least).groupBy(last.alias("last")).agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "last")
-        tied = [bytes(r["last"]) for r in ends.collect()]  # at most 1 / share
-        self.words = {w: i + 2 for i, (w, _) in enumerate(rows)}
-        self.counts = np.array([total.ends, 0, *(n for _, n in rows)], np.int64)
-        self.endings = {w: i + 2 + len(rows) for i, w in enumerate(tied)}
-        self.n = 2 + len(rows) + len(tied)
+        ends = listed.where(F.col("n") < least).groupBy(last.alias("last")).agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "last")
+        self.words = pa.array([bytes(r["word"]) for r in rows], pa.binary())
+        self.endings = pa.array([bytes(r["last"]) for r in ends.collect()], pa.binary())  # at most 1 / share
+        self.n = 2 + len(self.words) + len(self.endings)
+        self.counts = np.zeros(self.n, np.int64)
+        self.counts[0] = total.ends
+        self.counts[2 : 2 + len(rows)] = [r["n"] for r in rows]
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        found, endings, length = self.words.get, self.endings.get, self.length
-        return np.fromiter((found(w) or endings(w[-length:], 1) for w in words), np.int64, len(words))
+    def of(self, words: pa.Array) -> np.ndarray:
+        own = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False)
+        last = pc.index_in(pc.binary_slice(words, -self.length), value_set=self.endings).fill_null(-1).to_numpy(zero_copy_only=False)
+        return np.where(own >= 0, own + 2, np.where(last >= 0, last + 2 + len(self.words), 1)).astype(np.int64)
 
 
 def _flat(codes: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +149,7 @@ def _row(batch: pa.RecordBatch, i: int, *names: str) -> list[np.ndarray]:
 
 def neighbours(coded: DataFrame, units: Units, classes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(before, after): of each unit and class, how often the class stands before and after the unit in the texts to learn from."""
-    sent = coded.sparkSession.sparkContext.broadcast((units, classes))
+    sent, size = coded.sparkSession.sparkContext.broadcast((units, classes)), units.n * n
 
     def run(batches):
         units, classes = sent.value
@@ -154,15 +157,15 @@ def neighbours(coded: DataFrame, units: Units, classes: np.ndarray, n: int) -> t
         for batch in batches:
             for i in range(len(batch)):
                 sizes, part = _row(batch, i, "sizes", "part")
-                unit, _ = _flat(units.of(batch.column("words")[i].values.to_pylist())[unplaned(batch.column("codes")[i].as_py())], sizes.astype(np.int64), 0)
+                unit, _ = _flat(units.of(batch.column("words")[i].values)[unplaned(batch.column("codes")[i].as_py())], sizes.astype(np.int64), 0)
                 learnt = np.repeat(part == TRAIN, sizes + 1)
                 before = np.concatenate([[0], unit[:-1]])[learnt]
                 unit = unit[learnt]
                 total[: units.n * n] += np.bincount(unit * n + classes[before], minlength=units.n * n)
                 total[units.n * n :] += np.bincount(before * n + classes[unit], minlength=units.n * n)
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([pa.compress(total.tobytes(), "lz4", asbytes=True)], pa.binary())], ["counts"])
 
-    parts = coded.select("sizes", "part", "words", "codes").mapInArrow(run, "counts binary").rdd.map(lambda r: np.frombuffer(zlib.decompress(r["counts"]), np.int64))
+    parts = coded.select("sizes", "part", "words", "codes").mapInArrow(run, "counts binary").rdd.map(lambda r: np.frombuffer(pa.decompress(bytes(r["counts"]), 16 * size, "lz4", asbytes=True), np.int64))
     total = parts.treeReduce(np.add, depth=2) if parts.getNumPartitions() else np.zeros(2 * units.n * n, np.int64)
     return total[: units.n * n].reshape(units.n, n), total[units.n * n :].reshape(units.n, n)
 
@@ -274,11 +277,9 @@ def train(coded: DataFrame, words: DataFrame, classes: int = CLASSES, rounds: in
     return model(units, *exchange(coded, units, classes, rounds), total)
 
 
-def _rarer(coded: DataFrame, words: DataFrame, units: Units, total: Totals) -> DataFrame:
-    """(block, rare): places of the rarer words in a block's list, and their counts."""
-    rare = words.where(F.col("n") < max(1.0, units.share * total.tokens))
-    each = coded.select("block", F.posexplode("words").alias("pos", "word")).join(rare, "word")
-    return each.groupBy("block").agg(F.collect_list(F.struct("pos", "n")).alias("rare"))  # at most a block's distinct words
+def _elsewhere(words: DataFrame) -> DataFrame:
+    """(block, met): places in a block's list whose words occur elsewhere too, and their counts."""
+    return words.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("pos", "n")).alias("met"))  # at most a block's distinct words
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", classes: int = CLASSES, rounds: int = ROUNDS, share: float = SHARE) -> DataFrame:
@@ -294,16 +295,13 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", classes: int
     def run(batches):
         made = pickle.loads(sent.value)
         units, unknown = made.units, len(made.table) - 1
-        frequent = np.zeros(units.n, np.int64)
-        frequent[: len(units.counts)] = units.counts
         for batch in batches:
             for i in range(len(batch)):
-                sizes, part = _row(batch, i, "sizes", "part")
-                own = units.of(batch.column("words")[i].values.to_pylist())
-                n = frequent[own]
-                if batch.column("rare")[i].is_valid:
-                    rare = batch.column("rare")[i].values
-                    n[rare.field(0).to_numpy(zero_copy_only=False)] = rare.field(1).to_numpy(zero_copy_only=False)
+                sizes, part, n = _row(batch, i, "sizes", "part", "counts")
+                own = units.of(batch.column("words")[i].values)
+                if batch.column("met")[i].is_valid:
+                    met, n = batch.column("met")[i].values, n.copy()
+                    n[met.field(0).to_numpy(zero_copy_only=False)] = met.field(1).to_numpy(zero_copy_only=False)
                 n = np.append(n, total.ends)  # the end comes after the words
                 known = n > 0
                 of = np.where(known, made.classes[np.append(own, 0)], unknown)
@@ -324,5 +322,5 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", classes: int
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    parts = coded.drop("counts").join(_rarer(coded, words, made.units, total), "block", "left").mapInArrow(run, f"key {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    parts = coded.join(_elsewhere(words), "block", "left").mapInArrow(run, f"key {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return parts.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))).withColumnRenamed("key", key)

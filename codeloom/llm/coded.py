@@ -6,23 +6,36 @@ most are small; they are kept byte plane by byte plane, which packs well in Parq
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 
+from .frames import utf8
+from .hashing import BLANK, words
+
 BLOCK_BYTES = 16 << 20
 
 
-def code(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """(codes of all words in order, words of each text, distinct words) of texts given as words."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    listed = pa.array(list(chain.from_iterable(texts)), pa.large_binary()).dictionary_encode()
-    codes = listed.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+def code(columns: list[pa.Array], kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(codes of all words in order, words of each text, distinct words) of columns of texts.
+
+    kept: what each byte of a text becomes; words are what stands between blanks after that.
+    """
+    parts = [utf8(c) for c in columns]
+    data = kept[np.concatenate([d for d, _ in parts])]
+    lengths = np.concatenate([np.diff(o) for _, o in parts])
+    starts, ends, first = words(data, np.concatenate([[0], np.cumsum(lengths)]))
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+    letters = data[~BLANK[data]]
+    listed = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+    codes = listed.indices.to_numpy(zero_copy_only=False)
     order = np.argsort(-np.bincount(codes, minlength=len(listed.dictionary)), kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return rank[codes].astype(np.int32), sizes, listed.dictionary.take(pa.array(order)).cast(pa.binary())
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return rank[codes], np.diff(first), listed.dictionary.take(pa.array(order)).cast(pa.binary())
+
+
+#: What bytes become for ``code``: A-Z in lower case, all else as it is.
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
 def planes(codes: np.ndarray) -> bytes:

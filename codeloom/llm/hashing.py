@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
 PRIME = (1 << 61) - 1
 _P = np.uint64(PRIME)
 #: Two bases, for hashes of the same words that are independent of each other.
@@ -78,7 +78,7 @@ def _inverse(base: int) -> int:
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end) byte of each word of texts laid end to end, and the first word of each text."""
     inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~_BLANK[data]
+    inside[1:-1] = ~BLANK[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
@@ -98,7 +98,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         high = max(low + 1, int(np.searchsorted(ends, starts[low] + STRETCH, side="right")))
         first, sizes = int(starts[low]), ends[low:high] - starts[low:high]
         own = data[first : ends[high - 1]]
-        inside = ~_BLANK[own]
+        inside = ~BLANK[own]
         offsets = np.concatenate([[0], np.cumsum(sizes)])
         listed = pa.Array.from_buffers(pa.large_binary(), high - low, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(own[inside]))]).dictionary_encode()
         told = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, listed.dictionary.to_pylist())), np.uint64).reshape(-1, 2)

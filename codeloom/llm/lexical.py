@@ -30,10 +30,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .coded import code, gathered
-from .frames import stored, take
+from .frames import slices, stored, take, utf8
+from .hashing import words
 
-#: ASCII letters and digits and all else beyond ASCII are of terms; A-Z in lower case.
-TERM = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
+#: ASCII letters and digits and all else beyond ASCII are of terms; A-Z in lower case, what parts them a blank.
+TERM = np.array([i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256)], np.uint8)
 SHARD_BYTES = 16 << 20
 ITEMS = 256
 #: Documents of a shard among which the best must be before their scores are completed, as a multiple of the best asked for.
@@ -44,10 +45,6 @@ STEP = 0.75
 TOP, TF, LENGTH, B, WORTH = 1_000_000_000, 1000, 20, 50, 1000
 
 
-def terms(column: pa.Array) -> list[list[bytes]]:
-    return [t.translate(TERM).split() if t else [] for t in column.cast(pa.binary()).to_pylist()]
-
-
 @dataclass
 class Index:
     """postings: (shard, term, impacts, sizes, docs, ids): groups of a term by falling impact, documents by place in ``ids`` of the shard's row whose term is empty.
@@ -66,8 +63,10 @@ def _lengths(docs: DataFrame, text: str) -> tuple[int, int]:
     def run(batches):
         n = length = 0
         for batch in batches:
-            sizes = [len(t) for t in terms(batch.column("text"))]
-            n, length = n + sum(map(bool, sizes)), length + sum(sizes)
+            for low, high in slices(batch.column("text"), SHARD_BYTES // 4):
+                data, offsets = utf8(batch.column("text").slice(low, high - low))
+                sizes = np.diff(words(TERM[data], offsets)[2])
+                n, length = n + int((sizes > 0).sum()), length + int(sizes.sum())
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([length], pa.int64())], ["n", "length"])
 
     each = take(docs, text=text).select(F.col("text").cast("string").alias("text")).mapInArrow(run, "n bigint, length bigint")
@@ -75,7 +74,7 @@ def _lengths(docs: DataFrame, text: str) -> tuple[int, int]:
     return row[0], row[1]
 
 
-def _grouped(codes: np.ndarray, sizes: np.ndarray, n_terms: int, total: tuple[int, int]):
+def _grouped(codes: np.ndarray, sizes: np.ndarray, total: tuple[int, int]):
     """(impact, term, document) of each posting, by term, falling impact and document."""
     doc = np.repeat(np.arange(len(sizes)), sizes)
     pairs, tf = np.unique(codes.astype(np.int64) * len(sizes) + doc, return_counts=True)
@@ -98,12 +97,12 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
             return pc.binary_length(batch.column("text")).fill_null(0).to_pylist()
 
         for held in gathered(batches, sized, SHARD_BYTES):
-            codes, sizes, words = code([t for b in held for t in terms(b.column("text"))])
+            codes, sizes, listed = code([b.column("text") for b in held], TERM)
             ids = pa.concat_arrays([b.column("key") for b in held])
-            impact, term, doc = _grouped(codes, sizes, len(words), total)
+            impact, term, doc = _grouped(codes, sizes, total)
             new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (impact[1:] != impact[:-1])])) if len(term) else np.zeros(0, np.int64)
             group_sizes = np.diff(np.append(new, len(term)))
-            by_term = np.searchsorted(term[new], np.arange(len(words) + 1))
+            by_term = np.searchsorted(term[new], np.arange(len(listed) + 1))
             docs_at = np.append(new, len(term))[by_term]
             shard = held[0].column("row")[0].as_py()
             lists = [
@@ -114,10 +113,10 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
             names = ["shard", "term", "impacts", "sizes", "docs", "ids"]
             own = pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([b""], pa.binary()), *(pa.nulls(1, a.type) for a in lists), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)], names)
             yield own
-            for low in range(0, len(words), 20_000):
+            for low in range(0, len(listed), 20_000):
                 part = slice(low, low + 20_000)
-                n = len(words[part])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), words[part], *(a[part] for a in lists), pa.nulls(n, pa.list_(pa.int64()))], names)
+                n = len(listed[part])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), listed[part], *(a[part] for a in lists), pa.nulls(n, pa.list_(pa.int64()))], names)
 
     made = rows.mapInArrow(run, "shard bigint, term binary, impacts array<bigint>, sizes array<int>, docs array<int>, ids array<bigint>")
     return Index(stored(made.sortWithinPartitions("term", "shard"), "postings"), *total)
@@ -129,8 +128,8 @@ def questions(items: DataFrame, key: str = "item_id", text: str = "text") -> Dat
 
     def run(batches):
         for batch in batches:
-            listed = [sorted(set(t)) for t in terms(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("item").take(pa.array(np.repeat(np.arange(len(listed)), [len(t) for t in listed]), pa.int64())), pa.array([w for t in listed for w in t], pa.binary())], ["item", "term"])
+            codes, sizes, listed = code([batch.column("text")], TERM)
+            yield pa.RecordBatch.from_arrays([batch.column("item").take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), listed.take(pa.array(codes))], ["item", "term"])
 
     return rows.mapInArrow(run, "item bigint, term binary").distinct()
 
@@ -202,12 +201,12 @@ def search(index: Index, items: DataFrame, k: int = 50, key: str = "item_id", te
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        words = table.column("term").to_pylist()
-        own = words.index(b"")
+        named = table.column("term").to_pylist()
+        own = named.index(b"")
         ids = table.column("ids")[own].values
         # null ids after all others
         ids_at = np.where(ids.is_null(), np.iinfo(np.int64).max, ids.fill_null(0).to_numpy(zero_copy_only=False))
-        rows = [i for i, w in enumerate(words) if w]
+        rows = [i for i, w in enumerate(named) if w]
         groups, questions, numbers = [], {}, [table.column(c) for c in ("impacts", "sizes", "docs", "items", "worth")]
         for t, i in enumerate(rows):
             impacts, sizes, docs, items = (c[i].values.to_numpy(zero_copy_only=False) for c in numbers[:4])
@@ -222,8 +221,8 @@ def search(index: Index, items: DataFrame, k: int = 50, key: str = "item_id", te
         told = [(item, *best_of_shard(of, groups, (begin, term, impact), len(ids), ids_at, k)) for item, of in questions.items()]
         at = np.concatenate([np.zeros(0, np.int64), *(d for _, d, _ in told)])
         scores = np.concatenate([np.zeros(0, np.int64), *(s for _, _, s in told)])
-        named = np.repeat(np.array([i for i, _, _ in told], np.int64), [len(d) for _, d, _ in told])
-        return pa.table([pa.array(named), ids.take(pa.array(at)), pa.array(scores)], names=["item", "doc", "score"])
+        item = np.repeat(np.array([i for i, _, _ in told], np.int64), [len(d) for _, d, _ in told])
+        return pa.table([pa.array(item), ids.take(pa.array(at)), pa.array(scores)], names=["item", "doc", "score"])
 
     each = met.groupBy("block", "shard").applyInArrow(run, "item bigint, doc bigint, score bigint")
     rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc")))
