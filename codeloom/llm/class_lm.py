@@ -51,7 +51,7 @@ TRAIN, HELD, NEITHER = 0, 1, 2
 
 
 def blocks(docs: DataFrame, folds: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(block, keys, part, sizes, words, counts, codes), written to the shared folder. counts: of each word in texts to learn from."""
+    """(block, keys, part, sizes, words, counts, codes), written to the shared folder. words: parted by blanks; counts: of each word in texts to learn from."""
     fold = F.crc32(F.col("key").cast("string")) % folds
     rows = take(docs, key=key, text=text).select("key", F.col("text").cast("string").alias("text"), F.when(fold == 0, HELD).when(fold > 0, TRAIN).otherwise(NEITHER).cast("int").alias("part"), F.monotonically_increasing_id().alias("row"))
     kind = rows.schema["key"].dataType.simpleString()
@@ -70,13 +70,13 @@ def blocks(docs: DataFrame, folds: int = 10, key: str = "doc_id", text: str = "t
                 one_list(pa.concat_arrays([b.column("key") for b in held])),
                 one_list(part),
                 one_list(pa.array(sizes, pa.int32())),
-                one_list(words),
-                one_list(pa.array(counts, pa.int64())),
+                pa.array([b" ".join(words.to_pylist()).decode()], pa.string()),
+                one_list(pa.array(counts, pa.int32())),
                 pa.array([planes(codes)], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["block", "keys", "part", "sizes", "words", "counts", "codes"])
 
-    return stored(rows.mapInArrow(run, f"block bigint, keys array<{kind}>, part array<int>, sizes array<int>, words array<binary>, counts array<bigint>, codes binary"), "coded")
+    return stored(rows.mapInArrow(run, f"block bigint, keys array<{kind}>, part array<int>, sizes array<int>, words string, counts array<int>, codes binary"), "coded")
 
 
 def vocabulary(coded: DataFrame) -> DataFrame:
@@ -86,7 +86,8 @@ def vocabulary(coded: DataFrame) -> DataFrame:
     count there isn't all of n. Other places need no row. A word has a row a block at most, so words meet in one
     shuffle and no group is larger than the number of blocks.
     """
-    each = coded.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select("block", "pos", F.col("w.words").alias("word"), F.col("w.counts").alias("own"))
+    listed = F.arrays_zip(F.split("words", " ").alias("words"), "counts")
+    each = coded.where("words <> ''").select("block", F.posexplode(listed).alias("pos", "w")).select("block", "pos", F.col("w.words").cast("binary").alias("word"), F.col("w.counts").cast("long").alias("own"))
     of = Window.partitionBy("word")
     met = each.withColumn("n", F.sum("own").over(of)).withColumn("first", F.min("block").over(of) == F.col("block")).where("n > 0 and (first or n > own)")
     return stored(met.select(F.when(F.col("first"), F.col("word")).alias("word"), F.when(F.col("n") > F.col("own"), F.col("block")).alias("block"), "pos", "n"), "vocabulary")
@@ -143,6 +144,11 @@ def _flat(codes: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, n
     return out, starts[:-1]
 
 
+def _listed(words: pa.Scalar) -> pa.Array:
+    """The words of a block."""
+    return pa.array(words.as_py().encode().split(b" ") if words.as_py() else [], pa.binary())
+
+
 def _row(batch: pa.RecordBatch, i: int, *names: str) -> list[np.ndarray]:
     return [batch.column(n)[i].values.to_numpy(zero_copy_only=False) for n in names]
 
@@ -157,7 +163,7 @@ def neighbours(coded: DataFrame, units: Units, classes: np.ndarray, n: int) -> t
         for batch in batches:
             for i in range(len(batch)):
                 sizes, part = _row(batch, i, "sizes", "part")
-                unit, _ = _flat(units.of(batch.column("words")[i].values)[unplaned(batch.column("codes")[i].as_py())], sizes.astype(np.int64), 0)
+                unit, _ = _flat(units.of(_listed(batch.column("words")[i]))[unplaned(batch.column("codes")[i].as_py())], sizes.astype(np.int64), 0)
                 learnt = np.repeat(part == TRAIN, sizes + 1)
                 before = np.concatenate([[0], unit[:-1]])[learnt]
                 unit = unit[learnt]
@@ -298,24 +304,26 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", classes: int
         for batch in batches:
             for i in range(len(batch)):
                 sizes, part, n = _row(batch, i, "sizes", "part", "counts")
-                own = units.of(batch.column("words")[i].values)
+                n = n.astype(np.int64)
+                own = units.of(_listed(batch.column("words")[i]))
                 if batch.column("met")[i].is_valid:
-                    met, n = batch.column("met")[i].values, n.copy()
+                    met = batch.column("met")[i].values
                     n[met.field(0).to_numpy(zero_copy_only=False)] = met.field(1).to_numpy(zero_copy_only=False)
                 n = np.append(n, total.ends)  # the end comes after the words
                 known = n > 0
-                of = np.where(known, made.classes[np.append(own, 0)], unknown)
+                of = np.where(known, made.classes[np.append(own, 0)], unknown).astype(np.int16)
                 inside = np.log10(np.maximum(n, 1)) - np.log10(np.maximum(np.append(made.sizes, 1)[of], 1))
                 base = np.log10((n + ADDED) / (total.tokens + ADDED * (total.distinct + 1)))
                 codes, starts = _flat(unplaned(batch.column("codes")[i].as_py()), sizes.astype(np.int64), len(own))
                 now = of[codes]
                 before = np.concatenate([of[-1:], now[:-1]])
-                token = made.table[before, now] + np.where(known, inside, 0)[codes]
+                token = made.table[before, now]
+                token += np.where(known, inside, 0)[codes]
                 columns = [
                     batch.column("keys")[i].values,
                     pa.array(part == HELD),
                     pa.array(sizes + 1, pa.int64()),
-                    pa.array(np.add.reduceat(known[codes].astype(np.int64), starts)),
+                    pa.array(np.add.reduceat(known[codes], starts, dtype=np.int64)),
                     pa.array(np.full(len(sizes), total.tokens, np.int64)),
                     pa.array(np.add.reduceat(base[codes], starts)),
                     pa.array(np.add.reduceat(token, starts)),
