@@ -30,6 +30,11 @@ def symbols_by_name(symbols: DataFrame, files: DataFrame, name: str) -> DataFram
     return with_path(symbols.where(F.col("name") == name), files)
 
 
+def symbols_of_names(symbols: DataFrame, files: DataFrame, names: DataFrame) -> DataFrame:
+    """Symbols that have one of ``names`` (name)."""
+    return with_path(symbols.join(names.select("name").distinct(), "name", "left_semi").select(*symbols.columns), files)
+
+
 def exported_symbols(symbols: DataFrame, files: DataFrame) -> DataFrame:
     return with_path(symbols.where("is_exported"), files)
 

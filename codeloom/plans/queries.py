@@ -10,7 +10,7 @@ from ..functions import columns, concepts
 from ..operators import cochange, graph, lookup, patterns, resolve
 from . import standins
 from .scenario import scenario
-from .standins import CALLS, COMMITS, FILES, SYMBOLS, StandIns
+from .standins import CALLS, COMMITS, FILES, ORDER_CALLS, ORDER_SYMBOLS, SYMBOLS, StandIns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -85,10 +85,10 @@ def symbols_by_file(v):
     return lookup.symbols_by_file(v.symbols, v.files)
 
 
-@register("SELECT s.*, f.path AS file_path FROM symbols s JOIN files f ON f.id = s.file_id WHERE s.name = (SELECT min(name) FROM symbols WHERE id = 101)", f"{FILES}, {SYMBOLS}")
+@register("SELECT s.*, f.path AS file_path FROM symbols s JOIN files f ON f.id = s.file_id WHERE s.name IN (SELECT name FROM symbols WHERE id % 50 = 0)", f"{FILES}, {SYMBOLS}")
 def symbols_by_name(v):
-    name = v.symbols.where("id = 101").first()["name"]
-    return lookup.symbols_by_name(v.symbols, v.files, name)
+    """All symbols that have a name of one whose id is divisible by 50."""
+    return lookup.symbols_of_names(v.symbols, v.files, v.symbols.where("id % 50 = 0").select("name"))
 
 
 @register("SELECT s.*, f.path AS file_path FROM symbols s JOIN files f ON f.id = s.file_id WHERE s.id = 101", f"{FILES}, {SYMBOLS}")
@@ -190,11 +190,25 @@ def impact_bfs(v):
 
 @register(
     "SELECT seed, node, CAST(min(d) AS INTEGER) AS depth FROM walk GROUP BY seed, node",
-    f"RECURSIVE {CALLS}, walk AS (SELECT CAST(p_partkey AS BIGINT) AS seed, CAST(p_partkey AS BIGINT) AS node, 0 AS d FROM part UNION SELECT seed, callee_symbol_id, d + 1 FROM walk JOIN calls ON caller_symbol_id = node WHERE d < 3)",
+    f"RECURSIVE {CALLS}, walk AS (SELECT CAST(p_partkey AS BIGINT) AS seed, CAST(p_partkey AS BIGINT) AS node, 0 AS d FROM part WHERE p_partkey % 50 = 0 UNION SELECT seed, callee_symbol_id, d + 1 FROM walk JOIN calls ON caller_symbol_id = node WHERE d < 3)",
 )
 def depends_chain(v):
-    """Every symbol and all that it depends on, to depth 3."""
-    return graph.callees_within(v.calls, v.symbols.select(F.col("id").alias("node")), 3)
+    """Every symbol whose id is divisible by 50, and all that it depends on among all symbols, to depth 3."""
+    return graph.callees_within(v.calls, _asked_about(v), 3)
+
+
+def _asked_about(v: StandIns) -> DataFrame:
+    """The stated set of targets that queries ask about, against all edges."""
+    return v.symbols.where("id % 50 = 0").select(F.col("id").alias("node"))
+
+
+@register(
+    "SELECT seed, CAST(d AS INTEGER) AS depth, count(*) AS nodes FROM (SELECT seed, node, min(d) AS d FROM walk GROUP BY 1, 2) GROUP BY 1, 2",
+    f"RECURSIVE {CALLS}, walk AS (SELECT CAST(p_partkey AS BIGINT) AS seed, CAST(p_partkey AS BIGINT) AS node, 0 AS d FROM part WHERE p_partkey % 50 = 0 UNION SELECT seed, caller_symbol_id, d + 1 FROM walk JOIN calls ON callee_symbol_id = node WHERE d < 3)",
+)
+def reach_counts(v):
+    """How many callers there are at each distance."""
+    return graph.reached(v.calls.select(F.col("callee_symbol_id").alias("src"), F.col("caller_symbol_id").alias("dst")), _asked_about(v), 3)
 
 
 _RISK = f"""{FILES}, {SYMBOLS}, {CALLS}, placed AS (
@@ -211,11 +225,15 @@ def impact_risk(v):
     return graph.risks(v.symbols, v.files, v.calls)
 
 
-@register(
-    """SELECT target_id, direct, indirect, core_files, high_risk, tests, score, CASE WHEN score >= 80 THEN 'CRITICAL' WHEN score >= 50 THEN 'HIGH' WHEN score >= 20 THEN 'MEDIUM' ELSE 'LOW' END AS level
-FROM (SELECT *, CAST(least(100, 10 * direct + 3 * indirect + 5 * core_files + 15 * high_risk + CASE WHEN direct > 0 AND tests = 0 THEN 20 ELSE 0 END) AS BIGINT) AS score FROM sums)""",
-    "RECURSIVE " + _RISK.replace("JOIN files f", "JOIN tested f").replace(f"{CALLS},", f"{CALLS}, {_TESTED},") + f""", {_TREE}, walk AS (
-  SELECT id AS target_id, id AS node, 0 AS d FROM symbols UNION SELECT target_id, dst, d + 1 FROM walk JOIN edges ON src = node WHERE d < 3
+_LEVELS = """SELECT target_id, direct, indirect, core_files, high_risk, tests, score, CASE WHEN score >= 80 THEN 'CRITICAL' WHEN score >= 50 THEN 'HIGH' WHEN score >= 20 THEN 'MEDIUM' ELSE 'LOW' END AS level
+FROM (SELECT *, CAST(least(100, 10 * direct + 3 * indirect + 5 * core_files + 15 * high_risk + CASE WHEN direct > 0 AND tests = 0 THEN 20 ELSE 0 END) AS BIGINT) AS score FROM sums)"""
+
+
+def _blast(symbols: str, calls: str, asked: str) -> str:
+    """Views for the blast radius of the symbols that ``asked`` tells, every seventh file being a test."""
+    rated = _RISK.replace("JOIN files f", "JOIN tested f").replace(SYMBOLS, symbols).replace(f"{CALLS},", f"{calls}, {_TESTED},")
+    return f"""RECURSIVE {rated}, {_TREE}, walk AS (
+  SELECT id AS target_id, id AS node, 0 AS d FROM symbols WHERE {asked} UNION SELECT target_id, dst, d + 1 FROM walk JOIN edges ON src = node WHERE d < 3
 ), near AS (SELECT target_id, node, min(d) AS d FROM walk GROUP BY 1, 2
 ), t AS (
   SELECT target_id, path, name, line_start FROM edges JOIN walk w ON w.d = 0 AND src = w.node JOIN symbols s ON s.id = dst JOIN tested f ON f.id = s.file_id WHERE path LIKE '%test%' GROUP BY ALL
@@ -224,11 +242,19 @@ FROM (SELECT *, CAST(least(100, 10 * direct + 3 * indirect + 5 * core_files + 15
   SELECT near.target_id, count(*) FILTER (WHERE d = 1) AS direct, count(*) FILTER (WHERE d > 1) AS indirect,
          count(DISTINCT file_path) FILTER (WHERE file_path NOT LIKE '%test%' AND file_path NOT LIKE '%spec%') AS core_files, count(*) FILTER (WHERE risk = 'high') AS high_risk, coalesce(any_value(tests), 0) AS tests
   FROM near JOIN rated ON rated.id = node LEFT JOIN n ON n.target_id = near.target_id WHERE d > 0 GROUP BY near.target_id
-)""",
-)
+)"""
+
+
+@register(_LEVELS, _blast(SYMBOLS, CALLS, "id % 50 = 0"))
 def impact_blast_radius(v):
-    """Of every symbol, by its callers to depth 3, with every seventh file a test."""
-    return graph.blast_radius(v.calls, v.symbols, _tested(v), v.symbols.select(F.col("id").alias("node")))
+    """Of every symbol whose id is divisible by 50, by its callers to depth 3 among all symbols, with every seventh file a test."""
+    return graph.blast_radius(v.calls, v.symbols, _tested(v), _asked_about(v))
+
+
+@register(_LEVELS, _blast(ORDER_SYMBOLS, ORDER_CALLS, "true"))
+def blast_radius_of_orders(v):
+    """Of every symbol of a sparse graph, in which all levels occur."""
+    return graph.blast_radius(v.order_calls, v.order_symbols, _tested(v), v.order_symbols.select(F.col("id").alias("node")))
 
 
 _STYLE = """CASE WHEN regexp_matches({0}, '^[a-z][a-zA-Z0-9]*$') AND regexp_matches({0}, '[A-Z]') THEN 'camelCase' WHEN regexp_matches({0}, '^[A-Z][a-zA-Z0-9]*$') THEN 'PascalCase'

@@ -22,6 +22,15 @@ CALLS = """steps AS (
   SELECT caller AS caller_symbol_id, callee AS callee_symbol_id, min(line) AS line, CAST(1.0 AS DOUBLE) AS confidence
   FROM steps WHERE callee IS NOT NULL AND caller <> callee GROUP BY caller, callee
 )"""
+#: Orders as symbols, and the cheaper ones among a customer's next five orders as what an order calls: a sparse graph.
+ORDER_SYMBOLS = """symbols AS (
+  SELECT o_orderkey AS id, o_custkey % 40 AS file_id, o_orderpriority AS name, o_orderstatus AS kind, o_orderkey AS line_start, o_orderkey AS line_end, o_orderpriority AS signature, o_orderstatus <> 'P' AS is_exported FROM orders
+)"""
+ORDER_CALLS = """later AS (
+  SELECT o_orderkey AS caller, o_totalprice AS price, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n, o_custkey FROM orders
+), calls AS (
+  SELECT a.caller AS caller_symbol_id, b.caller AS callee_symbol_id, CAST(b.n - a.n AS INTEGER) AS line, CAST(1.0 AS DOUBLE) AS confidence FROM later a JOIN later b ON a.o_custkey = b.o_custkey AND b.n - a.n BETWEEN 1 AND 5 AND b.price < a.price
+)"""
 COMMITS = """commits AS (
   SELECT DISTINCT user_id || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) AS commit_hash, event_type AS file_path FROM events
 )"""
@@ -53,6 +62,17 @@ class StandIns:
         edges = steps.where("callee is not null and caller <> callee").groupBy(F.col("caller").alias("caller_symbol_id"), F.col("callee").alias("callee_symbol_id"))
         return edges.agg(F.min("line").alias("line"), F.lit(1.0).alias("confidence"))
 
+    @cached_property
+    def order_symbols(self) -> DataFrame:
+        return self.table("orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 40).alias("file_id"), F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("kind"), F.col("o_orderkey").alias("line_start"), F.col("o_orderkey").alias("line_end"), F.col("o_orderpriority").alias("signature"), (F.col("o_orderstatus") != "P").alias("is_exported"))
+
+    @cached_property
+    def order_calls(self) -> DataFrame:
+        order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+        nexts = F.array(*(F.struct(F.lead("o_orderkey", k).over(order).alias("callee"), F.lead("o_totalprice", k).over(order).alias("price"), F.lit(k).alias("line")) for k in range(1, 6)))
+        each = self.table("orders").select("o_orderkey", "o_totalprice", nexts.alias("nexts")).select("o_orderkey", "o_totalprice", F.explode("nexts").alias("to"))
+        return each.where("to.price < o_totalprice").select(F.col("o_orderkey").alias("caller_symbol_id"), F.col("to.callee").alias("callee_symbol_id"), F.col("to.line").alias("line"), F.lit(1.0).alias("confidence"))
+
     @cached_property
     def commits(self) -> DataFrame:
         day = F.date_format(F.col("ts"), "yyyy-MM-dd")

@@ -80,6 +80,30 @@ def test_targets(s, text, name):
     assert (row and row["name"]) == name
 
 
+def test_walk_of_many_seeds(spark):
+    """Bits of blocks of 64 seeds against a plain walk, and their counts."""
+    import random
+
+    rng = random.Random(2)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(500)]
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    want = set()
+    for seed in range(0, 200, 2):
+        at, seen = {seed}, {seed: 0}
+        for d in (1, 2, 3):
+            at = {b for a in at for b in after.get(a, ()) if b not in seen}
+            seen.update((b, d) for b in at)
+        want |= {(seed, n, d) for n, d in seen.items()}
+    links, starts = spark.createDataFrame(edges, "src bigint, dst bigint"), spark.range(0, 200, 2).toDF("node")
+    assert {tuple(r) for r in graph.reach(links, starts, 3).collect()} == want
+    counts = {(r["seed"], r["depth"]): r["nodes"] for r in graph.reached(links, starts, 3).collect()}
+    assert counts == {k: sum((s, d) == k for s, _, d in want) for k in {(s, d) for s, _, d in want}}
+    rows = graph.walk(links, graph.packed(starts), 3)
+    assert rows.count() < len(want)
+
+
 def test_reach_is_minimal_and_ends(spark):
     ring = spark.createDataFrame([(i, (i + 1) % 6) for i in range(6)] + [(0, 2), (3, 3)], "src bigint, dst bigint")
     found = {r["node"]: r["depth"] for r in graph.reach(ring, seeds(spark, 0), 10).collect()}
