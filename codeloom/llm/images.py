@@ -17,8 +17,8 @@ each meeting, and no bucket is cut short.
 The tables miss a pair of corners that share no key: with a share p of differing bits that is
 (1 - (1 - p) ** KEY_BITS) ** TABLES; an image is lost only if all corners but one are.
 
-Defined results: null or unreadable bytes (JPEG, interlaced PNG, other formats) are described by
-nothing, and match only images of equal bytes, null none; images smaller than a patch have no
+Defined results: null or unreadable bytes (JPEG, interlaced PNG, other formats, an empty palette, a height
+or width of 0, sizes that don't fit the bytes) are described by nothing, and match only images of equal bytes, null none; images smaller than a patch have no
 corners; equal images always match (their class is listed); an image with the same response
 everywhere has none either; images of any size are read whole; null keys are kept as any other;
 an empty table matches nothing; other columns are dropped, whatever their names.
@@ -89,7 +89,7 @@ def _png(data: bytes) -> np.ndarray | None:
         elif kind == b"IDAT":
             body.append(data[at + 8 : at + 8 + size])
         at += size + 12
-    if head is None or head[3] not in (0, 2, 3, 4, 6) or head[6] or (head[3] == 3) != (palette is not None and head[3] == 3):
+    if head is None or head[3] not in (0, 2, 3, 4, 6) or head[6] or not head[0] or not head[1] or (head[3] == 3 and (palette is None or not len(palette))):
         return None
     width, height, depth, channels = head[0], head[1], head[2], {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[head[3]]
     line = -(-width * channels * depth // 8)
@@ -116,10 +116,10 @@ def decode(data: bytes | None) -> np.ndarray | None:
         if data and data[:2] in (b"P5", b"P6"):
             kind, width, height, most = data[:64].split(None, 4)[:4]
             head = len(data) - int(width) * int(height) * (3 if kind == b"P6" else 1)
-            if most != b"255" or head <= 0:
+            if most != b"255" or head <= 0 or int(width) < 1 or int(height) < 1:
                 return None
             return np.frombuffer(data, np.uint8, offset=head).reshape(int(height), int(width), -1).mean(axis=2)
-    except (ValueError, zlib.error, struct.error):
+    except (ValueError, IndexError, TypeError, OverflowError, zlib.error, struct.error):  # what damaged bytes can lead to
         return None
     return None
 
