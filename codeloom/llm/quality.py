@@ -5,7 +5,9 @@ removed; a text that loses too much of its words is rejected. Statistics of the
 (symbols, repeated lines, words in repeated windows) reject besides.
 
 The rules of a line: its words outnumber HEADING_WORDS and it has no mark at its end, or symbols
-abound; it is cut up by bars; or it is short and holds a phrase of page furniture.
+abound; it is cut up by bars; or it is short (of BOILERPLATE_WORDS at most) and holds a phrase of page furniture.
+Blanks at a line's end (the six of ASCII, so a carriage return too) don't count; other characters there, such as
+a line separator of Unicode, are no mark.
 
 Defined results: null text counts as empty (no words, so it fails); blank lines are neither judged
 nor counted; texts of any length are worked on whole; equal rows have equal results, null and
@@ -22,7 +24,7 @@ from .frames import place, restore, take
 #: Fixed values of the rules.
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-TERMINAL = r"[.!?:;…。！？][\"'”’»)\]]*$"
+TERMINAL = r"[.!?:;…。！？][\"'”’»)\]]*[ \t-\r]*\z"
 #: Lines of at most this many words may be headings, and need no terminal mark.
 HEADING_WORDS = 8
 #: Phrases of pages around texts, in English, German, French and Spanish; a dot stands for a letter with a mark.
@@ -85,7 +87,7 @@ def line_fails(line: Column) -> Column:
     bars = F.length(line) - F.length(F.translate(line, "|•»›", ""))
 
     def judge(n: Column) -> Column:
-        punctuation = ((n > HEADING_WORDS) & ~F.rtrim(line).rlike(TERMINAL)) | (symbols * 2 > n)
+        punctuation = ((n > HEADING_WORDS) & ~line.rlike(TERMINAL)) | (symbols * 2 > n)
         navigation = (bars >= 2) & (bars * 4 > n)
         return punctuation | navigation | ((n <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE))
 
@@ -155,7 +157,7 @@ WITH d AS (
          length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
          coalesce(covered, 0) AS n_repeat_words,
          list_filter(lines, lambda x: NOT (
-              (len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) > 8 AND NOT regexp_matches(rtrim(x, ' '), '[.!?:;…。！？]["''”’»)\]]*$'))
+              (len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) > 8 AND NOT regexp_matches(x, '[.!?:;…。！？]["''”’»)\]]*[ \x09-\x0D]*\z'))
            OR 2 * (length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g'))) > len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))
            OR (length(x) - length(regexp_replace(x, '[|•»›]', '', 'g')) >= 2
                AND 4 * (length(x) - length(regexp_replace(x, '[|•»›]', '', 'g'))) > len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')))
