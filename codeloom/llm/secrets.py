@@ -138,8 +138,8 @@ class _Value:
         known = words()
         for j in range(i + 3, min(self.n, i + _LONGEST_WORD) + 1):
             word, own = self.plain[i:j], self.lower[i:j]
-            ranks = [(known[w], changed) for w, changed in {own: 0, word: sum(a != b for a, b in zip(word, own, strict=True))}.items() if w in known]
-            if ranks:
+            if own in known or word in known:
+                ranks = [(known[w], changed) for w, changed in {own: 0, word: sum(a != b for a, b in zip(word, own, strict=True))}.items() if w in known]
                 raised = sum(c.isupper() for c in self.value[i:j])
                 case = 0 if not raised else 1 if raised == j - i or self.value[i].isupper() and raised == 1 else raised + 1
                 yield j, case + min(math.log2(rank) + changed for rank, changed in ranks)
@@ -149,17 +149,31 @@ class _Value:
             if (m := form.match(self.value, i)) is not None:
                 yield m.end(), bits
 
-    def repeats(self, i: int):
-        """(ends, bits) of all blocks at ``i`` that come again and again, for each length of the block."""
+    def repeats(self, i: int, now: float = 0.0, leads: dict | None = None):
+        """(ends, bits) of all blocks at ``i`` that come again and again, for each length of the block.
+
+        leads: of each length and phase the last start that was tried and its cost. From a start further on in the same run the
+        same end costs log2(times from there / times from here) less; where ``now`` is above by as much as that can be, at
+        the nearest end, nothing is won.
+        """
         for period in PERIODS:
-            most, least = int(self.reach[period][i]) // period + 1, 3 if period == 1 else 2
+            reach = int(self.reach[period][i])
+            most, least = reach // period + 1, 3 if period == 1 else 2
             if most >= least:
+                if leads is not None:
+                    start, cost = leads.get((period, i % period), (-1, 0.0))
+                    if start >= 0 and start + int(self.reach[period][start]) == i + reach and now >= cost + math.log2(((i - start) // period + least) / least):
+                        continue
+                    leads[period, i % period] = i, now
                 times = np.arange(least, most + 1)
                 yield i + times * period, self.brute_before[i + period] - self.brute_before[i] + np.log2(times)
 
-    def walks(self, i: int):
-        """(ends, bits) of all runs of neighbours on a keyboard row, or in the alphabet, from ``i`` on."""
-        ends = np.arange(i + 3, int(self.walk[i]) + 1)
+    def walks(self, i: int, most: float = math.inf):
+        """(ends, bits) of all runs of neighbours on a keyboard row, or in the alphabet, from ``i`` on, that turn less than ``most`` times."""
+        end = int(self.walk[i])
+        if most < math.inf and i + 1 < self.n:
+            end = min(end, int(np.searchsorted(self.turns, self.turns[i + 1] + most)))
+        ends = np.arange(i + 3, end + 1)
         if len(ends):
             yield ends, math.log2(47) + np.log2(ends - i) + self.turns[ends - 1] - self.turns[i + 1] + (self.raised[ends] > self.raised[i])
 
@@ -176,19 +190,25 @@ def _segments(value: str):
 
 
 @lru_cache(maxsize=20_000)
-def guess_bits(value: str) -> float:
+def guess_bits(value: str, enough: float = math.inf) -> float:
     """Minimum cost of ``value`` over all segmentations: best[e] for its first e characters, carried forward from each start.
 
-    Every segment is tried, so a run of n like characters takes n * n steps, as array operations.
+    Where no segmentation of what was seen so far costs less than ``enough``, that is the answer: the rest can only add.
+    A repeat that goes on from an earlier start of the same run, as cheap to every end, is not tried again, so runs
+    of like characters take a pass over their ends for few of their starts.
     """
     v = _Value(value)
     best = np.full(v.n + 1, np.inf)  # the last segment is none of brute force; the start counts as one
     best[0], brute = 0.0, math.inf  # brute: the cost if the last segment is one of brute force
+    leads: dict[tuple[int, int], tuple[int, float]] = {}
+    # whether it is enough is asked at the first starts only, as it takes a pass over the rest each time
     for i in range(v.n):
+        if i < 1000 and enough < math.inf and min(brute, float(best[i:].min())) >= enough:
+            return enough
         now = min(float(best[i]), brute) + _SEGMENT_BITS
         for j, bits in (*v.words(i), *v.dates(i)):
             best[j] = min(best[j], now + bits)
-        for ends, bits in (*v.repeats(i), *v.walks(i)):
+        for ends, bits in (*v.repeats(i, now, leads), *v.walks(i, enough - now)):
             best[ends] = np.minimum(best[ends], now + bits)
         brute = min(brute, now) + float(v.brute[i])
     return min(float(best[v.n]), brute)
@@ -199,7 +219,7 @@ def find(text: str, min_bits: float = 40.0) -> list[tuple[int, int, str]]:
     found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
-    found += [(m.start(1), m.end(1), "guess") for m in CONTEXT.finditer(text) if guess_bits(m[1]) >= min_bits]
+    found += [(m.start(1), m.end(1), "guess") for m in CONTEXT.finditer(text) if guess_bits(m[1], min_bits) >= min_bits]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
