@@ -172,7 +172,7 @@ def neighbours(coded: DataFrame, units: Units, classes: np.ndarray, n: int) -> t
         yield pa.RecordBatch.from_arrays([pa.array([pa.compress(total.tobytes(), "lz4", asbytes=True)], pa.binary())], ["counts"])
 
     parts = coded.select("sizes", "part", "words", "codes").mapInArrow(run, "counts binary").rdd.map(lambda r: np.frombuffer(pa.decompress(bytes(r["counts"]), 16 * size, "lz4", asbytes=True), np.int64))
-    total = parts.treeReduce(np.add, depth=2) if parts.getNumPartitions() else np.zeros(2 * units.n * n, np.int64)
+    total = parts.treeReduce(np.add, depth=4) if parts.getNumPartitions() else np.zeros(2 * units.n * n, np.int64)
     return total[: units.n * n].reshape(units.n, n), total[units.n * n :].reshape(units.n, n)
 
 
@@ -194,7 +194,7 @@ def likelihood(table: np.ndarray) -> float:
     return float(_g(table).sum() - _g(table.sum(axis=1)).sum() - _g(table.sum(axis=0)).sum())
 
 
-def _side(counts: np.ndarray, back: np.ndarray, classes: np.ndarray, table: np.ndarray, step: int = 100_000) -> np.ndarray:
+def _side(counts: np.ndarray, back: np.ndarray, classes: np.ndarray, table: np.ndarray, step: int = 20_000) -> np.ndarray:
     """What joining each class adds by its bigrams with the classes after the units, but itself.
 
     counts: of classes after each unit, back: of classes before it; table: a class followed by another. A unit's own bigrams are taken out of its class first.
