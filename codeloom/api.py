@@ -72,10 +72,14 @@ class CodeEngine:
     def query(self, task: str, limit: int = 15, groups=concepts.GROUPS) -> DataFrame:
         return search.query(self.spark, self.now, task, limit, groups)
 
+    def query_many(self, questions: DataFrame, limit: int = 15, groups=concepts.GROUPS) -> DataFrame:
+        """The best entries of each question of a table (q, task), in one go."""
+        return search.query_many(self.now, questions, limit, groups)
+
     def search_symbols(self, text: str) -> DataFrame:
-        asked = self.spark.createDataFrame([(0, text)], "kw_pos int, keyword string")
+        asked = self.spark.createDataFrame([(text,)], "keyword string")
         now = self.now
-        return lookup.with_path(lookup.search_symbols(now.symbols, asked, index=now.tokens), now.files).orderBy("id")
+        return lookup.with_path(lookup.search_symbols(now.symbols, asked, index=now.tokens, grams=now.symbol_grams), now.files).orderBy("id")
 
     def _target(self, text: str) -> DataFrame:
         now = self.now

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import base_name, stem, tokens
+from . import substrings
 
 #: Rows that searches return at most.
 SEARCH_LIMIT, PATH_LIMIT, EXPORT_LIMIT = 50, 10, 15
@@ -159,22 +160,50 @@ def phrase_search(index: DataFrame, phrases: DataFrame) -> DataFrame:
     return met.groupBy("phrase_id", "n", "id", "field", "start").agg(F.count("*").alias("hits")).where("hits = n").select("phrase_id", "id").distinct()
 
 
-def search_symbols(symbols: DataFrame, keywords: DataFrame, limit: int = SEARCH_LIMIT, index: DataFrame | None = None) -> DataFrame:
-    """(kw_pos, keyword, symbol ...): token matches of each keyword, or else names and signatures that contain it.
+#: Fields of a symbol in which a keyword without token matches is looked for.
+LIKE_FIELDS = ["name", "signature"]
+#: So many words of questions at most are handed to the scan of a stored index as a filter.
+PUSHED_WORDS = 1000
 
-    keywords: (kw_pos, keyword). White space parts a keyword into phrases, any of which may match; at most
-    ``limit`` symbols a keyword, by id. ``index``: the inverted index, if it is stored; else it is made.
+
+def symbol_grams(symbols: DataFrame) -> DataFrame:
+    """The trigram postings of symbols: (gram, id)."""
+    return substrings.postings(symbols, "id", LIKE_FIELDS)
+
+
+def path_grams(files: DataFrame) -> DataFrame:
+    return substrings.postings(files, "id", ["path"])
+
+
+def first_by_id(hits: DataFrame, of: str, limit: int) -> DataFrame:
+    """The first ``limit`` rows of each value of ``of``, with their place as row_pos."""
+    return hits.withColumn("row_pos", F.row_number().over(Window.partitionBy(of).orderBy("id"))).where(F.col("row_pos") <= limit)
+
+
+def search_symbols(symbols: DataFrame, keywords: DataFrame, limit: int = SEARCH_LIMIT, index: DataFrame | None = None, grams: DataFrame | None = None) -> DataFrame:
+    """(keyword, row_pos, symbol ...): token matches of each distinct keyword, or else names and signatures that contain it.
+
+    keywords: (keyword), any number of them. White space parts a keyword into phrases, any of which may match; at most
+    ``limit`` symbols a keyword, by id. ``index``, ``grams``: the inverted index and the trigram postings, if they are stored;
+    else they are made.
     """
-    terms = keywords.select("kw_pos", F.explode(F.array_remove(F.split("keyword", r"\s+"), "")).alias("term")).select("kw_pos", tokens(F.col("term")).alias("words")).withColumn("phrase_id", F.struct("kw_pos", "words"))
-    asked = {w for r in terms.select("words").collect() for w in r["words"]}  # words of one question
-    stored = (symbol_tokens(symbols) if index is None else index).where(F.col("token").isin(*asked))  # reaches the scan of a stored index
-    hits = phrase_search(stored, terms.select("phrase_id", "words")).select(F.col("phrase_id.kw_pos").alias("kw_pos"), "id").distinct()
-    missed = keywords.join(hits.select("kw_pos").distinct(), "kw_pos", "left_anti")
-    like = F.concat(F.lit("%"), F.col("keyword"), F.lit("%"))
-    # keywords are a handful, made from one question
-    looser = F.broadcast(missed).join(symbols, F.expr("name ilike concat('%', keyword, '%') or signature ilike concat('%', keyword, '%')")).select("kw_pos", "id")
-    ranked = hits.union(looser).withColumn("row_pos", F.row_number().over(Window.partitionBy("kw_pos").orderBy("id"))).where(F.col("row_pos") <= limit)
-    return ranked.join(keywords, "kw_pos").join(symbols, "id")
+    asked = keywords.select("keyword").distinct()
+    terms = asked.select("keyword", F.explode(F.array_remove(F.split("keyword", r"\s+"), "")).alias("term")).select("keyword", tokens(F.col("term")).alias("words")).withColumn("phrase_id", F.struct("keyword", "words"))
+    stored = symbol_tokens(symbols) if index is None else index
+    if index is not None:
+        words = [r["w"] for r in terms.select(F.explode("words").alias("w")).distinct().limit(PUSHED_WORDS + 1).collect()]
+        if len(words) <= PUSHED_WORDS:  # reaches the scan of the stored index; for more words the join alone decides
+            stored = stored.where(F.col("token").isin(*words))
+    hits = phrase_search(stored, terms.select("phrase_id", "words")).select(F.col("phrase_id.keyword").alias("keyword"), "id").distinct()
+    missed = asked.join(hits.select("keyword").distinct(), "keyword", "left_anti").withColumn("pattern", F.concat(F.lit("%"), F.col("keyword"), F.lit("%")))
+    looser = substrings.matches(symbol_grams(symbols) if grams is None else grams, symbols, "id", LIKE_FIELDS, missed).join(missed, "pattern").select("keyword", "id")
+    return first_by_id(hits.union(looser), "keyword", limit).join(symbols, "id")
+
+
+def search_paths(files: DataFrame, patterns: DataFrame, limit: int | None = PATH_LIMIT, grams: DataFrame | None = None) -> DataFrame:
+    """(pattern, row_pos, id, path): files whose path matches a LIKE pattern, at most ``limit`` a pattern, by id."""
+    found = substrings.matches(path_grams(files) if grams is None else grams, files, "id", ["path"], patterns)
+    return first_by_id(found, "pattern", 1 << 30 if limit is None else limit).join(files.select("id", "path"), "id")
 
 
 def file_name(path):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions import columns, concepts
+from ..functions import columns, concepts, questions as asking
 from ..operators import cochange, graph, lookup, patterns, resolve
 from . import standins
 from .scenario import scenario
@@ -438,7 +438,7 @@ def token_search(v):
 
 @register("SELECT q.k AS keyword, s.id FROM (SELECT unnest(['rin', 'gre', 'ste', 'zzz']) AS k) q JOIN symbols s ON contains(lower(s.name), q.k) OR contains(lower(s.signature), q.k)", SYMBOLS)
 def like_fallback(v):
-    asked = v.spark.createDataFrame([(i, k) for i, k in enumerate(["rin", "gre", "ste", "zzz"])], "kw_pos int, keyword string")
+    asked = v.spark.createDataFrame([(k,) for k in ("rin", "gre", "ste", "zzz")], "keyword string")
     return lookup.search_symbols(v.symbols, asked, limit=1 << 40).select("keyword", "id")
 
 
@@ -542,78 +542,130 @@ for _name, _ending in (("typescript", "ts"), ("python", "py"), ("go", "go"), ("r
     QUERIES[f"extract_{_name}"], ORACLE_SQL[f"extract_{_name}"] = _extraction("." + _ending), _declared(_ending)
 
 
-#: The question of the two queries below, its keywords as ``concepts.question`` makes them, and its words.
+#: User turns as questions, each about the part numbered like its turn too; told by one number.
+_QUESTIONS = """questions AS (
+  SELECT conv_id * 1000 + turn AS q, 'where is the ' || p_name || ' ' || text AS task FROM conversations JOIN part ON p_partkey = conv_id WHERE role = 'user'
+)"""
 _TASK = "where is the small ring src3"
+_ONE_QUESTION = f"questions AS (SELECT CAST(0 AS BIGINT) AS q, '{_TASK}' AS task)"
+
+
+def _quoted(texts) -> str:
+    return ", ".join("'" + t + "'" for t in texts)
+
+
+#: From questions (q, task) to asked (q, kw_pos, keyword, original) and words (q, kw_pos, keyword).
+_ASKED = f"""said AS (
+  SELECT q, regexp_replace(regexp_replace(regexp_replace(regexp_replace(task, '{concepts.LEADING}', '', 'i'), '{concepts.TRAILING}', '', 'i'), '{concepts.ARTICLE}', '', 'i'), '^\\s+|\\s+$', '', 'g') AS subject FROM questions
+), w AS (
+  SELECT q, list_filter(regexp_split_to_array(regexp_replace(lower(subject), '[^A-Za-z0-9_\\s-]', ' ', 'g'), '\\s+'), lambda x: length(x) > 1 AND x NOT IN ({_quoted(sorted(concepts.STOP_WORDS))}))[1:{concepts.MOST_KEYWORDS}] AS words FROM said
+), runs AS (
+  SELECT q, words, flatten(list_transform(range(1, len(words) + 1), lambda i: list_transform(list_filter([2, 3], lambda k: i + k - 1 <= len(words)), lambda k: words[i:i + k - 1]))) || CASE WHEN len(words) IN (3, 4) THEN [words] ELSE [] END AS runs FROM w
+), styled AS (
+  SELECT q, flatten(list_transform(runs, lambda r: [array_to_string(r, '_'), r[1] || array_to_string(list_transform(r[2:], lambda x: upper(x[1]) || x[2:]), ''), array_to_string(list_transform(r, lambda x: upper(x[1]) || x[2:]), ''), array_to_string(r, '-')])) AS styles FROM runs
+), made AS (
+  SELECT q, term, [0, min(pos), 0, 0, 0] AS turn FROM (SELECT q, unnest(styles) AS term, unnest(range(len(styles))) AS pos FROM styled) GROUP BY 1, 2
+), each AS (SELECT q, unnest(words) AS word, unnest(range(len(words))) AS i FROM w
+), parted AS (
+  SELECT q, i, list_filter(string_split(word, CASE WHEN contains(word, '_') THEN '_' ELSE '-' END), lambda x: length(x) >= {concepts.SHORTEST_PART}) AS parts FROM each
+), terms AS (
+  SELECT q, i, 0 AS j, word AS term FROM each UNION ALL SELECT q, i, unnest(range(1, len(parts) + 1)), unnest(parts) FROM parted
+), related AS (
+  SELECT * FROM (VALUES {", ".join(f"('{t}', {k}, '{o}')" for t, others in concepts.related().items() for k, o in enumerate(others))}) t(term, k, other)
+), grown AS (
+  SELECT q, term, min(turn) AS turn FROM (
+    SELECT q, word AS term, [1, 0, i, 0, 0] AS turn FROM each UNION ALL SELECT q, term, [1, 1, i, j, 0] FROM terms WHERE j > 0 UNION ALL SELECT q, other, [1, 1, i, j, k + 1] FROM terms JOIN related USING (term)) GROUP BY 1, 2
+), asked AS (
+  SELECT q, CAST(row_number() OVER (PARTITION BY q ORDER BY turn) - 1 AS INTEGER) AS kw_pos, term AS keyword,
+         (q, lower(term)) IN (SELECT (q, lower(word)) FROM each UNION SELECT (q, lower(term)) FROM made) AS original
+  FROM (SELECT * FROM made UNION ALL SELECT * FROM grown WHERE length(term) >= {concepts.SHORTEST_KEYWORD})
+), words AS (SELECT q, i AS kw_pos, word AS keyword FROM each WHERE q IN (SELECT q FROM asked)
+)"""
 
 
-def _asked(rows: list[tuple]) -> str:
-    return ", ".join("(" + ", ".join("'" + v + "'" if isinstance(v, str) else str(v).lower() for v in r) + ")" for r in rows)
+@register("SELECT * FROM asked", f"{_QUESTIONS}, {_ASKED}")
+def question_keywords(v):
+    """What the questions of all user turns are searched by."""
+    return asking.asked(_questions(v))
 
 
 _TOKENS = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda x: x <> '')"
-_SEARCH = f"""{FILES}, {SYMBOLS}, {CALLS}, {_TESTED}, co AS (
+_SEARCH_TABLES = f"""{FILES}, {SYMBOLS}, {CALLS}, {_TESTED}, co AS (
   SELECT a.path AS fa, b.path AS fb, CAST(2 AS BIGINT) AS change_count, CAST((30 + a.id % 60) AS DOUBLE) / 100 AS confidence FROM tested a JOIN tested b ON b.id = a.id + 1
-), asked AS (SELECT * FROM (VALUES {_asked(concepts.question(_TASK))}) t(kw_pos, keyword, original)
-), words AS (SELECT * FROM (VALUES {_asked(list(enumerate(concepts.keywords(_TASK))))}) t(kw_pos, keyword)
-), placed AS (SELECT s.*, f.path FROM symbols s JOIN tested f ON f.id = s.file_id
+)"""
+_PASSES = f"""placed AS (SELECT s.*, f.path FROM symbols s JOIN tested f ON f.id = s.file_id
 ), hits AS (
-  SELECT DISTINCT kw_pos, id FROM (SELECT kw_pos, ' ' || array_to_string({_TOKENS.format("keyword")}, ' ') || ' ' AS phrase FROM asked) q
+  SELECT DISTINCT keyword, id FROM (SELECT DISTINCT keyword, ' ' || array_to_string({_TOKENS.format("keyword")}, ' ') || ' ' AS phrase FROM asked) q
   JOIN (SELECT id, unnest([name, signature]) AS field FROM symbols) s ON contains(' ' || array_to_string({_TOKENS.format("field")}, ' ') || ' ', phrase)
 ), matched AS (
-  SELECT * FROM hits UNION ALL SELECT kw_pos, id FROM asked JOIN symbols ON name ILIKE '%' || keyword || '%' OR signature ILIKE '%' || keyword || '%' WHERE kw_pos NOT IN (SELECT kw_pos FROM hits)
+  SELECT * FROM hits UNION ALL SELECT keyword, id FROM (SELECT DISTINCT keyword FROM asked) JOIN symbols ON name ILIKE '%' || keyword || '%' OR signature ILIKE '%' || keyword || '%' WHERE keyword NOT IN (SELECT keyword FROM hits)
 ), ranked AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kw_pos ORDER BY id) AS row_pos FROM matched) WHERE row_pos <= 50
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY id) AS row_pos FROM matched) WHERE row_pos <= 50
 ), e1 AS (
-  SELECT path || ':' || name AS key, path AS file, name AS symbol, kind, CAST(line_start AS INTEGER) AS line, signature, 'Match: "' || keyword || '" in ' || kind || ' name' AS reason,
-         least(100, CASE WHEN lower(name) = lower(keyword) THEN 100 WHEN starts_with(lower(name), lower(keyword)) THEN 85 WHEN contains(lower(name), lower(keyword)) THEN 70 ELSE 50 END + CASE WHEN is_exported THEN 5 ELSE 0 END) AS relevance,
-         [1, kw_pos, row_pos, 0, 0] AS slot
-  FROM ranked JOIN asked USING (kw_pos) JOIN placed USING (id)
+  SELECT q, path || ':' || name AS key, path AS file, name AS symbol, kind, CAST(line_start AS INTEGER) AS line, signature, CASE WHEN original THEN 'Match: "' || keyword || '" in ' ELSE 'Semantic match: "' || keyword || '" (synonym) in ' END || kind || ' name' AS reason,
+         CASE WHEN original THEN s ELSE greatest(s - 15, 20) END AS relevance, [1, kw_pos, row_pos, 0, 0] AS slot
+  FROM (SELECT *, least(100, CASE WHEN lower(name) = lower(keyword) THEN 100 WHEN starts_with(lower(name), lower(keyword)) THEN 85 WHEN contains(lower(name), lower(keyword)) THEN 70 ELSE 50 END + CASE WHEN is_exported THEN 5 ELSE 0 END) AS s FROM ranked JOIN placed USING (id)) JOIN asked USING (keyword)
 ), paths AS (
-  SELECT * FROM (SELECT f.id, path, keyword, kw_pos, row_number() OVER (PARTITION BY kw_pos ORDER BY f.id) AS row_pos FROM asked JOIN tested f ON path ILIKE '%' || keyword || '%') WHERE row_pos <= 10
+  SELECT * FROM (SELECT f.id, path, keyword, row_number() OVER (PARTITION BY keyword ORDER BY f.id) AS row_pos FROM (SELECT DISTINCT keyword FROM asked) JOIN tested f ON path ILIKE '%' || keyword || '%') JOIN asked USING (keyword) WHERE row_pos <= 10
 ), e2 AS (
-  SELECT path || ':__file__' AS key, path AS file, CAST(NULL AS VARCHAR) AS symbol, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS INTEGER) AS line, CAST(NULL AS VARCHAR) AS signature, 'File path matches "' || keyword || '"' AS reason,
-         CASE WHEN own = lower(keyword) THEN 85 WHEN list_contains(dirs, lower(keyword)) THEN 80 WHEN contains(own, lower(keyword)) THEN 75 ELSE 50 END + CASE WHEN n > 0 THEN 5 ELSE 0 END AS relevance, [2, kw_pos, row_pos, 0, 0] AS slot
-  FROM (SELECT p.*, n, lower(regexp_replace(string_split(path, '/')[-1], '\\.[^.]+$', '')) AS own, list_transform(string_split(path, '/')[:-2], lambda x: lower(x)) AS dirs, row_number() OVER (PARTITION BY path ORDER BY kw_pos) AS turn
+  SELECT q, path || ':__file__' AS key, path AS file, CAST(NULL AS VARCHAR) AS symbol, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS INTEGER) AS line, CAST(NULL AS VARCHAR) AS signature, 'File path matches "' || keyword || '"' || CASE WHEN original THEN '' ELSE ' (synonym)' END AS reason,
+         CASE WHEN own = lower(keyword) THEN 85 WHEN list_contains(dirs, lower(keyword)) THEN 80 WHEN contains(own, lower(keyword)) THEN 75 WHEN original THEN 50 ELSE 35 END
+         - CASE WHEN NOT original AND (own = lower(keyword) OR list_contains(dirs, lower(keyword)) OR contains(own, lower(keyword))) THEN 10 ELSE 0 END + CASE WHEN n > 0 THEN 5 ELSE 0 END AS relevance, [2, kw_pos, row_pos, 0, 0] AS slot
+  FROM (SELECT p.*, n, lower(regexp_replace(string_split(path, '/')[-1], '\\.[^.]+$', '')) AS own, list_transform(string_split(path, '/')[:-2], lambda x: lower(x)) AS dirs, row_number() OVER (PARTITION BY q, path ORDER BY kw_pos) AS turn
         FROM paths p LEFT JOIN (SELECT file_id, count(*) AS n FROM symbols GROUP BY 1) c ON c.file_id = p.id) WHERE turn = 1
 ), found AS (
-  SELECT key, file, symbol, kind, line, signature, reason, relevance, least_slot AS slot FROM (
-    SELECT *, row_number() OVER (PARTITION BY key ORDER BY relevance DESC, slot) AS k, min(slot) OVER (PARTITION BY key) AS least_slot FROM (SELECT * FROM e1 UNION ALL SELECT * FROM e2)) WHERE k = 1
+  SELECT q, key, file, symbol, kind, line, signature, reason, relevance, least_slot AS slot FROM (
+    SELECT *, row_number() OVER (PARTITION BY q, key ORDER BY relevance DESC, slot) AS k, min(slot) OVER (PARTITION BY q, key) AS least_slot FROM (SELECT * FROM e1 UNION ALL SELECT * FROM e2)) WHERE k = 1
 ), starts AS (
-  SELECT key, f.symbol, slot, min(p.id) AS start_id FROM found f JOIN placed p ON p.path = f.file AND p.name = f.symbol WHERE relevance >= 60 AND line IS NOT NULL GROUP BY ALL
+  SELECT q, key, f.symbol, slot, min(p.id) AS start_id FROM found f JOIN placed p ON p.path = f.file AND p.name = f.symbol WHERE relevance >= 60 AND line IS NOT NULL GROUP BY ALL
 ), sides AS (
-  SELECT s.key, s.symbol, slot, 0 AS side, caller_symbol_id AS id, row_number() OVER (PARTITION BY s.key ORDER BY c.line, caller_symbol_id) AS k FROM starts s JOIN calls c ON c.callee_symbol_id = start_id JOIN placed p ON p.id = caller_symbol_id
-  UNION ALL SELECT s.key, s.symbol, slot, 1, callee_symbol_id, row_number() OVER (PARTITION BY s.key ORDER BY c.line, callee_symbol_id) FROM starts s JOIN calls c ON c.caller_symbol_id = start_id JOIN placed p ON p.id = callee_symbol_id
+  SELECT q, s.key, s.symbol, slot, 0 AS side, caller_symbol_id AS id, row_number() OVER (PARTITION BY q, s.key ORDER BY c.line, caller_symbol_id) AS k FROM starts s JOIN calls c ON c.callee_symbol_id = start_id JOIN placed p ON p.id = caller_symbol_id
+  UNION ALL SELECT q, s.key, s.symbol, slot, 1, callee_symbol_id, row_number() OVER (PARTITION BY q, s.key ORDER BY c.line, callee_symbol_id) FROM starts s JOIN calls c ON c.caller_symbol_id = start_id JOIN placed p ON p.id = callee_symbol_id
 ), e3 AS (
-  SELECT path || ':' || name AS key, path AS file, name AS symbol, p.kind, CAST(line_start AS INTEGER) AS line, p.signature, CASE side WHEN 0 THEN 'Calls ' ELSE 'Called by ' END || s.symbol AS reason, CASE side WHEN 0 THEN 40 ELSE 35 END AS relevance,
+  SELECT q, path || ':' || name AS key, path AS file, name AS symbol, p.kind, CAST(line_start AS INTEGER) AS line, p.signature, CASE side WHEN 0 THEN 'Calls ' ELSE 'Called by ' END || s.symbol AS reason, CASE side WHEN 0 THEN 40 ELSE 35 END AS relevance,
          [3, slot[1] * 1000000 + slot[2], slot[3], side, k] AS slot
   FROM sides s JOIN placed p USING (id) WHERE k <= 5
 ), a3 AS (
-  SELECT * FROM found UNION ALL SELECT * EXCLUDE (turn) FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY slot) AS turn FROM e3) WHERE turn = 1 AND key NOT IN (SELECT key FROM found)
-), sources AS (SELECT file AS path, min(slot) AS slot FROM a3 WHERE relevance >= 50 GROUP BY 1
+  SELECT * FROM found UNION ALL SELECT * EXCLUDE (turn) FROM (SELECT *, row_number() OVER (PARTITION BY q, key ORDER BY slot) AS turn FROM e3) WHERE turn = 1 AND (q, key) NOT IN (SELECT (q, key) FROM found)
+), sources AS (SELECT q, file AS path, min(slot) AS slot FROM a3 WHERE relevance >= 50 GROUP BY 1, 2
 ), e4 AS (
-  SELECT file || ':__cochange__' AS key, file, NULL, NULL, NULL, NULL, 'Co-changes with ' || path || ' (' || CAST(floor(confidence * 100 + 0.5) AS BIGINT) || '% correlation)' AS reason, CAST(20 + floor(confidence * 20 + 0.5) AS INTEGER) AS relevance,
+  SELECT q, file || ':__cochange__' AS key, file, NULL, NULL, NULL, NULL, 'Co-changes with ' || path || ' (' || CAST(floor(confidence * 100 + 0.5) AS BIGINT) || '% correlation)' AS reason, CAST(20 + floor(confidence * 20 + 0.5) AS INTEGER) AS relevance,
          [4, slot[1] * 1000000 + slot[2], slot[3], k, 0] AS slot
-  FROM (SELECT s.path, s.slot, file, confidence, row_number() OVER (PARTITION BY s.path ORDER BY confidence DESC, file) AS k FROM sources s JOIN (SELECT fa AS path, fb AS file, confidence FROM co UNION SELECT fb, fa, confidence FROM co) c ON c.path = s.path) WHERE k <= 3
+  FROM (SELECT q, s.path, s.slot, file, confidence, row_number() OVER (PARTITION BY q, s.path ORDER BY confidence DESC, file) AS k FROM sources s JOIN (SELECT fa AS path, fb AS file, confidence FROM co UNION SELECT fb, fa, confidence FROM co) c ON c.path = s.path) WHERE k <= 3
 ), a4 AS (
-  SELECT * FROM a3 UNION ALL SELECT * EXCLUDE (turn) FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY slot) AS turn FROM e4) WHERE turn = 1 AND key NOT IN (SELECT key FROM a3)
+  SELECT * FROM a3 UNION ALL SELECT * EXCLUDE (turn) FROM (SELECT *, row_number() OVER (PARTITION BY q, key ORDER BY slot) AS turn FROM e4) WHERE turn = 1 AND (q, key) NOT IN (SELECT (q, key) FROM a3)
 ), patterns AS (
-  SELECT file AS source, slot, unnest([base || '.test.%', base || '.spec.%', '%test%' || regexp_replace(string_split(file, '/')[-1], '\\.[^.]+$', '') || '%']) AS pattern, unnest([0, 1, 2]) AS n
+  SELECT q, file AS source, slot, unnest([base || '.test.%', base || '.spec.%', '%test%' || regexp_replace(string_split(file, '/')[-1], '\\.[^.]+$', '') || '%']) AS pattern, unnest([0, 1, 2]) AS n
   FROM (SELECT *, regexp_replace(file, '\\.[^.]+$', '') AS base FROM a4) WHERE relevance >= 50
 ), e5 AS (
-  SELECT path || ':__test__' AS key, path AS file, NULL, NULL, NULL, NULL, 'Test file for ' || source AS reason, 30 AS relevance, [5, slot[1] * 1000000 + slot[2], slot[3], n, id] AS slot FROM patterns JOIN tested ON path ILIKE pattern
+  SELECT q, path || ':__test__' AS key, path AS file, NULL, NULL, NULL, NULL, 'Test file for ' || source AS reason, 30 AS relevance, [5, slot[1] * 1000000 + slot[2], slot[3], n, id] AS slot FROM patterns JOIN tested ON path ILIKE pattern
 ), a5 AS (
-  SELECT * FROM a4 UNION ALL SELECT * EXCLUDE (turn) FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY slot) AS turn FROM e5) WHERE turn = 1 AND key NOT IN (SELECT key FROM a4)
+  SELECT * FROM a4 UNION ALL SELECT * EXCLUDE (turn) FROM (SELECT *, row_number() OVER (PARTITION BY q, key ORDER BY slot) AS turn FROM e5) WHERE turn = 1 AND (q, key) NOT IN (SELECT (q, key) FROM a4)
 ), inside AS (
-  SELECT * FROM (SELECT kw_pos, keyword, path, string_split(path, '/') AS parts, row_number() OVER (PARTITION BY kw_pos ORDER BY f.id) AS n FROM words JOIN tested f ON path ILIKE '%/' || keyword || '/%') WHERE n <= 50
+  SELECT * FROM (SELECT keyword, path, string_split(path, '/') AS parts, row_number() OVER (PARTITION BY keyword ORDER BY f.id) AS n FROM (SELECT DISTINCT keyword FROM words) JOIN tested f ON path ILIKE '%/' || keyword || '/%') WHERE n <= 50
 ), dirs AS (
-  SELECT kw_pos, keyword, array_to_string(parts[:i + 1], '/') AS dir, count(*) AS files, min([n, i]) AS first FROM (SELECT *, unnest(range(0, len(parts))) AS i FROM inside WHERE kw_pos IN (SELECT kw_pos FROM inside GROUP BY 1 HAVING count(*) >= 3))
+  SELECT keyword, array_to_string(parts[:i + 1], '/') AS dir, count(*) AS files, min([n, i]) AS first FROM (SELECT *, unnest(range(0, len(parts))) AS i FROM inside WHERE keyword IN (SELECT keyword FROM inside GROUP BY 1 HAVING count(*) >= 3))
   WHERE lower(parts[i + 1]) = lower(keyword) AND i < len(parts) - 1 GROUP BY ALL
 ), e6 AS (
-  SELECT dir || ':__dir__' AS key, dir || '/' AS file, NULL, NULL, NULL, files || ' files | Exports: ' || coalesce(array_to_string(list(p.name ORDER BY p.kind, p.name, p.id)[1:15], ', '), 'none') AS signature, 'Directory matches "' || keyword || '"' AS reason, 78 AS relevance, [6, kw_pos, first[1], first[2], 0] AS slot
-  FROM dirs LEFT JOIN placed p ON starts_with(p.path, dir || '/') AND p.is_exported GROUP BY kw_pos, keyword, dir, files, first
+  SELECT q, dir || ':__dir__' AS key, dir || '/' AS file, NULL, NULL, NULL, signature, 'Directory matches "' || keyword || '"' AS reason, 78 AS relevance, [6, kw_pos, first[1], first[2], 0] AS slot
+  FROM (SELECT keyword, dir, first, files || ' files | Exports: ' || coalesce(array_to_string(list(p.name ORDER BY p.kind, p.name, p.id)[1:15], ', '), 'none') AS signature
+        FROM dirs LEFT JOIN placed p ON starts_with(p.path, dir || '/') AND p.is_exported GROUP BY keyword, dir, files, first) JOIN words USING (keyword)
 ), a6 AS (
-  SELECT * FROM a5 UNION ALL SELECT * EXCLUDE (turn) FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY slot) AS turn FROM e6) WHERE turn = 1 AND key NOT IN (SELECT key FROM a5)
-), numbered AS (SELECT CAST(row_number() OVER (ORDER BY relevance DESC, slot) AS INTEGER) AS rank, * FROM a6)"""
+  SELECT * FROM a5 UNION ALL SELECT * EXCLUDE (turn) FROM (SELECT *, row_number() OVER (PARTITION BY q, key ORDER BY slot) AS turn FROM e6) WHERE turn = 1 AND (q, key) NOT IN (SELECT (q, key) FROM a5)
+), numbered AS (SELECT CAST(row_number() OVER (PARTITION BY q ORDER BY relevance DESC, slot) AS INTEGER) AS rank, * FROM a6)"""
+_SEARCH = f"{_ONE_QUESTION}, {_ASKED}, {_SEARCH_TABLES}, {_PASSES}"
+
+
+def _questions(v: StandIns) -> DataFrame:
+    turns = v.table("conversations").where("role = 'user'").join(v.table("part"), F.col("p_partkey") == F.col("conv_id"))
+    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("q"), F.concat(F.lit("where is the "), "p_name", F.lit(" "), "text").alias("task"))
+
+
+@register("SELECT q, rank, key, file, symbol, kind, line, signature, reason, relevance FROM numbered WHERE rank <= 15", f"{_QUESTIONS}, {_ASKED}, {_SEARCH_TABLES}, {_PASSES}")
+def questions_search(v):
+    """The best entries of the questions of all user turns, in one go."""
+    search, index = _searched(v)
+    return search.query_many(index, _questions(v)).drop("calls", "called_by")
 
 
 def _searched(v: StandIns):

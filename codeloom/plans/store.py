@@ -51,6 +51,8 @@ class Index:
     patterns: DataFrame
     meta: DataFrame
     tokens: DataFrame
+    symbol_grams: DataFrame
+    path_grams: DataFrame
 
 
 def relations(parsed: DataFrame) -> dict[str, DataFrame]:
@@ -101,8 +103,9 @@ def build(parsed: DataFrame, commits: DataFrame | None = None, aliases=(), modul
     rows = conform(patterns.extract(r["files"], r["symbols"], r["imports"]), "patterns")
     # in order of the tokens, so that a question reads the row groups of its own words only
     tokens = cut(conform(lookup.symbol_tokens(r["symbols"]), "tokens").repartitionByRange("token").sortWithinPartitions("token", "id"))
+    grams = {name: cut(df.repartitionByRange("gram").sortWithinPartitions("gram", "id")) for name, df in (("symbol_grams", lookup.symbol_grams(r["symbols"])), ("path_grams", lookup.path_grams(r["files"])))}
     pairs_of = [(k, v) for k, v in (meta or {}).items()]
-    return Index(**r, calls=calls, co_changes=cut(pairs), patterns=cut(rows), meta=spark.createDataFrame(pairs_of, TABLES["meta"]), tokens=tokens)
+    return Index(**r, calls=calls, co_changes=cut(pairs), patterns=cut(rows), meta=spark.createDataFrame(pairs_of, TABLES["meta"]), tokens=tokens, **grams)
 
 
 def refresh(before: DataFrame, texts: DataFrame, parse) -> DataFrame:
@@ -116,7 +119,7 @@ def refresh(before: DataFrame, texts: DataFrame, parse) -> DataFrame:
 class IndexStore:
     """Versions of an index below a folder. A version is written whole, then named by one small file, so readers never see a half."""
 
-    TABLES = ("files", "symbols", "imports", "call_sites", "type_hints", "implements", "type_refs", "calls", "co_changes", "patterns", "meta", "tokens")
+    TABLES = ("files", "symbols", "imports", "call_sites", "type_hints", "implements", "type_refs", "calls", "co_changes", "patterns", "meta", "tokens", "symbol_grams", "path_grams")
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")

@@ -21,6 +21,8 @@ _DDL = {
     "type_hints": "id bigint, file_id bigint, scope string, variable_name string, type_name string, source string",
     "meta": "key string, value string",
     "tokens": "id bigint, field string, pos int, token string",
+    "symbol_grams": "gram string, id bigint",
+    "path_grams": "gram string, id bigint",
 }
 
 
