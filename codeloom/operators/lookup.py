@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import base_name, stem, tokens
 from . import substrings
@@ -84,14 +84,32 @@ def stats(files: DataFrame, symbols: DataFrame, calls: DataFrame, pairs: DataFra
     return reduce(DataFrame.union, [*counted, by_language])
 
 
-def symbol_at(symbols: DataFrame, places: DataFrame, block: int = 256) -> DataFrame:
+def _dyadic(start: str, end: str) -> Column:
+    """The stretches of 2 ** level places, from multiples of that on, that make up start..end: (level, part), two of a level at most."""
+    levels = F.sequence(F.lit(0), F.floor(F.log2(F.expr(f"{end} - {start} + 1").cast("double"))).cast("int") + 1)
+
+    def of(k: Column) -> Column:
+        low, high = -F.call_function("shiftright", -F.col(start).cast("long"), k), F.call_function("shiftright", F.col(end).cast("long") + 1, k)
+        odd = lambda v: v.bitwiseAND(F.lit(1).cast("long")) == 1
+        none = F.array().cast("array<struct<level:int,part:bigint>>")
+        left = F.when((low < high) & odd(low), F.array(F.struct(k.alias("level"), low.alias("part")))).otherwise(none)
+        right = F.when((low < high) & odd(high), F.array(F.struct(k.alias("level"), (high - 1).alias("part")))).otherwise(none)
+        return F.concat(left, right)
+
+    return F.flatten(F.transform(levels, of))
+
+
+def symbol_at(symbols: DataFrame, places: DataFrame) -> DataFrame:
     """For each place (file_id, line) the tightest symbol around it; ties go to the earlier start, then the lesser id.
 
-    An interval meets the places of the line blocks it touches, so the join is an equi-join on (file, block).
+    An interval of any length is made up of dyadic stretches, two of each power of two at most; a place lies in one stretch
+    of each power. So the join is an equi-join on (file, level, stretch), of 2 log n rows an interval and one a
+    place and power that its file has. Intervals that end before they start, or lack an end, hold nothing.
     """
-    spread = symbols.withColumn("block", F.explode(F.sequence(F.expr(f"line_start div {block}"), F.expr(f"line_end div {block}"))))
-    asked = places.withColumn("block", F.expr(f"line div {block}"))
-    met = asked.join(spread, ["file_id", "block"]).where("line between line_start and line_end")
+    whole = symbols.where("line_end >= line_start")
+    spread = whole.withColumn("node", F.explode(_dyadic("line_start", "line_end"))).select(*symbols.columns, F.col("node.level").alias("level"), F.col("node.part").alias("part"))
+    asked = places.join(spread.select("file_id", "level").distinct(), "file_id").withColumn("part", F.call_function("shiftright", F.col("line").cast("long"), F.col("level")))
+    met = asked.join(spread, ["file_id", "level", "part"])
     order = F.struct((F.col("line_end") - F.col("line_start")).alias("width"), "line_start", "id", "name")
     return met.groupBy("file_id", "line").agg(F.min(order).alias("best")).select("file_id", "line", F.col("best.id").alias("symbol_id"), F.col("best.name").alias("name"), F.col("best.width").cast("long").alias("width"))
 

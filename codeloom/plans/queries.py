@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import columns, concepts, questions as asking
 from ..operators import cochange, graph, lookup, patterns, resolve
@@ -176,6 +176,29 @@ def symbol_at_line(v):
     return lookup.symbol_at(v.symbols.withColumn("file_id", F.lit(1)), places)
 
 
+def _millis(ts: Column) -> Column:
+    """Milliseconds since 1970 by the clock that the time was written by, whatever the session's zone."""
+    day = F.unix_date(F.to_date(ts)).cast("long") * 86_400_000
+    return day + F.hour(ts).cast("long") * 3_600_000 + F.minute(ts).cast("long") * 60_000 + F.floor(F.extract(F.lit("SECOND"), ts) * 1000).cast("long")
+
+
+@register(
+    """SELECT file_id, line, arg_min(id, turn) AS symbol_id, arg_min(name, turn) AS name, min(line_end - line_start) AS width
+FROM (SELECT s.*, p.line, [line_end - line_start, line_start, id] AS turn FROM probes p JOIN spans s ON s.file_id = p.file_id AND p.line BETWEEN s.line_start AND s.line_end) GROUP BY file_id, line""",
+    """timed AS (SELECT user_id AS file_id, event_id AS id, event_type AS name, epoch_us(ts) // 1000 AS line_start FROM events
+), spans AS (
+  SELECT * FROM (SELECT *, lead(line_start, CAST(1 + id % 7 AS INTEGER)) OVER (PARTITION BY file_id ORDER BY line_start, id) AS line_end FROM (SELECT * FROM timed)) WHERE line_end IS NOT NULL
+), probes AS (SELECT DISTINCT file_id, line_start + 1 AS line FROM timed)""",
+)
+def interval_at_time(v):
+    """Just after each event, the tightest of its user's stretches of time, in milliseconds, each from an event to one of the seven next."""
+    timed = v.table("events").select(F.col("user_id").alias("file_id"), F.col("event_id").alias("id"), F.col("event_type").alias("name"), _millis(F.col("ts")).alias("line_start"))
+    order = Window.partitionBy("file_id").orderBy("line_start", "id")
+    later = F.array(*(F.lead("line_start", k).over(order) for k in range(1, 8)))
+    spans = timed.withColumn("later", later).withColumn("line_end", F.get("later", (F.col("id") % 7).cast("int"))).drop("later")
+    return lookup.symbol_at(spans, timed.select("file_id", (F.col("line_start") + 1).alias("line")).distinct())
+
+
 _TREE = """edges AS (SELECT DISTINCT callee_symbol_id AS src, caller_symbol_id AS dst FROM calls)"""
 
 

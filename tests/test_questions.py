@@ -62,3 +62,20 @@ def test_search_of_very_many_keywords(spark):
     asked = rows.select(F.col("name").alias("keyword")).union(spark.createDataFrame([("ord299",)], "keyword string"))
     found = lookup.search_symbols(rows, asked, index=index)
     assert found.count() == 3011 and found.where("keyword = 'ord299'").count() == 11
+
+
+def test_dyadic_intervals(spark):
+    """Nested and crossing intervals of any length against a plain scan."""
+    rng = random.Random(5)
+    rows = [(rng.randrange(3), i, f"s{i}", (a := rng.randrange(0, 4000)), a + int(2 ** rng.uniform(0, 12)) - 1) for i in range(300)] + [(0, 900, "none", 5, 4), (1, 901, "all", 0, 1 << 40), (2, 902, "one", 7, 7)]
+    places = [(f, n) for f in range(4) for n in rng.sample(range(6000), 60)] + [(1, 1 << 40), (1, (1 << 40) + 1), (2, 7)]
+    symbols = spark.createDataFrame(rows, "file_id bigint, id bigint, name string, line_start bigint, line_end bigint")
+    got = {(r["file_id"], r["line"]): (r["symbol_id"], r["width"]) for r in lookup.symbol_at(symbols, spark.createDataFrame(places, "file_id bigint, line bigint")).collect()}
+    want = {}
+    for f, n in places:
+        around = [(b - a, a, i) for g, i, _, a, b in rows if g == f and a <= n <= b]
+        if around:
+            want[f, n] = (min(around)[2], min(around)[0])
+    assert got == want
+    spread = symbols.where("id < 900").withColumn("node", F.explode(lookup._dyadic("line_start", "line_end"))).groupBy("id").count()
+    assert spread.agg(F.max("count")).first()[0] <= 2 * 13
