@@ -73,22 +73,27 @@ def path_keys(files: DataFrame) -> DataFrame:
 
 
 def reexports(imports: DataFrame, files: DataFrame, aliases=(), module=None) -> DataFrame:
-    """(start, target): what a path leads to through files that re-export others wholly, in any number of hops.
-
-    A pair is found once, so rings end; the driver learns only whether a hop found any.
-    """
+    """(start, target): what a path leads to through files that re-export others wholly, in any number of hops."""
     whole = imports.where(F.col("is_namespace") & (F.size("imported_names") == 0)).join(files.select(F.col("id").alias("file_id"), F.col("path").alias("from_path")), "file_id")
     step = whole.select(stem(F.col("from_path")).alias("start"), import_path(F.col("from_path"), F.col("source_path"), aliases, module).alias("target"))
     index = step.where(F.col("start").rlike(r"/index$")).select(F.regexp_replace("start", r"/index$", "").alias("start"), "target")
-    step = cut(step.union(index).distinct())
-    found = frontier = step
+    return closure(step.union(index))
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """(start, target): all pairs that a path of edges (start, target) joins.
+
+    Paths double: those found last are joined before and after all that are known, so n hops take log2(n) rounds of
+    two joins. A pair is found once, so rings end; the driver learns only whether a round found any.
+    """
+    found = frontier = cut(edges.where("start is not null and target is not null").select("start", "target").distinct())
     while True:
-        onward = frontier.join(step.select(F.col("start").alias("target"), F.col("target").alias("next")), "target").select("start", F.col("next").alias("target")).distinct()
-        frontier = cut(onward.join(found, ["start", "target"], "left_anti"))
+        onward = frontier.join(found.select(F.col("start").alias("target"), F.col("target").alias("next")), "target").select("start", F.col("next").alias("target"))
+        before = found.join(frontier.select(F.col("start").alias("target"), F.col("target").alias("next")), "target").select("start", F.col("next").alias("target"))
+        frontier = cut(onward.union(before).distinct().join(found, ["start", "target"], "left_anti"))
         if frontier.isEmpty():
-            break
+            return found
         found = found.union(frontier)
-    return found
 
 
 def call_graph(sites: DataFrame, symbols: DataFrame, files: DataFrame, imports: DataFrame, aliases=(), module=None) -> DataFrame:

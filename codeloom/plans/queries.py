@@ -502,6 +502,34 @@ def upsert_latest(v):
     return latest(v.table("events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
 
 
+@register("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def upsert_batches(v):
+    """The same, from three batches applied to a keyed table one after another."""
+    from .lineage import shared_folder
+    from .upsert import KeyedTable
+
+    events = v.table("events").select("user_id", "event_type", "ts", "event_id", "value")
+    table = KeyedTable(v.spark, shared_folder(v.spark, "keyed"), ["user_id", "event_type"], ["ts", "event_id"])
+    for turn in range(3):
+        table.apply(events.where(F.col("event_id") % 3 == turn))
+    return table.read(events.schema).select("user_id", "event_type", "event_id", "value")
+
+
+@register(
+    "SELECT * FROM walk",
+    """RECURSIVE steps AS (
+  SELECT l_suppkey AS start, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS target, l_orderkey, l_linenumber, l_partkey FROM lineitem
+), edges AS (
+  SELECT start, arg_min(target, [l_orderkey, l_linenumber, l_partkey]) AS target FROM steps WHERE target IS NOT NULL GROUP BY start
+), walk AS (SELECT start, target FROM edges UNION SELECT walk.start, edges.target FROM walk JOIN edges ON edges.start = walk.target)""",
+)
+def reexport_closure(v):
+    """Where each supplier leads to, each handing on to the one that follows its first line; rings among them."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    steps = v.table("lineitem").select(F.col("l_suppkey").alias("start"), F.lead("l_suppkey").over(order).alias("target"), F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("turn"))
+    return resolve.closure(steps.where("target is not null").groupBy("start").agg(F.min_by("target", "turn").alias("target")))
+
+
 @register("SELECT * FROM (VALUES (1, 'Box', NULL), (2, 'open', 1), (3, 'Box', NULL), (4, 'shut', 3), (5, 'lost', NULL)) t(ordinal, name, parent_ordinal)")
 def parent_resolution(v):
     from .store import with_parents
