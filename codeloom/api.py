@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .config import Config, load_config
 from .functions import concepts
-from .operators import graph, lookup, search
+from .operators import cochange, graph, lookup, patterns, search
+from .operators import resolve as calls
 from .plans.lineage import cut
 from .plans.store import Index, IndexStore, build, refresh
+from .schemas import conform
 from .sources import history, project
 
 
@@ -43,6 +45,23 @@ class CodeEngine:
         self.store.write(made, parsed)
         return self.store.read()
 
+    def resolve(self, dedupe_edges: bool = False) -> Index:
+        """Make the call edges anew from the stored call sites, and publish."""
+        now = self.now
+        edges = calls.all_calls(now.call_sites, now.symbols, now.files, now.imports, now.type_hints, now.implements, project.path_aliases(self.root), project.go_module(self.root), dedupe_edges)
+        now.calls = cut(conform(edges, "calls"))
+        self.store.write(now, self.store.parsed())
+        return self.now
+
+    def mine(self) -> Index:
+        """Make co-changes and conventions anew, from the history and the stored symbols, and publish."""
+        now, rules = self.now, self.config.git_history
+        commits = history.commits(self.spark, self.root, rules.max_commits)
+        now.co_changes = cut(conform(cochange.analyze(commits, now.files, rules.min_co_change_confidence, rules.max_files_per_commit), "co_changes"))
+        now.patterns = cut(conform(patterns.extract(now.files, now.symbols, now.imports), "patterns"))
+        self.store.write(now, self.store.parsed())
+        return self.now
+
     @property
     def now(self) -> Index:
         found = self.store.read()

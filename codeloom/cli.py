@@ -5,23 +5,13 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from itertools import chain
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from .api import ENDPOINTS, CodeEngine
 from .config import write_default_config
-from .plans.store import as_json
-
-
-def plain(answer):
-    """An answer as what JSON knows."""
-    if isinstance(answer, DataFrame):
-        return json.loads(as_json(answer))
-    if isinstance(answer, dict):
-        return {k: plain(v) for k, v in answer.items()}
-    if isinstance(answer, tuple):
-        return [plain(a) for a in answer]
-    return answer
+from .plans.store import json_pieces
 
 
 def serve(engine: CodeEngine, lines=sys.stdin, out=sys.stdout) -> None:
@@ -31,10 +21,14 @@ def serve(engine: CodeEngine, lines=sys.stdin, out=sys.stdout) -> None:
             asked = json.loads(line)
             method, names = ENDPOINTS[asked.pop("tool")]
             answer = getattr(engine, method)(**{k: v for k, v in asked.items() if k in names})
-            said = {"error": "not found"} if answer is None else {"result": plain(answer)}
+            if answer is None:
+                raise LookupError("not found")
         except (KeyError, TypeError, ValueError, LookupError) as error:
-            said = {"error": str(error)}
-        print(json.dumps(said), file=out, flush=True)
+            print(json.dumps({"error": error.args[0] if isinstance(error, LookupError) and error.args else str(error)}), file=out, flush=True)
+            continue
+        for piece in chain(('{"result": ',), json_pieces(answer, ""), ("}\n",)):
+            out.write(piece)
+        out.flush()
 
 
 def parser() -> argparse.ArgumentParser:
@@ -79,7 +73,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             print("no such symbol", file=sys.stderr)
             return 1
         if o.json:
-            print(json.dumps(plain(answer), indent=2))
+            sys.stdout.writelines(json_pieces(answer))
+            print()
         elif isinstance(answer, dict):
             for name, df in answer.items():
                 print(name)

@@ -202,7 +202,29 @@ class IndexStore:
         getattr(self.read(), table).write.json(path)
 
 
+def json_pieces(answer, line: str = "\n"):
+    """Text of an answer, a DataFrame or a dict of such, as JSON, piece by piece; a row at a time is held. ``line`` goes between rows."""
+    if isinstance(answer, dict):
+        yield "{"
+        for n, (name, part) in enumerate(answer.items()):
+            yield f"{',' if n else ''}{line}{json.dumps(name)}: "
+            yield from json_pieces(part, line)
+        yield f"{line}}}"
+    elif isinstance(answer, tuple):
+        yield "["
+        for n, part in enumerate(answer):
+            yield "," + line if n else line
+            yield from json_pieces(part, line)
+        yield f"{line}]"
+    elif isinstance(answer, DataFrame):
+        yield "["
+        for n, row in enumerate(answer.select(F.to_json(F.struct(*answer.columns)).alias("row")).toLocalIterator()):
+            yield f"{',' if n else ''}{line}{row['row']}"
+        yield f"{line}]"
+    else:
+        yield json.dumps(answer)
+
+
 def as_json(df: DataFrame) -> str:
-    """All rows of an answer as a JSON array, a partition at a time; for larger tables there is ``IndexStore.export``."""
-    rows = df.select(F.to_json(F.struct(*df.columns)).alias("row")).toLocalIterator()
-    return json.dumps([json.loads(r["row"]) for r in rows], indent=2)
+    """A small answer as one text; larger ones are written by ``json_pieces``, whole relations by ``IndexStore.export``."""
+    return "".join(json_pieces(df))

@@ -12,7 +12,7 @@ from codeloom.api import CodeEngine
 from codeloom.config import Config, load_config, write_default_config
 from codeloom.operators import cochange, patterns
 from codeloom.plans.scenario import SOURCES
-from codeloom.plans.store import as_json
+from codeloom.plans.store import as_json, json_pieces
 from codeloom.sources import history, project
 from codeloom.streaming import watch
 
@@ -111,6 +111,14 @@ def test_command_line(spark, engine, tree, capsys, monkeypatch):
     assert said[0]["result"][0]["name"] == "loginUser" and "error" in said[1] and "error" in said[2]
 
 
+def test_separate_steps(engine):
+    """Resolving and mining by themselves give what indexing gave."""
+    before = {t: sorted(map(str, getattr(engine.now, t).collect())) for t in ("calls", "co_changes", "patterns")}
+    engine.resolve()
+    engine.mine()
+    assert before == {t: sorted(map(str, getattr(engine.now, t).collect())) for t in before} and before["calls"]
+
+
 def test_config(tmp_path):
     assert write_default_config(str(tmp_path)) and not write_default_config(str(tmp_path))
     (tmp_path / ".codeloom.json").write_text('{"max_file_size": 5, "git_history": {"max_commits": 7, "odd": 1}, "exclude": ["x"]}')
@@ -170,6 +178,9 @@ def test_stream(spark, tmp_path):
 
 def test_json(spark):
     assert json.loads(as_json(spark.createDataFrame([(1, ["a"])], "x int, y array<string>"))) == [{"x": 1, "y": ["a"]}]
+    two, none = spark.range(2).toDF("n"), spark.range(0).toDF("n")
+    assert json.loads("".join(json_pieces({"a": two, "b": none, "c": (two, none)}))) == {"a": [{"n": 0}, {"n": 1}], "b": [], "c": [[{"n": 0}, {"n": 1}], []]}
+    assert "\n" not in "".join(json_pieces((two, none), ""))
 
 
 def test_follow_hands_over_all_paths(spark, tmp_path):
