@@ -165,7 +165,8 @@ def neighbours(coded: DataFrame, units: Units, classes: np.ndarray, n: int) -> t
                 sizes, part = _row(batch, i, "sizes", "part")
                 unit, _ = _flat(units.of(_listed(batch.column("words")[i]))[unplaned(batch.column("codes")[i].as_py())], sizes.astype(np.int64), 0)
                 learnt = np.repeat(part == TRAIN, sizes + 1)
-                before = np.concatenate([[0], unit[:-1]])[learnt]
+                unit = unit.astype(np.int32)
+                before = np.concatenate([np.zeros(1, np.int32), unit[:-1]])[learnt]
                 unit = unit[learnt]
                 total[: units.n * n] += np.bincount(unit * n + classes[before], minlength=units.n * n)
                 total[units.n * n :] += np.bincount(before * n + classes[unit], minlength=units.n * n)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from .frames import utf8
 from .hashing import BLANK, words
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 
 
 def code(columns: list[pa.Array], kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
