@@ -168,8 +168,8 @@ def neighbours(coded: DataFrame, units: Units, classes: np.ndarray, n: int) -> t
                 unit = unit.astype(np.int32)
                 before = np.concatenate([np.zeros(1, np.int32), unit[:-1]])[learnt]
                 unit = unit[learnt]
-                total[: units.n * n] += np.bincount(unit * n + classes[before], minlength=units.n * n)
-                total[units.n * n :] += np.bincount(before * n + classes[unit], minlength=units.n * n)
+                total[: units.n * n] += np.bincount(unit * np.int64(n) + classes[before], minlength=units.n * n)
+                total[units.n * n :] += np.bincount(before * np.int64(n) + classes[unit], minlength=units.n * n)
         yield pa.RecordBatch.from_arrays([pa.array([pa.compress(total.tobytes(), "lz4", asbytes=True)], pa.binary())], ["counts"])
 
     parts = coded.select("sizes", "part", "words", "codes").mapInArrow(run, "counts binary").rdd.map(lambda r: np.frombuffer(pa.decompress(bytes(r["counts"]), 16 * size, "lz4", asbytes=True), np.int64))
