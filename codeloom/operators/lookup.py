@@ -85,33 +85,39 @@ def stats(files: DataFrame, symbols: DataFrame, calls: DataFrame, pairs: DataFra
 
 
 def _dyadic(start: str, end: str) -> Column:
-    """The stretches of 2 ** level places, from multiples of that on, that make up start..end: (level, part), two of a level at most."""
-    levels = F.sequence(F.lit(0), F.floor(F.log2(F.expr(f"{end} - {start} + 1").cast("double"))).cast("int") + 1)
+    """The cells that start..end touches: (level, part, at, side). A level's cells are 2 ** level places, the most that fit into the interval, so it touches three at most.
 
-    def of(k: Column) -> Column:
-        low, high = -F.call_function("shiftright", -F.col(start).cast("long"), k), F.call_function("shiftright", F.col(end).cast("long") + 1, k)
-        odd = lambda v: v.bitwiseAND(F.lit(1).cast("long")) == 1
-        none = F.array().cast("array<struct<level:int,part:bigint>>")
-        left = F.when((low < high) & odd(low), F.array(F.struct(k.alias("level"), low.alias("part")))).otherwise(none)
-        right = F.when((low < high) & odd(high), F.array(F.struct(k.alias("level"), (high - 1).alias("part")))).otherwise(none)
-        return F.concat(left, right)
-
-    return F.flatten(F.transform(levels, of))
+    Of a cell of side 0 the interval holds the places from ``at`` on, of one of side 1 those up to ``at``.
+    """
+    size = F.col(end).cast("long") - F.col(start).cast("long") + 1
+    near = F.floor(F.log2(size.cast("double"))).cast("int")
+    power = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+    level = F.when(power(near) > size, near - 1).otherwise(near)  # doubles round large sizes up
+    first, last = (F.call_function("shiftright", F.col(c).cast("long"), level) for c in (start, end))
+    from_, to = F.col(start).cast("long"), F.col(end).cast("long")
+    cell = lambda part: F.struct(level.alias("level"), part.alias("part"), F.when((part == last) & (part > first), to).otherwise(F.greatest(from_, F.call_function("shiftleft", part, level))).alias("at"), F.when((part == last) & (part > first), 1).otherwise(0).alias("side"))
+    return F.transform(F.sequence(first, last), cell)
 
 
 def symbol_at(symbols: DataFrame, places: DataFrame) -> DataFrame:
     """For each place (file_id, line) the tightest symbol around it; ties go to the earlier start, then the lesser id.
 
-    An interval of any length is made up of dyadic stretches, two of each power of two at most; a place lies in one stretch
-    of each power. So the join is an equi-join on (file, level, stretch), of 2 log n rows an interval and one a
-    place and power that its file has. Intervals that end before they start, or lack an end, hold nothing.
+    An interval stands in the cells of its own size that it touches, three at most, and holds of each the places from one on or up to one.
+    A place stands in the cell of each size that its file has intervals of. So the tightest interval is a running
+    minimum over a cell's rows in order of their places, however many intervals lie over each other; no pair of an interval and a place is made.
+    Intervals that end before they start, or lack an end, hold nothing.
     """
-    whole = symbols.where("line_end >= line_start")
-    spread = whole.withColumn("node", F.explode(_dyadic("line_start", "line_end"))).select(*symbols.columns, F.col("node.level").alias("level"), F.col("node.part").alias("part"))
-    asked = places.join(spread.select("file_id", "level").distinct(), "file_id").withColumn("part", F.call_function("shiftright", F.col("line").cast("long"), F.col("level")))
-    met = asked.join(spread, ["file_id", "level", "part"])
     order = F.struct((F.col("line_end") - F.col("line_start")).alias("width"), "line_start", "id", "name")
-    return met.groupBy("file_id", "line").agg(F.min(order).alias("best")).select("file_id", "line", F.col("best.id").alias("symbol_id"), F.col("best.name").alias("name"), F.col("best.width").cast("long").alias("width"))
+    spread = symbols.where("line_end >= line_start").select("file_id", order.alias("own"), F.explode(_dyadic("line_start", "line_end")).alias("cell")).select("file_id", "cell.*", "own")
+    sizes = spread.groupBy("file_id").agg(F.collect_set("level").alias("levels"))  # at most 64 a file
+    asked = places.select("file_id", F.col("line").cast("long").alias("at"), "line").join(sizes, "file_id").withColumn("level", F.explode("levels"))
+    points = asked.select("file_id", "level", F.call_function("shiftright", F.col("at"), F.col("level")).alias("part"), "at", "line", F.lit(None).cast("int").alias("side"), F.lit(None).cast(spread.schema["own"].dataType).alias("own"))
+    # dealt by cells, as a join before may have dealt by files, of which one can hold most rows
+    rows = points.unionByName(spread.withColumn("line", F.lit(None).cast(places.schema["line"].dataType))).repartition("file_id", "level", "part")
+    cell = Window.partitionBy("file_id", "level", "part")
+    best = F.least(*(F.min(F.when(F.col("side") == side, F.col("own"))).over(cell.orderBy(turn)) for side, turn in enumerate((F.asc("at"), F.desc("at")))))
+    met = rows.withColumn("best", best).where("side is null and best is not null")
+    return met.groupBy("file_id", "line").agg(F.min("best").alias("best")).select("file_id", "line", F.col("best.id").alias("symbol_id"), F.col("best.name").alias("name"), F.col("best.width").cast("long").alias("width"))
 
 
 def files_by_path(files: DataFrame, symbols: DataFrame, like: str | None = None) -> DataFrame:

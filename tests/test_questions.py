@@ -79,3 +79,15 @@ def test_dyadic_intervals(spark):
     assert got == want
     spread = symbols.where("id < 900").withColumn("node", F.explode(lookup._dyadic("line_start", "line_end"))).groupBy("id").count()
     assert spread.agg(F.max("count")).first()[0] <= 2 * 13
+
+
+def test_cells_of_an_interval_are_few(spark):
+    """Three cells an interval, however long; before, two of each power of two, which a join sent to all as if they were few."""
+    rng = random.Random(7)
+    rows = [(1, i, f"s{i}", (a := rng.randrange(-(1 << 40), 1 << 40)), a + int(2 ** rng.uniform(0, 41)) - 1) for i in range(200)] + [(1, 200 + i, "nested", -i, i) for i in range(100)] + [(1, 300, "large", -1, (1 << 62) - 2)]
+    symbols = spark.createDataFrame(rows, "file_id bigint, id bigint, name string, line_start bigint, line_end bigint")
+    assert symbols.select(F.size(lookup._dyadic("line_start", "line_end")).alias("n")).agg(F.max("n")).first()[0] <= 3
+    places = sorted({p for _, _, _, a, b in rows for p in (a - 1, a, b, b + 1)})
+    got = {r["line"]: (r["symbol_id"], r["width"]) for r in lookup.symbol_at(symbols, spark.createDataFrame([(1, p) for p in places], "file_id bigint, line bigint")).collect()}
+    want = {p: min((b - a, a, i) for _, i, _, a, b in rows if a <= p <= b) for p in places if any(a <= p <= b for _, _, _, a, b in rows)}
+    assert got == {p: (i, w) for p, (w, _, i) in want.items()}
