@@ -83,17 +83,20 @@ def reexports(imports: DataFrame, files: DataFrame, aliases=(), module=None) ->
 def closure(edges: DataFrame) -> DataFrame:
     """(start, target): all pairs that a path of edges (start, target) joins.
 
-    Paths double: those found last are joined before and after all that are known, so n hops take log2(n) rounds of
-    two joins. A pair is found once, so rings end; the driver learns only whether a round found any.
+    Paths double: pairs that are 2 ** k hops apart are joined with all that are known, which are those of at most 2 ** k hops, so n hops take
+    log2(n) rounds of two joins and, where each start has one target, a path is made once. A pair is
+    found once, so rings end; the driver learns only whether a round found any.
     """
-    found = frontier = cut(edges.where("start is not null and target is not null").select("start", "target").distinct())
+    found = hop = cut(edges.where("start is not null and target is not null").select("start", "target").distinct())
     while True:
-        onward = frontier.join(found.select(F.col("start").alias("target"), F.col("target").alias("next")), "target").select("start", F.col("next").alias("target"))
-        before = found.join(frontier.select(F.col("start").alias("target"), F.col("target").alias("next")), "target").select("start", F.col("next").alias("target"))
-        frontier = cut(onward.union(before).distinct().join(found, ["start", "target"], "left_anti"))
-        if frontier.isEmpty():
+        after = lambda pairs: pairs.select(F.col("start").alias("target"), F.col("target").alias("next"))
+        onward = hop.join(after(found), "target").select("start", F.col("next").alias("target"), F.lit(True).alias("fresh"))
+        met = onward.union(found.withColumn("fresh", F.lit(False))).groupBy("start", "target").agg(F.bool_and("fresh").alias("fresh"))
+        fresh = cut(met.where("fresh").select("start", "target"))
+        if fresh.isEmpty():
             return found
-        found = found.union(frontier)
+        found = found.union(fresh)
+        hop = cut(hop.join(after(hop), "target").select("start", F.col("next").alias("target")).distinct())
 
 
 def call_graph(sites: DataFrame, symbols: DataFrame, files: DataFrame, imports: DataFrame, aliases=(), module=None) -> DataFrame:

@@ -37,3 +37,10 @@ def test_closure(spark):
         want |= edges
         edges = {(a, d) for a, b in want for c, d in want if b == c}
     assert got == want
+
+
+def test_closure_of_a_long_chain_and_a_ring(spark):
+    n = 300
+    chain = [(i, i + 1) for i in range(n)] + [(1000 + i, 1000 + (i + 1) % 7) for i in range(7)]
+    got = [tuple(r) for r in resolve.closure(spark.createDataFrame(chain, "start int, target int")).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in range(n) for b in range(a + 1, n + 1)} | {(1000 + a, 1000 + b) for a in range(7) for b in range(7)}
