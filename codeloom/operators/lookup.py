@@ -177,11 +177,19 @@ def symbol_tokens(symbols: DataFrame) -> DataFrame:
 def phrase_search(index: DataFrame, phrases: DataFrame) -> DataFrame:
     """(phrase_id, id): rows that hold all tokens of a phrase side by side in one field.
 
-    phrases: (phrase_id, words array). A phrase's first token is joined; the others must follow it.
+    phrases: (phrase_id, words array). A row's runs of as many tokens as a phrase has are joined whole, so a frequent token meets no
+    phrase that the row does not hold. A row's tokens and runs are one group.
     """
-    words = phrases.where(F.size("words") > 0).select("phrase_id", F.size("words").alias("n"), F.posexplode("words").alias("k", "token"))
-    met = index.join(words, "token").select("phrase_id", "n", "id", "field", (F.col("pos") - F.col("k")).alias("start"), "k").distinct()
-    return met.groupBy("phrase_id", "n", "id", "field", "start").agg(F.count("*").alias("hits")).where("hits = n").select("phrase_id", "id").distinct()
+    asked = phrases.where(F.size("words") > 0).select("phrase_id", F.col("words").alias("run")).distinct()
+    sizes = asked.agg(F.collect_set(F.size("run")).alias("sizes"))  # one row
+    rows = index.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("field", "pos", "token"))).alias("all"))
+    last = lambda i, n: F.get("all", i + n - 2)
+    # tokens of other fields or places stand between where the index was filtered
+    whole = lambda i, n: (last(i, n)["field"] == F.element_at("all", i)["field"]) & (last(i, n)["pos"] == F.element_at("all", i)["pos"] + n - 1)
+    starts = lambda n: F.filter(F.sequence(F.lit(1), F.size("all")), lambda i: F.coalesce(whole(i, n), F.lit(False)))
+    runs = F.array_distinct(F.flatten(F.transform("sizes", lambda n: F.transform(starts(n), lambda i: F.transform(F.slice("all", i, n), lambda t: t["token"])))))
+    each = rows.crossJoin(F.broadcast(sizes)).select("id", F.explode(runs).alias("run"))
+    return each.hint("merge").join(asked, "run").select("phrase_id", "id")  # Spark takes exploded rows for few and would send them all to each task
 
 
 #: Fields of a symbol in which a keyword without token matches is looked for.
@@ -199,16 +207,18 @@ def path_grams(files: DataFrame) -> DataFrame:
     return substrings.postings(files, "id", ["path"])
 
 
-def first_by_id(hits: DataFrame, of: str, limit: int) -> DataFrame:
-    """The first ``limit`` rows of each value of ``of``, with their place as row_pos."""
+def first_by_id(hits: DataFrame, of: str, limit: int | None) -> DataFrame:
+    """The first ``limit`` rows of each value of ``of``, with their place as row_pos; without a limit all, unnumbered, as then nothing need be gathered by value."""
+    if limit is None:
+        return hits
     return hits.withColumn("row_pos", F.row_number().over(Window.partitionBy(of).orderBy("id"))).where(F.col("row_pos") <= limit)
 
 
-def search_symbols(symbols: DataFrame, keywords: DataFrame, limit: int = SEARCH_LIMIT, index: DataFrame | None = None, grams: DataFrame | None = None) -> DataFrame:
+def search_symbols(symbols: DataFrame, keywords: DataFrame, limit: int | None = SEARCH_LIMIT, index: DataFrame | None = None, grams: DataFrame | None = None) -> DataFrame:
     """(keyword, row_pos, symbol ...): token matches of each distinct keyword, or else names and signatures that contain it.
 
     keywords: (keyword), any number of them. White space parts a keyword into phrases, any of which may match; at most
-    ``limit`` symbols a keyword, by id. ``index``, ``grams``: the inverted index and the trigram postings, if they are stored;
+    ``limit`` symbols a keyword, by id (None: all, without row_pos). ``index``, ``grams``: the inverted index and the trigram postings, if they are stored;
     else they are made.
     """
     asked = keywords.select("keyword").distinct()
@@ -225,9 +235,9 @@ def search_symbols(symbols: DataFrame, keywords: DataFrame, limit: int = SEARCH_
 
 
 def search_paths(files: DataFrame, patterns: DataFrame, limit: int | None = PATH_LIMIT, grams: DataFrame | None = None) -> DataFrame:
-    """(pattern, row_pos, id, path): files whose path matches a LIKE pattern, at most ``limit`` a pattern, by id."""
+    """(pattern, row_pos, id, path): files whose path matches a LIKE pattern, at most ``limit`` a pattern, by id (None: all, without row_pos)."""
     found = substrings.matches(path_grams(files) if grams is None else grams, files, "id", ["path"], patterns)
-    return first_by_id(found, "pattern", 1 << 30 if limit is None else limit).join(files.select("id", "path"), "id")
+    return first_by_id(found, "pattern", limit).join(files.select("id", "path"), "id")
 
 
 def file_name(path):

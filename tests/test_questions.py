@@ -91,3 +91,23 @@ def test_cells_of_an_interval_are_few(spark):
     got = {r["line"]: (r["symbol_id"], r["width"]) for r in lookup.symbol_at(symbols, spark.createDataFrame([(1, p) for p in places], "file_id bigint, line bigint")).collect()}
     want = {p: min((b - a, a, i) for _, i, _, a, b in rows if a <= p <= b) for p in places if any(a <= p <= b for _, _, _, a, b in rows)}
     assert got == {p: (i, w) for p, (w, _, i) in want.items()}
+
+
+def test_phrases_meet_whole(spark):
+    """A frequent token meets no phrase that a row lacks, and an index filtered by tokens joins none over a gap."""
+    rows = spark.createDataFrame([(1, "big red box", "red box"), (2, "big box", "x"), (3, "box big red", "red red red")], "id bigint, name string, signature string")
+    index = lookup.symbol_tokens(rows)
+    asked = spark.createDataFrame([(1, ["big", "box"]), (2, ["red"]), (3, ["red", "box"]), (4, ["red", "red"]), (5, ["box", "red"]), (6, [])], "phrase_id int, words array<string>")
+    want = [(1, 2), (2, 1), (2, 3), (3, 1), (4, 3)]
+    found = lookup.phrase_search(index, asked)
+    assert sorted(tuple(r) for r in found.collect()) == want
+    assert sorted(tuple(r) for r in lookup.phrase_search(index.where("token <> 'red'"), asked).collect()) == [(1, 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "(token" not in "".join(line for line in plan.splitlines() if "Join" in line)
+
+
+def test_search_without_a_limit_gathers_no_keyword(spark):
+    rows = spark.range(200).select("id", F.concat(F.lit("ring"), F.col("id").cast("string")).alias("name"), F.lit("x y").alias("signature"))
+    found = lookup.search_symbols(rows, spark.createDataFrame([("rin",), ("x",)], "keyword string"), limit=None)
+    assert found.groupBy("keyword").count().collect().__len__() == 2 and found.count() == 400
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
