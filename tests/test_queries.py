@@ -30,3 +30,10 @@ def test_indirect_dependents_count(spark):
     assert sum(r["indirect"] for r in got) > 0 and sum(r["tests"] for r in got) > 0
     got += queries.QUERIES["blast_radius_of_orders"](spark, SF).collect()
     assert {r["level"] for r in got} == {"LOW", "MEDIUM", "HIGH", "CRITICAL"} and len({r["score"] for r in got}) > 20
+
+
+def test_walks_start_from_every_symbol(spark):
+    chain = queries.QUERIES["depends_chain"](spark, SF)
+    symbols = spark.read.parquet(f"{SF}/part.parquet").count()
+    assert chain.where("depth = 0").count() == symbols
+    assert queries.QUERIES["impact_blast_radius"](spark, SF).where("target_id % 50 > 0").count() > symbols // 2
