@@ -15,7 +15,8 @@ of the training texts. A word that makes up SHARE of the tokens or more is a uni
 words are exchanged together with those of the same last bytes (ENDING of them), or all others where these are
 too few. So there are at most 2 / SHARE units at any size of corpus, and what a round gathers is
 bounded: for each unit, how often each class stands before and after it. Tasks count that
-over their blocks, and counts are added in a tree. In each round a part of the units is moved, and
+over their blocks, counts meet by chunks of units, and gains are computed where they met, so the driver gets
+the table of classes and the units that move. In each round a part of the units is moved, and
 a round that lowered the likelihood is taken back and a smaller part moved.
 
 Texts are read once, into blocks of codes (see ``coded``), written to the shared folder. Counts of
@@ -153,28 +154,67 @@ def _row(batch: pa.RecordBatch, i: int, *names: str) -> list[np.ndarray]:
     return [batch.column(n)[i].values.to_numpy(zero_copy_only=False) for n in names]
 
 
-def neighbours(coded: DataFrame, units: Units, classes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(before, after): of each unit and class, how often the class stands before and after the unit in the texts to learn from."""
-    sent, size = coded.sparkSession.sparkContext.broadcast((units, classes)), units.n * n
+#: Units whose counts travel and are summed together.
+TOGETHER = 512
+
+
+def _tables(column: pa.Array, n: int):
+    """Tables of counts, n columns each, kept as bytes."""
+    for value in column:
+        yield np.frombuffer(value.as_buffer(), np.int64).reshape(-1, n)
+
+
+def neighbours(coded: DataFrame, units: Units, classes: np.ndarray, n: int) -> tuple[DataFrame, DataFrame]:
+    """(chunk, before, after), written to the shared folder, and of it (chunk, after): how often each class stands before and after each unit in the texts to learn from.
+
+    Units are dealt out to chunks in turn: chunk k of m holds units k, k + m, and so on, a row of n counts each. A task
+    sends a row a chunk, rows of a chunk are added one by one where they meet, and none come to the driver.
+    """
+    number, chunks, size = units.n, -(-units.n // TOGETHER), units.n * n
+    sent = coded.sparkSession.sparkContext.broadcast((units, classes))
 
     def run(batches):
         units, classes = sent.value
-        total = np.zeros(2 * units.n * n, np.int64)
+        total = None
         for batch in batches:
             for i in range(len(batch)):
+                if total is None:
+                    total = np.zeros((2, size), np.int64)
                 sizes, part = _row(batch, i, "sizes", "part")
                 unit, _ = _flat(units.of(_listed(batch.column("words")[i]))[unplaned(batch.column("codes")[i].as_py())], sizes.astype(np.int64), 0)
                 learnt = np.repeat(part == TRAIN, sizes + 1)
                 unit = unit.astype(np.int32)
                 before = np.concatenate([np.zeros(1, np.int32), unit[:-1]])[learnt]
                 unit = unit[learnt]
-                total[: units.n * n] += np.bincount(unit * np.int64(n) + classes[before], minlength=units.n * n)
-                total[units.n * n :] += np.bincount(before * np.int64(n) + classes[unit], minlength=units.n * n)
-        yield pa.RecordBatch.from_arrays([pa.array([pa.compress(total.tobytes(), "lz4", asbytes=True)], pa.binary())], ["counts"])
+                total[0] += np.bincount(unit * np.int64(n) + classes[before], minlength=size)
+                total[1] += np.bincount(before * np.int64(n) + classes[unit], minlength=size)
+        for chunk in range(chunks) if total is not None else ():
+            held = [np.ascontiguousarray(t.reshape(-1, n)[chunk::chunks]) for t in total]
+            if held[0].any() or held[1].any():
+                packed = [pa.array([pa.compress(h.tobytes(), "lz4", asbytes=True)], pa.binary()) for h in held]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), *packed], ["chunk", "before", "after"])
+
+    def add(batches):
+        now, total = None, None
 
-    parts = coded.select("sizes", "part", "words", "codes").mapInArrow(run, "counts binary").rdd.map(lambda r: np.frombuffer(pa.decompress(bytes(r["counts"]), 16 * size, "lz4", asbytes=True), np.int64))
-    total = parts.treeReduce(np.add, depth=4) if parts.getNumPartitions() else np.zeros(2 * units.n * n, np.int64)
-    return total[: units.n * n].reshape(units.n, n), total[units.n * n :].reshape(units.n, n)
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), *(pa.array([t.tobytes()], pa.binary()) for t in total)], ["chunk", "before", "after"])
+
+        for batch in batches:
+            for i, chunk in enumerate(batch.column("chunk").to_pylist()):
+                if chunk != now:
+                    if now is not None:
+                        yield out()
+                    now, total = chunk, np.zeros((2, len(range(chunk, number, chunks)) * n), np.int64)
+                for t, name in zip(total, ("before", "after"), strict=True):
+                    t += np.frombuffer(pa.decompress(batch.column(name)[i].as_buffer(), 8 * len(t), "lz4"), np.int64)
+        if now is not None:
+            yield out()
+
+    kept = "chunk int, before binary, after binary"
+    counted = coded.select("sizes", "part", "words", "codes").mapInArrow(run, kept)
+    summed = stored(counted.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(add, kept), "neighbours")
+    return summed, summed.select("chunk", "after")
 
 
 def _g(x: np.ndarray) -> np.ndarray:
@@ -182,10 +222,21 @@ def _g(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def transitions(after: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Counts of a class (row) followed by another."""
-    table = np.zeros((after.shape[1],) * 2, np.int64)
-    np.add.at(table, classes, after)
+def transitions(after: DataFrame, classes: np.ndarray) -> np.ndarray:
+    """Counts of a class (row) followed by another. after: as ``neighbours`` gives it; a task sends the driver one table of classes."""
+    chunks, n = -(-len(classes) // TOGETHER), int(classes.max()) + 1
+
+    def run(batches):
+        table = np.zeros((n, n), np.int64)
+        for batch in batches:
+            for chunk, counts in zip(batch.column("chunk").to_pylist(), _tables(batch.column("after"), n), strict=True):
+                np.add.at(table, classes[chunk::chunks], counts)
+        if table.any():
+            yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], ["counts"])
+
+    table = np.zeros((n, n), np.int64)
+    for row in after.mapInArrow(run, "counts binary").collect():  # 2 / SHARE / TOGETHER rows at most
+        table += np.frombuffer(row["counts"], np.int64).reshape(n, n)
     return table
 
 
@@ -231,29 +282,46 @@ def gains(before: np.ndarray, after: np.ndarray, classes: np.ndarray, table: np.
     return out
 
 
+def moves(counts: DataFrame, classes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The class to which each unit's move adds most, its own if none adds; the end stays. Only units that would move come to the driver."""
+    chunks, n = -(-len(classes) // TOGETHER), len(table)
+    sent = counts.sparkSession.sparkContext.broadcast((classes, table))
+
+    def run(batches):
+        classes, table = sent.value
+        for batch in batches:
+            both = zip(_tables(batch.column("before"), n), _tables(batch.column("after"), n), strict=True)
+            for chunk, sides in zip(batch.column("chunk").to_pylist(), both, strict=True):
+                kept, each = classes[chunk::chunks], np.arange(chunk, len(classes), chunks)
+                gain = gains(*sides, kept, table)
+                gain[:, n - 1] = -np.inf  # the end's
+                to, rows = gain.argmax(axis=1), np.arange(len(each))
+                moved = (gain[rows, to] > gain[rows, kept] + 1e-9) & (each > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(each[moved], pa.int32()), pa.array(to[moved], pa.int32())], ["unit", "to"])
+
+    out = classes.copy()
+    found = counts.mapInArrow(run, "unit int, to int").toArrow()  # a row a unit at most
+    out[found.column("unit").to_numpy()] = found.column("to").to_numpy()
+    return out
+
+
 def exchange(coded: DataFrame, units: Units, n: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """(class of each unit, counts of a class followed by another); class ``n`` is the end's."""
     classes = np.concatenate([[n], np.arange(units.n - 1) % n])
     best, part = None, 2
     deal = np.array([zlib.crc32(str(i).encode()) for i in range(units.n)])
     for turn in range(rounds + 1):
-        before, after = neighbours(coded, units, classes, n + 1)
+        counts, after = neighbours(coded, units, classes, n + 1)
         table = transitions(after, classes)
         value = likelihood(table)
         if best is None or value > best[0]:
-            best = (value, classes, table, before, after)
+            best = (value, classes, table, counts)
         else:
             part *= 2
         if turn == rounds:
             break
-        _, kept, table, before, after = best
-        gain = gains(before, after, kept, table)
-        gain[:, n] = -np.inf
-        gain[0] = 0
-        to = gain.argmax(axis=1)
-        moved = (gain[np.arange(units.n), to] > gain[np.arange(units.n), kept] + 1e-9) & (deal % part == turn % part)
-        moved[0] = False
-        classes = np.where(moved, to, kept)
+        _, kept, table, counts = best
+        classes = np.where(deal % part == turn % part, moves(counts, kept, table), kept)
     return best[1], best[2]
 
 

@@ -194,6 +194,36 @@ def test_exchange_finds_kinds_of_words(spark):
     assert all(len(k) == 1 for k in kinds.values()) and kinds["a"] != kinds["b"]
 
 
+def test_counts_of_the_exchange_stay_off_the_driver(spark, monkeypatch):
+    """Counts of units are summed, and gains computed, in chunks of units on the executors; chunks of any size give the same classes."""
+    rng = random.Random(8)
+    names = [f"w{i}" for i in range(40)]
+    made = class_lm.blocks(spark.createDataFrame([(i, " ".join(rng.choices(names, range(1, 41), k=30))) for i in range(120)], "doc_id bigint, text string").repartition(3))
+    units = class_lm.Units(class_lm.vocabulary(made), class_lm.totals(made, class_lm.vocabulary(made)))
+    start = np.concatenate([[5], np.arange(units.n - 1) % 5])
+    whole = class_lm.exchange(made, units, 5, 3)
+    monkeypatch.setattr(class_lm, "TOGETHER", 7)
+    counts = class_lm.neighbours(made, units, start, 6)[0]
+    assert counts.count() == -(-units.n // 7) and counts.select(F.max(F.length("before"))).first()[0] <= 7 * 6 * 8
+    parted = class_lm.exchange(made, units, 5, 3)
+    assert (parted[0] == whole[0]).all() and (parted[1] == whole[1]).all()
+    # against counts made here, text by text
+    want = np.zeros((2, units.n, 6), np.int64)
+    for row in made.collect():
+        of, codes, at = units.of(pa.array(row["words"].encode().split(b" "), pa.binary())), coded.unplaned(bytes(row["codes"])), 0
+        for part, size in zip(row["part"], row["sizes"], strict=True):
+            line = [0, *of[codes[at : at + size]].tolist(), 0]
+            at += size
+            for v, w in zip(line, line[1:]) if part == class_lm.TRAIN else ():
+                want[0, w, start[v]] += 1
+                want[1, v, start[w]] += 1
+    got, m = np.zeros_like(want), -(-units.n // 7)
+    for row in counts.collect():
+        for side, name in enumerate(("before", "after")):
+            got[side, row["chunk"] :: m] = np.frombuffer(row[name], np.int64).reshape(-1, 6)
+    assert (got == want).all()
+
+
 def test_gains_are_differences_of_likelihood():
     rng = np.random.default_rng(6)
     n, u = 4, 9
