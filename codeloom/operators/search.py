@@ -108,13 +108,24 @@ def partners(entries: DataFrame, pairs: DataFrame) -> DataFrame:
     return _entry(met, key=F.concat(F.col("file"), F.lit(":__cochange__")), file=F.col("file"), reason=reason, relevance=CO_CHANGE + F.floor(F.col("confidence") * 20 + 0.5), slot=_slot(4, F.element_at("slot", 1) * 1_000_000 + F.element_at("slot", 2), F.element_at("slot", 3), F.col("rank")))
 
 
-def tests(entries: DataFrame, files: DataFrame, grams: DataFrame | None = None) -> DataFrame:
-    start = entries.where(F.col("relevance") >= TESTS_FROM).select("q", F.col("file").alias("of"), F.col("slot").alias("from"))
+def tests(entries: DataFrame, files: DataFrame, grams: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Tests named after the files of entries; the first ``limit`` of a question.
+
+    All have the same relevance and no later pass starts from them, so those after ``limit`` others can't be among the best ``limit``; nor can
+    those that come after ``limit`` others of the same pattern. An entry that has the key of one already ranks before all of them.
+    """
+    # entries of one file ask for the same tests; what comes in first has the least of these numbers
+    turn = F.struct((F.element_at("slot", 1) * 1_000_000 + F.element_at("slot", 2)).alias("pass"), F.element_at("slot", 3).alias("position"))
+    start = entries.where(F.col("relevance") >= TESTS_FROM).groupBy("q", F.col("file").alias("of")).agg(F.min(turn).alias("from"))
     base, name = stem(F.col("of")), stem(base_name(F.col("of")))
     asked = start.select("q", "of", "from", F.posexplode(F.array(F.concat(base, F.lit(".test.%")), F.concat(base, F.lit(".spec.%")), F.concat(F.lit("%test%"), name, F.lit("%")))).alias("n", "pattern"))
-    met = asked.join(lookup.search_paths(files, asked, None, grams), "pattern")
-    slot = F.array(F.lit(5).cast("long"), F.element_at("from", 1) * 1_000_000 + F.element_at("from", 2), F.element_at("from", 3), F.col("n").cast("long"), F.col("id").cast("long"))
-    return _entry(met, key=F.concat(F.col("path"), F.lit(":__test__")), file=F.col("path"), reason=F.concat(F.lit("Test file for "), F.col("of")), relevance=F.lit(TEST), slot=slot)
+    met = asked.join(lookup.search_paths(files, asked, limit, grams), "pattern")
+    slot = F.array(F.lit(5).cast("long"), F.col("from.pass"), F.col("from.position"), F.col("n").cast("long"), F.col("id").cast("long"))
+    # each test of a question once, before it gets its texts
+    first = met.groupBy("q", "path").agg(F.min(F.struct(slot.alias("slot"), "of")).alias("by"))
+    if limit is not None:
+        first = first.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("by.slot"))).where(F.col("rank") <= limit)
+    return _entry(first, key=F.concat(F.col("path"), F.lit(":__test__")), file=F.col("path"), reason=F.concat(F.lit("Test file for "), F.col("by.of")), relevance=F.lit(TEST), slot=F.col("by.slot"))
 
 
 def directories(words: DataFrame, symbols: DataFrame, files: DataFrame, grams: DataFrame | None = None) -> DataFrame:
@@ -147,7 +158,7 @@ def query_many(index, questions: DataFrame, limit: int = 15, groups=concepts.GRO
     new, edges = neighbours(found, symbols, files, index.calls)
     entries = cut(_add(found, new))
     entries = _add(entries, partners(entries, index.co_changes))
-    entries = cut(_add(entries, tests(entries, files, paths)))
+    entries = cut(_add(entries, tests(entries, files, paths, limit)))
     entries = _add(entries, directories(words, symbols, files, paths))
     best = entries.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("relevance"), "slot"))).where(F.col("rank") <= limit)
     listed = edges.groupBy("q", "key").agg(*(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("rank", "label")))), lambda x: x["label"]).alias(n) for s, n in enumerate(("called_by", "calls"))))

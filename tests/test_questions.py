@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from codeloom.functions import concepts, questions
-from codeloom.operators import lookup, substrings
+from codeloom.operators import lookup, search, substrings
 
 TASKS = [
     "How does the login flow work?",
@@ -111,3 +111,25 @@ def test_search_without_a_limit_gathers_no_keyword(spark):
     found = lookup.search_symbols(rows, spark.createDataFrame([("rin",), ("x",)], "keyword string"), limit=None)
     assert found.groupBy("keyword").count().collect().__len__() == 2 and found.count() == 400
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_many_patterns_of_short_runs_travel_by_run(spark):
+    """Patterns that share a run shorter than a trigram meet its texts once; before, each pattern had a row for each text that holds the run."""
+    texts = [f"{a}{b}x{n}" for n, (a, b) in enumerate((a, b) for a in "abcd" for b in ("a_", "-b", "cd", "e"))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id bigint, path string")
+    asked = [f"%{a}_{b}%" for a in "abcd" for b in "abcdx"] + ["%a_%c_%", "%zz_q%", "b%", "%a%"]
+    found = substrings.matches(substrings.postings(rows, "id", ["path"]), rows, "id", ["path"], spark.createDataFrame([(p,) for p in asked], "pattern string"))
+    like = lambda p, t: re.fullmatch("".join({"%": ".*", "_": "."}.get(c, re.escape(c)) for c in p), t)
+    assert sorted(map(tuple, found.collect())) == sorted((p, i) for p in asked for i, t in enumerate(texts) if like(p, t))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[run#\d+, id#\d+L?\]", plan) and not re.search(r"Aggregate \[pattern#\d+, id#\d+L?\]", plan)
+
+
+def test_tests_of_a_question_stop_at_its_limit(spark):
+    """The best entries need no more tests than ``limit``; before, each question had all tests, once for each of its entries."""
+    names = ["w/doc_1.txt", "w/doc_12.txt", *(f"w/test/doc_{n}.txt" for n in (1, 10, 11, 12, 13, 120, 121))]
+    files = spark.createDataFrame(list(enumerate(names)), "id bigint, path string")
+    entries = spark.createDataFrame([(q, name, 60, [k, 2_000_000 * (k == 3), n, 0, 0]) for q in (1, 2) for k in (1, 3, 4) for n, name in enumerate(names[:2])], "q int, file string, relevance int, slot array<bigint>")
+    listed = lambda limit: {q: [(r["file"], r["reason"], r["slot"]) for r in search.tests(entries, files, None, limit).where(F.col("q") == q).orderBy("slot").collect()] for q in (1, 2)}
+    whole, cut = listed(None), listed(3)
+    assert all(len(whole[q]) == 7 and cut[q] == whole[q][:3] for q in (1, 2))
