@@ -33,6 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .frames import stored, take
@@ -42,6 +43,7 @@ SCALES = (1.0, 0.89, 0.79, 0.7)
 MOST_BITS = 48  # of 256 that may differ
 LEAST = 8  # agreeing corners of a match; unrelated pictures reach 6 in one pair of a hundred, 8 in one of two thousand
 TABLES, KEY_BITS = 14, 34
+TOGETHER = 512  # images whose entries of a key travel as one row
 CHUNK = 1024  # entries of one key on either side of a task's comparison
 BLOCK_BITS = 16  # images of a block, as a power of two
 CORNER = np.dtype([("x", "<f4"), ("y", "<f4"), ("scale", "<f4"), ("angle", "<f4"), ("words", "<u8", 4)])
@@ -250,7 +252,10 @@ def classes(made: DataFrame) -> DataFrame:
 
 
 def entries(images: DataFrame, asked: bool) -> DataFrame:
-    """(hkey, asked, image, corner): the table entries of each image; only for images asked about a corner is told."""
+    """(hkey, images, corner): the table entries of each image; only for images asked about a corner is told, and these have an entry a row.
+
+    Other images of up to TOGETHER that lie together and share a key, as near copies do, have one row of it.
+    """
 
     def of(batch):
         names, parts = batch.column("image").to_numpy(), [np.frombuffer(c.as_buffer(), CORNER) if len(c.as_buffer()) else np.zeros(0, CORNER) for c in batch.column("corners")]
@@ -258,20 +263,24 @@ def entries(images: DataFrame, asked: bool) -> DataFrame:
         hashed = keys(np.concatenate([np.zeros(0, CORNER), *parts])).ravel()
         image = np.repeat(np.repeat(names, count), TABLES)
         corner = np.repeat(np.concatenate([np.zeros(0, np.int64), *(np.arange(n) for n in count)]), TABLES) if asked else np.full(len(image), -1)
+        ends = np.arange(len(image) + 1)
         if not asked:  # a key that an image has twice counts once
-            order = np.lexsort((hashed, image))
+            order = np.lexsort((image, hashed))
             hashed, image = hashed[order], image[order]
             new = np.ones(len(image), bool)
             new[1:] = (hashed[1:] != hashed[:-1]) | (image[1:] != image[:-1])
-            hashed, image, corner = hashed[new], image[new], corner[new]
-        return pa.RecordBatch.from_arrays([pa.array(hashed), pa.array(image), pa.array(corner, pa.int32())], ["hkey", "image", "corner"])
+            hashed, image = hashed[new], image[new]
+            first = np.flatnonzero(np.concatenate([[True], hashed[1:] != hashed[:-1]])) if len(hashed) else np.zeros(0, np.int64)
+            hashed, corner, ends = hashed[first], corner[: len(first)], np.append(first, len(image))
+        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(image, pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(hashed), listed, pa.array(corner, pa.int32())], ["hkey", "images", "corner"])
 
     def run(batches):
         for batch in batches:
-            for low in range(0, batch.num_rows, 128):
-                yield of(batch.slice(low, 128))
+            for low in range(0, batch.num_rows, TOGETHER):
+                yield of(batch.slice(low, TOGETHER))
 
-    return images.where("found > 0").select("image", "corners").mapInArrow(run, "hkey bigint, image bigint, corner int")
+    return images.where("found > 0").select("image", "corners").mapInArrow(run, "hkey bigint, images array<bigint>, corner int")
 
 
 def tables(asked: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -281,16 +290,16 @@ def tables(asked: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _dealt(q: DataFrame, i: DataFrame) -> DataFrame:
-    """Entries of both sides by key and chunk pair: (hkey, qchunk, ichunk, image, corner)."""
+    """Entries of both sides by key and chunk pair: (hkey, qchunk, ichunk, images, corner)."""
     both = q.unionByName(i)
-    count = both.groupBy("hkey").agg(F.count_if(F.col("corner") >= 0).alias("nq"), F.count_if(F.col("corner") < 0).alias("ni")).where("nq > 0 and ni > 0")
+    count = both.groupBy("hkey").agg(F.count_if(F.col("corner") >= 0).alias("nq"), F.sum(F.when(F.col("corner") < 0, F.size("images")).otherwise(0)).alias("ni")).where("nq > 0 and ni > 0")
     chunks = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
     told = both.join(stored(count.where(f"nq > {CHUNK} or ni > {CHUNK}").select(F.col("hkey").alias("_hkey"), chunks("nq").alias("qs"), chunks("ni").alias("is")), "hot_keys"), F.col("hkey") == F.col("_hkey"), "left")
-    own = F.pmod(F.xxhash64("image", "corner"), F.coalesce(F.when(F.col("corner") >= 0, F.col("qs")).otherwise(F.col("is")), F.lit(1))).cast("int")
+    own = F.pmod(F.xxhash64("images", "corner"), F.coalesce(F.when(F.col("corner") >= 0, F.col("qs")).otherwise(F.col("is")), F.lit(1))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.coalesce(F.when(F.col("corner") >= 0, F.col("is")).otherwise(F.col("qs")), F.lit(1)) - 1))
-    spread = told.select("hkey", "image", "corner", own.alias("own"), other.alias("other"))
+    spread = told.select("hkey", "images", "corner", own.alias("own"), other.alias("other"))
     asked = F.col("corner") >= 0
-    return spread.select("hkey", F.when(asked, F.col("own")).otherwise(F.col("other")).alias("qchunk"), F.when(asked, F.col("other")).otherwise(F.col("own")).alias("ichunk"), "image", "corner")
+    return spread.select("hkey", F.when(asked, F.col("own")).otherwise(F.col("other")).alias("qchunk"), F.when(asked, F.col("other")).otherwise(F.col("own")).alias("ichunk"), "images", "corner")
 
 
 def _summed(q: np.ndarray, i: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -326,7 +335,9 @@ def meetings(q: DataFrame, i: DataFrame) -> DataFrame:
             return _lists(*_summed(*(np.concatenate([h[k] for h in held]) for k in range(4))))
 
         for batch in batches:
-            hkey, qchunk, ichunk, image, corner = (batch.column(c).to_numpy() for c in ("hkey", "qchunk", "ichunk", "image", "corner"))
+            number = pc.list_value_length(batch.column("images")).to_numpy()
+            image = batch.column("images").flatten().to_numpy()
+            hkey, qchunk, ichunk, corner = (np.repeat(batch.column(c).to_numpy(), number) for c in ("hkey", "qchunk", "ichunk", "corner"))
             edge = np.flatnonzero(np.concatenate([[True], (hkey[1:] != hkey[:-1]) | (qchunk[1:] != qchunk[:-1]) | (ichunk[1:] != ichunk[:-1])])) if len(hkey) else np.zeros(0, np.int64)
             asked = np.add.reduceat((corner >= 0).astype(np.int64), edge) if len(edge) else edge
             end = np.concatenate([edge[1:], [len(hkey)]]) if len(edge) else edge

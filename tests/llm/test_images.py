@@ -148,3 +148,16 @@ def test_hot_keys(spark, monkeypatch):
     whole = listed()
     monkeypatch.setattr(images, "CHUNK", 2)
     assert listed() == whole and len(whole) == 300
+
+
+def test_near_copies_share_rows_of_entries(spark):
+    """Near copies that lie together have one row of a key that they share; before, one for each of them."""
+    rng = np.random.default_rng(4)
+    base = images.draw(rng.normal(size=64).tolist())
+    rows = [(n, images.encode(base + rng.normal(0, 2, base.shape))) for n in range(40)]
+    frame = spark.createDataFrame(rows, "image_id bigint, data binary").coalesce(1)
+    made = images.classes(images.described(frame.withColumnRenamed("image_id", "key"), 12)).coalesce(1)
+    q, i = images.tables(made.where("image % 20 = 0"), made)
+    number, listed = i.agg({"*": "count"}).first()[0], i.selectExpr("sum(size(images))").first()[0]
+    assert i.selectExpr("hkey", "explode(images) as image").distinct().count() == listed
+    assert 2 * number < listed and q.selectExpr("max(size(images))").first()[0] == 1
