@@ -104,6 +104,45 @@ def test_walk_of_many_seeds(spark):
     assert rows.count() < len(want)
 
 
+def plain_walk(edges, seeds, depth):
+    """{(seed, node, depth)} of a walk node by node."""
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    want = set()
+    for seed in seeds:
+        at, seen = {seed}, {seed: 0}
+        for d in range(1, depth + 1):
+            at = {b for a in at for b in after.get(a, ()) if b not in seen}
+            seen.update((b, d) for b in at)
+        want |= {(seed, n, d) for n, d in seen.items()}
+    return want
+
+
+def test_blocks_hold_neighbours(spark):
+    """Seeds in any order are packed by id, so parts of a graph that do not meet share few blocks; more blocks than cores are walked whole."""
+    import random
+
+    rng = random.Random(3)
+    part = [(rng.randrange(128), rng.randrange(128)) for _ in range(600)]
+    edges = [(a + 128 * k, b + 128 * k) for a, b in part for k in range(8)]
+    links, starts = spark.createDataFrame(edges, "src bigint, dst bigint"), spark.createDataFrame([(i,) for i in random.Random(1).sample(range(1024), 1024)], "node bigint")
+    widths = graph.packed(starts).groupBy("block").agg((F.max("seed") - F.min("seed")).alias("width")).collect()
+    assert max(r["width"] for r in widths) < graph.SIDE_BY_SIDE
+    assert {tuple(r) for r in graph.reach(links, starts, 3).collect()} == plain_walk(edges, range(1024), 3)
+
+
+def test_links_of_a_busy_node_are_listed_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LISTED", 3)
+    edges = [(0, i) for i in range(1, 41)] * 2 + [(i, 100 + i % 5) for i in range(1, 41)] + [(104, 0)]
+    links = spark.createDataFrame(edges, "src bigint, dst bigint")
+    lists = graph._listed(links, 1)
+    assert lists.selectExpr("max(size(dsts))").first()[0] == 3 and lists.where("src = 0").count() == 14
+    for asked in ([0], range(600)):
+        starts = spark.createDataFrame([(i,) for i in asked], "node bigint")
+        assert {tuple(r) for r in graph.reach(links, starts, 4).collect()} == plain_walk(edges, asked, 4)
+
+
 def test_reach_is_minimal_and_ends(spark):
     ring = spark.createDataFrame([(i, (i + 1) % 6) for i in range(6)] + [(0, 2), (3, 3)], "src bigint, dst bigint")
     found = {r["node"]: r["depth"] for r in graph.reach(ring, seeds(spark, 0), 10).collect()}
