@@ -132,6 +132,19 @@ def test_blocks_hold_neighbours(spark):
     assert {tuple(r) for r in graph.reach(links, starts, 3).collect()} == plain_walk(edges, range(1024), 3)
 
 
+def test_blocks_follow_a_given_nearness(spark):
+    """Seeds whose ids are scattered lie together by ``near``; a seed that comes twice is packed once, and walks find the same."""
+    starts = spark.createDataFrame([(i, i % 16) for i in range(1024)] + [(5, 3)], "node bigint, near bigint")
+    starts = starts.repartition(4, F.hash("node"))
+    packed = graph.packed(starts)
+    assert packed.count() == packed.select("seed").distinct().count() == 1024
+    groups = packed.groupBy("block").agg(F.count_distinct(F.col("seed") % 16).alias("n")).collect()
+    assert max(r["n"] for r in groups) <= 3
+    edges = [(i, (i + 16 * k) % 1024) for i in range(1024) for k in (1, 5)]
+    links = spark.createDataFrame(edges, "src bigint, dst bigint")
+    assert {tuple(r) for r in graph.reach(links, starts, 2).collect()} == plain_walk(edges, range(1024), 2)
+
+
 def test_links_of_a_busy_node_are_listed_in_parts(spark, monkeypatch):
     monkeypatch.setattr(graph, "LISTED", 3)
     edges = [(0, i) for i in range(1, 41)] * 2 + [(i, 100 + i % 5) for i in range(1, 41)] + [(104, 0)]
