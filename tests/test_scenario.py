@@ -71,6 +71,14 @@ def test_impact(spark, s):
     assert [r["path"] for r in graph.test_files(s.calls, s.symbols, s.files, seeds(spark, 1)).collect()] == ["tests/catalog/search.test.ts"]
 
 
+def test_impact_counts_each_call(spark, s):
+    """Calls that come twice, from tests too, and a call of a symbol by itself, of many targets at once."""
+    again = s.calls.unionByName(s.calls.where("caller_symbol_id in (1, 7, 8)")).unionByName(s.calls.limit(1).withColumn("caller_symbol_id", F.lit(3).cast("long")).withColumn("callee_symbol_id", F.lit(3).cast("long")))
+    got = graph.blast_radius(again, s.symbols, s.files, s.symbols.select(F.col("id").alias("node"))).collect()
+    found = {r["target_id"]: tuple(r[c] for c in ("direct", "indirect", "core_files", "high_risk", "tests")) for r in got}
+    assert found == {1: (5, 0, 2, 0, 1), 2: (2, 3, 3, 2, 0), 3: (3, 3, 4, 2, 0), 4: (1, 4, 4, 1, 0), 6: (1, 0, 1, 0, 0)}
+
+
 @pytest.mark.parametrize(
     ("text", "name"),
     [("app/catalog/search.ts:10", "findBooks"), ("app/catalog/search.ts:parseFilters", "parseFilters"), ("getBooks", "getBooks"), ("nothing", None), ("app/web/routes.ts", None), ("app/web/routes.ts:0", None)],
